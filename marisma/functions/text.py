@@ -225,9 +225,8 @@ def domain_tags(text: Column, justification: Column, token_list: list[str] | Non
     """Tag the row when a token of either text is in the list or starts with a prefix."""
     vocab = F.array(*[F.lit(t) for t in (token_list or fv.TOURISM_TOKENS)])
     both = F.array_union(tokens(text), tokens(justification))
-    by_prefix = F.lit(False)
-    for prefix in prefixes or fv.TOURISM_TOKEN_PREFIXES:
-        by_prefix = by_prefix | F.exists(both, lambda t, p=prefix: t.startswith(p))
+    start = "^(" + "|".join(prefixes or fv.TOURISM_TOKEN_PREFIXES) + ")"
+    by_prefix = F.exists(both, lambda t: F.rlike(t, F.lit(start)))
     return F.when(F.arrays_overlap(both, vocab) | by_prefix, F.array(F.lit(tag))).otherwise(
         F.array().cast("array<string>")
     )
