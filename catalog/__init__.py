@@ -1,2 +1,2 @@
-from catalog import corpus, facts, scores  # noqa: F401
+from catalog import corpus, facts, retrieval, scores  # noqa: F401
 from catalog.base import ORACLE, QUERIES  # noqa: F401

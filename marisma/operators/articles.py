@@ -258,12 +258,12 @@ def prompt_batch(df: DataFrame, key: str, title: str, body: str, cache: DataFram
             for kind, topic, axes in calls
         ]
     )
-    rows = df.select(
+    cut = df.select(
         key,
         F.col(title).alias("title"),
         F.substring(F.col(body), 1, fv.TRUNCATION["prompt_body"]).alias("body"),
-        F.explode(call_array).alias("c"),
-    ).select(key, "c.call", "c.topic", "c.axes", "title", "body")
+    )
+    rows = cut.withColumn("c", F.explode(call_array)).select(key, "c.call", "c.topic", "c.axes", "title", "body")
     payload = F.to_json(F.struct("axes", "body", "call", "title", "topic"))
     rows = rows.withColumn("payload_key", urls.payload_key(payload))
     if cache is not None:
