@@ -37,12 +37,13 @@ def coalesce_fields(df: DataFrame, sources: dict[str, list[str]] | None = None)
     return df.withColumns({f"_{k}": v for k, v in out.items()}).drop(*out).withColumnsRenamed({f"_{k}": k for k in out})
 
 
-def merge_template(df: DataFrame, template: T.StructType, defaults: dict[str, Column]) -> DataFrame:
+def merge_template(df: DataFrame, template: T.StructType | str, defaults: dict[str, Column]) -> DataFrame:
     """Complete a record to the template at every depth.
 
     A missing or null leaf takes its default (keyed by dotted path, else null);
     what the record already has is kept.
     """
+    template = T.StructType.fromDDL(template) if isinstance(template, str) else template
 
     def build(target: T.StructType, have: T.DataType | None, ref: Column | None, prefix: str) -> list[Column]:
         cols = []

@@ -1,4 +1,4 @@
-"""Explicit schemas of the sources.  Nothing is inferred at read time."""
+"""Explicit schemas of the sources as DDL text.  Nothing is inferred at read time."""
 
 from __future__ import annotations
 
@@ -9,10 +9,11 @@ from marisma.functions import fixed_values as fv
 
 
 def ddl(text: str) -> T.StructType:
+    """Parsed schema; needs a running session."""
     return T.StructType.fromDDL(text)
 
 
-RAW_ARTICLE = ddl(
+RAW_ARTICLE = (
     "titulo STRING, subtitulo STRING, autor STRING, fecha STRING, fecha_formateada STRING,"
     "contenido ARRAY<STRING>, contenido_completo STRING, url_original STRING, fecha_extraccion STRING,"
     "es_noticia_valida BOOLEAN, diario_origen STRING, profundidad INT, fuente STRING, url STRING, depth STRING,"
@@ -20,7 +21,7 @@ RAW_ARTICLE = ddl(
     "published STRING, date STRING, published_date STRING"
 )
 
-NEWS_V2 = ddl(
+NEWS_V2 = (
     "schema_version STRING, id STRING,"
     "source STRUCT<domain: STRING, section: STRING, paywall: BOOLEAN, region_hint: STRING,"
     "  media: STRUCT<name: STRING, home_url: STRING>>,"
@@ -40,13 +41,13 @@ NEWS_V2 = ddl(
     "  fixed: BOOLEAN, excluded_reason: STRING, id_confidence: STRING, axes_method: STRING>"
 )
 
-CELL_GRID = ddl("file STRING, sheet STRING, `row` INT, col INT, value STRING")
+CELL_GRID = ("file STRING, sheet STRING, `row` INT, col INT, value STRING")
 
-QA_HISTORY = ddl(
+QA_HISTORY = (
     "question STRING, answer STRING, query_type STRING, aql_query STRING, sources ARRAY<STRING>, timestamp TIMESTAMP, system STRING"
 )
 
-RUN_REPORT = ddl("filepath STRING, ok BOOLEAN, error STRING, tokens_used BIGINT, latency_ms DOUBLE")
+RUN_REPORT = ("filepath STRING, ok BOOLEAN, error STRING, tokens_used BIGINT, latency_ms DOUBLE")
 
 
 class _Defaults(dict):
