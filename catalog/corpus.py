@@ -8,6 +8,7 @@ from catalog.base import query, table
 from marisma.functions import fixed_values as fv
 from marisma.functions import numbers, text, times, urls
 from marisma.operators import articles, audits, dedup, pages
+from marisma.session import spread
 
 # ---------------------------------------------------------------- SQL pieces
 
@@ -332,7 +333,7 @@ SELECT l_orderkey, l_linenumber, l_extendedprice AS eu, l_extendedprice AS us, C
 def _(spark, d):
     us = F.format_number(F.col("l_extendedprice"), 2)
     eu = F.translate(us, ",.", ".,")
-    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", us.alias("a"), eu.alias("b"))
+    rows = spread(table(spark, d, "lineitem")).select("l_orderkey", "l_linenumber", us.alias("a"), eu.alias("b"))
     return rows.select(
         "l_orderkey", "l_linenumber",
         numbers.parse_number(F.col("b"), "eu").alias("eu"), numbers.parse_number(F.col("a"), "us").alias("us"),
@@ -353,7 +354,7 @@ def _(spark, d):
     sign = F.when(F.col("l_linenumber") % 2 == 0, F.lit("-")).otherwise(F.lit("+"))
     spelled = F.concat(eu(F.col("l_extendedprice")), F.lit(" "), sign, eu(F.col("l_discount")), F.lit("% abril - 2024"))
     v = numbers.parse_value_and_change(spelled)
-    return table(spark, d, "lineitem").select(
+    return spread(table(spark, d, "lineitem")).select(
         "l_orderkey", "l_linenumber", v["value"].alias("valor"), (v["change"] + F.lit(0.0)).alias("cambio"))
 
 

@@ -406,7 +406,7 @@ def _(spark, d):
         "l_partkey", F.year("l_shipdate").alias("anio"), "l_linestatus", "l_quantity",
         (F.col("l_orderkey") * 1000 + F.col("l_linenumber") * 100 + F.col("l_quantity")).alias("fila"),
     )
-    return rows.groupBy("l_partkey", "anio").pivot("l_linestatus", ["O", "F"]).agg(F.max_by("l_quantity", "fila"))
+    return facts.merge_sections(rows, ["l_partkey", "anio"], "l_linestatus", "l_quantity", "fila", ["O", "F"])
 
 
 @query("W10_same_month_last_year", FACT + """

@@ -8,7 +8,7 @@ from catalog.base import FACT, STAR, indicators, long_fact, markets, provinces,
 from catalog.corpus import docs
 from marisma.functions import fixed_values as fv
 from marisma.functions import numbers, times
-from marisma.operators import grids, upserts
+from marisma.operators import facts, grids, upserts
 from marisma.session import work_dir
 from marisma.sources import corpus, reference_data, reports, tables
 
@@ -25,7 +25,7 @@ _FILE_SQL = f"{_NUM_SQL} || '_' || {_CAT_SQL} || '_' || ({_ABBR})[mes] || lpad(C
 def _pivoted(spark, d):
     """One row per segment, month and nation with its file name and line number."""
     fact = long_fact(spark, d)
-    rows = fact.groupBy("categoria", "provincia", "anio", "mes").pivot("metrica_nombre", ["pedidos", "importe"]).agg(F.max("metrica_valor"))
+    rows = facts.pivot_values(fact, ["categoria", "provincia", "anio", "mes"], "metrica_nombre", "metrica_valor", ["pedidos", "importe"])
     number = F.create_map(*[F.lit(x) for k, (n, _) in _CATS.items() for x in (k, n)])[F.col("categoria")]
     token = F.create_map(*[F.lit(x) for k, (_, t) in _CATS.items() for x in (k, t)])[F.col("categoria")]
     name = F.concat(number, F.lit("_"), token, F.lit("_"), times.month_abbr(F.col("mes")), F.lpad((F.col("anio") % 100).cast("string"), 2, "0"), F.lit(".xlsx"))

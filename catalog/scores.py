@@ -281,7 +281,8 @@ def _spans_input(spark, d):
 @query("W11_claim_spans")
 def _(spark, d):
     rows = _spans_input(spark, d)
-    return rows.select("doc_id", F.posexplode(evidence.claim_spans(F.col("text"), F.col("claims"))).alias("n", "s")).select(
+    rows = rows.withColumn("low", F.lower("text"))
+    return rows.select("doc_id", F.posexplode(evidence.claim_spans(F.col("low"), F.col("claims"))).alias("n", "s")).select(
         "doc_id", "n", F.col("s.start").alias("inicio"), F.col("s.end").alias("fin"))
 
 

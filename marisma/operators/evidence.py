@@ -137,27 +137,34 @@ def bibliography(refs: DataFrame, claim: str, order: str, width: int = 1_000_000
 
 # ---------------------------------------------------------------- text spans
 
-def claim_spans(body: Column, claims: Column) -> Column:
-    """Array of (start, end) per claim: searched after the claim before, else from the start; (0, 0) if absent."""
-    low = F.lower(body)
-    zero = F.struct(
-        F.lit(0).alias("pos"),
-        F.array().cast("array<struct<start:int,end:int>>").alias("spans"),
-    )
+def _let(value: Column, use) -> Column:
+    """Evaluate a value once inside a lambda and use it several times."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def claim_spans(low: Column, claims: Column) -> Column:
+    """Array of (start, end) per claim: searched after the claim before, else from the start; (0, 0) if absent.
+
+    low is the lower-case text; give it as a column of its own, so that it is made once per row.
+    """
+    state = F.struct(F.lit(0).alias("pos"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
 
     def step(state: Column, claim: Column) -> Column:
-        needle = F.lower(text.strip(claim))
-        later = F.position(needle, low, state["pos"] + 1)
-        at = F.when(later > 0, later).otherwise(F.position(needle, low, F.lit(1)))
-        found = (needle != "") & (at > 0)
-        start = F.when(found, at - 1).otherwise(F.lit(0))
-        end = F.when(found, at - 1 + F.length(needle)).otherwise(F.lit(0))
-        return F.struct(
-            F.when(found, end).otherwise(state["pos"]).alias("pos"),
-            F.concat(state["spans"], F.array(F.struct(start.alias("start"), end.alias("end")))).alias("spans"),
-        )
+        def placed(needle: Column, at: Column) -> Column:
+            found = at > 0
+            start = F.when(found, at - 1).otherwise(F.lit(0))
+            end = F.when(found, at - 1 + F.length(needle)).otherwise(F.lit(0))
+            span = F.array(F.struct(start.alias("start"), end.alias("end")))
+            return F.struct(F.when(found, end).otherwise(state["pos"]).alias("pos"), F.concat(state["spans"], span).alias("spans"))
+
+        def search(needle: Column) -> Column:
+            later = F.nullif(F.position(needle, low, state["pos"] + 1), F.lit(0))
+            first = F.when(needle != "", F.coalesce(later, F.position(needle, low, F.lit(1)))).otherwise(F.lit(0))
+            return _let(first, lambda at: placed(needle, at))
+
+        return _let(F.lower(text.strip(claim)), search)
 
-    return F.aggregate(claims, zero, step, lambda s: s["spans"])
+    return F.aggregate(claims, state, step, lambda s: s["spans"])
 
 
 def heat_spans(df: DataFrame, body: str, claims: str, scores: str, keys: list[str]) -> DataFrame:
@@ -165,8 +172,8 @@ def heat_spans(df: DataFrame, body: str, claims: str, scores: str, keys: list[st
 
     claims and scores are parallel arrays.  Text outside every claim has intensity 0.
     """
-    spans = claim_spans(F.col(body), F.col(claims))
-    marked = df.withColumn("_spans", spans).withColumn(
+    found = df.withColumn("_low", F.lower(body)).withColumn("_spans", claim_spans(F.col("_low"), F.col(claims)))
+    marked = found.withColumn(
         "_m",
         F.zip_with("_spans", F.col(scores), lambda s, v: F.struct(s["start"].alias("a"), s["end"].alias("b"), v.alias("v"))),
     )

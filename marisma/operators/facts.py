@@ -146,8 +146,15 @@ def coverage_gaps(df: DataFrame, requested: list[str]) -> DataFrame:
 
 
 def pivot_values(df: DataFrame, keys: list[str], code: str, value: str, codes: list[str], how=F.max) -> DataFrame:
-    """One column per code; the code list is fixed, so no extra pass finds it."""
-    return df.groupBy(*keys).pivot(code, codes).agg(how(value))
+    """One column per code, as conditional aggregates: the code list is fixed, so one shuffle is enough."""
+    return df.groupBy(*keys).agg(*[how(F.when(F.col(code) == c, F.col(value))).alias(c) for c in codes])
+
+
+def merge_sections(df: DataFrame, keys: list[str], section: str, value: str, order: str, sections: list[str]) -> DataFrame:
+    """One wide row per key with the last value of every section."""
+    return df.groupBy(*keys).agg(
+        *[F.max_by(value, F.when(F.col(section) == s, F.col(order))).alias(s) for s in sections]
+    )
 
 
 def first_match(df: DataFrame, keys: list[str], value: str, order: str) -> DataFrame:

@@ -46,6 +46,10 @@ def grid_to_metrics(grid: DataFrame, min_abs: float = 1.0, first_row: int = 10,
     # ---- lines and what they are
     rows = sheet_rows(grid).filter(F.col("row").between(first_row, last_row))
     rows = rows.withColumn("_n", F.transform("celdas", lambda v: parse_number(v, "grid")))
+    # cells that are words, not numbers or blanks
+    rows = rows.withColumn(
+        "_words", F.transform("celdas", lambda v, i: F.when(F.get("_n", i).isNull() & ~text.is_blank(v), v))
+    )
     heads = F.filter(
         F.transform(
             "celdas",
@@ -76,12 +80,8 @@ def grid_to_metrics(grid: DataFrame, min_abs: float = 1.0, first_row: int = 10,
     def number_at(i: Column) -> Column:
         return F.get("_n", i)
 
-    def is_text(v: Column) -> Column:
-        return ~text.is_blank(v) & parse_number(v, "grid").isNull()
-
     def first_text_after(i: Column) -> Column:
-        tail = F.slice("celdas", i + 2, F.size("celdas"))
-        return F.get(F.filter(tail, is_text), F.lit(0))
+        return F.get(F.array_compact(F.slice("_words", i + 2, F.size("_words"))), F.lit(0))
 
     found = F.get(F.filter(F.sequence(F.lit(2), F.greatest(F.size("_n"), F.lit(2))), lambda i: usable(number_at(i))), F.lit(0))
     guessed = F.when(

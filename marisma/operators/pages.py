@@ -87,13 +87,17 @@ def keep_links(links: DataFrame, seen: DataFrame | None = None, needle: str | No
     return rows
 
 
+def seeded_hash(col: Column, seed: int) -> Column:
+    return F.md5(F.concat(F.lit(f"{seed}:"), col.cast("string")))
+
+
 def sample_links(links: DataFrame, n: int, seed: int, link: str = "enlace") -> DataFrame:
     """Reproducible sample of n links: the n smallest seeded hashes."""
-    return links.orderBy(F.xxhash64(F.lit(seed), F.col(link)), link).limit(n)
+    return links.orderBy(seeded_hash(F.col(link), seed), link).limit(n)
 
 
 def seeded_shuffle(df: DataFrame, key: str, seed: int) -> DataFrame:
-    return df.orderBy(F.xxhash64(F.lit(seed), F.col(key)), key)
+    return df.orderBy(seeded_hash(F.col(key), seed), key)
 
 
 def links_per_host(links: DataFrame, link: str = "enlace") -> DataFrame:
@@ -125,21 +129,19 @@ def crawl_frontier(edges: DataFrame, start: DataFrame, max_depth: int, per_level
 
 # ---------------------------------------------------------------- articles
 
-def meta_content(html: Column, names: list[str], attribute: str = "property") -> Column:
-    """Content of the first meta tag with one of the names, in name order."""
-    tags = F.regexp_extract_all(html, F.lit(r"(?is)<meta\b[^>]*>"), F.lit(0))
+def meta_tags(html: Column) -> Column:
+    return F.regexp_extract_all(html, F.lit(r"(?is)<meta\b[^>]*>"), F.lit(0))
 
-    def content(name: str) -> Column:
-        named = F.filter(tags, lambda t: F.rlike(t, F.lit(rf'(?i)\b{attribute}="{name}"')))
-        value = F.regexp_extract(F.coalesce(F.get(named, F.lit(0)), F.lit("")), r'(?is)\bcontent="([^"]*)"', 1)
-        return text.clean_text(value)
 
-    return F.coalesce(*[content(n) for n in names])
+def meta_values(tags: Column, name: str, attribute: str = "property") -> Column:
+    """Contents of the meta tags with a name, in page order."""
+    named = F.filter(tags, lambda t: F.rlike(t, F.lit(rf'(?i)\b{attribute}="{name}"')))
+    return F.transform(named, lambda t: F.regexp_extract(t, r'(?is)\bcontent="([^"]*)"', 1))
 
 
-def meta_values(html: Column, name: str, attribute: str = "property") -> Column:
-    tags = F.regexp_extract_all(html, F.lit(rf'(?is)<meta\b[^>]*\b{attribute}="{name}"[^>]*>'), F.lit(0))
-    return F.transform(tags, lambda t: F.regexp_extract(t, r'(?is)\bcontent="([^"]*)"', 1))
+def meta_content(tags: Column, names: list[str], attribute: str = "property") -> Column:
+    """Content of the first meta tag with one of the names, in name order."""
+    return F.coalesce(*[text.clean_text(F.get(meta_values(tags, n, attribute), F.lit(0))) for n in names])
 
 
 def tag_list(*arrays: Column) -> Column:
@@ -195,7 +197,9 @@ def page_article(pages: DataFrame, html: str = "html") -> DataFrame:
     Order: structured article data, meta tags, page data object, page elements.
     """
     h = F.col(html)
-    rows = pages.withColumns({"_ld": news_json(h), "_dl": data_layer(h)})
+    # the page is searched once per kind of source; the lookups below run on what was found
+    rows = pages.withColumns({"_ld": news_json(h), "_dl": data_layer(h), "_meta": meta_tags(h)})
+    m = F.col("_meta")
 
     def ld(*paths: str) -> Column:
         return F.coalesce(*[text.clean_text(F.try_variant_get("_ld", p, "string")) for p in paths])
@@ -213,9 +217,9 @@ def page_article(pages: DataFrame, html: str = "html") -> DataFrame:
     ld_tags = F.coalesce(
         name_list("_ld", "$.keywords", False), F.split(F.try_variant_get("_ld", "$.keywords", "string"), ",")
     )
-    meta_tags = F.concat(
-        meta_values(h, "article:tag"),
-        F.split(F.coalesce(meta_content(h, ["news_keywords"], "name"), F.lit("")), ","),
+    page_tags = F.concat(
+        meta_values(m, "article:tag"),
+        F.split(F.coalesce(meta_content(m, ["news_keywords"], "name"), F.lit("")), ","),
     )
     empty = F.array().cast("array<string>")
 
@@ -227,29 +231,29 @@ def page_article(pages: DataFrame, html: str = "html") -> DataFrame:
         {
             "titulo": F.coalesce(
                 ld("$.headline", "$.name"),
-                meta_content(h, ["og:title"]), meta_content(h, ["title"], "name"),
+                meta_content(m, ["og:title"]), meta_content(m, ["title"], "name"),
                 dl("$.articleTitle"), element_text(h, "h1"),
             ),
             "subtitulo": F.coalesce(
-                ld("$.description"), meta_content(h, ["og:description"]), meta_content(h, ["description"], "name")
+                ld("$.description"), meta_content(m, ["og:description"]), meta_content(m, ["description"], "name")
             ),
             "autor": F.coalesce(
                 ld("$.author[0].name", "$.author[0]", "$.author.name", "$.author"),
-                meta_content(h, ["author"], "name"), dl("$.author[0].name"),
+                meta_content(m, ["author"], "name"), dl("$.author[0].name"),
             ),
             "fecha": F.coalesce(
                 *[times.to_utc_rescued(c) for c in (
-                    ld("$.datePublished"), ld("$.dateModified"), meta_content(h, ["article:published_time"]),
-                    meta_content(h, ["DC.date.issued"], "name"), meta_content(h, ["date"], "name"),
+                    ld("$.datePublished"), ld("$.dateModified"), meta_content(m, ["article:published_time"]),
+                    meta_content(m, ["DC.date.issued"], "name"), meta_content(m, ["date"], "name"),
                     dl("$.publishDate"), dl("$.updateDate"), dl("$.creationDate"), text.truthy(time_tag),
                 )]
             ),
-            "imagen": F.coalesce(ld("$.image.url", "$.image[0]", "$.image"), meta_content(h, ["og:image"])),
-            "seccion": F.coalesce(ld("$.articleSection"), meta_content(h, ["article:section"]), dl("$.primaryCategory")),
-            "tags": or_next(ld_tags, meta_tags, name_list("_dl", "$.tags", True)),
+            "imagen": F.coalesce(ld("$.image.url", "$.image[0]", "$.image"), meta_content(m, ["og:image"])),
+            "seccion": F.coalesce(ld("$.articleSection"), meta_content(m, ["article:section"]), dl("$.primaryCategory")),
+            "tags": or_next(ld_tags, page_tags, name_list("_dl", "$.tags", True)),
             "cuerpo_ld": text.split_body(F.try_variant_get("_ld", "$.articleBody", "string")),
         }
-    ).drop("_ld", "_dl")
+    ).drop("_ld", "_dl", "_meta")
 
 
 # ---------------------------------------------------------------- paragraph blocks

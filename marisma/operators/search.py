@@ -142,24 +142,34 @@ def postings(docs: DataFrame, key: str, body: Column) -> DataFrame:
     return rows.groupBy(key, "largo", "termino").agg(F.count("*").alias("tf"))
 
 
-def keyword_scores(docs: DataFrame, key: str, body: Column, queries: DataFrame, qid: str = "qid",
-                   qtext: str = "qtext", k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(qid, key, bm25) for every document that holds a query word.
+def posting_slice(docs: DataFrame, key: str, body: Column, wanted: DataFrame) -> DataFrame:
+    """Posting rows of the wanted words, and one row with the null word per document for its length.
 
-    Only tokens that some query asks for leave the scan: the word list is joined
-    right after the explode, before anything is shuffled.
+    The corpus is read and split into words once.  The word list is joined right
+    after the explode, so other tokens never reach a shuffle; the result is
+    written out because three later steps need it.
     """
-    asked = queries.select(qid, F.explode(F.array_distinct(text.words(F.lower(F.col(qtext))))).alias("termino"))
-    wanted = asked.select("termino").distinct()
-    terms = text.words(F.lower(body))
-    sized = docs.select(key, F.size(terms).alias("largo"), terms.alias("_t"))
-    stats = sized.agg(F.count("*").alias("n"), F.avg("largo").alias("media"))
-    n_docs, mean = stats.select("n").scalar(), stats.select("media").scalar()
-    tf = (
-        sized.select(key, "largo", F.explode("_t").alias("termino"))
-        .join(wanted, "termino", "left_semi")
-        .groupBy("termino", key, "largo").agg(F.count("*").alias("tf"))
+    from marisma.session import cut_lineage
+
+    sized = docs.select(key, text.words(F.lower(body)).alias("_t")).withColumn("largo", F.size("_t"))
+    # the document itself is a token no word can equal, different for each so that they spread
+    own = F.concat(F.lit("\u0000"), F.col(key).cast("string"))
+    marked = sized.withColumn("_t", F.concat(F.array(own), F.col("_t")))
+    found = marked.select(key, "largo", F.explode("_t").alias("termino")).join(
+        wanted.withColumn("_hit", F.lit(True)), "termino", "left"
     )
+    word = F.when(F.col("_hit"), F.col("termino"))
+    kept = found.filter(F.col("_hit") | F.col("termino").startswith("\u0000")).withColumn("termino", word)
+    return cut_lineage(kept.groupBy(key, "largo", "termino").agg(F.count("*").alias("tf")), "postings")
+
+
+def keyword_scores(docs: DataFrame, key: str, body: Column, queries: DataFrame, qid: str = "qid",
+                   qtext: str = "qtext", k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """(qid, key, bm25) for every document that holds a query word."""
+    asked = queries.select(qid, F.explode(F.array_distinct(text.words(F.lower(F.col(qtext))))).alias("termino"))
+    rows = posting_slice(docs, key, body, asked.select("termino").distinct())
+    whole, tf = rows.filter(F.col("termino").isNull()), rows.filter(F.col("termino").isNotNull())
+    n_docs, mean = whole.agg(F.count("*")).scalar(), whole.agg(F.avg("largo")).scalar()
     df = tf.groupBy("termino").agg(F.count("*").alias("df"))
     idf = F.log(1 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weights = asked.join(df, "termino").select(qid, "termino", idf.alias("idf"))

@@ -16,6 +16,10 @@ def build_session(app: str = "marisma", **conf: str) -> SparkSession:
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config(
+            "spark.sql.streaming.stateStore.providerClass",
+            "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+        )
         .config("spark.ui.showConsoleProgress", "false")
     )
     for key, value in conf.items():
@@ -38,3 +42,14 @@ def cut_lineage(df: DataFrame, name: str = "cut") -> DataFrame:
     path = work_dir(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Even out a scan that has fewer partitions than the cluster has cores.
+
+    For work that costs far more per row than moving the row (parsing, cleaning
+    and matching whole texts) over a few large files.  A large table has more
+    splits than cores already and is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
