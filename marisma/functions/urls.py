@@ -91,17 +91,16 @@ def repair_url(url: Column, domain: Column, title: Column) -> Column:
 
 
 def _without_dots(path: Column) -> Column:
-    """Fold '.' and '..' path segments."""
-    segments = F.split(path, "/")
+    """Fold the '.' and '..' segments of a rooted path."""
     folded = F.aggregate(
-        segments,
-        F.array(F.lit("")).cast("array<string>"),
+        F.split(F.substring(path, 2, 10**6), "/"),
+        F.array().cast("array<string>"),
         lambda acc, s: F.when(s == ".", acc)
-        .when(s == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(1))))
+        .when(s == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))))
         .otherwise(F.concat(acc, F.array(s))),
     )
-    rooted = F.array_join(F.slice(folded, F.lit(2), F.greatest(F.size(folded), F.lit(1))), "/")
-    open_end = F.rlike(path, F.lit(r"(^|/)\.{1,2}$")) & ~rooted.endswith("/")
+    rooted = F.concat(F.lit("/"), F.array_join(folded, "/"))
+    open_end = F.rlike(path, F.lit(r"/\.{1,2}$")) & (F.size(folded) > 0)
     return F.when(open_end, F.concat(rooted, F.lit("/"))).otherwise(rooted)
 
 

@@ -195,7 +195,7 @@ def heat_spans(df: DataFrame, body: str, claims: str, scores: str, keys: list[st
     score = F.try_element_at(cover, F.lit(-1))["v"]
     mask = F.when(score > 0.2, 1).when(score < -0.2, -1).otherwise(0)
     return rows.select(
-        *keys, "p.inicio", "p.fin", F.coalesce(F.least(F.lit(1.0), F.abs(score)), F.lit(0.0)).alias("intensidad"), mask.alias("marca")
+        *keys, "p.inicio", "p.fin", F.least(F.lit(1.0), F.abs(F.coalesce(score, F.lit(0.0)))).alias("intensidad"), mask.alias("marca")
     )
 
 

@@ -20,22 +20,14 @@ def write_snapshot(df: DataFrame, root: str, version: int) -> None:
     df.write.mode("overwrite").parquet(f"{root}/snapshot={version}")
 
 
-def read_snapshot(spark: SparkSession, root: str, schema) -> DataFrame:
+def read_snapshot(spark: SparkSession, root: str, schema: str) -> DataFrame:
     """The newest snapshot: the partition column prunes the scan to its folder."""
-    every = spark.read.schema(schema.add("snapshot", "int") if "snapshot" not in schema.fieldNames() else schema).parquet(root)
-    newest = every.select("snapshot").agg(F.max("snapshot")).first()[0]
-    return every.filter(F.col("snapshot") == newest).drop("snapshot")
+    every = spark.read.schema(f"{schema}, snapshot INT").parquet(root)
+    return every.filter(F.col("snapshot") == every.agg(F.max("snapshot")).scalar()).drop("snapshot")
 
 
 # ---------------------------------------------------------------- upserts
 
-def _null_safe(a: DataFrame, b: DataFrame, keys: list[str]) -> Column:
-    cond = F.lit(True)
-    for k in keys:
-        cond = cond & a[k].eqNullSafe(b[k])
-    return cond
-
-
 def upsert(target: DataFrame, source: DataFrame, keys: list[str], order: str, merge_fields: bool = False,
            stamp: Column | None = None) -> DataFrame:
     """Target after the source was merged into it, with column accion (insertada, actualizada, igual).
