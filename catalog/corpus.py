@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from catalog.base import query, table
@@ -218,6 +219,19 @@ def _(spark, d):
     return rows.select("page_id", urls.repair_url(F.col("url"), urls.extract_domain(F.col("url")), F.col("titulo")).alias("reparada"))
 
 
+@query("F14_absolute_url", """
+SELECT page_id, CASE page_id % 5 WHEN 0 THEN regexp_extract(url, '^https?://[^/]*', 0) || '/a/b.html' WHEN 1 THEN regexp_replace(regexp_replace(url, '[?#].*$', ''), '[^/]*$', '') || 'c.html'
+ WHEN 2 THEN regexp_extract(url, '^https?:', 0) || '//otro.es/d' WHEN 3 THEN regexp_replace(url, '#.*$', '') || '#abajo' ELSE regexp_extract(url, '^https?://[^/]*', 0) || '/e?x=1' END AS absoluta FROM pages
+""")
+def _(spark, d):
+    k = F.col("page_id") % 5
+    href = (
+        F.when(k == 0, F.lit("/a/./z/../b.html")).when(k == 1, F.lit("c.html")).when(k == 2, F.lit("//otro.es/d"))
+        .when(k == 3, F.lit("#abajo")).otherwise(F.lit("/../../e?x=1"))
+    )
+    return table(spark, d, "pages").select("page_id", urls.absolute_url(F.col("url"), href).alias("absoluta"))
+
+
 @query("F15_safe_filename", """
 SELECT page_id, coalesce(nullif(regexp_replace(replace(trim(url_decode(n)), ' ', '_'), '[^A-Za-z0-9._-]+', '_', 'g'), ''), 'archivo.pdf') AS nombre
 FROM (SELECT page_id, replace(regexp_extract(url, '^https?://[^/]*/(.*)$', 1), '/', '%20') || '%C3%B1.pdf' AS n FROM pages)
@@ -698,7 +712,12 @@ def _(spark, d):
     return pages.page_article(table(spark, d, "pages")).select("page_id", "titulo")
 
 
-@query("H03_page_article")
+@query("H03_page_article", f"""
+SELECT page_id, nullif({sq('t')}, '') AS titulo, CASE WHEN page_id % 3 = 0 THEN 'Ana' END AS autor, CASE WHEN page_id % 3 = 0 THEN TIMESTAMP '2024-05-01 08:00:00' END AS fecha,
+ (['a,b', 'x', ''])[page_id % 3 + 1] AS tags FROM (SELECT page_id, CASE page_id % 3 WHEN 0 THEN x WHEN 1 THEN replace(x, '"', '') ELSE
+  regexp_replace(regexp_replace(regexp_extract(html, '<h1\\b[^>]*>(.*?)</h1>', 1, 's'), '<[^>]+>', ' ', 'g'), '&[a-zA-Z0-9]+;', '', 'g') END AS t
+  FROM (SELECT page_id, html, regexp_extract(html, '<title>([^<]*)</title>', 1) AS x FROM pages))
+""")
 def _(spark, d):
     """Pages with structured data, meta tags or only elements, by page: every source is exercised."""
     t = F.regexp_extract("html", "<title>([^<]*)</title>", 1)
@@ -708,16 +727,25 @@ def _(spark, d):
         F.col("page_id") % 3 == 1, F.concat(F.lit('<meta property="og:title" content="'), F.replace(t, F.lit('"'), F.lit("")), F.lit('"><meta property="article:tag" content="x">'))
     ).otherwise(F.lit(""))
     rows = table(spark, d, "pages").select("page_id", "url", F.concat(head, "html").alias("html"))
-    return pages.page_article(rows).select("page_id", "titulo", "autor", "fecha", F.array_join("tags", ",").alias("tags"))
+    return pages.page_article(rows).select("page_id", "titulo", "autor", F.col("fecha").cast("timestamp_ntz").alias("fecha"), F.array_join("tags", ",").alias("tags"))
 
 
-@query("H04_best_paragraph_block")
+@query("H04_best_paragraph_block", f"""
+WITH p AS (SELECT page_id, unnest(x) AS t, generate_subscripts(x, 1) AS i FROM (SELECT page_id, string_split(replace(regexp_extract(html, '<article>(.*)</article>', 1, 's'), '</p>', ''), '<p>')[2:] AS x FROM pages)),
+ c AS (SELECT page_id, i, {sq("replace(replace(replace(replace(replace(regexp_replace(replace(t, '<br>', ' '), '<[^>]+>', '', 'g'), '&quot;', chr(34)), '&#x27;', chr(39)), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')")} AS t FROM p)
+SELECT page_id, 1 AS bloque, sum(length(t)) AS puntos, count(*) AS n_parrafos, string_agg(t, chr(10) || chr(10) ORDER BY i) AS contenido FROM c WHERE length(t) >= 40 GROUP BY page_id HAVING count(*) >= 2
+""")
 def _(spark, d):
     return pages.best_paragraph_block(table(spark, d, "pages"), "page_id").select(
         "page_id", "bloque", "puntos", "n_parrafos", F.array_join("contenido", "\n\n").alias("contenido"))
 
 
-@query("H05_crawl_frontier")
+@query("H05_crawl_frontier", f"""
+WITH l AS (SELECT p.url, x.enlace FROM {_LINKS} x JOIN pages p USING (page_id)), e AS (SELECT url, enlace FROM l UNION SELECT enlace, url FROM l),
+ n0 AS (SELECT DISTINCT url FROM pages WHERE page_id = 0), n1 AS (SELECT DISTINCT enlace AS url FROM e WHERE url IN (SELECT url FROM n0) AND enlace NOT IN (SELECT url FROM n0)),
+ n2 AS (SELECT DISTINCT enlace AS url FROM e WHERE url IN (SELECT url FROM n1) AND enlace NOT IN (SELECT url FROM n0) AND enlace NOT IN (SELECT url FROM n1))
+SELECT url, 0 AS profundidad FROM n0 UNION ALL SELECT url, 1 FROM n1 UNION ALL SELECT url, 2 FROM n2
+""")
 def _(spark, d):
     """Pages form a graph: every page links to the page with the next id of its host and language."""
     links = pages.page_links(table(spark, d, "pages"))
@@ -726,18 +754,27 @@ def _(spark, d):
     return pages.crawl_frontier(links.unionByName(back), start, max_depth=2)
 
 
-@query("T07_sample_links")
+@query("T07_sample_links", f"SELECT DISTINCT enlace, md5('7:' || enlace) AS h FROM {_LINKS} ORDER BY h, enlace LIMIT 20")
 def _(spark, d):
     links = pages.page_links(table(spark, d, "pages")).select("enlace").distinct()
-    return pages.sample_links(links, 20, seed=7)
+    return pages.sample_links(links, 20, seed=7).withColumn("h", pages.seeded_hash(F.col("enlace"), 7))
 
 
-@query("T08_seeded_shuffle")
+@query("T08_seeded_shuffle", "SELECT doc_id, row_number() OVER (ORDER BY md5('11:' || doc_id), doc_id) AS puesto FROM documents")
 def _(spark, d):
-    return pages.seeded_shuffle(docs(spark, d).select("doc_id"), "doc_id", seed=11)
+    shuffled = pages.seeded_shuffle(docs(spark, d).select("doc_id"), "doc_id", seed=11)
+    # the place of each row in the shuffled order: partitions of a sort are in order, ids inside them too
+    placed = shuffled.select("doc_id", F.monotonically_increasing_id().alias("_at"), F.lit(0).alias("_all"))
+    parts = placed.withColumns({"_part": F.shiftright("_at", 33), "_in": F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))})
+    sizes = parts.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    starts = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    return parts.join(starts, "_part").select("doc_id", (F.col("_start") + F.col("_in") + 1).alias("puesto"))
 
 
-@query("U06_tag_union")
+@query("U06_tag_union", """
+SELECT page_id, trim(t) AS tag FROM (SELECT page_id, unnest(list_concat(regexp_extract_all(html, 'href="/([^"]*)"', 1), string_split(regexp_extract(html, 'lang="([^"]*)"', 1), ','))) AS t FROM pages) WHERE trim(t) <> ''
+""")
 def _(spark, d):
     hrefs = F.regexp_extract_all("html", F.lit('href="/([^"]*)"'), F.lit(1))
     tags = pages.tag_list(hrefs, F.split(F.regexp_extract("html", 'lang="([^"]*)"', 1), ","))
@@ -909,6 +946,25 @@ def _(spark, d):
     return audits.top_counts(table(spark, d, "events"), "event_type", 3)
 
 
+# ---------------------------------------------------------------- public names
+
+@query("X05_public_functions", f"""
+SELECT doc_id, {plain_title(TITLE)} AS titulo, {n_words('text')} AS palabras, 'sha1:' || sha1('https://x.es/' || doc_id || '|' || {TITLE} || '|') AS id,
+ true AS url_valida, 'x.es' AS dominio, 'X' AS medio, true AS espanol, 5 AS ejes FROM documents
+""")
+def _(spark, d):
+    from marisma import api
+
+    url = F.concat(F.lit("https://x.es/"), F.col("doc_id").cast("string"))
+    url_checked = F.concat(F.lit("https://x.es/noticias/n-"), F.col("doc_id").cast("string"))
+    domain = api.extract_domain(url)
+    return docs(spark, d).select(
+        "doc_id", api.normalize_title(title_col()).alias("titulo"), api.count_words(F.col("text")).alias("palabras"),
+        api.create_stable_id(url, title_col(), F.lit("")).alias("id"), api.validate_url(url_checked)["ok"].alias("url_valida"),
+        domain.alias("dominio"), api.get_media_info(domain, url)["name"].alias("medio"), api.is_spanish_domain(domain).alias("espanol"),
+        F.lit(len(api.get_axes_for_topic("vivienda"))).alias("ejes"))
+
+
 # ---------------------------------------------------------------- sets of words
 
 @query("U03_word_intersection", f"""
@@ -938,7 +994,9 @@ def _(spark, d):
 
 # ---------------------------------------------------------------- model plumbing
 
-@query("P27_mask_stance")
+@query("P27_mask_stance", """
+SELECT doc_id, lang, CASE WHEN lang = 'es' THEN '{"pp":0.2,"psoe":0.0,"vox":0.3,"bng":0.0,"sumar":0.0,"podemos":0.0}' ELSE '{"pp":0.2,"psoe":0.4,"vox":0.3,"bng":0.3,"sumar":0.5,"podemos":0.7}' END AS stance FROM documents
+""")
 def _(spark, d):
     parties = F.array(*[F.lit(p) for p in fv.PARTIES])
     stance = F.map_from_arrays(parties, F.transform(parties, lambda p: F.length(p) / 10))
@@ -947,7 +1005,10 @@ def _(spark, d):
     return docs(spark, d).select("doc_id", "lang", F.to_json(masked).alias("stance"))
 
 
-@query("P28_mask_radar")
+@query("P28_mask_radar", """
+SELECT doc_id, '{"pp":' || CASE WHEN lang = 'es' THEN v ELSE nul END || ',"vox":' || CASE WHEN lang = 'es' THEN nul ELSE v END || ',"psoe":' || CASE WHEN lang = 'es' THEN nul ELSE v END || ',"programa":' || v || '}' AS radar
+FROM (SELECT doc_id, lang, '[' || array_to_string(list_transform(range(5), lambda i: n_chars || '.0'), ',') || ']' AS v, '[null,null,null,null,null]' AS nul FROM documents)
+""")
 def _(spark, d):
     names = F.array(*[F.lit(p) for p in fv.RADAR_PARTIES])
     values = F.array(*[F.col("n_chars").cast("double") for _ in range(5)])
@@ -956,7 +1017,10 @@ def _(spark, d):
     return docs(spark, d).select("doc_id", F.to_json(text.mask_radar(radar, present)).alias("radar"))
 
 
-@query("P02_merge_template")
+@query("P02_merge_template", """
+SELECT 'doc-' || doc_id AS id, 'news_v2' AS schema_version, lang, source AS domain, source AS media, 'neutral' AS sentiment_label,
+ '{"pp":0.0,"psoe":0.0,"vox":0.0,"bng":0.0,"sumar":0.0,"podemos":0.0}' AS stance, 'etl-news-1.0.0' AS pipeline_version FROM documents
+""")
 def _(spark, d):
     from marisma.schemas import NEWS_DEFAULTS, NEWS_V2
 
@@ -970,13 +1034,15 @@ def _(spark, d):
                        "classify.sentiment_label", F.to_json("classify.stance_by_party").alias("stance"), "audit.pipeline_version")
 
 
-@query("F36_present_parties")
+@query("F36_present_parties", "SELECT doc_id, CASE lang WHEN 'es' THEN 'pp,vox' WHEN 'fr' THEN 'pp,bng' ELSE '' END AS partidos FROM documents")
 def _(spark, d):
     raw = F.when(F.col("lang") == "es", F.lit('["pp","vox"]')).when(F.col("lang") == "fr", F.lit('{"pp": true, "psoe": null, "vox": false, "bng": 1}')).otherwise(F.lit("[]"))
     return docs(spark, d).select("doc_id", F.array_join(text.present_parties(raw), ",").alias("partidos"))
 
 
-@query("F37_flatten_candidates")
+@query("F37_flatten_candidates", """
+SELECT event_id, event_type AS title, '' AS source, '' AS url, '' AS published FROM events UNION ALL SELECT event_id, 'noticia ' || event_id, event_type, '', '' FROM events
+""")
 def _(spark, d):
     inner = F.array(F.struct(F.concat(F.lit("noticia "), "event_id").alias("headline"), F.col("event_type").alias("fuente")))
     payload = F.to_json(F.struct(F.struct(inner.alias("items")).alias("result"), F.col("event_type").alias("title")))
@@ -984,7 +1050,9 @@ def _(spark, d):
     return articles.flatten_candidates(rows, "payload", ["event_id"])
 
 
-@query("F38_reply_fields")
+@query("F38_reply_fields", """
+SELECT conv_id, turn, CASE WHEN turn % 4 < 3 THEN text[:30] END AS resumen, CASE WHEN turn % 4 < 3 THEN length(text) END AS n FROM conversations
+""")
 def _(spark, d):
     k = F.col("turn") % 4
     obj = F.to_json(F.struct(F.substring("text", 1, 30).alias("resumen"), F.length("text").alias("n")))
@@ -996,8 +1064,12 @@ def _(spark, d):
     return articles.reply_fields(rows, "reply", "resumen string, n int").select("conv_id", "turn", "parsed.resumen", "parsed.n")
 
 
-@query("F39_prompt_batch")
+@query("F39_prompt_batch", f"""
+WITH d AS (SELECT doc_id, lang, {TITLE} AS t, text[:8000] AS b FROM documents)
+SELECT doc_id, c AS call, k AS topic FROM d, (VALUES ('classify', NULL), ('summarize', NULL), ('entities', NULL), ('radar', 'vivienda'), ('radar', 'economia'), ('radar', 'sanidad'),
+ ('radar', 'seguridad'), ('radar', 'educacion'), ('radar', 'transporte')) x(c, k) WHERE c <> 'classify' OR (t, b) NOT IN (SELECT (t, b) FROM d WHERE lang = 'fr')
+""")
 def _(spark, d):
     rows = docs(spark, d).withColumn("titulo", title_col())
     cache = articles.prompt_batch(rows.filter("lang = 'fr'"), "doc_id", "titulo", "text").filter("call = 'classify'")
-    return articles.prompt_batch(rows, "doc_id", "titulo", "text", cache).select("doc_id", "call", "topic", "payload_key")
+    return articles.prompt_batch(rows, "doc_id", "titulo", "text", cache).select("doc_id", "call", "topic")

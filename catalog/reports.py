@@ -230,7 +230,7 @@ def _scan_text(spark, root):
     return corpus.with_file_meta(rows)
 
 
-@query("S03_file_meta")
+@query("S03_file_meta", "SELECT doc_id, true AS con_fecha, doc_id % 2 = 1 AS de_fichero FROM documents")
 def _(spark, d):
     root = work_dir(spark, "meta")
     docs(spark, d).select("doc_id", F.when(F.col("doc_id") % 2 == 0, F.lit("2024-03-01")).alias("fecha")).write.json(root)
@@ -303,7 +303,12 @@ def _(spark, d):
 
 # ---------------------------------------------------------------- dimensions and table functions
 
-@query("M06_build_dims")
+@query("M06_build_dims", f"""
+WITH p AS (SELECT *, row_number() OVER (ORDER BY c) AS i FROM (VALUES {", ".join(str(v) for v in fv.PROVINCE_CODES.values())}) x(c, n)),
+ m AS (SELECT * FROM (VALUES {", ".join(f"({i}, '{c}', '{t}')" for i, (c, _, t) in enumerate(fv.MARKETS, 1))}) x(i, c, t))
+SELECT p.c AS codigo_provincia, p.n AS nombre_provincia, m.c AS codigo_mercado, m.t AS tipo_mercado, count(*) AS n FROM orders
+JOIN p ON p.i = o_custkey % 8 + 1 JOIN m ON m.i = o_orderkey % 7 + 1 GROUP BY ALL
+""")
 def _(spark, d):
     """Scope of the orders by the dimension tables: nations stand in for provinces by position."""
     dims = reference_data.build_dims(spark)

@@ -278,7 +278,19 @@ def _spans_input(spark, d):
         "scores", F.transform("claims", lambda c, i: F.when(i % 3 == 0, F.lit(0.8)).when(i % 3 == 1, F.lit(-0.6)).otherwise(F.lit(0.1))))
 
 
-@query("W11_claim_spans")
+_SPANS = f"""
+WITH RECURSIVE b AS (SELECT item_id, regexp_split_to_array(text, '[.\\n]\\s*') AS frases FROM benchmark),
+ src AS (SELECT doc_id, text, lower(text) AS low, list_transform(list_concat([{TITLE}], frases, [right(text, 40)]), lambda c: lower(trim(c, ' ' || chr(10) || chr(9)))) AS claims
+   FROM documents JOIN b ON doc_id % 40 = item_id),
+ st(doc_id, n, pos, inicio, fin) AS (SELECT doc_id, 0, CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT) FROM src
+   UNION ALL SELECT doc_id, n + 1, CASE WHEN p > 0 THEN p - 1 + length(c) ELSE pos END, CASE WHEN p > 0 THEN p - 1 ELSE 0 END, CASE WHEN p > 0 THEN p - 1 + length(c) ELSE 0 END
+   FROM (SELECT doc_id, n, pos, c, CASE WHEN c = '' THEN 0 WHEN strpos(low[pos + 1:], c) > 0 THEN pos + strpos(low[pos + 1:], c) ELSE strpos(low, c) END AS p
+     FROM (SELECT st.doc_id, n, pos, low, claims[n + 1] AS c FROM st JOIN src ON st.doc_id = src.doc_id AND n < len(claims)))),
+ spans AS (SELECT doc_id, n - 1 AS n, inicio, fin FROM st WHERE n > 0)
+"""
+
+
+@query("W11_claim_spans", _SPANS + "SELECT doc_id, n, inicio, fin FROM spans")
 def _(spark, d):
     rows = _spans_input(spark, d)
     rows = rows.withColumn("low", F.lower("text"))
@@ -286,7 +298,13 @@ def _(spark, d):
         "doc_id", "n", F.col("s.start").alias("inicio"), F.col("s.end").alias("fin"))
 
 
-@query("K06_text_heatmap")
+@query("K06_text_heatmap", _SPANS + """
+, edges AS (SELECT DISTINCT doc_id, e FROM (SELECT doc_id, inicio AS e FROM spans UNION ALL SELECT doc_id, fin FROM spans UNION ALL SELECT doc_id, length(text) FROM documents UNION ALL SELECT doc_id, 0 FROM documents)),
+ pieces AS (SELECT doc_id, e AS inicio, lead(e) OVER (PARTITION BY doc_id ORDER BY e) AS fin FROM edges),
+ won AS (SELECT p.doc_id, p.inicio, p.fin, max(s.n) AS n FROM pieces p LEFT JOIN spans s ON p.doc_id = s.doc_id AND s.inicio <= p.inicio AND s.fin >= p.fin WHERE p.fin IS NOT NULL GROUP BY ALL)
+SELECT doc_id, inicio, fin, CASE WHEN n IS NULL THEN 0.0 WHEN n % 3 = 0 THEN 0.8 WHEN n % 3 = 1 THEN 0.6 ELSE 0.1 END::DOUBLE AS intensidad,
+ CASE WHEN n IS NULL OR n % 3 = 2 THEN 0 WHEN n % 3 = 0 THEN 1 ELSE -1 END AS marca FROM won
+""")
 def _(spark, d):
     return evidence.heat_spans(_spans_input(spark, d), "text", "claims", "scores", ["doc_id"])
 
@@ -386,6 +404,29 @@ def _(spark, d):
     return out.select("anio", "mes", "id_provincia", "id_indicador", "valor_absoluto", "accion")
 
 
+@query("X04_insert_fact_rows", """
+SELECT o_orderkey, year(o_orderdate) AS anio, month(o_orderdate) AS mes, n_nationkey + 1 AS id_provincia, CAST(o_totalprice AS DOUBLE) AS valor_absoluto, 'insertada' AS accion
+FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_orderstatus = 'F'
+""")
+def _(spark, d):
+    """Rows given by codes into an empty fact, one fact per order."""
+    prov, ind = provinces(spark, d), indicators(spark, d)
+    customer = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    rows = (
+        table(spark, d, "orders").filter("o_orderstatus = 'F'").join(customer, F.col("o_custkey") == F.col("c_custkey"))
+        .select("o_orderkey", F.year("o_orderdate").alias("anio"), F.month("o_orderdate").alias("mes"),
+                F.format_string("%02d", "n_nationkey").alias("codigo_provincia"), F.lit("numero_turistas").alias("codigo_indicador"),
+                F.lit(None).cast("int").alias("id_mercado"), F.lit(None).cast("int").alias("id_tipo_turismo"),
+                F.col("o_totalprice").alias("valor_absoluto"), F.lit(1).alias("orden"))
+    )
+    keys = [*upserts.FACT_KEY, "o_orderkey"]
+    empty = spark.createDataFrame([], "anio int, mes int, prov_key int, mercado_key int, tipo_key int, id_indicador int, ambito_geografico string, "
+                                      "o_orderkey bigint, id_provincia int, valor_absoluto double")
+    out = upserts.insert_facts(empty, rows, [(prov, "codigo_provincia", "id_provincia", "codigo_provincia"),
+                                             (ind, "codigo_indicador", "id_indicador", "codigo_indicador")], "orden", keys)
+    return out.select("o_orderkey", "anio", "mes", "id_provincia", "valor_absoluto", "accion")
+
+
 @query("M05_build_calendar", """
 SELECT anio * 100 + mes AS date_id, make_date(anio, mes, 1) AS fecha_periodo, anio, mes,
  (['enero','febrero','marzo','abril','mayo','junio','julio','agosto','septiembre','octubre','noviembre','diciembre'])[mes] AS mes_nombre_es,

@@ -85,8 +85,11 @@ def to_search_record(df: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- recency
 
 def as_of_max(df: DataFrame, ts: str = "ts") -> Column:
-    """Newest timestamp of the table as a scalar: the reproducible stand-in for the wall clock."""
-    return df.agg(F.max(ts)).scalar()
+    """Newest timestamp of the table as a literal: the reproducible stand-in for the wall clock.
+
+    One number comes to the driver, so that later filters on it reach the scan.
+    """
+    return F.lit(df.agg(F.max(ts)).first()[0]).cast(df.schema[ts].dataType)
 
 
 def keep_recent(df: DataFrame, ts: str, as_of: Column, days: int, keep_null: bool) -> DataFrame:

@@ -83,14 +83,16 @@ def write_partitions(df: DataFrame, root: str, keys: list[str]) -> None:
 FACT_KEY = ["anio", "mes", "prov_key", "mercado_key", "tipo_key", "id_indicador", "ambito_geografico"]
 
 
-def insert_facts(target: DataFrame, rows: DataFrame, dims: list[tuple[DataFrame, str, str, str]], order: str) -> DataFrame:
+def insert_facts(target: DataFrame, rows: DataFrame, dims: list[tuple[DataFrame, str, str, str]], order: str,
+                 keys: list[str] | None = None) -> DataFrame:
     """Facts given by codes: resolve the codes, derive the keys, insert or update on the unique key.
 
     rows: anio, mes, codes per dimension, valor_absoluto, variacion_interanual, archivo_origen
     """
     resolved = with_fact_keys(resolve_codes(rows, dims)).withColumn("ambito_geografico", F.lit("provincia"))
     resolved = resolved.filter(F.col("id_indicador").isNotNull())
-    return upsert(target, resolved.select(*[c for c in target.columns if c in resolved.columns], order), FACT_KEY, order)
+    source = resolved.select(*[c for c in target.columns if c in resolved.columns], order)
+    return upsert(target, source, keys or FACT_KEY, order)
 
 
 # ---------------------------------------------------------------- constraints

@@ -9,6 +9,7 @@ from marisma.functions import fixed_values as fv
 from marisma.functions import text
 from marisma.operators import articles, search
 from marisma.operators.dedup import first_articles
+from marisma.session import cut_lineage
 
 
 def news_search(news: DataFrame, query: str, as_of: Column, limit: int = 30, latest_limit: int = 16,
@@ -23,7 +24,8 @@ def news_search(news: DataFrame, query: str, as_of: Column, limit: int = 30, lat
     hits = search.keyword_scores(news, "id", body, asked).select("id", F.round("bm25", 9).alias("bm25"))
     found = news.filter(F.col("title") != "").join(hits, "id")
     windowed = articles.smallest_window(found, "published", as_of, fv.SEARCH_WINDOWS_DAYS)
-    best = windowed.orderBy(F.desc("bm25"), "id").limit(limit)
+    # at most limit rows from here on; they are written out because the steps below look at them twice
+    best = cut_lineage(windowed.orderBy(F.desc("bm25"), "id").limit(limit), "hits")
     kept = first_articles(best, ["title", "url"], "id")
     recent = articles.search_recent(kept, "published", as_of, recent_days)
     ordered = articles.newest_first(recent, "published", "id")
