@@ -270,9 +270,12 @@ def prompt_batch(df: DataFrame, key: str, title: str, body: str, cache: DataFram
     rows = cut.withColumn("c", F.explode(call_array)).select(key, "c.call", "c.topic", "c.axes", "title", "body")
     payload = F.to_json(F.struct("axes", "body", "call", "title", "topic"))
     rows = rows.withColumn("payload_key", urls.payload_key(payload))
-    if cache is not None:
-        rows = rows.join(cache.select("payload_key").distinct(), "payload_key", "left_anti")
-    return rows
+    if cache is None:
+        return rows
+    # keys alone are matched with the cache; the texts are attached to what is left
+    names = [key, "call", "topic", "axes", "payload_key"]
+    pending = rows.select(*names).join(cache.select("payload_key").distinct(), "payload_key", "left_anti")
+    return pending.join(cut, key).select(key, "call", "topic", "axes", "title", "body", "payload_key")
 
 
 def cached_replies(requests: DataFrame, cache: DataFrame, key: str = "payload_key") -> DataFrame:

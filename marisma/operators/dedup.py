@@ -14,14 +14,11 @@ from pyspark.sql import functions as F
 from marisma.functions import text
 
 
-def _rank(policy: str, ts: str | None, mtime: str | None, path: str) -> Column:
-    zero = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
-    parts = []
-    if policy == "date":
-        parts.append(F.coalesce(F.col(ts).cast("timestamp_ntz"), zero).alias("ts"))
-    if mtime:
-        parts.append(F.col(mtime).alias("mtime"))
-    return F.struct(*parts) if parts else F.struct(F.lit(0).alias("none"))
+def _newest_first(df: DataFrame, name: str) -> Column:
+    """A number that is smaller for a later time; a missing time counts as the epoch."""
+    kind = df.schema[name].dataType.typeName()
+    number = F.unix_micros(F.col(name).cast("timestamp")) if kind.startswith(("timestamp", "date")) else F.col(name)
+    return -F.coalesce(number, F.lit(0))
 
 
 def dedup_keep(df: DataFrame, key: Column, path: str, policy: str = "date", ts: str | None = None,
@@ -29,17 +26,23 @@ def dedup_keep(df: DataFrame, key: Column, path: str, policy: str = "date", ts:
     """(kept, moved): newest copy per key by policy; among equals the smallest path stays.
 
     policy: 'date' = article time, then file time; 'mtime' = file time only.
+    The choice is made on key, times and path alone.  Whole rows only meet the list
+    of losers, which is broadcast when it is small.
     """
-    rows = df.withColumns({"_key": key, "_rank": _rank(policy, ts, mtime, path)})
+    times = ([_newest_first(df, ts)] if policy == "date" else []) + ([_newest_first(df, mtime)] if mtime else [])
+    order = F.struct(*[t.alias(f"t{i}") for i, t in enumerate(times)], F.col(path).alias("path"))
+    narrow = df.select(key.alias("_key"), order.alias("_order"))
     if blank_is_error:
-        rows = rows.filter(F.coalesce(F.col("_key"), F.lit("")) != "")
-    # max_by on the rank alone is not total, so the best rank comes first and the path second
-    best = rows.groupBy("_key", "_rank").agg(F.min(path).alias("_keep"))
-    best = best.groupBy("_key").agg(F.max_by("_keep", "_rank").alias("_keep"))
-    tagged = rows.join(best, "_key").drop("_rank")
-    kept = tagged.filter(F.col(path) == F.col("_keep")).drop("_key", "_keep")
-    moved = tagged.filter(F.col(path) != F.col("_keep")).withColumnRenamed("_keep", "kept_path").drop("_key")
-    return kept, moved
+        blank = F.coalesce(key, F.lit("")) == ""
+        narrow, df = narrow.filter(F.coalesce(F.col("_key"), F.lit("")) != ""), df.filter(~blank)
+    best = narrow.groupBy("_key").agg(F.min("_order")["path"].alias("kept_path"), F.count("*").alias("_n"))
+    best = best.filter("_n > 1").drop("_n")  # a key of its own has no losers
+    losers = (
+        narrow.join(best, "_key")
+        .select(F.col("_order.path").alias(path), "kept_path")
+        .filter(F.col(path) != F.col("kept_path"))
+    )
+    return df.join(losers, path, "left_anti"), df.join(losers, path).select(*df.columns, "kept_path")
 
 
 def latest_per_key(df: DataFrame, key: str, extracted: str, arrival: str) -> DataFrame:

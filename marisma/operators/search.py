@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from marisma.functions import chunking
 from marisma.functions import fixed_values as fv
-from marisma.functions import text
+from marisma.functions import numbers, text
 
 BLOCK_BYTES = 16 * 1024 * 1024
 
@@ -72,9 +72,11 @@ def _query_blocks(queries: DataFrame, vector: str) -> list[tuple[int, int]]:
 
 
 def vector_scores(table: DataFrame, key: str, vector: str, queries: DataFrame, qid: str = "qid",
-                  qvec: str = "qvec", k: int | None = None) -> DataFrame:
+                  qvec: str = "qvec", k: int | None = None, bounds: bool = False) -> DataFrame:
     """(qid, key, similitud): cosine of every query with every row, or the k best per Arrow batch.
 
+    bounds adds the smallest and largest cosine of each batch as rows with a null key.
+
     The rows stay where they are; one block of queries (at most BLOCK_BYTES) goes
     to the tasks.  With k set a batch emits only rows that can still be in the
     result, so what is shuffled later is small.
@@ -109,6 +111,9 @@ def vector_scores(table: DataFrame, key: str, vector: str, queries: DataFrame, q
                 for j, one in enumerate(ids):
                     col = sims[:, j]
                     known = np.flatnonzero(~np.isnan(col))
+                    if bounds and len(known):
+                        ends = [col[known].min(), col[known].max()]
+                        yield pd.DataFrame({qid: one, key: [None, None], "similitud": ends})
                     if k is not None and len(known) > k:
                         cut = np.partition(col[known], len(known) - k)[len(known) - k]
                         known = known[col[known] >= cut]  # ties stay in, the exact cut comes later
@@ -186,22 +191,35 @@ def search_keyword(docs: DataFrame, key: str, body: Column, queries: DataFrame,
 
 # ---------------------------------------------------------------- hybrid search
 
-def _min_max(scored: DataFrame, qid: str, score: str) -> DataFrame:
-    bounds = scored.groupBy(qid).agg(F.min(score).alias("_lo"), F.max(score).alias("_hi"))
-    unit = F.when(F.col("_hi") > F.col("_lo"), (F.col(score) - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))).otherwise(F.lit(1.0))
-    return scored.join(bounds, qid).withColumn(score, unit).drop("_lo", "_hi")
+def _scaled(score: str, low: str, high: str) -> Column:
+    span = F.col(high) - F.col(low)
+    unit = F.when(span > 0, (F.col(score) - F.col(low)) / span).otherwise(F.lit(1.0))
+    return F.when(F.col(score).isNotNull(), unit).otherwise(F.lit(0.0))
 
 
 def search_hybrid(docs: DataFrame, key: str, body: Column, vectors: DataFrame, vector: str, queries: DataFrame,
                   k: int, alpha: float = 0.5, qid: str = "qid", qtext: str = "qtext", qvec: str = "qvec") -> DataFrame:
     """alpha * vector + (1 - alpha) * keyword, each scaled to 0..1 per query over all its candidates.
 
-    A document found by one side only scores zero on the other.
+    A document found by one side only scores zero on the other.  The result is
+    exact without scoring every pair in the open: a document without a query word
+    has only its vector part, so it must be among the k nearest; keyword hits get
+    their cosine by a join.
     """
-    by_vector = _min_max(vector_scores(vectors, key, vector, queries, qid, qvec), qid, "similitud")
-    by_word = _min_max(keyword_scores(docs, key, body, queries, qid, qtext), qid, "bm25")
-    both = by_vector.join(by_word, [qid, key], "full_outer")
-    mixed = F.coalesce("similitud", F.lit(0.0)) * alpha + F.coalesce("bm25", F.lit(0.0)) * (1 - alpha)
+    from marisma.session import cut_lineage
+
+    near = cut_lineage(vector_scores(vectors, key, vector, queries, qid, qvec, k, bounds=True), "nearest")
+    v_ends = near.filter(F.col(key).isNull()).groupBy(qid).agg(F.min("similitud").alias("_v0"), F.max("similitud").alias("_v1"))
+    words = cut_lineage(keyword_scores(docs, key, body, queries, qid, qtext), "hits")
+    w_ends = words.groupBy(qid).agg(F.min("bm25").alias("_w0"), F.max("bm25").alias("_w1"))
+    hit_vectors = (
+        words.select(qid, key).join(vectors.select(key, vector), key).join(queries.select(qid, qvec), qid)
+        .select(qid, key, numbers.cosine(F.col(vector), F.col(qvec)).alias("similitud"))
+    )
+    by_vector = near.filter(F.col(key).isNotNull()).unionByName(hit_vectors)
+    by_vector = by_vector.groupBy(qid, key).agg(F.max("similitud").alias("similitud"))
+    both = by_vector.join(words, [qid, key], "full_outer").join(v_ends, qid, "left").join(w_ends, qid, "left")
+    mixed = _scaled("similitud", "_v0", "_v1") * alpha + _scaled("bm25", "_w0", "_w1") * (1 - alpha)
     return top_k(both.select(qid, key, F.round(mixed, 9).alias("puntuacion")), qid, "puntuacion", key, k)
 
 

@@ -22,10 +22,11 @@ def news_search(news: DataFrame, query: str, as_of: Column, limit: int = 30, lat
     asked = news.sparkSession.range(1).select(F.lit(0).alias("qid"), F.lit(query).alias("qtext"))
     body = F.concat_ws(" ", "title", "body")
     hits = search.keyword_scores(news, "id", body, asked).select("id", F.round("bm25", 9).alias("bm25"))
-    found = news.filter(F.col("title") != "").join(hits, "id")
-    windowed = articles.smallest_window(found, "published", as_of, fv.SEARCH_WINDOWS_DAYS)
-    # at most limit rows from here on; they are written out because the steps below look at them twice
-    best = cut_lineage(windowed.orderBy(F.desc("bm25"), "id").limit(limit), "hits")
+    # the window and the ranking need no texts: whole articles join the few rows that are left
+    dated = news.filter(F.col("title") != "").select("id", "published")
+    windowed = articles.smallest_window(dated.join(hits, "id"), "published", as_of, fv.SEARCH_WINDOWS_DAYS)
+    best = windowed.orderBy(F.desc("bm25"), "id").limit(limit).select("id", "bm25")
+    best = cut_lineage(news.join(best, "id"), "hits")  # at most limit rows, looked at twice below
     kept = first_articles(best, ["title", "url"], "id")
     recent = articles.search_recent(kept, "published", as_of, recent_days)
     ordered = articles.newest_first(recent, "published", "id")

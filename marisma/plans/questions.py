@@ -82,9 +82,9 @@ def share_outside(fact: DataFrame, members: DataFrame, key: str, keys: list[str]
 
 
 def share_by_entity(fact: DataFrame, entity: str, keys: list[str]) -> DataFrame:
-    """Each entity's share of the total of its keys: totals are joined back, not windowed."""
+    """Each entity's share of the total of its keys; totals are sums of the parts, so the fact is read once."""
     parts = fact.groupBy(*keys, entity).agg(F.sum(VALUE).alias("parte"))
-    totals = fact.groupBy(*keys).agg(F.sum(VALUE).alias("total"))
+    totals = parts.groupBy(*keys).agg(F.sum("parte").alias("total"))
     return parts.join(totals, keys).withColumn("cuota_pct", facts.percent(F.col("parte"), F.col("total")))
 
 

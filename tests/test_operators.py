@@ -433,3 +433,35 @@ def test_insert_ignore_and_recency(spark):
     assert ids(articles.smallest_window(rows, "ts", as_of)) == [1]
     assert ids(articles.smallest_window(rows, "ts", F.lit(dt.datetime(2024, 2, 15)))) == [1]
     assert ids(articles.smallest_window(rows, "ts", F.lit(dt.datetime(2030, 1, 1)))) == [1, 2, 3]
+
+
+@pytest.mark.parametrize("alpha", [0.0, 0.3, 1.0])
+def test_hybrid_search_equals_scoring_every_pair(spark, alpha):
+    rng, rnd = np.random.default_rng(2), random.Random(2)
+    n, k = 150, 7
+    texts = [" ".join(rnd.choice(["gato", "perro", "pez", "ave"]) for _ in range(rnd.randint(1, 6))) for _ in range(n)]
+    vecs, asked = rng.normal(size=(n, 6)), rng.normal(size=(3, 6))
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, t string")
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vecs) if i % 4], "id long, v array<double>").repartition(5)
+    queries = spark.createDataFrame([(q, w, a.tolist()) for (q, w), a in zip([(0, "gato"), (1, "nada"), (2, "pez ave")], asked)],
+                                    "qid int, qtext string, qvec array<double>")
+    words = {(r.qid, r.id): r.bm25 for r in search.keyword_scores(docs, "id", F.col("t"), queries).collect()}
+    sims = (asked @ vecs.T) / (np.linalg.norm(asked, axis=1)[:, None] * np.linalg.norm(vecs, axis=1)[None])
+    out = search.search_hybrid(docs, "id", F.col("t"), table, "v", queries, k, alpha)
+    got = {q: [] for q in range(3)}
+    for r in out.orderBy("qid", "rango").collect():
+        got[r.qid].append((r.id, r.puntuacion))
+    for q in range(3):
+        have = [i for i in range(n) if i % 4]
+        w = {i: s for (qq, i), s in words.items() if qq == q}
+        lo, hi = sims[q][have].min(), sims[q][have].max()
+        wlo, whi = (min(w.values()), max(w.values())) if w else (0, 0)
+        score = {}
+        for i in set(have) | set(w):
+            v = (sims[q][i] - lo) / (hi - lo) if i % 4 else 0.0
+            b = ((w[i] - wlo) / (whi - wlo) if whi > wlo else 1.0) if i in w else 0.0
+            score[i] = round(alpha * v + (1 - alpha) * b, 9)
+        want = sorted(score.items(), key=lambda x: (-x[1], x[0]))[:k]
+        assert [s for _, s in got[q]] == pytest.approx([s for _, s in want], abs=2e-9)
+        if alpha == 0.3:
+            assert [i for i, _ in got[q]] == [i for i, _ in want]
