@@ -212,10 +212,11 @@ def search_hybrid(docs: DataFrame, key: str, body: Column, vectors: DataFrame, v
     v_ends = near.filter(F.col(key).isNull()).groupBy(qid).agg(F.min("similitud").alias("_v0"), F.max("similitud").alias("_v1"))
     words = cut_lineage(keyword_scores(docs, key, body, queries, qid, qtext), "hits")
     w_ends = words.groupBy(qid).agg(F.min("bm25").alias("_w0"), F.max("bm25").alias("_w1"))
-    hit_vectors = (
-        words.select(qid, key).join(vectors.select(key, vector), key).join(queries.select(qid, qvec), qid)
-        .select(qid, key, numbers.cosine(F.col(vector), F.col(qvec)).alias("similitud"))
-    )
+    # lengths are taken once per vector, before the join multiplies the rows
+    sized = vectors.select(key, vector, numbers.norm(F.col(vector)).alias("_l"))
+    asked = queries.select(qid, qvec, numbers.norm(F.col(qvec)).alias("_q"))
+    cosine = F.try_divide(numbers.dot(F.col(vector), F.col(qvec)), F.col("_l") * F.col("_q"))
+    hit_vectors = words.select(qid, key).join(sized, key).join(asked, qid).select(qid, key, cosine.alias("similitud"))
     by_vector = near.filter(F.col(key).isNotNull()).unionByName(hit_vectors)
     by_vector = by_vector.groupBy(qid, key).agg(F.max("similitud").alias("similitud"))
     both = by_vector.join(words, [qid, key], "full_outer").join(v_ends, qid, "left").join(w_ends, qid, "left")
