@@ -359,7 +359,7 @@ def _(spark, d):
 
 
 @query("F26_value_and_change", """
-SELECT l_orderkey, l_linenumber, l_extendedprice AS valor, CASE WHEN l_linenumber % 2 = 0 THEN -l_discount ELSE l_discount END AS cambio FROM lineitem
+SELECT l_orderkey, l_linenumber, l_extendedprice AS valor, CASE WHEN l_linenumber % 2 = 0 THEN -l_discount ELSE l_discount END + CAST(0 AS DOUBLE) AS cambio FROM lineitem
 """)
 def _(spark, d):
     def eu(c):

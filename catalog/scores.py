@@ -103,7 +103,7 @@ def _log(spark, d):
 
 @query("W04_quality_trend", """
 WITH n AS (SELECT event_id, user_id, value / 500 AS score, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS x FROM events)
-SELECT event_id, CASE WHEN x = 1 THEN 0 ELSE round(regr_slope(score, x) OVER (PARTITION BY user_id ORDER BY x ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 9) END AS tendencia FROM n
+SELECT event_id, CASE WHEN x = 1 THEN 0 ELSE round(regr_slope(score, x) OVER (PARTITION BY user_id ORDER BY x ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 9) + CAST(0 AS DOUBLE) END AS tendencia FROM n
 """)
 def _(spark, d):
     return _log(spark, d).select("event_id", "tendencia")

@@ -21,7 +21,8 @@ from marisma.functions import chunking
 from marisma.functions import fixed_values as fv
 from marisma.functions import numbers, text
 
-BLOCK_BYTES = 16 * 1024 * 1024
+BLOCK_BYTES = 16 * 1024 * 1024  # queries shipped to a task at once
+SCORES_IN_MEMORY = 4_000_000  # row-by-query scores a task holds at once
 
 
 # ---------------------------------------------------------------- chunks and vectors
@@ -99,25 +100,28 @@ def vector_scores(table: DataFrame, key: str, vector: str, queries: DataFrame, q
 
     def scan(ids: list, matrix: np.ndarray):
         unit = matrix / np.where((n := np.linalg.norm(matrix, axis=1, keepdims=True)) == 0, np.nan, n)
+        names = np.array(ids)
+        step = max(1, SCORES_IN_MEMORY // len(ids))
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                if pdf.empty:
-                    continue
-                rows = np.stack(pdf[vector].to_numpy()).astype(np.float64)
-                length = np.linalg.norm(rows, axis=1, keepdims=True)
-                sims = (rows / np.where(length == 0, np.nan, length)) @ unit.T
-                keys = pdf[key].to_numpy()
-                for j, one in enumerate(ids):
-                    col = sims[:, j]
-                    known = np.flatnonzero(~np.isnan(col))
-                    if bounds and len(known):
-                        ends = [col[known].min(), col[known].max()]
-                        yield pd.DataFrame({qid: one, key: [None, None], "similitud": ends})
-                    if k is not None and len(known) > k:
-                        cut = np.partition(col[known], len(known) - k)[len(known) - k]
-                        known = known[col[known] >= cut]  # ties stay in, the exact cut comes later
-                    yield pd.DataFrame({qid: one, key: keys[known], "similitud": col[known]})
+            for batch in batches:
+                for start in range(0, len(batch), step):
+                    pdf = batch.iloc[start:start + step]
+                    rows = np.stack(pdf[vector].to_numpy()).astype(np.float64)
+                    length = np.linalg.norm(rows, axis=1, keepdims=True)
+                    sims = (rows / np.where(length == 0, np.nan, length)) @ unit.T
+                    known = ~np.isnan(sims)
+                    ranked = np.where(known, sims, -np.inf)
+                    if bounds:
+                        low, high = np.where(known, sims, np.inf).min(axis=0), ranked.max(axis=0)
+                        seen = known.any(axis=0)
+                        ends = np.concatenate([low[seen], high[seen]])
+                        yield pd.DataFrame({qid: np.tile(names[seen], 2), key: [None] * len(ends), "similitud": ends})
+                    if k is not None and len(ranked) > k:
+                        # ties with the k-th stay in, the exact cut comes later
+                        known &= ranked >= np.partition(ranked, len(ranked) - k, axis=0)[len(ranked) - k]
+                    at, of = np.nonzero(known)
+                    yield pd.DataFrame({qid: names[of], key: pdf[key].to_numpy()[at], "similitud": sims[at, of]})
 
         return run
 

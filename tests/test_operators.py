@@ -217,6 +217,7 @@ def test_chunk_rows(spark):
 @pytest.mark.parametrize("block", [16 * 1024 * 1024, 8 * 8 * 3])
 def test_vector_search_is_exact_in_any_number_of_blocks(spark, monkeypatch, block):
     monkeypatch.setattr(search, "BLOCK_BYTES", block)
+    monkeypatch.setattr(search, "SCORES_IN_MEMORY", 50)
     rng = np.random.default_rng(0)
     rows, asked = rng.normal(size=(200, 8)), rng.normal(size=(7, 8))
     rows[5] = 0.0
