@@ -80,3 +80,14 @@ def _(spark, d):
         (F.col("event_type") == "click").cast("int").alias("nuevas"))
     jobs.append_to(jobs.stream_plateau(rows, "user_id", "ts", "event_id"), f"{root}/out", f"{root}/cp")
     return spark.read.schema("user_id BIGINT, event_id BIGINT, iteracion BIGINT, estancamiento BIGINT, fuentes BIGINT").parquet(f"{root}/out")
+
+
+@query("R06_plateau_log", _LOG + "SELECT user_id, event_id, iteracion, estancamiento, fuentes FROM log")
+def _(spark, d):
+    root = work_dir(spark, "r06l")
+    rows = landing(spark, d).select(
+        "user_id", "event_id", "ts", (F.col("event_type") == "purchase").alias("mejora"),
+        (F.col("event_type") == "click").cast("int").alias("nuevas"))
+    jobs.plateau_log(rows, root, f"{root}/cp", "user_id", "ts", "event_id")
+    schema = "user_id BIGINT, event_id BIGINT, iteracion BIGINT, estancamiento BIGINT, fuentes BIGINT"
+    return jobs.read_log(spark, f"{root}/rows", schema).drop(jobs.BATCH)

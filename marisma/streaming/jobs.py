@@ -18,6 +18,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from marisma.operators.dedup import first_articles, last_write_wins
+from marisma.operators.series import iteration_state
 
 BATCH = "batch"
 
@@ -149,7 +150,7 @@ def stream_plateau(df: DataFrame, key: str, ts: str, tie: str) -> DataFrame:
 
     Input has mejora (boolean) and nuevas (number of new sources).  Rows of a key
     are put in order within a micro-batch; batches are expected in time order.
-    The batch size bounds what one key brings to a task.
+    The batch size bounds what one key brings to a task; plateau_log has no such bound.
     """
     key_type = df.schema[key].dataType.simpleString()
     tie_type = df.schema[tie].dataType.simpleString()
@@ -174,4 +175,43 @@ def stream_plateau(df: DataFrame, key: str, ts: str, tie: str) -> DataFrame:
     )
 
 
+def plateau_log(df: DataFrame, root: str, checkpoint: str, key: str, ts: str, tie: str, slice_width: str = "1 day") -> StreamingQuery:
+    """stream_plateau for keys of any size: rows/batch=<id> below root.
+
+    Inside a batch the numbers come from slices of a key, so no task sees a whole
+    key; what earlier batches add to them is one row per key in state/batch=<id>.
+    """
+    spark = df.sparkSession
+    kinds = {c: df.schema[c].dataType.simpleString() for c in (key, tie)}
+    row_ddl = f"{key} {kinds[key]}, {tie} {kinds[tie]}, iteracion BIGINT, estancamiento BIGINT, fuentes BIGINT"
+    state_ddl = f"{key} {kinds[key]}, n0 BIGINT, e0 BIGINT, f0 BIGINT"
+
+    def write(part: DataFrame, batch_id: int) -> None:
+        inside = iteration_state(
+            part.withColumn("_s", F.lit(0.0)), key, ts, tie, "_s", F.col("mejora"), F.col("nuevas"), slice_width
+        )
+        before = spark.createDataFrame([], state_ddl)
+        if batch_id > 0:
+            before = read_log(spark, f"{root}/state", state_ddl).filter(F.col(BATCH) == batch_id - 1).drop(BATCH)
+        n0, e0, f0 = (F.coalesce(c, F.lit(0)) for c in ("n0", "e0", "f0"))
+        no_gain = F.col("estancamiento") == F.col("iteracion")
+        rows = inside.join(before, key, "left").select(
+            key, tie, (F.col("iteracion") + n0).cast("bigint").alias("iteracion"),
+            F.when(no_gain, F.col("estancamiento") + e0).otherwise(F.col("estancamiento")).cast("bigint").alias("estancamiento"),
+            (F.col("fuentes") + f0).cast("bigint").alias("fuentes"),
+        )
+        here = f"{root}/rows/{BATCH}={batch_id}"
+        rows.write.mode("overwrite").parquet(here)
+        last = spark.read.schema(row_ddl).parquet(here).groupBy(key).agg(
+            F.max(F.struct("iteracion", "estancamiento", "fuentes")).alias("_l")
+        )
+        state = last.join(before, key, "full_outer").select(
+            key, F.coalesce("_l.iteracion", "n0").alias("n0"), F.coalesce("_l.estancamiento", "e0").alias("e0"),
+            F.coalesce("_l.fuentes", "f0").alias("f0"),
+        )
+        state.write.mode("overwrite").parquet(f"{root}/state/{BATCH}={batch_id}")
+
+    return run_available(df.writeStream.foreachBatch(write), checkpoint)
+
+
 cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -99,4 +99,10 @@ def test_plateau_state_equals_batch(spark, events, folder):
     cols = ["event_id", "iteracion", "estancamiento", "fuentes"]
     got = {tuple(r) for r in spark.read.parquet(f"{root}/out").select(*cols).collect()}
     batch = series.iteration_state(events, "user_id", "ts", "event_id", "value", gain, new)
-    assert got == {tuple(r) for r in batch.select(*cols).collect()}
+    want = {tuple(r) for r in batch.select(*cols).collect()}
+    assert got == want
+    log = work_dir(spark, "plateau_log")
+    jobs.plateau_log(rows, log, f"{log}/cp", "user_id", "ts", "event_id")
+    out = jobs.read_log(spark, f"{log}/rows", "event_id BIGINT, iteracion BIGINT, estancamiento BIGINT, fuentes BIGINT")
+    assert out.select(jobs.BATCH).distinct().count() == 5
+    assert {tuple(r) for r in out.select(*cols).collect()} == want
