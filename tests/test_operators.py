@@ -207,6 +207,12 @@ def test_chunks_overlap_by_whole_words():
     assert chunking.split_text("x" * 25, 10, 2) == ["x" * 10, "x" * 10, "x" * 9]
 
 
+def test_hashed_vectors():
+    a, b = chunking.hash_vector("Uno dos", 32), chunking.hash_vector("dos UNO", 32)
+    assert np.array_equal(a, b) and abs(float(np.linalg.norm(a)) - 1) < 1e-6
+    assert not chunking.hash_vector("", 32).any()
+
+
 def test_chunk_rows(spark):
     df = spark.createDataFrame([(1, "hola " * 500), (2, ""), (3, None), (4, "  \n ")], "id long, t string")
     out = search.chunk_table(df, "id", "t", 100, 20).collect()
