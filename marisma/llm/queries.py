@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marisma.llm import bpe, decontaminate, exact_dedup, near_dedup, toxicity, url_rules
+from marisma.llm import bpe, decontaminate, exact_dedup, main_text, near_dedup, toxicity, url_rules, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -133,3 +133,21 @@ def op4(spark, d):
     return toxicity.toxic_documents(docs, table(spark, d, "labels")).select(
         "doc_id", "toxic", *[F.col("toxicity")[c].alias(f"p_{c}") for c in toxicity.language_categories()]
     )
+
+
+@query("op9_warc", """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS top FROM pages),
+d AS (SELECT page_id, top, octet_length(encode(html)) AS payload_bytes, sha1(html) AS h FROM p)
+SELECT page_id, payload_bytes,
+       array_to_string([list_extract(['A','B','C','D','E','F','G','H','I','J','K','L','M','N','O','P','Q','R','S','T','U','V','W','X','Y','Z','2','3','4','5','6','7'],
+         1 + ((CAST('0x' || substr(h, 1 + 5 * CAST(k // 4 AS INT), 5) AS INT) >> (15 - 5 * (k % 4))) & 31)) FOR k IN range(32)], '') AS payload_digest,
+       CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> top THEN top END AS refers_to
+FROM d
+""")
+def op9(spark, d):
+    return warc.archive_pages(table(spark, d, "pages"))
+
+
+@query("op10_main_text")
+def op10(spark, d):
+    return main_text.main_texts(table(spark, d, "pages"))
