@@ -60,6 +60,7 @@ class Encoder:
             self.text_of[i] = token.encode()
         self.decimal_of = [str(i).encode() for i in range(len(self.text_of))]
         self.symbol = byte_symbols()
+        self.shown = dict(enumerate(self.symbol[:128]))
         self.inner, self.closing = self.joined_pairs()
         self.kept, self.known, self.pieces = kept, {}, {}
 
@@ -114,6 +115,8 @@ class Encoder:
                 continue
             if part.isascii():
                 words = _ASCII_WORDS.findall(part.lower())
+                if not part.isprintable():
+                    words = [w.translate(self.shown) for w in words]
             else:
                 words = [w for w, _ in self.pretokens(self.normalise(part))]
             for word in words:
@@ -161,9 +164,12 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
+_TYPES = {"long": pa.int64(), "string": pa.string(), "array<int>": pa.list_(pa.int32())}
+
+
 def map_ids(docs: DataFrame, path: str, fields: str, make: Callable[[Encoder, list[int]], tuple], rows: int = 256) -> DataFrame:
     """docs (text and any others named in fields' place) with columns made of each text's ids."""
-    names = [f.split()[0] for f in fields.split(",")]
+    names, types = zip(*(f.split() for f in fields.split(",")), strict=True)
     kept = [f for f in docs.schema.fields if f.name not in ("text", *names)]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), fields])
 
@@ -174,7 +180,7 @@ def map_ids(docs: DataFrame, path: str, fields: str, make: Callable[[Encoder, li
                 part = batch.slice(at, rows)
                 made = [make(enc, enc.encode((t or "").encode())) for t in part.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays(
-                    [*(part.column(f.name) for f in kept), *(pa.array(c) for c in zip(*made, strict=True))], names=[*(f.name for f in kept), *names]
+                    [*(part.column(f.name) for f in kept), *(pa.array(c, _TYPES[t]) for c, t in zip(zip(*made, strict=True), types, strict=True))], names=[*(f.name for f in kept), *names]
                 )
 
     return docs.select(*[f"`{f.name}`" for f in kept], F.col("text").cast("string").alias("text")).mapInArrow(run, schema)

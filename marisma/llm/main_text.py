@@ -209,7 +209,7 @@ class Field:
         return labels[::-1]
 
 
-def fit_field(pages: list[tuple[list[list[str]], list[int]]], steps: int = 150, decay: float = 0.02, rate: float = 0.1) -> Field:
+def fit_field(pages: list[tuple[list[list[str]], list[int]]], steps: int = 150, decay: float = 0.002, rate: float = 0.1) -> Field:
     """Maximum conditional likelihood, all sequences padded to one length; forward and backward sums in log space."""
     names: dict[str, int] = {}
     for features, _ in pages:
@@ -306,8 +306,14 @@ def labelled_pages(count: int = 500, seed: int = 7) -> Iterator[tuple[str, list[
             own = {"menu": "nav", "top": "header", "foot": "footer", "side": "aside", "form": "form"}.get(kind)
             tag = own if own and maybe(0.6) else pick(["div", "section", "aside"] if kind in ("notice", "advert", "comment", "side") else ["div", "ul"][:1])
             out.append(f"<{tag}>" if own == tag and maybe(0.6) else named(tag, kind))
-            for _ in range(int(rng.integers(1, 6))):
-                if kind == "menu" or kind in ("side", "foot", "top", "share") and maybe(0.5):
+            listed = tag != "ul" and maybe({"menu": 0.7, "side": 0.4, "foot": 0.3, "share": 0.3, "top": 0.2, "comment": 0.3}.get(kind, 0.0))
+            if listed:
+                out.append("<ul>")
+            for _ in range(int(rng.integers(1, 7))):
+                if listed:
+                    text = sentence(3, 40) if kind == "comment" else words(1, 5)
+                    block(f'<a href="/{words(1, 2)}">{text}</a>' if kind != "comment" and maybe(0.9) else text, 0, "li")
+                elif kind == "menu" or kind in ("side", "foot", "top", "share") and maybe(0.5):
                     block(f'<a href="/{words(1, 2)}">{words(1, 5)}</a>', 0, pick(["li", "li", "p", "div"]))
                 elif kind == "comment":
                     block(sentence(3, 40), 0, pick(["p", "p", "div", "li", "blockquote"]))
@@ -319,7 +325,7 @@ def labelled_pages(count: int = 500, seed: int = 7) -> Iterator[tuple[str, list[
                     block(sentence(2, 30), 0, pick(["p", "div", "h3", "li", ""][: 4 if labels and not out[-1].endswith(">") else 5]))
                     if not out[-1].startswith("<"):
                         break
-            out.append(f"</{tag}>")
+            out.append("</ul>" * listed + f"</{tag}>")
 
         out.append("<html><head><title>" + words(2, 6) + "</title><script>var x='<p>no</p>';</script></head><body>")
         for kind in ("notice", "top", "menu", "advert", "form", "share"):
@@ -338,32 +344,32 @@ def labelled_pages(count: int = 500, seed: int = 7) -> Iterator[tuple[str, list[
             part(pick(["share", "advert"]))
         for _ in range(int(rng.integers(0, 12))):
             form = rng.random()
-            if form < 0.68:
+            if form < 0.6:
                 opens, closes = pick([("", ""), ("", ""), ("<b>", "</b>"), ("<b>", ""), ('<span class="lead">', "</span>"), ('<a href="/x">', "</a>")])
                 text = sentence(1, 60)
                 cut = len(text) // 2
                 block(text[:cut] + opens + text[cut:] + closes + pick(["", "", "<br>"]), 1, pick(["p", "p", "p", "div"]))
-            elif form < 0.76:
+            elif form < 0.67:
                 block(sentence(1, 9), 1, pick(["h2", "h3", "h4"]))
-            elif form < 0.84:
+            elif form < 0.74:
                 list_tag = pick(["ul", "ol"])
                 out.append(f"<{list_tag}>")
                 for _ in range(int(rng.integers(1, 5))):
                     block(sentence(1, 14), 1, "li")
                 out.append(f"</{list_tag}>")
-            elif form < 0.9:
+            elif form < 0.79:
                 out.append("<blockquote>")
                 block(sentence(4, 30), 1, pick(["p", ""]))
                 out.append("</blockquote>")
-            elif form < 0.93:
+            elif form < 0.82:
                 out.append("<table><tr>")
                 for _ in range(int(rng.integers(1, 4))):
                     block(words(1, 5), 1, pick(["td", "th"]))
                 out.append("</tr></table>")
-            elif form < 0.95:
+            elif form < 0.84:
                 block(words(3, 20), 1, "pre")
             else:
-                part(pick(["advert", "share", "form", "side", "notice"]))
+                part(pick(["advert", "advert", "share", "form", "side", "notice"]))
         if maybe(0.25):
             part(pick(["comment", "share", "advert", "form"]))
         out.append(f"</{home}>")

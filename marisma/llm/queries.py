@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marisma.llm import bpe, decontaminate, exact_dedup, main_text, near_dedup, toxicity, url_rules, warc
+from marisma.llm import bpe, decontaminate, exact_dedup, main_text, near_dedup, quality, token_totals, toxicity, url_rules, warc
+from marisma.session import work_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -151,3 +152,37 @@ def op9(spark, d):
 @query("op10_main_text")
 def op10(spark, d):
     return main_text.main_texts(table(spark, d, "pages"))
+
+
+@query("op5_quality")
+def op5(spark, d):
+    return quality.rate_documents(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
+_CLEANED = r"[!#$%&*|]+"
+
+
+@query("op8_token_totals", r"""
+WITH t AS (
+  SELECT d.doc_id, source, lang, toxic, CASE WHEN quality = 0 THEN regexp_replace(coalesce(text, ''), '[!#$%&*|]+', ' ', 'g') ELSE coalesce(text, '') END AS text
+  FROM documents d LEFT JOIN labels USING (doc_id)
+), n AS (
+  SELECT doc_id, source, lang, 'space-1' AS tokenizer, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS tokens FROM t WHERE coalesce(toxic, 0) <> 1
+  UNION ALL
+  SELECT doc_id, source, lang, 'alnum-1', len(regexp_extract_all(text, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) FROM t WHERE coalesce(toxic, 0) <> 1
+)
+SELECT source, lang, tokenizer, count(*) AS documents, CAST(sum(tokens) AS BIGINT) AS tokens FROM n GROUP BY ALL
+""")
+def op8(spark, d):
+    """All documents come in; those labelled poor are cleaned and counted anew; those labelled toxic go; two batches come twice."""
+    docs, labels = table(spark, d, "documents"), table(spark, d, "labels")
+    home = work_dir(spark, "totals")
+    named = docs.join(labels, "doc_id")
+    poor = token_totals.counted(named.filter("quality = 0"), "revise", F.regexp_replace("text", _CLEANED, " "))
+    toxic = token_totals.counted(named.filter("toxic = 1").withColumn("text", F.lit("")), "delete")
+    token_totals.commit_batch(spark, home, 1, token_totals.counted(docs, "insert"))
+    token_totals.commit_batch(spark, home, 2, poor)
+    token_totals.commit_batch(spark, home, 3, toxic)
+    token_totals.commit_batch(spark, home, 3, toxic)
+    token_totals.commit_batch(spark, home, 2, poor)
+    return token_totals.totals(spark, home)

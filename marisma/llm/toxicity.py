@@ -36,11 +36,13 @@ class ChainConfig:
     max_rows: int = 20_000
     folds: int = 5
     per_category: int = 1_500
-    min_docs: int = 5
-    min_z: float = 6.0
+    min_docs: int = 3
+    min_z: float = 4.5
     prefixes: tuple[int, ...] = (4, 6)
-    decay: float = 1e-4
+    decay: float = 1e-5
     steps: int = 300
+    max_false: float = 0.0005
+    least_threshold: float = 0.2
 
 
 def text_features(w: Words, cfg: ChainConfig) -> tuple[np.ndarray, np.ndarray]:
@@ -136,11 +138,12 @@ class LinearModel:
 
 @dataclass
 class Chain:
-    """Categories in order, the sorted features, and one model per category."""
+    """Categories in order, the sorted features, one model per category, and the last one's threshold."""
 
     categories: list[str]
     features: np.ndarray
     models: list[LinearModel]
+    threshold: float = 0.5
 
     def score(self, rows, cols, n: int) -> np.ndarray:
         seen = np.zeros((n, 0))
@@ -243,7 +246,10 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: Mapping[str, Colum
             out = np.where(fold == f, part.probability(rows, cols, seen), out)
         models.append(train(np.ones(len(kind), bool), seen, passes(k, None)))
         seen = np.column_stack([seen, out])
-    return Chain(names, features, models)
+    clean = np.sort(seen[:, -1][label == 0])
+    allowed = int(cfg.max_false * len(clean))
+    threshold = clean[-1 - allowed] + 1e-6 if len(clean) else 0.5
+    return Chain(names, features, models, float(np.clip(threshold, cfg.least_threshold, 0.5)))
 
 
 def score_chain(docs: DataFrame, chain: Chain, cfg: ChainConfig | None = None, name: str = "toxicity") -> DataFrame:
@@ -276,7 +282,11 @@ def language_categories(languages: tuple[str, ...] = ("de", "en", "es", "fr")) -
     }
 
 
-def toxic_documents(docs: DataFrame, labels: DataFrame, cfg: ChainConfig | None = None, threshold: float = 0.5) -> DataFrame:
-    """docs with `toxicity` (probabilities) and `toxic` (the last category reaches the threshold)."""
+def toxic_documents(docs: DataFrame, labels: DataFrame, cfg: ChainConfig | None = None, threshold: float | None = None) -> DataFrame:
+    """docs with `toxicity` (probabilities) and `toxic` (the last category reaches the threshold).
+
+    By default the threshold is the lowest, from least_threshold to 1/2, that at most max_false of the
+    clean rows of the sample reach out of fold.
+    """
     chain = fit_chain(docs.select("doc_id", "text", "lang"), labels.select("doc_id", "toxic"), language_categories(), cfg)
-    return score_chain(docs, chain, cfg).withColumn("toxic", F.col("toxicity.toxic") >= threshold)
+    return score_chain(docs, chain, cfg).withColumn("toxic", F.col("toxicity.toxic") >= (chain.threshold if threshold is None else threshold))

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from marisma.session import cut_lineage
 
-_TOP = F.unhex(F.lit("FF"))  # above every byte of UTF-8
+TOP = "FF"  # a byte above every byte of UTF-8
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -77,7 +77,7 @@ def host_marks(rules: DataFrame) -> DataFrame:
     )
     key = host_key(F.col("host"))
     return outer.select(key.alias("key"), F.col("chain").alias("stack")).union(
-        outer.select(F.concat(key, _TOP), F.slice("chain", 1, F.greatest(F.size("chain") - 1, F.lit(0))))
+        outer.select(F.concat(key, F.unhex(F.lit(TOP))), F.slice("chain", 1, F.greatest(F.size("chain") - 1, F.lit(0))))
     )
 
 
@@ -94,7 +94,7 @@ def path_marks(rules: DataFrame) -> DataFrame:
     kind = "array<string>"
     return paths.select(key.alias("key"), F.array("path").alias("stack")).union(
         paths.join(outer, ["host", "path"], "left")
-        .select(F.concat(key, _TOP), F.when(F.col("outer").isNull(), F.array().cast(kind)).otherwise(F.array("outer")))
+        .select(F.concat(key, F.unhex(F.lit(TOP))), F.when(F.col("outer").isNull(), F.array().cast(kind)).otherwise(F.array("outer")))
     )
 
 
