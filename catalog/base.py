@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marisma.operators.facts import with_fact_keys
-from marisma.session import spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -47,13 +46,13 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-# tables of texts and vectors: the work per row is heavy and a small copy is one split
-HEAVY = {"documents", "pages", "conversations", "embeddings"}
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-def table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    rows = spark.read.parquet(f"{d}/{name}.parquet")
-    return spread(rows) if name in HEAVY else rows
+def passages(spark: SparkSession, d: str):
+    """How many passages there are, as a column: documents are dealt to all of them in turn."""
+    return table(spark, d, "benchmark").agg(F.count("*")).scalar()
 
 
 def money(col: str):

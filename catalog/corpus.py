@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from catalog.base import query, table
+from catalog.base import passages, query, table
 from marisma.functions import fixed_values as fv
 from marisma.functions import numbers, text, times, urls
 from marisma.operators import articles, audits, dedup, pages
-from marisma.session import spread
 
 # ---------------------------------------------------------------- SQL pieces
 
@@ -347,7 +346,7 @@ SELECT l_orderkey, l_linenumber, l_extendedprice AS eu, l_extendedprice AS us, C
 def _(spark, d):
     us = F.format_number(F.col("l_extendedprice"), 2)
     eu = F.translate(us, ",.", ".,")
-    rows = spread(table(spark, d, "lineitem")).select("l_orderkey", "l_linenumber", us.alias("a"), eu.alias("b"))
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", us.alias("a"), eu.alias("b"))
     return rows.select(
         "l_orderkey", "l_linenumber",
         numbers.parse_number(F.col("b"), "eu").alias("eu"), numbers.parse_number(F.col("a"), "us").alias("us"),
@@ -368,7 +367,7 @@ def _(spark, d):
     sign = F.when(F.col("l_linenumber") % 2 == 0, F.lit("-")).otherwise(F.lit("+"))
     spelled = F.concat(eu(F.col("l_extendedprice")), F.lit(" "), sign, eu(F.col("l_discount")), F.lit("% abril - 2024"))
     v = numbers.parse_value_and_change(spelled)
-    return spread(table(spark, d, "lineitem")).select(
+    return table(spark, d, "lineitem").select(
         "l_orderkey", "l_linenumber", v["value"].alias("valor"), (v["change"] + F.lit(0.0)).alias("cambio"))
 
 
@@ -968,18 +967,20 @@ def _(spark, d):
 # ---------------------------------------------------------------- sets of words
 
 @query("U03_word_intersection", f"""
-SELECT d.doc_id, len(list_distinct(list_intersect({toks('d.text')}, {toks('b.text')}))) AS comunes FROM documents d JOIN benchmark b ON d.doc_id % 40 = b.item_id
+SELECT d.doc_id, len(list_distinct(list_intersect({toks('d.text')}, {toks('b.text')}))) AS comunes FROM documents d JOIN benchmark b ON d.doc_id % (SELECT count(*) FROM benchmark) = b.item_id
 """)
 def _(spark, d):
-    rows = docs(spark, d).join(table(spark, d, "benchmark").withColumnRenamed("text", "otro"), F.col("doc_id") % 40 == F.col("item_id"))
+    passage = table(spark, d, "benchmark").withColumnRenamed("text", "otro")
+    rows = docs(spark, d).withColumn("item_id", F.col("doc_id") % passages(spark, d)).join(passage, "item_id")
     return rows.select("doc_id", F.size(F.array_intersect(text.tokens(F.col("text")), text.tokens(F.col("otro")))).alias("comunes"))
 
 
 @query("U04_token_union", f"""
-SELECT d.doc_id, len(list_distinct(list_concat({toks('d.text')}, {toks('b.text')}))) AS total FROM documents d JOIN benchmark b ON d.doc_id % 40 = b.item_id
+SELECT d.doc_id, len(list_distinct(list_concat({toks('d.text')}, {toks('b.text')}))) AS total FROM documents d JOIN benchmark b ON d.doc_id % (SELECT count(*) FROM benchmark) = b.item_id
 """)
 def _(spark, d):
-    rows = docs(spark, d).join(table(spark, d, "benchmark").withColumnRenamed("text", "otro"), F.col("doc_id") % 40 == F.col("item_id"))
+    passage = table(spark, d, "benchmark").withColumnRenamed("text", "otro")
+    rows = docs(spark, d).withColumn("item_id", F.col("doc_id") % passages(spark, d)).join(passage, "item_id")
     return rows.select("doc_id", F.size(F.array_union(text.tokens(F.col("text")), text.tokens(F.col("otro")))).alias("total"))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog.base import query, table
+from catalog.base import passages, query, table
 from catalog.corpus import TITLE, docs, title_col, toks
 from marisma.functions import fixed_values as fv
 from marisma.functions import numbers, text
@@ -174,13 +174,13 @@ def lw(x: str) -> str:
     return f"list_distinct(list_filter({toks(x)}, lambda t: length(t) > 2))"
 
 
-_PAIRS = f"(SELECT doc_id, doc_id % 40 AS qid, b.q, d.text AS t FROM documents d JOIN (SELECT item_id, {TITLE} AS q FROM benchmark) b ON d.doc_id % 40 = b.item_id)"
+_PAIRS = f"(SELECT doc_id, doc_id % (SELECT count(*) FROM benchmark) AS qid, b.q, d.text AS t FROM documents d JOIN (SELECT item_id, {TITLE} AS q FROM benchmark) b ON d.doc_id % (SELECT count(*) FROM benchmark) = b.item_id)"
 _REL = f"""CASE WHEN len({lw('q')}) = 0 THEN 0.5 ELSE least(1.0, len(list_intersect({lw('q')}, {lw('t')})) / len({lw('q')}) + CASE WHEN contains(lower(t), lower(q)) THEN 0.2 ELSE 0 END) END"""
 
 
 def _pairs(spark, d):
     q = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), title_col().alias("q"))
-    return docs(spark, d).withColumn("qid", F.col("doc_id") % 40).join(q, "qid").withColumn("rel", search.relevance(F.col("q"), F.col("text")))
+    return docs(spark, d).withColumn("qid", F.col("doc_id") % passages(spark, d)).join(q, "qid").withColumn("rel", search.relevance(F.col("q"), F.col("text")))
 
 
 @query("V08_relevance", f"SELECT doc_id, round({_REL}, 9) AS rel FROM {_PAIRS}")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog.base import STAR, indicators, money, provinces, query, star_fact, table
+from catalog.base import STAR, indicators, money, passages, provinces, query, star_fact, table
 from catalog.corpus import TITLE, docs, title_col, toks
 from marisma.functions import numbers, text
 from marisma.operators import articles, evidence, facts, series, upserts
@@ -86,23 +86,33 @@ def _(spark, d):
 # ---------------------------------------------------------------- iteration logs
 
 _LOG = """
-WITH e AS (SELECT event_id, user_id, ts, value / 500 AS score, event_type = 'purchase' AS improved, CAST(event_type = 'click' AS INT) AS new FROM events),
+WITH e AS (SELECT event_id, CASE WHEN event_id % 97 > 0 THEN user_id END AS user_id, CASE WHEN event_id % 83 > 0 THEN ts END AS ts, value / 500 AS score, event_type = 'purchase' AS improved, CAST(event_type = 'click' AS INT) AS new FROM events),
  s AS (SELECT *, row_number() OVER w AS iteracion, lag(score) OVER w AS p1, lag(score, 2) OVER w AS p2, sum(new) OVER w AS fuentes,
   row_number() OVER w - coalesce(max(CASE WHEN improved THEN iter END) OVER w, 0) AS estancamiento
   FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS iter FROM e) WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)),
  log AS (SELECT *, round(CASE WHEN iteracion >= 3 THEN (score - p2) / 2 WHEN iteracion = 2 THEN score - p1 ELSE 0 END, 9) AS tendencia FROM s)
 """
 
+#: the same over the table as it is
+LOG_OF_EVENTS = _LOG.replace("CASE WHEN event_id % 97 > 0 THEN user_id END AS user_id, CASE WHEN event_id % 83 > 0 THEN ts END AS ts,", "user_id, ts,")
+
+
+def _with_nulls(rows):
+    """Events of unknown user or time: a null user is one user, a null time comes last."""
+    e = F.col("event_id")
+    return rows.withColumns({"user_id": F.when(e % 97 > 0, F.col("user_id")), "ts": F.when(e % 83 > 0, F.col("ts"))})
+
 
 def _log(spark, d):
-    rows = events(spark, d).withColumn("score", F.col("value") / 500)
+    rows = _with_nulls(events(spark, d)).withColumn("score", F.col("value") / 500)
     out = series.iteration_state(rows, "user_id", "ts", "event_id", "score", F.col("event_type") == "purchase",
                                  (F.col("event_type") == "click").cast("int"))
     return out.withColumn("tendencia", F.round("tendencia", 9))
 
 
 @query("W04_quality_trend", """
-WITH n AS (SELECT event_id, user_id, value / 500 AS score, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS x FROM events)
+WITH e AS (SELECT event_id, CASE WHEN event_id % 97 > 0 THEN user_id END AS user_id, CASE WHEN event_id % 83 > 0 THEN ts END AS ts, value FROM events),
+ n AS (SELECT event_id, user_id, value / 500 AS score, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS x FROM e)
 SELECT event_id, CASE WHEN x = 1 THEN 0 ELSE round(regr_slope(score, x) OVER (PARTITION BY user_id ORDER BY x ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 9) + CAST(0 AS DOUBLE) END AS tendencia FROM n
 """)
 def _(spark, d):
@@ -124,16 +134,19 @@ def _(spark, d):
 
 
 @query("W06_fill_down", """
-SELECT event_id, last(CASE WHEN event_type = 'signup' THEN value END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS seccion FROM events
+SELECT event_id, last(CASE WHEN event_type = 'signup' THEN value END IGNORE NULLS) OVER (PARTITION BY u ORDER BY o ROWS UNBOUNDED PRECEDING) AS seccion
+FROM (SELECT *, CASE WHEN event_id % 97 > 0 THEN user_id END AS u, CASE WHEN event_id <> 21 THEN event_id END AS o FROM events)
 """)
 def _(spark, d):
-    rows = events(spark, d).withColumn("marca", F.when(F.col("event_type") == "signup", F.col("value")))
-    return series.fill_down(rows, ["user_id"], "event_id", "marca", "seccion", 1000).select("event_id", "seccion")
+    rows = _with_nulls(events(spark, d)).withColumn("orden", F.when(F.col("event_id") != 21, F.col("event_id")))
+    rows = rows.withColumn("marca", F.when(F.col("event_type") == "signup", F.col("value")))
+    return series.fill_down(rows, ["user_id"], "orden", "marca", "seccion").select("event_id", "seccion")
 
 
-@query("W07_numbering", "SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS numero FROM documents")
+@query("W07_numbering", "SELECT doc_id, s AS source, row_number() OVER (PARTITION BY s ORDER BY nullif(doc_id, 8)) AS numero FROM (SELECT doc_id, nullif(source, 'src1') AS s FROM documents)")
 def _(spark, d):
-    return series.number_rows(docs(spark, d).select("doc_id", "source"), ["source"], "doc_id", 100)
+    rows = docs(spark, d).select("doc_id", F.nullif("source", F.lit("src1")).alias("source"), F.nullif("doc_id", F.lit(8)).alias("orden"))
+    return series.number_rows(rows, ["source"], "orden").drop("orden")
 
 
 _DIMS = "SELECT event_id, (value % 100) / 100 AS completeness, (user_id % 11) / 10 AS accuracy, (event_id % 7) / 6 AS consistency, (event_id % 3) / 2 AS depth, 0.6::DOUBLE AS freshness, (user_id % 5) / 4 AS authority FROM events"
@@ -193,17 +206,18 @@ def _(spark, d):
 _CLAIM_SQL = f"""
 WITH claims AS (SELECT item_id AS claim_id, {TITLE} AS texto, item_id % 3 = 0 AS tagged, (item_id % 7) * 1000.0::DOUBLE AS claim_value,
    CASE WHEN item_id % 11 = 0 THEN 'No hay evidencia clara' ELSE '' END AS resumen FROM benchmark),
- mentions AS (SELECT doc_id % 50 AS claim_id, CASE WHEN lang = 'de' THEN '' WHEN doc_id % 50 < 25 THEN source ELSE 'una' END AS fuente FROM documents WHERE doc_id % 50 <> 13),
- web AS (SELECT page_id % 45 AS claim_id, CASE WHEN url LIKE 'https%' THEN 'official' ELSE 'independent' END AS type, CASE WHEN contains(url, 'spam') THEN 'contradictory' ELSE 'supportive' END AS stance FROM pages),
- official AS (SELECT o_orderkey % 40 AS claim_id, min((o_orderkey % 40 % 5) * 1050.0::DOUBLE) AS value FROM orders GROUP BY 1),
+ n AS (SELECT count(*) AS n FROM benchmark),
+ mentions AS (SELECT doc_id % n AS claim_id, CASE WHEN lang = 'de' THEN '' WHEN doc_id % n < n / 2 THEN source ELSE 'una' END AS fuente FROM documents, n WHERE doc_id % n <> 13),
+ web AS (SELECT page_id % (n + 5) AS claim_id, CASE WHEN url LIKE 'https%' THEN 'official' ELSE 'independent' END AS type, CASE WHEN contains(url, 'spam') THEN 'contradictory' ELSE 'supportive' END AS stance FROM pages, n),
+ official AS (SELECT o_orderkey % n AS claim_id, min(CASE WHEN o_orderkey % n % 10 <> 9 THEN (o_orderkey % n % 5) * 1050.0::DOUBLE END) AS value, true AS present FROM orders, n WHERE o_orderkey % n % 8 <> 6 GROUP BY 1),
  p AS (SELECT claim_id, count(DISTINCT nullif(fuente, '')) AS fuentes, count(*) AS menciones FROM mentions GROUP BY 1),
  w AS (SELECT claim_id, bool_or(stance = 'contradictory') AS c, count(*) FILTER (type = 'official' AND stance <> 'contradictory') AS o, count(*) AS n FROM web GROUP BY 1),
- j AS (SELECT claims.*, coalesce(fuentes, 0) AS fuentes, coalesce(menciones, 0) AS menciones, coalesce(c, false) AS c, coalesce(o, 0) AS o, coalesce(n, 0) AS n, value
+ j AS (SELECT claims.*, coalesce(fuentes, 0) AS fuentes, coalesce(menciones, 0) AS menciones, coalesce(c, false) AS c, coalesce(o, 0) AS o, coalesce(n, 0) AS n, value, present
    FROM claims LEFT JOIN p USING (claim_id) LEFT JOIN w USING (claim_id) LEFT JOIN official USING (claim_id)),
  k AS (SELECT *, CASE WHEN contains(lower(resumen), 'no hay evidencia') THEN -2 WHEN fuentes >= 2 THEN 3 WHEN fuentes = 1 THEN 2 WHEN menciones > 0 THEN 1 ELSE 0 END AS prensa,
    CASE WHEN c THEN -1 WHEN o > 0 THEN 2 WHEN n > 0 THEN 1 ELSE 0 END AS web,
    CASE WHEN NOT tagged OR value IS NULL THEN 0 WHEN claim_value = value THEN 3 WHEN abs(claim_value - value) / greatest(value, 1) <= 0.1 THEN 2 ELSE -3 END AS oficial,
-   CASE WHEN NOT tagged THEN 'no_aplica' WHEN value IS NULL THEN 'datos_insuficientes' WHEN claim_value = value THEN 'exacta' WHEN abs(claim_value - value) / greatest(value, 1) <= 0.1 THEN 'aproximada' ELSE 'contradictoria' END AS coincidencia FROM j),
+   CASE WHEN NOT tagged THEN 'no_aplica' WHEN present IS NULL THEN 'no_disponible' WHEN value IS NULL THEN 'datos_insuficientes' WHEN claim_value = value THEN 'exacta' WHEN abs(claim_value - value) / greatest(value, 1) <= 0.1 THEN 'aproximada' ELSE 'contradictoria' END AS coincidencia FROM j),
  t AS (SELECT *, prensa + web + oficial AS total, CASE WHEN prensa <= 0 THEN 0 WHEN fuentes >= 2 THEN fuentes ELSE 1 END + CASE WHEN web > 0 THEN 1 ELSE 0 END + CASE WHEN oficial > 0 THEN 1 ELSE 0 END AS apoyos FROM k),
  v AS (SELECT *, CASE WHEN total >= 5 AND apoyos >= 2 THEN 'Verdadera' ELSE 'Falsa' END AS veredicto FROM t),
  scored AS (SELECT *, CASE WHEN veredicto = 'Verdadera' THEN least(1.0, greatest(0.5, CASE WHEN total = 0 THEN 1.0 ELSE total / 10 END))
@@ -216,16 +230,17 @@ def _claims(spark, d):
         F.col("item_id").alias("claim_id"), title_col().alias("texto"), (F.col("item_id") % 3 == 0).alias("tagged"),
         (F.col("item_id") % 7 * 1000.0).alias("claim_value"),
         F.when(F.col("item_id") % 11 == 0, F.lit("No hay evidencia clara")).otherwise(F.lit("")).alias("resumen"))
-    k = F.col("doc_id") % 50
-    mentions = docs(spark, d).filter(k != 13).select(
-        k.alias("claim_id"),
-        F.when(F.col("lang") == "de", F.lit("")).when(k < 25, F.col("source")).otherwise(F.lit("una")).alias("fuente"))
+    n = passages(spark, d)
+    k = F.col("claim_id")
+    mentions = docs(spark, d).withColumn("claim_id", F.col("doc_id") % n).filter(k != 13).select(
+        k, F.when(F.col("lang") == "de", F.lit("")).when(k < n / 2, F.col("source")).otherwise(F.lit("una")).alias("fuente"))
     web = table(spark, d, "pages").select(
-        (F.col("page_id") % 45).alias("claim_id"),
+        (F.col("page_id") % (n + 5)).alias("claim_id"),
         F.when(F.col("url").startswith("https"), F.lit("official")).otherwise(F.lit("independent")).alias("type"),
         F.when(F.contains("url", F.lit("spam")), F.lit("contradictory")).otherwise(F.lit("supportive")).alias("stance"))
-    ok = F.col("o_orderkey") % 40
-    official = table(spark, d, "orders").select(ok.alias("claim_id"), (ok % 5 * 1050.0).alias("value"))
+    # some claims have no row of statistics, some a row without a number
+    official = table(spark, d, "orders").select((F.col("o_orderkey") % n).alias("claim_id")).filter(k % 8 != 6).select(
+        k, F.when(k % 10 != 9, k % 5 * 1050.0).alias("value"))
     return evidence.score_claims(claims, mentions, web, official)
 
 
@@ -267,12 +282,12 @@ def _(spark, d):
         (F.col("page_id") % 7).alias("claim_id"), F.col("page_id").alias("orden"), F.regexp_extract("url", "^https?://([^/]*)", 1).alias("fuente"),
         F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"),
         F.when(F.col("page_id") % 3 == 0, F.lit("")).otherwise(F.regexp_extract("url", "^https?://[^/]*", 0)).alias("url"))
-    return evidence.bibliography(refs, "claim_id", "orden", 50)
+    return evidence.bibliography(refs, "claim_id", "orden")
 
 
 def _spans_input(spark, d):
     bench = table(spark, d, "benchmark").select("item_id", F.split("text", r"[.\n]\s*").alias("frases"))
-    rows = docs(spark, d).join(bench, F.col("doc_id") % 40 == F.col("item_id"))
+    rows = docs(spark, d).withColumn("item_id", F.col("doc_id") % passages(spark, d)).join(bench, "item_id")
     claims = F.concat(F.array(title_col()), F.col("frases"), F.array(F.right("text", F.lit(40))))
     return rows.select("doc_id", "text", claims.alias("claims")).withColumn(
         "scores", F.transform("claims", lambda c, i: F.when(i % 3 == 0, F.lit(0.8)).when(i % 3 == 1, F.lit(-0.6)).otherwise(F.lit(0.1))))
@@ -281,7 +296,7 @@ def _spans_input(spark, d):
 _SPANS = f"""
 WITH RECURSIVE b AS (SELECT item_id, regexp_split_to_array(text, '[.\\n]\\s*') AS frases FROM benchmark),
  src AS (SELECT doc_id, text, lower(text) AS low, list_transform(list_concat([{TITLE}], frases, [right(text, 40)]), lambda c: lower(trim(c, ' ' || chr(10) || chr(9)))) AS claims
-   FROM documents JOIN b ON doc_id % 40 = item_id),
+   FROM documents JOIN b ON doc_id % (SELECT count(*) FROM benchmark) = item_id),
  st(doc_id, n, pos, inicio, fin) AS (SELECT doc_id, 0, CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT) FROM src
    UNION ALL SELECT doc_id, n + 1, CASE WHEN p > 0 THEN p - 1 + length(c) ELSE pos END, CASE WHEN p > 0 THEN p - 1 ELSE 0 END, CASE WHEN p > 0 THEN p - 1 + length(c) ELSE 0 END
    FROM (SELECT doc_id, n, pos, c, CASE WHEN c = '' THEN 0 WHEN strpos(low[pos + 1:], c) > 0 THEN pos + strpos(low[pos + 1:], c) ELSE strpos(low, c) END AS p

@@ -5,16 +5,29 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog.base import query, table
-from catalog.scores import _LOG
+from catalog.scores import LOG_OF_EVENTS as _LOG
 from marisma.functions import numbers
 from marisma.session import work_dir
 from marisma.streaming import jobs
 
 
-def landing(spark, d):
-    schema = table(spark, d, "events").schema
-    rows = jobs.stream_articles(spark, d, schema, "parquet", "events.parquet")
-    return rows.withColumn("ts", F.col("ts").cast("timestamp"))
+EDGES = ["2024-01-08", "2024-01-16", "2024-01-24"]
+LATE = "event_id % 50 = 7"
+
+#: the file a row lands in: four in time order, then one with rows that were held up
+_LANDED = f"""WITH landed AS (SELECT *, CASE WHEN {LATE} THEN 4 ELSE {' + '.join(f"CAST(ts >= TIMESTAMP '{e}' AS INT)" for e in EDGES)} END AS part FROM events) """
+
+
+def landing(spark, d, late=True):
+    """The events as five files (or four, in time order), read one per micro-batch."""
+    events = table(spark, d, "events")
+    root = work_dir(spark, "landing")
+    part = sum((F.col("ts").cast("timestamp") >= F.lit(e).cast("timestamp")).cast("int") for e in EDGES)
+    rows = events.withColumn("_part", F.when(F.expr(LATE) & F.lit(late), 4).otherwise(part))
+    for n in range(5 if late else 4):
+        rows.filter(F.col("_part") == n).drop("_part").coalesce(1).write.mode("append").parquet(root)
+    stream = jobs.stream_articles(spark, root, events.schema, "parquet", max_files=1)
+    return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 @query("R01_stream_articles", "SELECT event_id, event_type, value FROM events")
@@ -32,14 +45,14 @@ def _(spark, d):
     return spark.read.schema("user_id BIGINT, event_type STRING").parquet(f"{root}/out")
 
 
-@query("R02_dedup_exact", "SELECT user_id, min(event_id) AS event_id FROM events GROUP BY ALL")
+@query("R02_dedup_exact", _LANDED + "SELECT user_id, arg_min(event_id, CAST(part AS BIGINT) * 1000000000 + event_id) AS event_id FROM landed GROUP BY ALL")
 def _(spark, d):
     root = work_dir(spark, "r02x")
     jobs.dedup_exact(landing(spark, d).select("user_id", "event_id"), f"{root}/log", f"{root}/cp", ["user_id"], "event_id")
     return jobs.read_log(spark, f"{root}/log", "user_id BIGINT, event_id BIGINT").drop(jobs.BATCH)
 
 
-@query("R03_stream_upsert", "SELECT user_id, event_type, max(event_id) AS event_id, max_by(value, event_id) AS value FROM events GROUP BY ALL")
+@query("R03_stream_upsert", _LANDED + "SELECT user_id, event_type, max_by(event_id, CAST(part AS BIGINT) * 1000000000 + event_id) AS event_id, max_by(value, CAST(part AS BIGINT) * 1000000000 + event_id) AS value FROM landed GROUP BY ALL")
 def _(spark, d):
     root = work_dir(spark, "r03")
     rows = landing(spark, d).select("user_id", "event_type", "event_id", "value")
@@ -48,9 +61,11 @@ def _(spark, d):
     return jobs.current_rows(log, ["user_id", "event_type"], "event_id")
 
 
-@query("R04_stream_coverage", """
-WITH d AS (SELECT CAST(ts AS DATE) AS dia, event_type AS tema, count(*) FILTER (value / 50 - 1 > 0.2) AS positive, count(*) FILTER (value / 50 - 1 BETWEEN -0.2 AND 0.2) AS neutral,
-  count(*) FILTER (value / 50 - 1 < -0.2) AS negative, count(*) AS total FROM events GROUP BY ALL)
+# a batch drops what was late for the watermark that the batch before it ran with
+@query("R04_stream_coverage", _LANDED + """
+, d AS (SELECT CAST(ts AS DATE) AS dia, event_type AS tema, count(*) FILTER (value / 50 - 1 > 0.2) AS positive, count(*) FILTER (value / 50 - 1 BETWEEN -0.2 AND 0.2) AS neutral,
+  count(*) FILTER (value / 50 - 1 < -0.2) AS negative, count(*) AS total FROM landed
+  WHERE part < 4 OR CAST(ts AS DATE) + INTERVAL 1 DAY > (SELECT max(ts) - INTERVAL 1 DAY FROM landed WHERE part < 3) GROUP BY ALL)
 SELECT v AS ventana, CAST(f.fin AS DATE) AS fin, tema, sum(positive) AS positive, sum(neutral) AS neutral, sum(negative) AS negative, sum(total) AS total
 FROM d, (VALUES (1, '1d'), (7, '7d'), (30, '30d')) w(n, v), (SELECT unnest(generate_series((SELECT min(dia) FROM d), (SELECT max(dia) FROM d), INTERVAL 1 DAY)) AS fin) f
 WHERE dia <= f.fin AND dia > f.fin - n * INTERVAL 1 DAY GROUP BY ALL
@@ -75,7 +90,7 @@ def _(spark, d):
 @query("R06_stream_plateau", _LOG + "SELECT user_id, event_id, iteracion, estancamiento, fuentes FROM log")
 def _(spark, d):
     root = work_dir(spark, "r06")
-    rows = landing(spark, d).select(
+    rows = landing(spark, d, late=False).select(
         "user_id", "event_id", "ts", (F.col("event_type") == "purchase").alias("mejora"),
         (F.col("event_type") == "click").cast("int").alias("nuevas"))
     jobs.append_to(jobs.stream_plateau(rows, "user_id", "ts", "event_id"), f"{root}/out", f"{root}/cp")
@@ -85,7 +100,7 @@ def _(spark, d):
 @query("R06_plateau_log", _LOG + "SELECT user_id, event_id, iteracion, estancamiento, fuentes FROM log")
 def _(spark, d):
     root = work_dir(spark, "r06l")
-    rows = landing(spark, d).select(
+    rows = landing(spark, d, late=False).select(
         "user_id", "event_id", "ts", (F.col("event_type") == "purchase").alias("mejora"),
         (F.col("event_type") == "click").cast("int").alias("nuevas"))
     jobs.plateau_log(rows, root, f"{root}/cp", "user_id", "ts", "event_id")

@@ -48,14 +48,18 @@ def web_score(contradicted: Column, official: Column, results: Column) -> Column
     return F.struct(score.alias("puntuacion"), F.when(score > 0, 1).otherwise(0).cast("bigint").alias("apoyos"))
 
 
-def official_score(tagged: Column, claim_value: Column, official_value: Column) -> Column:
-    """(score, match) against official statistics; only claims with the domain tag are compared."""
+def official_score(tagged: Column, claim_value: Column, official_value: Column, present: Column) -> Column:
+    """(score, match) against official statistics; only claims with the domain tag are compared.
+
+    present: there is a statistics row for the claim, be its number null.
+    """
     diff = F.abs(claim_value - official_value)
     relative = diff / F.greatest(official_value, F.lit(1.0))
     known = claim_value.isNotNull() & official_value.isNotNull()
     score = F.when(~F.coalesce(tagged, F.lit(False)) | ~known, 0).when(diff == 0, 3).when(relative <= 0.1, 2).otherwise(-3)
     match = (
         F.when(~F.coalesce(tagged, F.lit(False)), F.lit("no_aplica"))
+        .when(~F.coalesce(present, F.lit(False)), F.lit("no_disponible"))
         .when(~known, F.lit("datos_insuficientes"))
         .when(diff == 0, F.lit("exacta")).when(relative <= 0.1, F.lit("aproximada")).otherwise(F.lit("contradictoria"))
     )
@@ -81,18 +85,19 @@ def score_claims(claims: DataFrame, mentions: DataFrame, web: DataFrame, officia
     """Claims with the scores of the three families, total, support, verdict and signed score.
 
     claims needs tagged, claim_value and resumen (summary of the press answer).
-    Evidence is reduced to one row per claim before it is joined.
+    Evidence is reduced to one row per claim before it is joined; of several official values the
+    smallest counts.
     """
     joined = (
         claims.join(press_evidence(mentions, claim), claim, "left")
         .join(web_evidence(web, claim), claim, "left")
-        .join(official.groupBy(claim).agg(F.first("value", ignorenulls=True).alias("official_value")), claim, "left")
+        .join(official.groupBy(claim).agg(F.min("value").alias("official_value"), F.lit(True).alias("_present")), claim, "left")
     )
     scored = joined.withColumns(
         {
             "_press": press_score(text.is_contradiction(F.col("resumen")), F.col("fuentes"), F.col("menciones")),
             "_web": web_score(F.col("web_contradice"), F.col("web_oficiales"), F.col("web_resultados")),
-            "_stat": official_score(F.col("tagged"), F.col("claim_value"), F.col("official_value")),
+            "_stat": official_score(F.col("tagged"), F.col("claim_value"), F.col("official_value"), F.col("_present")),
         }
     )
     total = F.col("_press.puntuacion") + F.col("_web.puntuacion") + F.col("_stat.puntuacion")
@@ -103,7 +108,7 @@ def score_claims(claims: DataFrame, mentions: DataFrame, web: DataFrame, officia
             "coincidencia": F.col("_stat.coincidencia"), "total": total, "apoyos": support,
             "veredicto": verdict(total, support), "escala": signed_score(verdict(total, support), total),
         }
-    ).drop("_press", "_web", "_stat")
+    ).drop("_press", "_web", "_stat", "_present")
 
 
 def headlines(title: Column, state: Column, score: Column) -> Column:
@@ -116,7 +121,7 @@ def headlines(title: Column, state: Column, score: Column) -> Column:
     return F.struct(kind.alias("tipo"), text.truncate(title, 50, "...").alias("titulo"))
 
 
-def bibliography(refs: DataFrame, claim: str, order: str, width: int = 1_000_000) -> DataFrame:
+def bibliography(refs: DataFrame, claim: str, order: str) -> DataFrame:
     """References of a claim without repeats, numbered in order of first use.
 
     A reference is known by its URL, or by source and title if it has none.
@@ -132,7 +137,7 @@ def bibliography(refs: DataFrame, claim: str, order: str, width: int = 1_000_000
         F.coalesce(text.truthy(F.col("r.fuente")), F.lit(fv.UNKNOWN_SOURCE_LABEL)).alias("fuente"),
         text.truncate(F.col("r.title"), 100, "...").alias("title"), F.col("r.url").alias("url"),
     )
-    return number_rows(flat, [claim], order, width, "id")
+    return number_rows(flat, [claim], order, "id")
 
 
 # ---------------------------------------------------------------- text spans

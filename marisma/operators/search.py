@@ -96,7 +96,7 @@ def vector_scores(table: DataFrame, key: str, vector: str, queries: DataFrame, q
         from marisma.operators.series import number_rows
 
         hashed = numbered.withColumn("_h", F.pmod(F.xxhash64(qid), F.lit(2**40)) * 1.0)
-        numbered = cut_lineage(number_rows(hashed.withColumn("_all", F.lit(0)), ["_all"], "_h", 2**30, "_n"), "queries")
+        numbered = cut_lineage(number_rows(hashed.withColumn("_all", F.lit(0)), ["_all"], "_h", "_n"), "queries")
 
     def scan(ids: list, matrix: np.ndarray):
         unit = matrix / np.where((n := np.linalg.norm(matrix, axis=1, keepdims=True)) == 0, np.nan, n)

@@ -1,8 +1,11 @@
 """Ordered state per key, without putting a whole key into one task.
 
-A key may own a large part of all rows.  Rows are cut into slices of the order
-column; a slice is summarized in one row, the summaries are carried forward per
-key, and each row combines its slice-local window with what came before.
+A key may own a large part of all rows.  Rows are dealt by ranges of key and order into slices of
+about equal size, so a burst of one key is cut where the rows are; a slice is summarized in one
+row per key, the summaries are carried forward, and each row combines its slice-local window with
+what came before.  There are as many summaries as slices and keys, whatever the number of rows.
+
+A null key is a key of its own; rows with a null order come last.  No row is dropped.
 """
 
 from __future__ import annotations
@@ -12,50 +15,72 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from marisma.functions import fixed_values as fv
+from marisma.session import cut_lineage
+
+
+def _ordered(columns: list[str]) -> list[Column]:
+    return [F.asc_nulls_last(c) for c in columns]
+
+
+def sliced(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """df with _slice, frozen: where a row falls must not change between two readings."""
+    return cut_lineage(
+        df.repartitionByRange(*[F.asc(k) for k in keys], *_ordered(order)).withColumn("_slice", F.spark_partition_id()), "slices"
+    )
+
 
+def _within(keys: list[str], order: list[str]):
+    return W.partitionBy(*keys, "_slice").orderBy(*_ordered(order))
 
-def number_rows(df: DataFrame, keys: list[str], order: str, width: int, name: str = "numero") -> DataFrame:
-    """row_number per key in order of a numeric column, in slices of the given width."""
-    rows = df.withColumn("_slice", F.floor(F.col(order) / F.lit(width)))
-    local = W.partitionBy(*keys, "_slice").orderBy(order)
-    before = W.partitionBy(*keys).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
+
+def _before(keys: list[str]):
+    return W.partitionBy(*keys).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
+
+
+def _with_carry(rows: DataFrame, carry: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows with the summary carried to their key and slice; null keys match."""
+    names = {k: f"_key{i}" for i, k in enumerate(keys)}
+    side = carry.withColumnsRenamed({**names, "_slice": "_at"})
+    same = F.col("_slice") == F.col("_at")
+    for k, n in names.items():
+        same = same & F.col(k).eqNullSafe(F.col(n))
+    return rows.join(side, same).drop("_at", *names.values())
+
+
+def number_rows(df: DataFrame, keys: list[str], order: str, name: str = "numero") -> DataFrame:
+    """row_number per key."""
+    rows = sliced(df, keys, [order])
     carry = (
         rows.groupBy(*keys, "_slice").agg(F.count("*").alias("_n"))
-        .withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+        .withColumn("_above", F.coalesce(F.sum("_n").over(_before(keys)), F.lit(0))).drop("_n")
     )
-    numbered = rows.withColumn("_rn", F.row_number().over(local)).join(carry, [*keys, "_slice"])
-    return numbered.withColumn(name, F.col("_before") + F.col("_rn")).drop("_slice", "_rn", "_before")
+    numbered = _with_carry(rows.withColumn("_rn", F.row_number().over(_within(keys, [order]))), carry, keys)
+    return numbered.withColumn(name, F.col("_above") + F.col("_rn")).drop("_slice", "_rn", "_above")
 
 
-def fill_down(df: DataFrame, keys: list[str], order: str, column: str, name: str, width: int) -> DataFrame:
-    """The last non-null value at or above each row of a key, in slices of the numeric order column."""
-    rows = df.withColumn("_slice", F.floor(F.col(order) / F.lit(width)))
-    above = W.partitionBy(*keys, "_slice").orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow)
-    before = W.partitionBy(*keys).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
+def fill_down(df: DataFrame, keys: list[str], order: str, column: str, name: str) -> DataFrame:
+    """The last non-null value at or above each row of a key."""
+    rows = sliced(df, keys, [order])
+    here = _within(keys, [order]).rowsBetween(W.unboundedPreceding, W.currentRow)
+    rows = rows.withColumns({"_here": F.last(column, ignorenulls=True).over(here), "_rn": F.row_number().over(_within(keys, [order]))})
     carry = (
-        rows.groupBy(*keys, "_slice").agg(F.max_by(column, F.when(F.col(column).isNotNull(), F.col(order))).alias("_end"))
-        .withColumn("_above", F.last("_end", ignorenulls=True).over(before)).drop("_end")
+        rows.groupBy(*keys, "_slice").agg(F.max_by("_here", "_rn").alias("_end"))
+        .withColumn("_above", F.last("_end", ignorenulls=True).over(_before(keys))).drop("_end")
     )
-    filled = rows.withColumn("_here", F.last(column, ignorenulls=True).over(above)).join(carry, [*keys, "_slice"])
-    return filled.withColumn(name, F.coalesce("_here", "_above")).drop("_slice", "_here", "_above")
+    return _with_carry(rows, carry, keys).withColumn(name, F.coalesce("_here", "_above")).drop("_slice", "_here", "_rn", "_above")
 
 
-def iteration_state(df: DataFrame, key: str, ts: str, tie: str, score: str, improved: Column,
-                    new_sources: Column, slice_width: str = "1 day") -> DataFrame:
+def iteration_state(df: DataFrame, key: str, ts: str, tie: str, score: str, improved: Column, new_sources: Column) -> DataFrame:
     """Adds iteracion, tendencia, estancamiento and fuentes to an iteration log.
 
     tendencia      least-squares slope over the last three scores, 0 with fewer than two
     estancamiento  iterations since the last improvement
     fuentes        sources found so far
     """
-    rows = df.withColumns(
-        {
-            "_slice": F.window(F.col(ts), slice_width)["start"],
-            "_improved": F.coalesce(improved, F.lit(False)),
-            "_new": F.coalesce(new_sources, F.lit(0)),
-        }
+    rows = sliced(
+        df.withColumns({"_improved": F.coalesce(improved, F.lit(False)), "_new": F.coalesce(new_sources, F.lit(0))}), [key], [ts, tie]
     )
-    local = W.partitionBy(key, "_slice").orderBy(ts, tie)
+    local = _within([key], [ts, tie])
     upto = local.rowsBetween(W.unboundedPreceding, W.currentRow)
     rows = rows.withColumns(
         {
@@ -68,7 +93,7 @@ def iteration_state(df: DataFrame, key: str, ts: str, tie: str, score: str, impr
     rows = rows.withColumn("_hit", F.max(F.when(F.col("_improved"), F.col("_rn"))).over(upto))
 
     by_slice = W.partitionBy(key).orderBy("_slice")
-    before = by_slice.rowsBetween(W.unboundedPreceding, -1)
+    before = _before([key])
     carry = rows.groupBy(key, "_slice").agg(
         F.max("_rn").alias("_n"), F.max("_sources").alias("_s"), F.max("_hit").alias("_h"),
         F.max_by(score, "_rn").alias("_last"), F.max_by("_lag1", "_rn").alias("_next_last"),
@@ -93,7 +118,7 @@ def iteration_state(df: DataFrame, key: str, ts: str, tie: str, score: str, impr
     # equally spaced points: the slope through three of them depends on the outer two only
     trend = F.when(iteration >= 3, (c(score) - prev2) / 2).when(iteration == 2, c(score) - prev1).otherwise(F.lit(0.0))
     last_hit = F.coalesce(c("_n0") + c("_hit"), c("_h0"), F.lit(0))
-    out = rows.join(carry, [key, "_slice"]).withColumns(
+    out = _with_carry(rows, carry, [key]).withColumns(
         {
             "iteracion": iteration,
             "tendencia": trend,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from marisma.functions import fixed_values as fv
@@ -82,10 +83,13 @@ def share_outside(fact: DataFrame, members: DataFrame, key: str, keys: list[str]
 
 
 def share_by_entity(fact: DataFrame, entity: str, keys: list[str]) -> DataFrame:
-    """Each entity's share of the total of its keys; totals are sums of the parts, so the fact is read once."""
+    """Each entity's share of the total of its keys; a null key is a group like any other.
+
+    The total is a window over the parts, one row per key and entity, so the fact is read once.
+    """
     parts = fact.groupBy(*keys, entity).agg(F.sum(VALUE).alias("parte"))
-    totals = parts.groupBy(*keys).agg(F.sum("parte").alias("total"))
-    return parts.join(totals, keys).withColumn("cuota_pct", facts.percent(F.col("parte"), F.col("total")))
+    whole = parts.withColumn("total", F.sum("parte").over(W.partitionBy(*keys)))
+    return whole.withColumn("cuota_pct", facts.percent(F.col("parte"), F.col("total")))
 
 
 def monthly_trend(fact: DataFrame, keys: list[str], series: str, left: str, right: str) -> DataFrame:
@@ -97,11 +101,12 @@ def monthly_trend(fact: DataFrame, keys: list[str], series: str, left: str, righ
             F.sum(F.when(F.col(series) == right, F.col(VALUE))).cast("double").alias("serie_b"),
         )
     )
-    slopes = months.groupBy(*keys, "anio").agg(
-        F.regr_slope("serie_a", F.col("mes").cast("double")).alias("pendiente_a"),
-        F.regr_slope("serie_b", F.col("mes").cast("double")).alias("pendiente_b"),
-    )
-    return months.join(slopes, [*keys, "anio"])
+    # at most twelve rows per key and year; null keys stay
+    year = W.partitionBy(*keys, "anio")
+    return months.withColumns({
+        "pendiente_a": F.regr_slope("serie_a", F.col("mes").cast("double")).over(year),
+        "pendiente_b": F.regr_slope("serie_b", F.col("mes").cast("double")).over(year),
+    })
 
 
 def ranking(fact: DataFrame, entity: str, n: int, **params) -> DataFrame:

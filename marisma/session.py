@@ -27,29 +27,42 @@ def build_session(app: str = "marisma", **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+_GIVEN: list[str] = []
+
+
+def require_local(master: str) -> None:
+    """Executors of a cluster do not share a machine's folders."""
+    if not (master == "local" or master.startswith("local[")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+
+
 def work_dir(spark: SparkSession, name: str) -> str:
-    """A new folder below the shared checkpoint folder; a local one only where none is set."""
+    """A new folder below the shared checkpoint folder; without one, a local folder, but only on a local master."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root is None:
+        require_local(spark.sparkContext.master)
         root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _GIVEN.append(f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    return _GIVEN[-1]
 
 
 def cut_lineage(df: DataFrame, name: str = "cut") -> DataFrame:
-    """Write and read back: later stages restart from shared storage if an executor is lost."""
+    """Write and read back: later stages restart from shared storage if an executor is lost.
+
+    The write is a job that runs here and now; clear_work removes the folder.
+    """
     spark = df.sparkSession
     path = work_dir(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Even out a scan that has fewer partitions than the cluster has cores.
-
-    For work that costs far more per row than moving the row (parsing, cleaning
-    and matching whole texts) over a few large files.  A large table has more
-    splits than cores already and is left as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+def clear_work(spark: SparkSession) -> int:
+    """Delete the folders that work_dir has given out in this process; frames that read them end with that."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    gone = 0
+    while _GIVEN:
+        path = jvm.org.apache.hadoop.fs.Path(_GIVEN.pop())
+        gone += bool(path.getFileSystem(conf).delete(path, True))
+    return gone

@@ -15,6 +15,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.listener import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from marisma.operators.dedup import first_articles, last_write_wins
@@ -60,9 +61,28 @@ def read_log(spark: SparkSession, root: str, schema: str) -> DataFrame:
     return spark.read.schema(f"{schema}, {BATCH} BIGINT").parquet(root)
 
 
-def rows_dropped_late(query: StreamingQuery) -> int:
-    """Rows that came after the watermark had passed them."""
-    return sum(op.numRowsDroppedByWatermark for p in query.recentProgress for op in p.stateOperators)
+class LateRows(StreamingQueryListener):
+    """Counts rows that came after the watermark had passed them, over a whole run.
+
+    Add it with spark.streams.addListener before the query starts; recentProgress keeps only the
+    newest reports.
+    """
+
+    def __init__(self):
+        self.dropped: dict[str, int] = {}
+
+    def onQueryStarted(self, event) -> None:
+        self.dropped.setdefault(str(event.id), 0)
+
+    def onQueryProgress(self, event) -> None:
+        late = sum(op.numRowsDroppedByWatermark for op in event.progress.stateOperators)
+        self.dropped[str(event.progress.id)] = self.dropped.get(str(event.progress.id), 0) + late
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
 
 
 # ---------------------------------------------------------------- duplicates
@@ -175,7 +195,7 @@ def stream_plateau(df: DataFrame, key: str, ts: str, tie: str) -> DataFrame:
     )
 
 
-def plateau_log(df: DataFrame, root: str, checkpoint: str, key: str, ts: str, tie: str, slice_width: str = "1 day") -> StreamingQuery:
+def plateau_log(df: DataFrame, root: str, checkpoint: str, key: str, ts: str, tie: str) -> StreamingQuery:
     """stream_plateau for keys of any size: rows/batch=<id> below root.
 
     Inside a batch the numbers come from slices of a key, so no task sees a whole
@@ -188,14 +208,20 @@ def plateau_log(df: DataFrame, root: str, checkpoint: str, key: str, ts: str, ti
 
     def write(part: DataFrame, batch_id: int) -> None:
         inside = iteration_state(
-            part.withColumn("_s", F.lit(0.0)), key, ts, tie, "_s", F.col("mejora"), F.col("nuevas"), slice_width
+            part.withColumn("_s", F.lit(0.0)), key, ts, tie, "_s", F.col("mejora"), F.col("nuevas")
         )
         before = spark.createDataFrame([], state_ddl)
         if batch_id > 0:
-            before = read_log(spark, f"{root}/state", state_ddl).filter(F.col(BATCH) == batch_id - 1).drop(BATCH)
+            # the newest state below this batch; a batch after the first one must find some
+            states = read_log(spark, f"{root}/state", state_ddl).filter(F.col(BATCH) < batch_id)
+            newest = states.agg(F.max(BATCH)).first()[0]
+            if newest is None:
+                raise FileNotFoundError(f"no state before batch {batch_id} below {root}/state")
+            before = states.filter(F.col(BATCH) == newest).drop(BATCH)
         n0, e0, f0 = (F.coalesce(c, F.lit(0)) for c in ("n0", "e0", "f0"))
         no_gain = F.col("estancamiento") == F.col("iteracion")
-        rows = inside.join(before, key, "left").select(
+        before = before.withColumnRenamed(key, "_key")
+        rows = inside.join(before, F.col(key).eqNullSafe(F.col("_key")), "left").select(
             key, tie, (F.col("iteracion") + n0).cast("bigint").alias("iteracion"),
             F.when(no_gain, F.col("estancamiento") + e0).otherwise(F.col("estancamiento")).cast("bigint").alias("estancamiento"),
             (F.col("fuentes") + f0).cast("bigint").alias("fuentes"),
@@ -205,8 +231,8 @@ def plateau_log(df: DataFrame, root: str, checkpoint: str, key: str, ts: str, ti
         last = spark.read.schema(row_ddl).parquet(here).groupBy(key).agg(
             F.max(F.struct("iteracion", "estancamiento", "fuentes")).alias("_l")
         )
-        state = last.join(before, key, "full_outer").select(
-            key, F.coalesce("_l.iteracion", "n0").alias("n0"), F.coalesce("_l.estancamiento", "e0").alias("e0"),
+        state = last.join(before, F.col(key).eqNullSafe(F.col("_key")), "full_outer").select(
+            F.coalesce(key, "_key").alias(key), F.coalesce("_l.iteracion", "n0").alias("n0"), F.coalesce("_l.estancamiento", "e0").alias("e0"),
             F.coalesce("_l.fuentes", "f0").alias("f0"),
         )
         state.write.mode("overwrite").parquet(f"{root}/state/{BATCH}={batch_id}")

@@ -164,24 +164,49 @@ def _brute_state(rows):
     return out
 
 
-@pytest.mark.parametrize("width", ["1 hour", "7 hours", "10 days"])
-def test_iteration_state_equals_brute_force(spark, width):
+@pytest.mark.parametrize("parts", [1, 3, 40])
+def test_iteration_state_equals_brute_force(spark, parts):
     rnd = random.Random(7)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
     base = dt.datetime(2024, 1, 1)
     rows = [(rnd.choice("aaab"), base + dt.timedelta(minutes=rnd.choice([0, 20, 3000, rnd.randint(0, 4000)])), i, rnd.random(), rnd.random() < 0.2, rnd.randint(0, 2))
             for i in range(300)]
     df = spark.createDataFrame(rows, "k string, ts timestamp, i int, score double, gain boolean, new int")
-    out = series.iteration_state(df, "k", "ts", "i", "score", F.col("gain"), F.col("new"), width)
+    out = series.iteration_state(df, "k", "ts", "i", "score", F.col("gain"), F.col("new"))
     got = {r.i: (r.iteracion, r.estancamiento, r.fuentes, round(r.tendencia, 6)) for r in out.collect()}
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.shuffle.partitions", 8)
     assert got == _brute_state(rows)
 
 
+def test_ordered_state_keeps_null_keys_and_orders(spark):
+    rows = [("a", 1, 5), (None, 2, None), ("a", None, None), (None, 1, 7), ("a", 3, None), (None, None, 8)]
+    df = spark.createDataFrame(rows, "k string, o int, v int")
+    got = {(r.k, r.o): r.numero for r in series.number_rows(df, ["k"], "o").collect()}
+    assert got == {("a", 1): 1, ("a", 3): 2, ("a", None): 3, (None, 1): 1, (None, 2): 2, (None, None): 3}
+    got = {(r.k, r.o): r.f for r in series.fill_down(df, ["k"], "o", "v", "f").collect()}
+    assert got == {("a", 1): 5, ("a", 3): 5, ("a", None): 5, (None, 1): 7, (None, 2): 7, (None, None): 8}
+    log = df.select("k", F.timestamp_seconds("o").alias("t"), F.coalesce("o", F.lit(9)).alias("i"), F.lit(0.5).alias("s"))
+    out = series.iteration_state(log, "k", "t", "i", "s", F.lit(False), F.lit(1)).collect()
+    assert sorted((str(r.k), r.iteracion, r.fuentes) for r in out) == [(k, n, n) for k in ("None", "a") for n in (1, 2, 3)]
+
+
+def test_a_burst_of_one_key_is_cut(spark):
+    df = spark.range(4000).select(F.lit("k").alias("k"), F.col("id").alias("o"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    cut = series.sliced(df, ["k"], ["o"])
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert cut.groupBy("_slice").count().count() > 4
+    assert series.number_rows(df, ["k"], "o").filter("numero != o + 1").count() == 0
+
+
 def test_numbering_and_fill_down_across_slices(spark):
     rnd = random.Random(3)
     rows = [(rnd.choice("ab"), i, rnd.choice([None, None, i])) for i in range(200)]
     df = spark.createDataFrame(rows, "k string, o int, v int")
-    numbered = {r.o: r.numero for r in series.number_rows(df, ["k"], "o", 13).collect()}
-    filled = {r.o: r.f for r in series.fill_down(df, ["k"], "o", "v", "f", 13).collect()}
+    numbered = {r.o: r.numero for r in series.number_rows(df, ["k"], "o").collect()}
+    filled = {r.o: r.f for r in series.fill_down(df, ["k"], "o", "v", "f").collect()}
     n, last = {}, {}
     for k, o, v in rows:
         n[k] = n.get(k, 0) + 1

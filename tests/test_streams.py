@@ -81,12 +81,16 @@ def test_late_rows_are_dropped_and_counted(spark, events):
     schema = "ts TIMESTAMP, event_type STRING, value DOUBLE"
     first = spark.createDataFrame([(dt.datetime(2024, 1, 20), "a", 1.0)], schema)
     late = spark.createDataFrame([(dt.datetime(2024, 1, 1), "a", 1.0), (dt.datetime(2024, 1, 21), "a", 1.0)], schema)
+    counter = jobs.LateRows()
+    spark.streams.addListener(counter)
     for part in (first, late):
         part.coalesce(1).write.mode("append").parquet(f"{root}/in")
         rows = jobs.stream_articles(spark, f"{root}/in", first.schema, "parquet")
         daily = jobs.daily_coverage(rows, "ts", "event_type", coverage_label(F.col("value")), "2 days")
         query = jobs.log_batches(daily, f"{root}/log", f"{root}/cp", mode="update")
-    assert jobs.rows_dropped_late(query) == 1
+    spark._jsc.sc().listenerBus().waitUntilEmpty(20_000)
+    spark.streams.removeListener(counter)
+    assert counter.dropped[str(query.id)] == 1
     days = {r.dia.day for r in jobs.read_log(spark, f"{root}/log", "dia DATE").collect()}
     assert days == {20, 21}
 
