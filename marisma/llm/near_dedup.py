@@ -325,10 +325,11 @@ def near_duplicates(docs: DataFrame, cfg: NearConfig | None = None) -> DataFrame
     sketch = cut_lineage(sketch_documents(docs, cfg), "sketch")
     # the first of each distinct set; a doc_id is compared once per set it has
     firsts = sketch.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
-    reps = sketch.filter("doc_id IS NOT NULL").join(firsts, ["digest", "doc_id"], "left_semi").dropDuplicates(["digest", "doc_id"])
+    reps = sketch.filter("n_shingles > 0 AND doc_id IS NOT NULL").join(firsts, ["digest", "doc_id"], "left_semi")
     stars = cut_lineage(candidate_stars(reps.select("doc_id", "n_shingles", "minima"), cfg), "stars")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = components(verify_stars(tiles(stars, cfg).join(texts, "doc_id"), cfg))
+    # by merging, whatever the sizes: neither side is bounded
+    found = components(verify_stars(tiles(stars, cfg).hint("merge").join(texts, "doc_id"), cfg))
     named = firsts.join(found, "doc_id", "left").select("digest", F.coalesce("component_id", "doc_id").alias("found"))
     return (
         sketch.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
