@@ -126,12 +126,14 @@ def _(spark, d):
 
 
 @query("F09_truncation", """
-SELECT doc_id, text[:8000] AS cuerpo, CASE WHEN length(text) > 300 THEN text[:300] || '...' ELSE text END AS vista FROM documents
+SELECT doc_id, text[:8000] AS cuerpo, CASE WHEN length(text) > 300 THEN text[:300] || '...' ELSE text END AS vista,
+  text[:500] AS titulo, text[:200] AS autor, text[:100] AS formato FROM documents
 """)
 def _(spark, d):
     return docs(spark, d).select(
         "doc_id", F.substring("text", 1, fv.TRUNCATION["prompt_body"]).alias("cuerpo"),
         text.truncate(F.col("text"), fv.TRUNCATION["display"], "...").alias("vista"),
+        *[F.substring("text", 1, fv.TRUNCATION[k]).alias(name) for k, name in (("title", "titulo"), ("author", "autor"), ("format", "formato"))],
     )
 
 
@@ -250,6 +252,30 @@ def _(spark, d):
     )
 
 
+_PRESS = "CASE page_id % 6 WHEN 0 THEN 'https://www.DiarioDeSevilla.es/' WHEN 1 THEN 'https://elpais.com/espana/' WHEN 2 THEN 'https://elcorreoweb.es/andalucia/' WHEN 3 THEN 'https://eldiario.es/andalucia/' WHEN 4 THEN 'https://www.ideal.es/' ELSE 'https://otro.es/' END || url"
+
+
+@query("P22_newspaper_route", f"""
+SELECT page_id, CASE WHEN contains(u, 'diariodesevilla.es') THEN 'diariodesevilla' WHEN contains(u, 'elpais.com/espana/') THEN 'elpais' WHEN contains(u, 'elcorreoweb.es/andalucia') THEN 'elcorreoweb'
+  WHEN contains(u, 'eldiario.es/andalucia/') THEN 'eldiario' WHEN contains(u, 'www.ideal.es') THEN 'ideal' END AS periodico,
+ CASE WHEN contains(u, 'elcorreoweb.es/andalucia') THEN 'El Correo Web' WHEN contains(u, 'diariodesevilla.es') THEN 'Diario de Sevilla' ELSE 'abc_diariosur' END AS origen
+FROM (SELECT page_id, lower({_PRESS}) AS u FROM pages)
+""".replace("'Diario de Sevilla'", "'" + dict(fv.ORIGIN_ROUTES)["diariodesevilla.es"] + "'"))
+def _(spark, d):
+    u = F.expr(_PRESS)
+    return table(spark, d, "pages").select("page_id", text.newspaper_route(u).alias("periodico"), text.origin_name(u).alias("origen"))
+
+
+@query("P24_no_result", """
+SELECT conv_id, turn, regexp_matches(lower(t), 'no he encontrado|no se encontraron|no dispongo de noticias|no hay noticias|no se hallaron') AS vacia
+FROM (SELECT conv_id, turn, CASE turn % 4 WHEN 1 THEN 'No hay noticias de ' WHEN 3 THEN 'Lo siento, NO SE HALLARON resultados: ' ELSE '' END || text AS t FROM conversations)
+""")
+def _(spark, d):
+    k = F.col("turn") % 4
+    reply = F.concat(F.when(k == 1, F.lit("No hay noticias de ")).when(k == 3, F.lit("Lo siento, NO SE HALLARON resultados: ")).otherwise(F.lit("")), "text")
+    return table(spark, d, "conversations").select("conv_id", "turn", text.is_no_result(reply).alias("vacia"))
+
+
 @query("P22_query_intent", """
 SELECT conv_id, turn, CASE WHEN regexp_matches(t, 'historicos|historical|museums|monuments|culture|patrimonio') THEN 'historical'
   WHEN regexp_matches(t, 'dias|days|itinerary|trip|viaje|ruta|visit') THEN 'travel'
@@ -660,7 +686,7 @@ def _(spark, d):
 
 
 @query("H01_page_text", f"""
-SELECT page_id, CASE WHEN length(t) > 3000 THEN t[:3000] || '...' ELSE t END AS texto FROM (SELECT page_id, {visible('html', DROP)} AS t FROM pages) WHERE length(t) >= 100
+SELECT page_id, t AS texto FROM (SELECT page_id, {visible('html', DROP)} AS t FROM pages) WHERE length(t) >= 100
 """)
 def _(spark, d):
     return pages.page_text(table(spark, d, "pages")).select("page_id", "texto")
@@ -668,15 +694,14 @@ def _(spark, d):
 
 @query("H01_whole_page_text", f"SELECT page_id, md5({visible('html', DROP)}) AS h FROM pages WHERE length({visible('html', DROP)}) >= 100")
 def _(spark, d):
-    return pages.page_text(table(spark, d, "pages"), max_chars=None).select("page_id", F.md5("texto").alias("h"))
+    return pages.page_text(table(spark, d, "pages")).select("page_id", F.md5("texto").alias("h"))
 
 
 _EVID = visible("html", ["script", "style", "nav", "footer", "aside", "header", "menu"], fv.PAGE_AD_CLASSES)
 
 
 @query("H01_evidence_text", f"""
-SELECT page_id, md5(array_to_string(CASE WHEN len(w) > 1000 THEN w[:800] WHEN len(w) > 500 THEN w[:500] ELSE w END, ' ')) AS h,
-  CASE WHEN len(w) > 1000 THEN 800 WHEN len(w) > 500 THEN 500 ELSE len(w) END AS palabras
+SELECT page_id, md5(array_to_string(w, ' ')) AS h, len(w) AS palabras
 FROM (SELECT page_id, string_split({_EVID}, ' ') AS w FROM pages) WHERE len(w) >= 30
 """)
 def _(spark, d):
@@ -1043,10 +1068,16 @@ def _(spark, d):
 
 @query("F37_flatten_candidates", """
 SELECT event_id, event_type AS title, '' AS source, '' AS url, '' AS published FROM events UNION ALL SELECT event_id, 'noticia ' || event_id, event_type, '', '' FROM events
+UNION ALL SELECT event_id, 'hondo', 'p ' || user_id, 'u', CAST(CAST(ts AS DATE) AS VARCHAR) FROM events
 """)
 def _(spark, d):
     inner = F.array(F.struct(F.concat(F.lit("noticia "), "event_id").alias("headline"), F.col("event_type").alias("fuente")))
-    payload = F.to_json(F.struct(F.struct(inner.alias("items")).alias("result"), F.col("event_type").alias("title")))
+    deep = F.struct(
+        F.lit(" hondo ").alias("title"), F.concat(F.lit(" p "), "user_id").alias("publisher"), F.lit("u ").alias("link"),
+        F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd").alias("publishedDate"))
+    for level in "abcdefgh":
+        deep = F.struct(deep.alias(level))
+    payload = F.to_json(F.struct(F.struct(inner.alias("items")).alias("result"), F.col("event_type").alias("title"), deep.alias("extra")))
     rows = table(spark, d, "events").select("event_id", payload.alias("payload"))
     return articles.flatten_candidates(rows, "payload", ["event_id"])
 
@@ -1066,7 +1097,7 @@ def _(spark, d):
 
 
 @query("F39_prompt_batch", f"""
-WITH d AS (SELECT doc_id, lang, {TITLE} AS t, text[:8000] AS b FROM documents)
+WITH d AS (SELECT doc_id, lang, {TITLE} AS t, text AS b FROM documents)
 SELECT doc_id, c AS call, k AS topic FROM d, (VALUES ('classify', NULL), ('summarize', NULL), ('entities', NULL), ('radar', 'vivienda'), ('radar', 'economia'), ('radar', 'sanidad'),
  ('radar', 'seguridad'), ('radar', 'educacion'), ('radar', 'transporte')) x(c, k) WHERE c <> 'classify' OR (t, b) NOT IN (SELECT (t, b) FROM d WHERE lang = 'fr')
 """)

@@ -223,6 +223,22 @@ def _(spark, d):
     return facts.pivot_values(long, ["l_suppkey", "anio", "mes"], "codigo", "valor", ["cantidad", "precio", "descuento", "impuesto"])
 
 
+_CODES = list(dict.fromkeys(code for code, _ in fv.KPI_COLUMNS.values()))
+
+
+@query("A04_pivot_all_kpis", f"""
+WITH l AS (SELECT l_suppkey, list_extract({_CODES}, CAST(1 + l_partkey % {len(_CODES)} AS INT)) AS codigo, l_quantity AS valor_absoluto, l_discount AS variacion_interanual FROM lineitem)
+SELECT l_suppkey, {", ".join(f"max({m}) FILTER (codigo = '{c}') AS {k}" for k, (c, m) in fv.KPI_COLUMNS.items())} FROM l GROUP BY ALL
+""")
+def _(spark, d):
+    """The published indicators, one column each."""
+    codes = F.array(*[F.lit(c) for c in _CODES])
+    long = table(spark, d, "lineitem").select(
+        "l_suppkey", F.get(codes, (F.col("l_partkey") % len(_CODES)).cast("int")).alias("codigo"),
+        F.col("l_quantity").alias("valor_absoluto"), F.col("l_discount").alias("variacion_interanual"))
+    return facts.pivot_measures(long, ["l_suppkey"], "codigo", fv.KPI_COLUMNS)
+
+
 # ---------------------------------------------------------------- lookups
 
 _ALIASES = """
@@ -301,16 +317,16 @@ def _(spark, d):
     ).select("c_custkey", F.col("n_nationkey").alias("id_pais"), F.col("r_regionkey").alias("id_region"))
 
 
-@query("J11_mapping_join", """
-SELECT n_nationkey, m.iso, m.pais FROM nation LEFT JOIN (VALUES (0, 'Francia', 'FRA'), (1, 'Alemania', 'DEU'), (2, 'Reino Unido', 'GBR'),
-  (3, 'Italia', 'ITA'), (4, 'Portugal', 'PRT'), (5, 'Países Bajos', 'NLD'), (6, 'Bélgica', 'BEL')) m(k, pais, iso) ON n_nationkey = k
+@query("J11_mapping_join", f"""
+SELECT c_custkey, m.iso, m.pais FROM customer LEFT JOIN (VALUES {", ".join(f"({i}, '{n}', '{c}')" for i, (n, c) in enumerate(fv.COUNTRY_ISO.items()))}) m(k, pais, iso)
+  ON c_custkey % {len(fv.COUNTRY_ISO) + 2} = k
 """)
 def _(spark, d):
-    names = list(fv.COUNTRY_ISO)[:7]
-    country = F.get(F.array(*[F.lit(n) for n in names]), F.col("n_nationkey"))
+    names = F.array(*[F.lit(n) for n in fv.COUNTRY_ISO])
+    country = F.get(names, (F.col("c_custkey") % (len(fv.COUNTRY_ISO) + 2)).cast("int"))
     mapping = spark.createDataFrame(list(fv.COUNTRY_ISO.items()), "pais string, iso string")
-    rows = table(spark, d, "nation").select("n_nationkey", country.alias("pais"))
-    return rows.join(mapping, "pais", "left").select("n_nationkey", "iso", "pais")
+    rows = table(spark, d, "customer").select("c_custkey", country.alias("pais"))
+    return rows.join(mapping, "pais", "left").select("c_custkey", "iso", "pais")
 
 
 @query("J12_scope_classification", """

@@ -166,13 +166,16 @@ def _(spark, d):
 
 @query("F27_report_indicators", """
 SELECT o_orderkey, 'viajeros_hoteles' AS indicator, CAST(o_totalprice AS DOUBLE) AS value FROM orders UNION ALL SELECT o_orderkey, 'llegadas_aeropuertos', NULL FROM orders
-UNION ALL SELECT o_orderkey, 'gasto_medio_diario', CAST(o_custkey AS DOUBLE) FROM orders
+UNION ALL SELECT o_orderkey, 'gasto_medio_diario', CAST(o_custkey AS DOUBLE) FROM orders UNION ALL SELECT o_orderkey, 'pernoctaciones_hoteles', CAST(o_orderkey AS DOUBLE) FROM orders
+UNION ALL SELECT o_orderkey, 'turistas_millones', CAST(o_custkey AS DOUBLE) FROM orders UNION ALL SELECT o_orderkey, 'estancia_media_dias', NULL FROM orders
 """)
 def _(spark, d):
     body = F.concat(F.lit("Ficha. Número de  viajeros en establecimientos hoteleros : "), _eu(F.col("o_totalprice")),
-                    F.lit("\nLLEGADAS de pasajeros a aeropuertos andaluces: N/A\nGasto medio diario (euros): "), F.col("o_custkey").cast("string"), F.lit(" fin"))
+                    F.lit("\nLLEGADAS de pasajeros a aeropuertos andaluces: N/A\nGasto medio diario (euros): "), F.col("o_custkey").cast("string"),
+                    F.lit(" fin\nNúmero de pernoctaciones en establecimientos hoteleros: "), F.col("o_orderkey").cast("string"),
+                    F.lit("\nNúmero de turistas (millones) : "), F.col("o_custkey").cast("string"))
     rows = table(spark, d, "orders").select("o_orderkey", F.explode(numbers.report_indicators(body)).alias("x"))
-    return rows.select("o_orderkey", "x.indicator", "x.value").filter(F.col("indicator").isin("viajeros_hoteles", "llegadas_aeropuertos", "gasto_medio_diario"))
+    return rows.select("o_orderkey", "x.indicator", "x.value")
 
 
 @query("S05_choose_sheet", FACT + f"""

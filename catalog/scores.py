@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from catalog.base import STAR, indicators, money, passages, provinces, query, star_fact, table
 from catalog.corpus import TITLE, docs, title_col, toks
+from marisma.functions import fixed_values as fv
 from marisma.functions import numbers, text
 from marisma.operators import articles, evidence, facts, series, upserts
 from marisma.operators.dedup import existing_ids, insert_ignore
@@ -74,6 +75,25 @@ def _(spark, d):
     return series.strategy_posterior(rows, "event_type", "r").withColumn("media", F.round("media", 9))
 
 
+_ACCOUNTS = list(fv.SOCIAL_ACCOUNTS)
+
+
+@query("J11_account_reach", f"""
+WITH e AS (SELECT list_extract({_ACCOUNTS + ["desconocida"]}, CAST(1 + user_id % {len(_ACCOUNTS) + 1} AS INT)) AS cuenta FROM events),
+ k(cuenta, alcance, afinidad) AS (VALUES {", ".join(f"('{a}', {r}.0::DOUBLE, {f}.0::DOUBLE)" for a, (r, f) in fv.SOCIAL_ACCOUNTS.items())}),
+ p AS (SELECT cuenta, count(*) AS publicaciones FROM e GROUP BY 1)
+SELECT cuenta, publicaciones, coalesce(afinidad, 0) AS affinity, coalesce(alcance, 0) AS reach, round(1.0 - 0.165 * coalesce(alcance, 0) / 100, 6) AS r, round(0.65 - 0.65 * coalesce(alcance, 0) / 100, 6) AS g
+FROM p LEFT JOIN k USING (cuenta)
+""")
+def _(spark, d):
+    """Posts of accounts, with what is known of the account, as points of the scatter chart."""
+    names = F.array(*[F.lit(a) for a in [*_ACCOUNTS, "desconocida"]])
+    posts = events(spark, d).select(F.get(names, (F.col("user_id") % (len(_ACCOUNTS) + 1)).cast("int")).alias("cuenta"))
+    known = series.account_points(posts, "cuenta")
+    points = series.scatter_points(known, "cuenta", "afinidad", "alcance").withColumns({c: F.round(c, 6) for c in "rg"}).drop("b")
+    return points.join(known.select("cuenta", "publicaciones"), "cuenta")
+
+
 @query("A27_scatter_points", """
 SELECT user_id, affinity, reach, round(1.0 - 0.165 * reach / 100, 6) AS r, round(0.65 - 0.65 * reach / 100, 6) AS g, 0.0::DOUBLE AS b FROM (
  SELECT user_id, greatest(0, least(100, max(value) - 100)) AS affinity, greatest(0, least(100, max(value))) AS reach FROM events GROUP BY user_id)
@@ -220,8 +240,8 @@ WITH claims AS (SELECT item_id AS claim_id, {TITLE} AS texto, item_id % 3 = 0 AS
    CASE WHEN NOT tagged THEN 'no_aplica' WHEN present IS NULL THEN 'no_disponible' WHEN value IS NULL THEN 'datos_insuficientes' WHEN claim_value = value THEN 'exacta' WHEN abs(claim_value - value) / greatest(value, 1) <= 0.1 THEN 'aproximada' ELSE 'contradictoria' END AS coincidencia FROM j),
  t AS (SELECT *, prensa + web + oficial AS total, CASE WHEN prensa <= 0 THEN 0 WHEN fuentes >= 2 THEN fuentes ELSE 1 END + CASE WHEN web > 0 THEN 1 ELSE 0 END + CASE WHEN oficial > 0 THEN 1 ELSE 0 END AS apoyos FROM k),
  v AS (SELECT *, CASE WHEN total >= 5 AND apoyos >= 2 THEN 'Verdadera' ELSE 'Falsa' END AS veredicto FROM t),
- scored AS (SELECT *, CASE WHEN veredicto = 'Verdadera' THEN least(1.0, greatest(0.5, CASE WHEN total = 0 THEN 1.0 ELSE total / 10 END))
-   ELSE greatest(-1.0, least(-0.5, CASE WHEN total = 0 THEN -1.0 ELSE -abs(total) / 10 END)) END::DOUBLE AS escala FROM v)
+ scored AS (SELECT *, CASE WHEN escala > 0.2 THEN 'true' WHEN escala < -0.2 THEN 'fake' ELSE 'insufficient' END AS clase FROM (SELECT *, CASE WHEN veredicto = 'Verdadera' THEN least(1.0, greatest(0.5, CASE WHEN total = 0 THEN 1.0 ELSE total / 10 END))
+   ELSE greatest(-1.0, least(-0.5, CASE WHEN total = 0 THEN -1.0 ELSE -abs(total) / 10 END)) END::DOUBLE AS escala FROM v))
 """
 
 
@@ -249,12 +269,12 @@ for _name, _cols in {
     "K02_web_score": ["claim_id", "web"],
     "K03_official_score": ["claim_id", "oficial", "coincidencia"],
     "K04_verdict": ["claim_id", "total", "apoyos", "veredicto"],
-    "K05_signed_score": ["claim_id", "escala"],
+    "K05_signed_score": ["claim_id", "escala", "clase"],
     "J13_claims_with_evidence": ["claim_id", "prensa", "web", "oficial", "total"],
     "A25_supporting_sources": ["claim_id", "apoyos"],
 }.items():
     def _run(spark, d, cols=_cols):
-        out = _claims(spark, d)
+        out = _claims(spark, d).withColumn("clase", numbers.score_class(F.col("escala")))
         return out.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("fuentes", "menciones")}).select(*cols)
 
     query(_name, _CLAIM_SQL + f"SELECT {', '.join(_cols)} FROM scored")(_run)
@@ -470,15 +490,16 @@ def _(spark, d):
 WITH o AS (SELECT o_orderkey, o_custkey + CASE WHEN o_orderkey % 100 = 7 THEN 100000000 ELSE 0 END AS o_custkey, year(o_orderdate) + 26 AS anio, month(o_orderdate) + CASE WHEN o_orderkey % 50 = 3 THEN 12 ELSE 0 END AS mes FROM orders)
 SELECT CAST(o_orderkey AS VARCHAR) AS clave, 'ck_mes' AS regla FROM o WHERE mes NOT BETWEEN 1 AND 12
 UNION ALL SELECT CAST(o_orderkey AS VARCHAR), 'ck_anio' FROM o WHERE anio NOT BETWEEN 2021 AND 2026
+UNION ALL SELECT CAST(o_orderkey AS VARCHAR), 'ck_fecha' FROM o WHERE o_orderkey % 50 = 3 OR o_orderkey % 40 = 11
 UNION ALL SELECT CAST(o_orderkey AS VARCHAR), 'fk_o_custkey' FROM o WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)
 """)
 def _(spark, d):
     k = F.col("o_orderkey")
     rows = table(spark, d, "orders").select(
         "o_orderkey", (F.col("o_custkey") + F.when(k % 100 == 7, 100000000).otherwise(0)).alias("o_custkey"),
-        (F.year("o_orderdate") + 26).alias("anio"), (F.month("o_orderdate") + F.when(k % 50 == 3, 12).otherwise(0)).alias("mes"))
+        (F.year("o_orderdate") + 26).alias("anio"), (F.month("o_orderdate") + F.when(k % 50 == 3, 12).otherwise(0)).alias("mes"),
+        F.make_date(F.year("o_orderdate") + 26, F.month("o_orderdate"), F.when(k % 40 == 11, 2).otherwise(1)).alias("fecha_periodo"))
     rules = {**upserts.fact_rules(), "ck_anio": F.col("anio").between(2021, 2026)}
-    rules.pop("ck_fecha")
     broken = upserts.check_rules(rows, "o_orderkey", rules)
     return broken.unionByName(upserts.check_foreign_key(rows, "o_orderkey", "o_custkey", table(spark, d, "customer"), "c_custkey"))
 

@@ -149,6 +149,15 @@ def first_route(col: Column, rules: list[tuple[str, str]], default: str | None =
     return out
 
 
+def newspaper_route(url: Column) -> Column:
+    """Which newspaper a URL belongs to; null for others."""
+    return first_route(F.lower(url), fv.NEWSPAPER_ROUTES)
+
+
+def origin_name(url: Column) -> Column:
+    return first_route(F.lower(url), fv.ORIGIN_ROUTES, fv.ORIGIN_DEFAULT)
+
+
 def query_intent(col: Column) -> Column:
     out = F.lit(fv.DEFAULT_INTENT)
     for label, needles in reversed(fv.QUERY_INTENTS):

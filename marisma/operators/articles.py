@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from marisma.functions import fixed_values as fv
 from marisma.functions import text, times, urls
+from marisma.session import cut_lineage
 
 # where each field may live in a raw record, best first; dots reach into structs
 FIELD_SOURCES = {
@@ -245,10 +246,11 @@ def apply_model_fields(df: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- model plumbing
 
-def prompt_batch(df: DataFrame, key: str, title: str, body: str, cache: DataFrame | None = None) -> DataFrame:
+def prompt_batch(df: DataFrame, key: str, title: str, body: str, cache: DataFrame | None = None,
+                 max_body: int | None = None) -> DataFrame:
     """Request rows, nine per article: classify, summarize, entities and one per topic.
 
-    Each row has the sha256 key of its payload; rows whose key is cached are left out.
+    Bodies are whole unless max_body cuts them.  Each row has the sha256 key of its payload; rows whose key is cached are left out.
     """
     calls = [("classify", None, None), ("summarize", None, None), ("entities", None, None)]
     calls += [("radar", topic, axes) for topic, axes in fv.TOPIC_AXES.items()]
@@ -265,7 +267,7 @@ def prompt_batch(df: DataFrame, key: str, title: str, body: str, cache: DataFram
     cut = df.select(
         key,
         F.col(title).alias("title"),
-        F.substring(F.col(body), 1, fv.TRUNCATION["prompt_body"]).alias("body"),
+        (F.substring(F.col(body), 1, max_body) if max_body else F.col(body)).alias("body"),
     )
     rows = cut.withColumn("c", F.explode(call_array)).select(key, "c.call", "c.topic", "c.axes", "title", "body")
     payload = F.to_json(F.struct("axes", "body", "call", "title", "topic"))
@@ -290,14 +292,16 @@ def reply_fields(df: DataFrame, reply: str, schema: str) -> DataFrame:
     )
 
 
-def flatten_candidates(df: DataFrame, payload: str, keys: list[str], depth: int = 4) -> DataFrame:
+def flatten_candidates(df: DataFrame, payload: str, keys: list[str]) -> DataFrame:
     """Every object nested in a JSON payload, with the usual spellings of its fields.
 
-    Objects are found level by level to a fixed depth; one without a title is no candidate.
+    Objects are found level by level until a level is empty, each level written once; one without a
+    title is no candidate.
     """
-    level = df.select(*keys, F.try_parse_json(payload).alias("node"))
+    level = cut_lineage(df.select(*keys, F.col(payload).alias("json")).filter(F.col("json").isNotNull()), "level")
     found = None
-    for _ in range(depth):
+    while found is None or not level.isEmpty():
+        level = level.select(*keys, F.try_parse_json("json").alias("node"))
         objects = level.filter(F.schema_of_variant("node").startswith("OBJECT"))
 
         def field(*names: str) -> Column:
@@ -306,15 +310,14 @@ def flatten_candidates(df: DataFrame, payload: str, keys: list[str], depth: int
         hits = objects.select(
             *keys,
             text.strip(field("title", "headline", "titulo")).alias("title"),
-            field("source", "fuente").alias("source"),
-            field("sourceUrl", "url", "link").alias("url"),
-            field("publishedAt", "published_at", "published", "date", "fecha").alias("published"),
+            text.strip(field("source", "publisher", "mediaSource", "fuente")).alias("source"),
+            text.strip(field("sourceUrl", "url", "link")).alias("url"),
+            text.strip(field("published_at", "publishedAt", "date", "publishedDate", "published", "fecha")).alias("published"),
         ).filter(F.col("title") != "")
         found = hits if found is None else found.unionByName(hits)
         nested = level.filter(F.rlike(F.schema_of_variant("node"), F.lit("^(OBJECT|ARRAY)")))
-        level = nested.lateralJoin(
-            spark_variant_children("node"), how="inner"
-        ).select(*keys, F.col("child").alias("node"))
+        children = nested.lateralJoin(spark_variant_children("node"), how="inner")
+        level = cut_lineage(children.select(*keys, F.to_json("child").alias("json")).filter(F.rlike("json", F.lit(r"^[\[{]"))), "level")
     return found
 
 

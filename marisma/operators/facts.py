@@ -150,6 +150,11 @@ def pivot_values(df: DataFrame, keys: list[str], code: str, value: str, codes: l
     return df.groupBy(*keys).agg(*[how(F.when(F.col(code) == c, F.col(value))).alias(c) for c in codes])
 
 
+def pivot_measures(df: DataFrame, keys: list[str], code: str, columns: dict[str, tuple[str, str]]) -> DataFrame:
+    """One column per (code, measure), as conditional aggregates."""
+    return df.groupBy(*keys).agg(*[F.max(F.when(F.col(code) == c, F.col(m))).alias(name) for name, (c, m) in columns.items()])
+
+
 def merge_sections(df: DataFrame, keys: list[str], section: str, value: str, order: str, sections: list[str]) -> DataFrame:
     """One wide row per key with the last value of every section."""
     return df.groupBy(*keys).agg(
@@ -252,12 +257,7 @@ def wide_kpis(fact: DataFrame, calendario: DataFrame, provincias: DataFrame, mer
     kpis = kpis or fv.KPI_COLUMNS
     keys = ["anio", "mes", "fecha_periodo", "date_id", "id_provincia", "id_mercado", "id_tipo_turismo"]
     named = fact.join(indicadores.select("id_indicador", "codigo_indicador"), "id_indicador", "left")
-    wide = named.groupBy(*keys).agg(
-        *[
-            F.max(F.when(F.col("codigo_indicador") == code, F.col(measure))).alias(column)
-            for column, (code, measure) in kpis.items()
-        ]
-    )
+    wide = pivot_measures(named, keys, "codigo_indicador", kpis)
     return (
         wide.join(calendario.select("date_id", "mes_nombre_es", "trimestre", "semestre"), "date_id", "left")
         .join(provincias.select("id_provincia", "codigo_provincia", "nombre_provincia"), "id_provincia", "left")

@@ -35,16 +35,18 @@ def _province(category: Column) -> Column:
     return F.when(category.isin(list(fv.PROVINCE_CODES)), F.initcap(category))
 
 
-def grid_to_metrics(grid: DataFrame, min_abs: float = 1.0, first_row: int = 10, last_row: int = 200) -> DataFrame:
+def grid_to_metrics(grid: DataFrame, min_abs: float = 1.0, first_row: int = 10, last_row: int | None = None) -> DataFrame:
     """Sheet lines to long facts.
 
     A line with period headings sets the value columns of the lines below, a line
     without numbers sets their section.  A value that is missing or under min_abs
     is looked for up to three columns to the right, then to the left; min_abs 0
-    accepts every number.  The change must be smaller than the value.
+    accepts every number.  The change must be smaller than the value.  Lines above first_row are the
+    report's head; last_row, if given, is where its notes begin.
     """
     # ---- lines and what they are
-    rows = sheet_rows(grid).filter(F.col("row").between(first_row, last_row))
+    rows = sheet_rows(grid).filter(F.col("row") >= first_row)
+    rows = rows if last_row is None else rows.filter(F.col("row") <= last_row)
     rows = rows.withColumn("_n", F.transform("celdas", lambda v: parse_number(v, "grid")))
     # cells that are words, not numbers or blanks
     rows = rows.withColumn(

@@ -41,19 +41,19 @@ def cut_words(body: Column, steps: list[tuple[int, int]]) -> Column:
     return out
 
 
-def page_text(pages: DataFrame, html: str = "html", max_chars: int | None = 3000, min_chars: int = 100,
+def page_text(pages: DataFrame, html: str = "html", max_chars: int | None = None, min_chars: int = 100,
               drop_tags: list[str] | None = None) -> DataFrame:
-    """Cleaned page text; the cut is the size a prompt allows, None keeps whole texts."""
+    """Cleaned page text, whole unless max_chars says what a prompt allows."""
     body = strip_markup(F.col(html), drop_tags or fv.PAGE_DROP_TAGS)
     if max_chars:
         body = text.truncate(body, max_chars, "...")
     return pages.withColumn("texto", body).filter(F.length("texto") >= min_chars)
 
 
-def evidence_text(pages: DataFrame, html: str = "html", min_words: int = 30) -> DataFrame:
-    """Page text as evidence: 800 words of long pages, 500 of medium ones, none of stubs."""
+def evidence_text(pages: DataFrame, html: str = "html", min_words: int = 30, steps: list[tuple[int, int]] | None = None) -> DataFrame:
+    """Page text as evidence, none of stubs; steps cut it, such as [(1000, 800), (500, 500)] words."""
     body = strip_markup(F.col(html), ["script", "style", "nav", "footer", "aside", "header", "menu"], fv.PAGE_AD_CLASSES)
-    rows = pages.withColumn("contenido", cut_words(body, [(1000, 800), (500, 500)]))
+    rows = pages.withColumn("contenido", cut_words(body, steps or []))
     return rows.withColumn("palabras", F.size(text.tokens(F.col("contenido")))).filter(F.col("palabras") >= min_words)
 
 

@@ -35,14 +35,14 @@ def chunk_table(docs: DataFrame, key: str, body: str, size: int = 1000, overlap:
     return rows.withColumn("vector_id", F.concat_ws("_", F.col(key), F.col("chunk_index")))
 
 
-def vector_table(chunked: DataFrame, key: str, dim: int = 384, model=None) -> DataFrame:
-    """Rows of the vector collection."""
+def vector_table(chunked: DataFrame, key: str, dim: int = 384, model=None, max_text: int | None = None) -> DataFrame:
+    """Rows of the vector collection; max_text cuts the stored text to what a store allows."""
     return chunked.select(
         F.col("vector_id").alias("id"),
         chunking.embed(F.col("chunk_text"), dim, model).alias("vector"),
         F.col(key).alias("document_id"),
         "chunk_index",
-        F.substring("chunk_text", 1, fv.TRUNCATION["chunk_text"]).alias("text"),
+        (F.substring("chunk_text", 1, max_text) if max_text else F.col("chunk_text")).alias("text"),
     )
 
 

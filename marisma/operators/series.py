@@ -187,6 +187,13 @@ def outlet_affinity(df: DataFrame, ts: str, outlet: str, affinity: str, as_of: C
     return per.join(totals, "ventana").select("ventana", "medio", "afinidad", "articulos", share.alias("cuota_articulos"))
 
 
+def account_points(df: DataFrame, account: str) -> DataFrame:
+    """Posts per known account with its reach and affinity; unknown accounts stay without."""
+    known = df.sparkSession.createDataFrame([(a, float(r), float(f)) for a, (r, f) in fv.SOCIAL_ACCOUNTS.items()], "_a string, alcance double, afinidad double")
+    posts = df.groupBy(account).agg(F.count("*").alias("publicaciones"))
+    return posts.join(known, F.col(account) == F.col("_a"), "left").drop("_a")
+
+
 def scatter_points(df: DataFrame, name: str, affinity: str, reach: str) -> DataFrame:
     """Affinity and reach kept in 0..100 with the color of the reach, small reach first."""
     from marisma.functions.numbers import clamp, reach_color

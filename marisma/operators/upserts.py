@@ -121,7 +121,8 @@ def fact_rules() -> dict[str, Column]:
     return {
         "ck_mes": F.col("mes").between(1, 12),
         "ck_anio": F.col("anio").between(2021, 2030),
-        "ck_fecha": F.col("fecha_periodo") == F.make_date("anio", "mes", F.lit(1)),
+        # by parts: there is no date to compare with when the month is none
+        "ck_fecha": (F.year("fecha_periodo") == F.col("anio")) & (F.month("fecha_periodo") == F.col("mes")) & (F.dayofmonth("fecha_periodo") == 1),
     }
 
 

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marisma.functions import fixed_values as fv
-from marisma.functions import text
 from marisma.operators import articles, search
 from marisma.operators.dedup import first_articles
 from marisma.session import cut_lineage
@@ -16,9 +15,11 @@ def news_search(news: DataFrame, query: str, as_of: Column, limit: int = 30, lat
                 latest_min: int = 12, recent_days: int = fv.SEARCH_RECENT_DAYS) -> DataFrame:
     """Articles (id, title, body, url, published) for one query.
 
-    The smallest date window with a hit wins.  A query for the latest news is cut
-    to its own size.  Repeats of (title, url) are dropped, undated rows come last.
+    The smallest date window with a hit wins.  A query for the latest news that so finds fewer than
+    latest_min articles is answered by the latest_limit best hits of any date instead, and is cut to
+    latest_limit.  Repeats of (title, url) are dropped, undated rows come last.
     """
+    wants_latest = any(word in query.lower() for word in fv.RECENCY_WORDS)
     asked = news.sparkSession.range(1).select(F.lit(0).alias("qid"), F.lit(query).alias("qtext"))
     body = F.concat_ws(" ", "title", "body")
     hits = search.keyword_scores(news, "id", body, asked).select("id", F.round("bm25", 9).alias("bm25"))
@@ -28,9 +29,11 @@ def news_search(news: DataFrame, query: str, as_of: Column, limit: int = 30, lat
     best = windowed.orderBy(F.desc("bm25"), "id").limit(limit).select("id", "bm25")
     best = cut_lineage(news.join(best, "id"), "hits")  # at most limit rows, looked at twice below
     kept = first_articles(best, ["title", "url"], "id")
+    if wants_latest and kept.count() < latest_min:
+        direct = dated.join(hits, "id").orderBy(F.desc("bm25"), "id").limit(latest_limit).select("id", "bm25")
+        kept = first_articles(cut_lineage(news.join(direct, "id"), "hits"), ["title", "url"], "id")
     recent = articles.search_recent(kept, "published", as_of, recent_days)
     ordered = articles.newest_first(recent, "published", "id")
-    wants_latest = any(word in query.lower() for word in fv.RECENCY_WORDS)
     return ordered.limit(latest_limit) if wants_latest else ordered
 
 
@@ -44,8 +47,3 @@ def news_filter(hits: DataFrame, all_words: list[str] | None = None, label: Colu
     if person:
         hits = hits.filter(F.array_contains(persons, person))
     return hits
-
-
-def search_keys(df: DataFrame) -> DataFrame:
-    """Key columns used to tell articles apart."""
-    return df.withColumn("title_norm", text.normalize_title(F.col("title")))

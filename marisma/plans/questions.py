@@ -127,11 +127,6 @@ def largest_changes(fact: DataFrame, keys: list[str], n: int) -> DataFrame:
     return series.orderBy(F.desc(F.abs("variacion_pct")), *keys, "anio", "mes").limit(n)
 
 
-def month_groups() -> list[tuple[str, int]]:
-    """(group, month) rows of the season and quarter table."""
-    return [(group, month) for group, months in fv.MONTH_GROUPS.items() for month in months]
-
-
 def season_of_months(df: DataFrame, month: str = "mes") -> DataFrame:
     """One row per group a month belongs to."""
     groups = F.array_compact(

@@ -111,5 +111,3 @@ def stage_sheets(grid: DataFrame) -> DataFrame:
     )
 
 
-def blank_to_null(col: Column) -> Column:
-    return F.nullif(strip(col), F.lit(""))

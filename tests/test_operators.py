@@ -115,6 +115,42 @@ def test_grid_without_headings_guesses_its_columns(spark):
     assert [(r.periodo_tipo, r.metrica_valor, r.variacion_interanual) for r in got] == [("acumulado", 120.0, 1.5)]
 
 
+def test_grid_lines_far_down_are_read(spark):
+    head = [("05_extranjeros_feb24.xlsx", "ficha", r, 1, f"Viajeros {r}") for r in (12, 201, 350, 5000)]
+    rows = [*head, *[(f, s, r, 3, str(r)) for f, s, r, _, _ in head], *[(f, s, r, 4, "1,5") for f, s, r, _, _ in head]]
+    got = grids.grid_to_metrics(spark.createDataFrame(rows, CELL_GRID)).collect()
+    assert {r.metrica_valor for r in got} == {12.0, 201.0, 350.0, 5000.0}
+    assert {r.metrica_valor for r in grids.grid_to_metrics(spark.createDataFrame(rows, CELL_GRID), last_row=200).collect()} == {12.0}
+
+
+def test_objects_are_found_at_any_depth(spark):
+    import json
+
+    deep = {"title": "t", "publisher": " p ", "publishedDate": "2024"}
+    for n in range(12):
+        deep = {f"k{n}": [deep, {"title": f"t{n}"}] if n % 3 == 0 else deep}
+    rows = spark.createDataFrame([(1, json.dumps(deep)), (2, None), (3, "no json"), (4, "[]")], "k int, p string")
+    got = sorted((r.k, r.title, r.source, r.published) for r in articles.flatten_candidates(rows, "p", ["k"]).collect())
+    assert got == sorted([(1, "t", "p", "2024"), *[(1, f"t{n}", "", "") for n in range(0, 12, 3)]])
+
+
+def test_work_folders(spark):
+    from marisma import session
+
+    for master in ("local", "local[4]", "local[*]"):
+        session.require_local(master)
+    for master in ("yarn", "spark://h:7077", "local-cluster[2,1,1024]"):
+        with pytest.raises(RuntimeError):
+            session.require_local(master)
+    kept, session._GIVEN[:] = list(session._GIVEN), []
+    df = session.cut_lineage(spark.range(3), "gone")
+    path = session._GIVEN[0]
+    assert df.count() == 3 and session.clear_work(spark) == 1 and not session._GIVEN
+    with pytest.raises(Exception):  # noqa: B017
+        spark.read.parquet(path).count()
+    session._GIVEN[:] = kept
+
+
 def test_sheet_choice(spark):
     rows = [("a", "HojaFinal", 0, 0, "x"), ("a", "Ficha", 0, 0, "y"), ("b", "hojafinal", 0, 0, "z"), ("c", "otra", 0, 0, "w")]
     got = reports.choose_sheet(spark.createDataFrame(rows, CELL_GRID)).collect()
