@@ -25,7 +25,7 @@ WHERE categoria IN ('BUILDING', 'MACHINERY') AND provincia IN ('Nation_3', 'Nati
 """)
 def _(spark, d):
     return facts.filter_metrics(
-        full_fact(spark, d), categorias=["BUILDING", "MACHINERY"], provincias=["nation_3", "NATION_7"],
+        full_fact(spark, d, [1996, 1997]), categorias=["BUILDING", "MACHINERY"], provincias=["nation_3", "NATION_7"],
         meses=[1, 2, 3], anios=[1996, 1997], periodo_tipo="mensual",
     ).select("categoria", "provincia", "anio", "mes", "metrica_nombre", "metrica_valor")
 
@@ -358,7 +358,7 @@ SELECT provincia, metrica_nombre, total, total_previo, total - total_previo AS d
 """.replace("total - total_previo AS diferencia", "round(total - total_previo, 2) AS diferencia")
    .replace("END AS variacion_pct", "END AS variacion_pct").replace("THEN (total - total_previo) * 100 / total_previo", "THEN round((total - total_previo) * 100 / total_previo, 4)"))
 def _(spark, d):
-    out = questions.compare_part_of_year(long_fact(spark, d), "q1", 1999, 1998, ["provincia", "metrica_nombre"])
+    out = questions.compare_part_of_year(long_fact(spark, d, [1998, 1999]), "q1", 1999, 1998, ["provincia", "metrica_nombre"])
     return out.withColumn("variacion_pct", F.round("variacion_pct", 4))
 
 
@@ -502,7 +502,7 @@ SELECT categoria, provincia, anio, mes, periodo_tipo, metrica_nombre, CAST(metri
 WHERE categoria = 'BUILDING' AND anio = 2000 AND mes = 4 AND metrica_nombre = 'pedidos' AND {_M}
 """)
 def _(spark, d):
-    return questions.point_lookup(full_fact(spark, d), categorias=["BUILDING"], anios=[2000], meses=[4],
+    return questions.point_lookup(full_fact(spark, d, [2000]), categorias=["BUILDING"], anios=[2000], meses=[4],
                                   periodo_tipo="mensual", metricas=["Pedidos"])
 
 
@@ -519,7 +519,7 @@ SELECT metrica_nombre, anio, CAST(sum(metrica_valor) AS DOUBLE) AS total FROM fa
 WHERE provincia IN {_ASIA} AND anio = 2001 AND {_M} GROUP BY ALL
 """)
 def _(spark, d):
-    rows = facts.filter_metrics(long_fact(spark, d), anios=[2001])
+    rows = facts.filter_metrics(long_fact(spark, d, [2001]), anios=[2001])
     return questions.group_total(rows, _asia(spark, d), "provincia", ["metrica_nombre", "anio"])
 
 
@@ -527,7 +527,7 @@ def _(spark, d):
 SELECT metrica_nombre, CAST(sum(metrica_valor) AS DOUBLE) AS total FROM fact WHERE anio = 1998 AND mes = 1 AND {_M} GROUP BY ALL
 """)
 def _(spark, d):
-    return questions.period_total(long_fact(spark, d), ["metrica_nombre"], anios=[1998], meses=[1])
+    return questions.period_total(long_fact(spark, d, [1998]), ["metrica_nombre"], anios=[1998], meses=[1])
 
 
 @query("N04_arg_max_entity", FACT + f"""
@@ -544,7 +544,7 @@ SELECT categoria, metrica_nombre, round(CAST(sum(metrica_valor) AS DOUBLE) / cou
 WHERE anio = 1999 AND mes = 4 AND {_M} GROUP BY ALL
 """)
 def _(spark, d):
-    out = questions.period_mean(long_fact(spark, d), ["categoria", "metrica_nombre"], anios=[1999], meses=[4])
+    out = questions.period_mean(long_fact(spark, d, [1999]), ["categoria", "metrica_nombre"], anios=[1999], meses=[4])
     return out.withColumn("promedio", F.round("promedio", 4))
 
 
@@ -562,7 +562,7 @@ SELECT metrica_nombre, total, total_previo, round(total - total_previo, 2) AS di
   FROM fact WHERE mes IN (4, 5, 6) AND anio IN (1999, 2000) AND {_M} GROUP BY ALL)
 """)
 def _(spark, d):
-    out = questions.compare_part_of_year(long_fact(spark, d), "q2", 2000, 1999, ["metrica_nombre"])
+    out = questions.compare_part_of_year(long_fact(spark, d, [1999, 2000]), "q2", 2000, 1999, ["metrica_nombre"])
     return out.withColumn("variacion_pct", F.round("variacion_pct", 4))
 
 
@@ -582,7 +582,7 @@ SELECT categoria, round(a, 4) AS promedio, round(b, 4) AS promedio_previo, round
   FROM fact WHERE metrica_nombre = 'importe' AND anio IN (1999, 2000) AND {_M} GROUP BY ALL)
 """)
 def _(spark, d):
-    out = questions.mean_change(long_fact(spark, d).filter("metrica_nombre = 'importe'"), ["categoria"], 2000, 1999)
+    out = questions.mean_change(long_fact(spark, d, [1999, 2000]).filter("metrica_nombre = 'importe'"), ["categoria"], 2000, 1999)
     return out.select("categoria", *[F.round(c, 4).alias(c) for c in ("promedio", "promedio_previo", "variacion_pct")])
 
 

@@ -284,7 +284,12 @@ def _(spark, d):
     return spark.read.parquet(root).select("document_id", F.size("vector").alias("dim"))
 
 
-@query("S12_describe_tables")
+@query("S12_describe_tables", """
+SELECT table_name AS tabla, column_name AS col_name, true AS "isTemporary",
+ CASE WHEN data_type = 'BIGINT' THEN 'bigint' WHEN data_type = 'INTEGER' THEN 'int' WHEN data_type = 'VARCHAR' THEN 'string' WHEN data_type = 'DOUBLE' THEN 'double'
+  WHEN data_type = 'DATE' THEN 'date' WHEN data_type LIKE 'TIMESTAMP WITH%' THEN 'timestamp' WHEN data_type LIKE 'TIMESTAMP%' THEN 'timestamp_ntz' ELSE data_type END AS data_type
+FROM information_schema.columns WHERE table_name IN ('documents', 'pages', 'events', 'orders')
+""")
 def _(spark, d):
     out = None
     for name in ("documents", "pages", "events", "orders"):

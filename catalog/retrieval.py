@@ -33,11 +33,20 @@ def _(spark, d):
     return search.chunk_table(docs(spark, d), "doc_id", "text", fixed=True)
 
 
-@query("V02_embed")
+@query("V02_embed", r"""
+WITH c AS (SELECT doc_id || '_' || i AS id, text[i * 800 + 1 : i * 800 + 1000] AS t FROM documents, range(10000) r(i)
+  WHERE i * 800 < greatest(length(text) - 200, 1) AND trim(text[i * 800 + 1 : i * 800 + 1000], ' ' || chr(10) || chr(9)) <> ''),
+ w AS (SELECT id, CAST('0x' || substr(md5(w), 1, 8) AS BIGINT) AS h FROM (SELECT id, unnest(regexp_split_to_array(lower(t), '\s+')) AS w FROM c) WHERE w <> ''),
+ b AS (SELECT id, h % 64 AS i, sum(CASE WHEN (h >> 16) & 1 = 1 THEN 1 ELSE -1 END) AS n FROM w GROUP BY ALL),
+ s AS (SELECT id, sqrt(sum(n * n)) AS size FROM b GROUP BY ALL)
+SELECT id, CAST(i AS INT) AS i, round(CAST(CAST(n / size AS FLOAT) AS DOUBLE), 6) AS v FROM b JOIN s USING (id) WHERE n <> 0
+""")
 def _(spark, d):
+    """Every component of every chunk's vector that is not zero."""
     chunked = search.chunk_table(docs(spark, d), "doc_id", "text", fixed=True)
     vectors = search.vector_table(chunked, "doc_id", dim=64)
-    return vectors.select("id", "document_id", "chunk_index", F.round(numbers.norm(F.col("vector")), 4).alias("norma"))
+    parts = vectors.select("id", F.posexplode("vector").alias("i", "v")).filter("v != 0")
+    return parts.select("id", "i", F.round(F.col("v").cast("double"), 6).alias("v"))
 
 
 @query("V03_l2_normalize", """

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
 import sys
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -75,7 +75,7 @@ def hash_vector(body: str, dim: int) -> np.ndarray:
     """Signed bucket counts of the words, scaled to length one."""
     vec = np.zeros(dim, dtype=np.float64)
     for word in (body or "").lower().split():
-        h = zlib.crc32(word.encode("utf-8"))
+        h = int(hashlib.md5(word.encode("utf-8")).hexdigest()[:8], 16)
         vec[h % dim] += 1.0 if (h >> 16) & 1 else -1.0
     size = np.linalg.norm(vec)
     return (vec / size if size else vec).astype(np.float32)

@@ -65,6 +65,13 @@ def test_filters_and_columns_reach_the_scan(spark):
     assert "ReadSchema: struct<o_orderkey:bigint,o_totalprice:double,o_orderdate:timestamp_ntz,o_orderpriority:string>" in plan
 
 
+@pytest.mark.parametrize("name", ["P04_filter_metrics", "J14_period_comparison", "N01_point_lookup", "N03_period_total"])
+def test_year_lists_reach_the_scan(spark, name):
+    name = next(n for n in entry.queries() if n.startswith(name[:4]))
+    plan = entry.queries()[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(o_orderdate" in plan and "LessThan(o_orderdate" in plan
+
+
 def test_top_k_is_limited_before_the_shuffle(spark):
     plan = entry.queries()["T05_top_evidence"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") == 2 and "Partial" in plan
