@@ -7,8 +7,8 @@ that never saw the row (out of fold); for scoring, from the final models.
 * Labelled rows: at most `max_rows`, the first by a hash of doc_id, so the sample is the same in
   every run.  This bound is the only one; scoring reads every document and every word.
 * Features: presence of a word, and of its first 4 and 6 bytes, as 64-bit hashes.  Spark counts
-  them by fold and category; the `per_category` with the largest score (two-proportion z, at
-  least `min_z`) are kept, and a fold's model uses those that pass without that fold.
+  them by fold and category; of those in at least `min_docs` and at most `max_share` of the
+  sample the `per_category` with the largest score (two-proportion z, at least `min_z`) are kept, and a fold's model uses those that pass without that fold.
 * Training runs on the driver over the kept features of the sample; its size is bounded by
   max_rows and per_category, not by the corpus.
 
@@ -38,9 +38,11 @@ class ChainConfig:
     per_category: int = 1_500
     min_docs: int = 3
     min_z: float = 4.5
+    max_share: float = 0.1
     prefixes: tuple[int, ...] = (4, 6)
     decay: float = 1e-5
-    steps: int = 300
+    steps: int = 120
+    rate: float = 0.12
     max_false: float = 0.0005
     least_threshold: float = 0.2
 
@@ -125,7 +127,7 @@ class LinearModel:
             for k, (g, v) in enumerate(zip(grads, (model.weights, model.dense, model.bias), strict=True)):
                 first[k] = 0.9 * first[k] + 0.1 * g
                 second[k] = 0.999 * second[k] + 0.001 * g * g
-                values.append(v - 0.05 * (first[k] / (1 - 0.9**t)) / (np.sqrt(second[k] / (1 - 0.999**t)) + 1e-8))
+                values.append(v - cfg.rate * (first[k] / (1 - 0.9**t)) / (np.sqrt(second[k] / (1 - 0.999**t)) + 1e-8))
             model = LinearModel(*values)
         return model
 
@@ -185,7 +187,7 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: Mapping[str, Colum
         F.sum("docs").alias("docs"),
         *[F.sum(F.when((value(F.col("kind"), k) == v) & (F.pmod("kind", F.lit(cfg.folds)) == f), F.col("docs")).otherwise(0)).alias(f"c{k}_{v}_{f}")
           for k in range(len(names)) for v in (0, 1) for f in range(cfg.folds)],
-    ).filter(F.col("docs") >= cfg.min_docs)
+    ).filter(F.col("docs").between(cfg.min_docs, max(cfg.min_docs, cfg.max_share * sum(kinds.values()))))
     size = {(k, v, f): sum(n for kind, n in kinds.items() if kind % cfg.folds == f and told(kind, k) == v) for k in range(len(names)) for v in (0, 1) for f in range(cfg.folds)}
     folds = range(cfg.folds)
 
