@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -43,12 +44,15 @@ CLOSES = {
 # a closing end looks no further than this for its start
 FENCES = frozenset("ul ol table td th div section article aside main nav header footer form body html blockquote".split())
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"'=]|=\s*(?:\"[^\"]*\"|'[^']*')|[=\"'])*)(?:>|\Z)", re.S)
 _NAMES = re.compile(r"""(?:^|\s)(class|id|role|aria-label|hidden|style)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _WORD = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
 
 
+DEPTH = 32
+
+
 @dataclass
 class Block:
     text: str
@@ -74,6 +78,7 @@ def leaf_blocks(page: str) -> list[Block]:
     blocks: list[Block] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
     parts: list[str] = []
+    opened: Counter[str] = Counter()
     silent = links = linked = 0
     at = 0
 
@@ -82,7 +87,9 @@ def leaf_blocks(page: str) -> list[Block]:
         if parts:
             text = _SPACE.sub(" ", html.unescape("".join(parts))).strip()
             if text:
-                blocks.append(Block(text, tuple(stack), linked))
+                # of very deep nesting the outer and the inner tags count
+                path = stack if len(stack) <= 2 * DEPTH else stack[:DEPTH] + stack[-DEPTH:]
+                blocks.append(Block(text, tuple(path), linked))
             parts.clear()
         linked = 0
 
@@ -90,6 +97,7 @@ def leaf_blocks(page: str) -> list[Block]:
         nonlocal silent, links
         while len(stack) > to:
             name = stack.pop()[0]
+            opened[name] -= 1
             silent -= name in SILENT
             links -= name == "a"
 
@@ -120,7 +128,7 @@ def leaf_blocks(page: str) -> list[Block]:
                         break
                 continue
             flush()
-            for k in range(len(stack) - 1, -1, -1):
+            for k in range(len(stack) - 1, -1, -1) if opened[name] else ():
                 if stack[k][0] == name:
                     drop(k)
                     break
@@ -148,6 +156,7 @@ def leaf_blocks(page: str) -> list[Block]:
         if name in VOID or attrs.endswith("/") and name in ("svg", "math"):
             continue
         stack.append((name, _names(attrs) if attrs else ()))
+        opened[name] += 1
         silent += name in SILENT
         links += name == "a"
     flush()

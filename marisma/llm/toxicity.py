@@ -15,7 +15,7 @@ that never saw the row (out of fold); for scoring, from the final models.
 Defined cases: null or empty text has no features and gets the intercepts' probabilities; rows
 without a label, or with a label but no document, are not trained on; a category without both
 outcomes predicts its rate; without labels nothing is toxic; repeated rows and null doc_ids are scored
-like others; all columns of the input are kept, whatever their names.
+like others; all other columns of the input are kept.
 """
 
 from __future__ import annotations
@@ -285,10 +285,12 @@ def language_categories(languages: tuple[str, ...] = ("de", "en", "es", "fr")) -
 
 
 def toxic_documents(docs: DataFrame, labels: DataFrame, cfg: ChainConfig | None = None, threshold: float | None = None) -> DataFrame:
-    """docs with `toxicity` (probabilities) and `toxic` (the last category reaches the threshold).
+    """docs with `toxicity` (probabilities) and `toxic` (the last category reaches the threshold), which
+    take the place of columns of these names.
 
     By default the threshold is the lowest, from least_threshold to 1/2, that at most max_false of the
     clean rows of the sample reach out of fold.
     """
+    docs = docs.drop("toxicity", "toxic")
     chain = fit_chain(docs.select("doc_id", "text", "lang"), labels.select("doc_id", "toxic"), language_categories(), cfg)
     return score_chain(docs, chain, cfg).withColumn("toxic", F.col("toxicity.toxic") >= (chain.threshold if threshold is None else threshold))

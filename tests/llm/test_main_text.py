@@ -50,6 +50,9 @@ def test_leaf_blocks():
     assert blocks("<div>a<div>b</div>c</div></div></p>d<p") == ["a", "b", "c", "d"]
     assert blocks("") == blocks("<p> \n</p><br>") == [] and blocks("plain") == ["plain"]
     assert blocks("<p>cut <!-- never closed <p>no") == ["cut"] and blocks("<script>never closed <p>no") == []
+    assert blocks("<p title=it's>a</p><p>b's</p><a href='x>y' rel=\"z\">c</a>") == ["a", "b's", "c"]
+    deep = "<div>x" * 30_000
+    assert len(blocks(deep + "</section>" * 30_000)) == 30_000
     assert blocks("<TITLE>no</TITLE><P CLASS=x>Yes</P>") == ["Yes"]
 
 
