@@ -24,10 +24,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of texts equal but for white space one row stays."""
-    stay = exact_dedup.exact_duplicates(docs).filter("kept").select(F.col("file"), F.col("place"))
-    return (
-        exact_dedup.with_place(docs, COLUMNS).join(stay, ["file", "place"], "left_semi").select(COLUMNS)
-    )
+    return exact_dedup.first_copies(docs, COLUMNS)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

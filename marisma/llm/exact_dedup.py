@@ -42,20 +42,13 @@ def whole(sha: Column) -> Column:
     return sha
 
 
-def with_place(docs: DataFrame, columns: list[str]) -> DataFrame:
-    """Rows of a table with their locators."""
-    return docs.select(*columns, F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("place"))
-
-
-def located(docs: DataFrame) -> DataFrame:
-    """doc_id, text, file, place: where each row's content can be read again.  Rows that are no table yet are written."""
+def located(docs: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, text, file, place and more: where each row's content can be read again.  Rows that are no table yet are written."""
+    columns = [F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more]
     try:
-        return docs.select(
-            F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
-            F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("place"),
-        )
+        return docs.select(*columns, F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("place"))
     except AnalysisException:
-        return located(cut_lineage(docs.select("doc_id", "text"), "landing"))
+        return located(cut_lineage(docs.select(*columns), "landing"), more)
 
 
 def index_content(rows: DataFrame, normalise: Callable[[Column], Column]) -> DataFrame:
@@ -126,12 +119,28 @@ def exact_duplicates(
     normalise: Callable[[Column], Column] = without_space,
     max_bytes: int = 1 << 25,
 ) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256, file, place; one row per input row.
+    """doc_id, keep_id, group_size, kept, text_sha256; one row per input row.
 
     key: what of the SHA-256 of the normalised text is the key of the state, all of it by default.
     """
-    spark = docs.sparkSession
-    rows = located(docs)
+    return decide(located(docs), key, normalise, max_bytes).drop("file", "place")
+
+
+def first_copies(docs: DataFrame, columns: list[str]) -> DataFrame:
+    """The rows that stay, with these columns."""
+    rows = located(docs, tuple(c for c in columns if c not in ("doc_id", "text")))
+    stay = decide(rows).filter("kept").select("file", "place")
+    return rows.join(stay, ["file", "place"], "left_semi").select(columns)
+
+
+def decide(
+    rows: DataFrame,
+    key: Callable[[Column], Column] = whole,
+    normalise: Callable[[Column], Column] = without_space,
+    max_bytes: int = 1 << 25,
+) -> DataFrame:
+    """exact_duplicates of located rows, with file and place."""
+    spark = rows.sparkSession
     path = work_dir(spark, "dedup-index")
     indexed = index_content(rows, normalise)
     indexed.write.parquet(path)

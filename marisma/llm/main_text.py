@@ -218,7 +218,7 @@ class Field:
         return labels[::-1]
 
 
-def fit_field(pages: list[tuple[list[list[str]], list[int]]], steps: int = 150, decay: float = 0.002, rate: float = 0.1) -> Field:
+def fit_field(pages: list[tuple[list[list[str]], list[int]]], steps: int = 200, decay: float = 0.001, rate: float = 0.25) -> Field:
     """Maximum conditional likelihood, all sequences padded to one length; forward and backward sums in log space."""
     names: dict[str, int] = {}
     for features, _ in pages:
@@ -276,7 +276,7 @@ MARKS = {
     "foot": "footer foot bottom copyright legal colophon imprint",
     "side": "sidebar side aside widget rail related recommended popular trending more teaser",
     "notice": "cookie cookies notice consent gdpr banner alert popup modal overlay paywall message",
-    "advert": "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion adsense",
+    "advert": "ad ad ads ads advert adverts advertisement advertising sponsor sponsored promo promotion adsense",
     "comment": "comment comments discussion reply replies respond disqus responses reader reactions",
     "form": "form search login newsletter subscribe signup contact",
     "share": "share sharing social buttons follow tools",

@@ -120,7 +120,7 @@ r AS (SELECT doc_id, plain, row_number() OVER (PARTITION BY plain ORDER BY lengt
 SELECT r.doc_id, s.doc_id AS keep_id, r.n AS group_size, r.k = 1 AS kept, sha256(r.plain) AS text_sha256 FROM r JOIN r s ON r.plain = s.plain AND s.k = 1
 """)
 def op6(spark, d):
-    return exact_dedup.exact_duplicates(table(spark, d, "documents")).drop("file", "place")
+    return exact_dedup.exact_duplicates(table(spark, d, "documents"))
 
 
 @query("op7_bpe_round_trip")
