@@ -19,6 +19,9 @@ from marisma.functions import text, times, urls
 
 # ---------------------------------------------------------------- text
 
+PARAGRAPHS_IN_MEMORY = 20_000  # paragraphs a task holds before it passes them on
+
+
 def strip_markup(html: Column, drop_tags: list[str], ad_classes: list[str] | None = None) -> Column:
     """Visible text: unwanted elements out, tags to blanks, entities out, white space collapsed."""
     out = F.regexp_replace(html, r"(?s)<!--.*?-->", " ")
@@ -270,13 +273,16 @@ def paragraph_candidates(pages: DataFrame, key: str, html: str = "html") -> Data
     tags, class_parts = list(fv.CONTAINER_TAGS), list(fv.CONTAINER_CLASS_PARTS)
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = [key, "bloque", "clases", "orden", "parrafo"]
         for pdf in batches:
+            rows = []
             for row_key, page in zip(pdf[key], pdf[html]):
-                found = scan_paragraphs(page or "", tags, class_parts, drop)
-                if found:
-                    out = pd.DataFrame(found, columns=["bloque", "clases", "orden", "parrafo"])
-                    out.insert(0, key, row_key)
-                    yield out
+                rows += [(row_key, *found) for found in scan_paragraphs(page or "", tags, class_parts, drop)]
+                if len(rows) >= PARAGRAPHS_IN_MEMORY:
+                    yield pd.DataFrame(rows, columns=columns)
+                    rows = []
+            if rows:
+                yield pd.DataFrame(rows, columns=columns)
 
     key_type = pages.schema[key].dataType.simpleString()
     return pages.select(key, html).mapInPandas(

@@ -74,13 +74,13 @@ def _query_blocks(queries: DataFrame, vector: str) -> list[tuple[int, int]]:
 
 def vector_scores(table: DataFrame, key: str, vector: str, queries: DataFrame, qid: str = "qid",
                   qvec: str = "qvec", k: int | None = None, bounds: bool = False) -> DataFrame:
-    """(qid, key, similitud): cosine of every query with every row, or the k best per Arrow batch.
+    """(qid, key, similitud): cosine of every query with every row, or the k best per task.
 
-    bounds adds the smallest and largest cosine of each batch as rows with a null key.
+    bounds adds the smallest and largest cosine of each task as rows with a null key.
 
     The rows stay where they are; one block of queries (at most BLOCK_BYTES) goes
-    to the tasks.  With k set a batch emits only rows that can still be in the
-    result, so what is shuffled later is small.
+    to the tasks.  With k set a task keeps a running best of k rows per query (and
+    ties with the last of them) and emits it at its end, so what is shuffled later is small.
     """
     from marisma.session import cut_lineage
 
@@ -103,7 +103,19 @@ def vector_scores(table: DataFrame, key: str, vector: str, queries: DataFrame, q
         names = np.array(ids)
         step = max(1, SCORES_IN_MEMORY // len(ids))
 
+        def best(held: list[pd.DataFrame]) -> list[pd.DataFrame]:
+            rows = pd.concat(held)
+            of, sims = rows["of"].to_numpy(), rows["similitud"].to_numpy()
+            order = np.lexsort((-sims, of))
+            first = np.flatnonzero(np.diff(of[order], prepend=-1))
+            last = np.minimum(first + k, np.append(first[1:], len(order))) - 1
+            # ties with the k-th stay in, the exact cut comes later
+            least = np.repeat(sims[order][last], np.diff(np.append(first, len(order))))
+            return [rows.iloc[order[sims[order] >= least]]]
+
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            held, waiting = [], 0
+            low, high = np.full(len(ids), np.inf), np.full(len(ids), -np.inf)
             for batch in batches:
                 for start in range(0, len(batch), step):
                     pdf = batch.iloc[start:start + step]
@@ -112,16 +124,26 @@ def vector_scores(table: DataFrame, key: str, vector: str, queries: DataFrame, q
                     sims = (rows / np.where(length == 0, np.nan, length)) @ unit.T
                     known = ~np.isnan(sims)
                     ranked = np.where(known, sims, -np.inf)
-                    if bounds:
-                        low, high = np.where(known, sims, np.inf).min(axis=0), ranked.max(axis=0)
-                        seen = known.any(axis=0)
-                        ends = np.concatenate([low[seen], high[seen]])
-                        yield pd.DataFrame({qid: np.tile(names[seen], 2), key: [None] * len(ends), "similitud": ends})
+                    low, high = np.minimum(low, np.where(known, sims, np.inf).min(axis=0)), np.maximum(high, ranked.max(axis=0))
                     if k is not None and len(ranked) > k:
-                        # ties with the k-th stay in, the exact cut comes later
                         known &= ranked >= np.partition(ranked, len(ranked) - k, axis=0)[len(ranked) - k]
                     at, of = np.nonzero(known)
-                    yield pd.DataFrame({qid: names[of], key: pdf[key].to_numpy()[at], "similitud": sims[at, of]})
+                    found = pd.DataFrame({"of": of, key: pdf[key].to_numpy()[at], "similitud": sims[at, of]})
+                    if k is None:
+                        yield found.assign(**{qid: names[of]})[[qid, key, "similitud"]]
+                        continue
+                    held.append(found)
+                    waiting += len(found)
+                    if waiting > 8 * k * len(ids) + SCORES_IN_MEMORY:
+                        held = best(held)
+                        waiting = 0
+            if held:
+                rows = best(held)[0]
+                yield pd.DataFrame({qid: names[rows["of"].to_numpy()], key: rows[key].to_numpy(), "similitud": rows["similitud"].to_numpy()})
+            if bounds:
+                seen = np.isfinite(high)
+                ends = np.concatenate([low[seen], high[seen]])
+                yield pd.DataFrame({qid: np.tile(names[seen], 2), key: [None] * len(ends), "similitud": ends})
 
         return run
 
