@@ -230,7 +230,7 @@ def search_hybrid(docs: DataFrame, key: str, body: Column, vectors: DataFrame, v
     A document found by one side only scores zero on the other.  The result is
     exact without scoring every pair in the open: a document without a query word
     has only its vector part, so it must be among the k nearest; keyword hits get
-    their cosine by a join.
+    their cosine by a join, but only those whose keyword part leaves them a chance.
     """
     from marisma.session import cut_lineage
 
@@ -242,12 +242,28 @@ def search_hybrid(docs: DataFrame, key: str, body: Column, vectors: DataFrame, v
     sized = vectors.select(key, vector, numbers.norm(F.col(vector)).alias("_l"))
     asked = queries.select(qid, qvec, numbers.norm(F.col(qvec)).alias("_q"))
     cosine = F.try_divide(numbers.dot(F.col(vector), F.col(qvec)), F.col("_l") * F.col("_q"))
-    hit_vectors = words.select(qid, key).join(sized, key).join(asked, qid).select(qid, key, cosine.alias("similitud"))
-    by_vector = near.filter(F.col(key).isNotNull()).unionByName(hit_vectors)
-    by_vector = by_vector.groupBy(qid, key).agg(F.max("similitud").alias("similitud"))
-    both = by_vector.join(words, [qid, key], "full_outer").join(v_ends, qid, "left").join(w_ends, qid, "left")
-    mixed = _scaled("similitud", "_v0", "_v1") * alpha + _scaled("bm25", "_w0", "_w1") * (1 - alpha)
-    return top_k(both.select(qid, key, F.round(mixed, 9).alias("puntuacion")), qid, "puntuacion", key, k)
+    ends = v_ends.join(w_ends, qid, "full_outer")
+
+    def mixed(hits: DataFrame, nearest: DataFrame | None = None) -> DataFrame:
+        """Scores of keyword hits, and of rows that only their vector brings in."""
+        found = hits.select(qid, key).join(sized, key).join(asked, qid).select(qid, key, cosine.alias("similitud"))
+        if nearest is not None:
+            found = found.unionByName(nearest).groupBy(qid, key).agg(F.max("similitud").alias("similitud"))
+        both = found.join(hits, [qid, key], "full_outer").join(ends, qid, "left")
+        score = _scaled("similitud", "_v0", "_v1") * alpha + _scaled("bm25", "_w0", "_w1") * (1 - alpha)
+        return both.select(qid, key, F.round(score, 9).alias("puntuacion"))
+
+    # the k best by either side are scored first; their k-th score is what the others have to reach
+    nearest = near.filter(F.col(key).isNotNull())
+    lead = nearest.select(qid, key).union(top_k(words, qid, "bm25", key, k).select(qid, key)).distinct()
+    first = cut_lineage(mixed(words.join(lead, [qid, key], "left_semi"), nearest), "first")
+    reach = first.groupBy(qid).agg(F.get(F.sort_array(F.collect_list("puntuacion"), False), F.lit(k - 1)).alias("_t"))
+    # a row that is not among the k nearest is at most as near as the last of them
+    last = nearest.groupBy(qid).agg(F.min("similitud").alias("_n"), F.count("*").alias("_c"))
+    limits = ends.join(reach, qid, "left").join(last, qid, "left")
+    bound = F.when(F.col("_c") >= k, _scaled("_n", "_v0", "_v1")).otherwise(1.0) * alpha + _scaled("bm25", "_w0", "_w1") * (1 - alpha)
+    rest = words.join(lead, [qid, key], "left_anti").join(limits, qid).filter(F.col("_t").isNull() | (bound >= F.col("_t") - 1e-8)).select(words.columns)
+    return top_k(first.unionByName(mixed(rest)), qid, "puntuacion", key, k)
 
 
 # ---------------------------------------------------------------- evidence ranking
