@@ -9,7 +9,8 @@ alone, and the ids joined.  Two kinds of cut are used, both read off the vocabul
 * inside a pre-token, at every byte pair that no token holds; the pair that closes a word counts by
   itself, since the last symbol carries the word's end.
 
-The normaliser and the pre-tokeniser are those of the tokenizer file; merging is done here.
+The normaliser, the pre-tokeniser and the merging of closing fragments are those of the tokenizer
+file; fragments that close no word are merged here.
 
 Defined cases: null text counts as empty and has no ids; special tokens in a text become their ids,
 as in the library; other columns are ignored; an empty table gives no rows.  A long text is one row of
@@ -41,7 +42,7 @@ def byte_symbols() -> list[str]:
 class Encoder:
     """One tokenizer file; fragments met before are kept, up to `kept` of them, and a quarter as many of their pieces."""
 
-    def __init__(self, path: str, kept: int = 150_000):
+    def __init__(self, path: str, kept: int = 250_000):
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
@@ -50,6 +51,7 @@ class Encoder:
         library = Tokenizer.from_file(path)
         self.normalise = library.normalizer.normalize_str
         self.pretokens = library.pre_tokenizer.pre_tokenize_str
+        self.whole = library.model.tokenize
         self.suffix = model["end_of_word_suffix"] or ""
         self.vocab: dict[str, int] = model["vocab"]
         self.rank = {tuple(m): n for n, m in enumerate(model["merges"])}
@@ -79,19 +81,22 @@ class Encoder:
     def cut(self, word: str) -> list[tuple[str, bool]]:
         """(fragment, whether it ends the word) between forced boundaries."""
         out, start = [], 0
-        for i in range(len(word) - 1):
-            if word[i : i + 2] not in (self.closing if i == len(word) - 2 else self.inner):
+        last = len(word) - 2
+        inner = self.inner
+        for i, pair in enumerate(map(str.__add__, word, word[1:])):
+            if pair not in inner if i < last else pair not in self.closing:
                 out.append((word[start : i + 1], False))
                 start = i + 1
         out.append((word[start:], True))
         return out
 
     def merge(self, piece: tuple[str, bool]) -> list[int]:
+        """Ids of a fragment.  The file's own model merges those that end a word; it would close others too."""
+        if piece[1]:
+            return [t.id for t in self.whole(piece[0])]
         found = self.pieces.get(piece)
         if found is None:
             parts = list(piece[0])
-            if piece[1]:
-                parts[-1] += self.suffix
             rank = self.rank.get
             while len(parts) > 1:
                 ranked = [(r, i) for i in range(len(parts) - 1) if (r := rank((parts[i], parts[i + 1]))) is not None]
