@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marisma.llm import bpe, decontaminate, exact_dedup, main_text, near_dedup, quality, token_totals, toxicity, url_rules, warc
-from marisma.session import work_dir
+from marisma.session import cut_lineage, work_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -177,9 +177,10 @@ def op8(spark, d):
     """All documents come in; those labelled poor are cleaned and counted anew; those labelled toxic go; two batches come twice."""
     docs, labels = table(spark, d, "documents"), table(spark, d, "labels")
     home = work_dir(spark, "totals")
-    named = docs.join(labels, "doc_id")
-    poor = token_totals.counted(named.filter("quality = 0"), "revise", F.regexp_replace("text", _CLEANED, " "))
-    toxic = token_totals.counted(named.filter("toxic = 1").withColumn("text", F.lit("")), "delete")
+    # counts are taken where the texts are read; only counts meet the labels
+    poor = token_totals.counted(docs, "revise", F.regexp_replace("text", _CLEANED, " ")).join(labels.filter("quality = 0").select("doc_id"), "doc_id")
+    toxic = token_totals.counted(docs.withColumn("text", F.lit("")), "delete").join(labels.filter("toxic = 1").select("doc_id"), "doc_id")
+    poor, toxic = cut_lineage(poor, "poor"), cut_lineage(toxic, "toxic")
     token_totals.commit_batch(spark, home, 1, token_totals.counted(docs, "insert"))
     token_totals.commit_batch(spark, home, 2, poor)
     token_totals.commit_batch(spark, home, 3, toxic)
