@@ -257,11 +257,11 @@ def search_hybrid(docs: DataFrame, key: str, body: Column, vectors: DataFrame, v
     nearest = near.filter(F.col(key).isNotNull())
     lead = nearest.select(qid, key).union(top_k(words, qid, "bm25", key, k).select(qid, key)).distinct()
     first = cut_lineage(mixed(words.join(lead, [qid, key], "left_semi"), nearest), "first")
-    reach = first.groupBy(qid).agg(F.get(F.sort_array(F.collect_list("puntuacion"), False), F.lit(k - 1)).alias("_t"))
-    # a row that is not among the k nearest is at most as near as the last of them
-    last = nearest.groupBy(qid).agg(F.min("similitud").alias("_n"), F.count("*").alias("_c"))
+    reach = top_k(first, qid, "puntuacion", key, k).filter(F.col("rango") == k).select(qid, F.col("puntuacion").alias("_t"))
+    # each task keeps its own k nearest; a row it cut has k rows at least as near, so it is at most as near as the k-th of all
+    last = top_k(nearest, qid, "similitud", key, k).filter(F.col("rango") == k).select(qid, F.col("similitud").alias("_n"))
     limits = ends.join(reach, qid, "left").join(last, qid, "left")
-    bound = F.when(F.col("_c") >= k, _scaled("_n", "_v0", "_v1")).otherwise(1.0) * alpha + _scaled("bm25", "_w0", "_w1") * (1 - alpha)
+    bound = F.when(F.col("_n").isNotNull(), _scaled("_n", "_v0", "_v1")).otherwise(1.0) * alpha + _scaled("bm25", "_w0", "_w1") * (1 - alpha)
     rest = words.join(lead, [qid, key], "left_anti").join(limits, qid).filter(F.col("_t").isNull() | (bound >= F.col("_t") - 1e-8)).select(words.columns)
     return top_k(first.unionByName(mixed(rest)), qid, "puntuacion", key, k)
 

@@ -533,3 +533,23 @@ def test_hybrid_search_equals_scoring_every_pair(spark, alpha):
         assert [s for _, s in got[q]] == pytest.approx([s for _, s in want], abs=2e-9)
         if alpha == 0.3:
             assert [i for i, _ in got[q]] == [i for i, _ in want]
+
+
+def test_hybrid_search_over_vectors_sorted_by_cosine(spark):
+    """Tasks far from the query have a low k-th cosine of their own; it bounds no row of the near ones."""
+    rnd, n, k = random.Random(5), 400, 10
+    texts = [" ".join(["gato"] * rnd.randint(0, 8) + ["pez"] * rnd.randint(1, 8)) for _ in range(n)]
+    angle = np.linspace(0.0, np.pi / 2, n)
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
+    table = spark.createDataFrame([(i, [float(np.cos(a)), float(np.sin(a))]) for i, a in enumerate(angle)], "id long, v array<double>").repartitionByRange(8, "id")
+    queries = spark.createDataFrame([(0, "gato", [1.0, 0.0]), (1, "gato", [0.0, 1.0])], "qid int, qtext string, qvec array<double>")
+    words = {r.id: r.bm25 for r in search.keyword_scores(docs, "id", F.col("t"), queries.filter("qid = 0")).collect()}
+    low, high = min(words.values()), max(words.values())
+    got = search.search_hybrid(docs, "id", F.col("t"), table, "v", queries, k).orderBy("qid", "rango").collect()
+    for q, sims in enumerate((np.cos(angle), np.sin(angle))):
+        unit = (sims - sims.min()) / (sims.max() - sims.min())
+        score = {i: 0.5 * unit[i] + (0.5 * (words[i] - low) / (high - low) if i in words else 0.0) for i in range(n)}
+        want = sorted(score.items(), key=lambda x: (-round(x[1], 9), x[0]))[:k]
+        mine = [r for r in got if r.qid == q]
+        assert [r.id for r in mine] == [i for i, _ in want]
+        assert [r.puntuacion for r in mine] == pytest.approx([s for _, s in want], abs=2e-9)
