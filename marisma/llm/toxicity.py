@@ -7,8 +7,8 @@ that never saw the row (out of fold); for scoring, from the final models.
 * Labelled rows: at most `max_rows`, the first by a hash of doc_id, so the sample is the same in
   every run.  This bound is the only one; scoring reads every document and every word.
 * Features: presence of a word, and of its first 4 and 6 bytes, as 64-bit hashes.  Spark counts
-  them by fold and category; of those in at least `min_docs` and at most `max_share` of the
-  sample the `per_category` with the largest score (two-proportion z, at least `min_z`) are kept, and a fold's model uses those that pass without that fold.
+  them by fold and category; of those in at least `min_docs` rows of the sample, however common, the
+  `per_category` with the largest score (two-proportion z, at least `min_z`) are kept, and a fold's model uses those that pass without that fold.
 * Training runs on the driver over the kept features of the sample; its size is bounded by
   max_rows and per_category, not by the corpus.
 
@@ -31,6 +31,10 @@ from pyspark.sql import functions as F
 from marisma.llm.words import ALNUM, Words, _hashes, slices, split_words
 
 
+COMMON = 32  # a feature in more than one row of so many is a column of bytes in training
+BLOCK_CELLS = 8_000_000  # cells of such columns multiplied at once
+
+
 @dataclass(frozen=True)
 class ChainConfig:
     max_rows: int = 20_000
@@ -38,7 +42,6 @@ class ChainConfig:
     per_category: int = 1_500
     min_docs: int = 3
     min_z: float = 4.5
-    max_share: float = 0.1
     prefixes: tuple[int, ...] = (4, 6)
     decay: float = 1e-5
     steps: int = 120
@@ -112,24 +115,52 @@ class LinearModel:
         self.weights, self.dense, self.bias = weights, dense, bias
 
     @staticmethod
-    def fit(rows, cols, n_cols, dense, y, cfg: ChainConfig) -> LinearModel:
-        n = len(y)
-        rate = np.clip(y.mean() if n else 0.0, 1e-6, 1 - 1e-6)
-        model = LinearModel(np.zeros(n_cols), np.zeros(dense.shape[1]), float(np.log(rate / (1 - rate))))
-        if n == 0 or y.min() == y.max():
-            return model
-        first = [np.zeros(n_cols), np.zeros(dense.shape[1]), 0.0]
-        second = [np.zeros(n_cols), np.zeros(dense.shape[1]), 0.0]
+    def fit_each(rows, cols, n_cols, dense, y, use, keep, cfg: ChainConfig) -> list[LinearModel]:
+        """One model per column of use (the rows it learns from) and keep (the features it weighs), all in step.
+
+        Features in more than 1 / COMMON of the rows are columns of bytes, multiplied in blocks of rows;
+        the others are pairs.
+        """
+        n = np.maximum(use.sum(axis=0), 1)
+        ones = (use * y[:, None]).sum(axis=0)
+        rate = np.clip(ones / n, 1e-6, 1 - 1e-6)
+        bias = np.log(rate / (1 - rate))
+        models = [LinearModel(np.zeros(n_cols), np.zeros(dense.shape[1]), float(b)) for b in bias]
+        learn = np.flatnonzero((ones > 0) & (ones < use.sum(axis=0)))
+        if not len(learn):
+            return models
+        n, use, keep, m = n[learn], use[:, learn], keep[:, learn], len(learn)
+        often = np.bincount(cols, minlength=n_cols) * COMMON > len(y)
+        common = np.flatnonzero(often)
+        table = np.zeros((len(y), len(common)), np.uint8)
+        place, thick = np.cumsum(often) - 1, often[cols]
+        table[rows[thick], place[cols[thick]]] = 1
+        rows, cols = rows[~thick], cols[~thick]
+        step = max(1, BLOCK_CELLS // max(1, len(common)))
+        values = [np.zeros((n_cols, m)), np.zeros((dense.shape[1], m)), bias[learn]]
+        first, second = [np.zeros_like(v) for v in values], [np.zeros_like(v) for v in values]
         for t in range(1, cfg.steps + 1):
-            off = (model.probability(rows, cols, dense) - y) / n
-            grads = [np.bincount(cols, off[rows], n_cols) + cfg.decay * model.weights, dense.T @ off + cfg.decay * model.dense, off.sum()]
-            values = []
-            for k, (g, v) in enumerate(zip(grads, (model.weights, model.dense, model.bias), strict=True)):
+            logit = dense @ values[1] + values[2]
+            off, grad = np.zeros_like(logit), np.zeros((n_cols, m))
+            for k in range(m):
+                logit[:, k] += np.bincount(rows, values[0][:, k][cols], len(y))
+            thick_weights, thick_grad = values[0][common].astype(np.float32), np.zeros((len(common), m))
+            for at in range(0, len(y), step):
+                block = table[at : at + step].astype(np.float32)
+                part = logit[at : at + step] + block @ thick_weights
+                off[at : at + step] = (1 / (1 + np.exp(-np.clip(part, -30, 30))) - y[at : at + step, None]) * use[at : at + step] / n
+                thick_grad += block.T @ off[at : at + step].astype(np.float32)
+            for k in range(m):
+                grad[:, k] = np.bincount(cols, off[:, k][rows], n_cols)
+            grad[common] = thick_grad
+            grads = [grad * keep + cfg.decay * values[0], dense.T @ off + cfg.decay * values[1], off.sum(axis=0)]
+            for k, g in enumerate(grads):
                 first[k] = 0.9 * first[k] + 0.1 * g
                 second[k] = 0.999 * second[k] + 0.001 * g * g
-                values.append(v - cfg.rate * (first[k] / (1 - 0.9**t)) / (np.sqrt(second[k] / (1 - 0.999**t)) + 1e-8))
-            model = LinearModel(*values)
-        return model
+                values[k] = values[k] - cfg.rate * (first[k] / (1 - 0.9**t)) / (np.sqrt(second[k] / (1 - 0.999**t)) + 1e-8)
+        for k, which in enumerate(learn):
+            models[which] = LinearModel(values[0][:, k].copy(), values[1][:, k].copy(), float(values[2][k]))
+        return models
 
     def logit(self, rows, cols, dense):
         return np.bincount(rows, self.weights[cols], len(dense)) + dense @ self.dense + self.bias
@@ -187,7 +218,7 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: Mapping[str, Colum
         F.sum("docs").alias("docs"),
         *[F.sum(F.when((value(F.col("kind"), k) == v) & (F.pmod("kind", F.lit(cfg.folds)) == f), F.col("docs")).otherwise(0)).alias(f"c{k}_{v}_{f}")
           for k in range(len(names)) for v in (0, 1) for f in range(cfg.folds)],
-    ).filter(F.col("docs").between(cfg.min_docs, max(cfg.min_docs, cfg.max_share * sum(kinds.values()))))
+    ).filter(F.col("docs") >= cfg.min_docs)
     size = {(k, v, f): sum(n for kind, n in kinds.items() if kind % cfg.folds == f and told(kind, k) == v) for k in range(len(names)) for v in (0, 1) for f in range(cfg.folds)}
     folds = range(cfg.folds)
 
@@ -235,18 +266,15 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: Mapping[str, Colum
     models, seen = [], np.zeros((len(kind), 0))
     for k in range(len(names)):
         label = (kind // cfg.folds) >> (2 * k) & 3
-
-        def train(pick, dense, keep, label=label):
-            pick = pick & (label < 2)
-            place = np.cumsum(pick) - 1
-            use = pick[rows] & keep[cols]
-            return LinearModel.fit(place[rows[use]], cols[use], len(features), dense[pick], (label[pick] == 1).astype(float), cfg)
-
+        # one model without each fold, and the one of all rows
+        without = [*folds, None]
+        use = np.column_stack([(label < 2) & (fold != f if f is not None else True) for f in without])
+        keep = np.column_stack([passes(k, f) for f in without])
+        *parts, whole = LinearModel.fit_each(rows, cols, len(features), seen, (label == 1).astype(float), use, keep, cfg)
         out = np.zeros(len(kind))
-        for f in folds:
-            part = train(fold != f, seen, passes(k, f))
+        for f, part in zip(folds, parts, strict=True):
             out = np.where(fold == f, part.probability(rows, cols, seen), out)
-        models.append(train(np.ones(len(kind), bool), seen, passes(k, None)))
+        models.append(whole)
         seen = np.column_stack([seen, out])
     clean = np.sort(seen[:, -1][label == 0])
     allowed = int(cfg.max_false * len(clean))

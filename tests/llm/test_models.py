@@ -40,6 +40,18 @@ def test_later_models_use_earlier_categories(spark):
     assert all((r.toxicity.two > 0.5) == (r.doc_id % 3 == 0) for r in out)
 
 
+def test_common_toxic_words_are_features(spark):
+    """A third of the labelled rows are copies of one toxic text, so all its words are very common."""
+    rng = np.random.default_rng(3)
+    clean = lambda: " ".join(f"w{x}" for x in rng.integers(0, 50, 8))
+    rows = [(i, "vile foulmouth nasty scum" if i % 3 == 0 else clean(), "en", int(i % 3 == 0)) for i in range(600)]
+    rows += [(600, "vile w1 foulmouth nasty w2", "en", None), (601, "w1 w2 w4 w3", "en", None)]
+    docs = spark.createDataFrame([r[:3] for r in rows], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(r[0], r[3]) for r in rows if r[3] is not None], "doc_id long, toxic int")
+    found = {r.doc_id for r in toxicity.toxic_documents(docs, labels).filter("toxic").collect()}
+    assert found == {r[0] for r in rows if "vile" in r[1]}
+
+
 def test_same_input_same_chain(spark):
     docs = spark.createDataFrame([(i, f"w{i % 7} vile" if i % 2 else f"w{i % 7}", "en") for i in range(200)], "doc_id long, text string, lang string")
     labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, toxic int")
