@@ -18,7 +18,7 @@ what is compared is a table of digests.
 
 Defined cases: null html is an empty payload and a null URL is `-`; an empty payload is a payload;
 records with one page_id are told apart by file and offset; a header that cannot be read ends its
-file, and is counted in `damaged`; other columns are ignored; empty tables make empty archives.
+file, and is counted in `damaged`, which stops `archive_pages`; other columns are ignored; empty tables make empty archives.
 """
 
 from __future__ import annotations
@@ -102,7 +102,7 @@ def arc_record(url: str | None, date: str, block: bytes, version: int, offset: i
 
 def read_arc(content: bytes) -> Iterator[Record | None]:
     """Records in order; None where the rest cannot be read."""
-    at, version = 0, 1
+    at, version, first = 0, 1, True
     while at < len(content):
         if content[at : at + 1] in (b"\n", b"\r"):
             at += 1
@@ -110,19 +110,24 @@ def read_arc(content: bytes) -> Iterator[Record | None]:
         end = content.find(b"\n", at)
         line = content[at : end if end >= 0 else len(content)].decode("utf-8", "replace").rstrip("\r")
         start = end + 1 if end >= 0 else len(content)
-        if line.startswith("filedesc://"):
+        opens = line.startswith("filedesc://")
+        if opens:
             second = content[start : content.find(b"\n", start)].split()
-            if not second or second[0] not in (b"1", b"2"):
+            if second and second[0] in (b"1", b"2"):
+                version = int(second[0])
+            elif first:
                 yield None
                 return
-            version = int(second[0])
+            else:
+                opens = False  # a record whose URL looks like a version block
+        first = False
         names = FIELDS[version]
         values = line.rsplit(" ", len(names) - 1)
         if len(values) < len(names) or not values[-1].isdigit() or start + int(values[-1]) > len(content):
             yield None
             return
         length = int(values[-1])
-        if not line.startswith("filedesc://"):
+        if not opens:
             yield Record(at, dict(zip(names, values, strict=True)), content[start : start + length])
         at = start + length
 
@@ -343,6 +348,9 @@ def archive_pages(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     write_arc(pages, old)
     files = archives(spark, old)
     digests = cut_lineage(arc_digests(files), "digests")
+    damaged = digests.filter("damaged > 0").count()
+    if damaged:
+        raise ValueError(f"{damaged} archives cannot be read to their end")
     convert(files, cut_lineage(revisits(digests, min_bytes), "revisits"), new)
     records = cut_lineage(read_back(archives(spark, new)), "records")
     targets = records.filter("record_type != 'revisit'").select(F.col("record_id").alias("refers_to_id"), F.col("page_id").alias("refers_to"))

@@ -103,3 +103,21 @@ def test_damaged_archives_are_counted(spark):
     spark.createDataFrame([(bytearray(good + b"broken line"),)], "b binary").select(F.col("b").cast("string")).write.text(path)
     rows = W.arc_digests(W.archives(spark, path).filter(F.length("content") > 0)).collect()
     assert sorted((r.damaged, r.length) for r in rows if r.length is not None) == [(0, 2)] and sum(r.damaged for r in rows) == 1
+
+
+def test_urls_that_look_like_version_blocks(spark):
+    pages = [(i, "filedesc://old.arc" if i % 7 == 3 else f"http://h/{i}", f"text {i}") for i in range(40)]
+    assert run(spark, pages) == brute(pages)
+
+
+def test_damaged_archives_stop_the_round_trip(spark, monkeypatch):
+    write = W.write_arc
+    broken = [(1, "u", W.arc_version_block("f", "1", 1).decode() + "broken line")]
+
+    def damage(pages, path):
+        write(pages, path)
+        spark.createDataFrame(broken, "a int, b string, value string").select("value").coalesce(1).write.mode("append").text(path)
+
+    monkeypatch.setattr(W, "write_arc", damage)
+    with pytest.raises(ValueError, match="1 archives"):
+        run(spark, PAGES)
