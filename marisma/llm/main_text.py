@@ -11,7 +11,8 @@ weights are fitted by gradient ascent on the conditional likelihood (`fit_field`
 sequences at once.
 
 Defined cases: null html counts as empty and gives an empty text; tag soup, unclosed or stray tags
-and truncated pages are read as far as they go; a page without any block labelled as text gives an
+and truncated pages are read as far as they go; a head without its end stops at the first text or tag
+that cannot stand in it; a page without any block labelled as text gives an
 empty string; repeated rows and null ids are kept; columns of other names are ignored.
 """
 
@@ -35,6 +36,8 @@ INLINE = frozenset(
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SILENT = frozenset("script style noscript template iframe object svg math textarea title head select canvas audio video map".split())
 RAW = frozenset("script style textarea title iframe noscript".split())
+# what may stand in a head; any other tag, or text, ends one that is still open
+HEAD = frozenset("title meta link base script style noscript noframes template".split())
 # an opening tag of the first kind ends an open element of the second
 CLOSES = {
     **dict.fromkeys("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split(), ("p",)),
@@ -101,10 +104,16 @@ def leaf_blocks(page: str) -> list[Block]:
             silent -= name in SILENT
             links -= name == "a"
 
+    def end_head():
+        while stack and stack[-1][0] == "head":
+            drop(len(stack) - 1)
+
     size = len(page)
     while at < size:
         m = _TAG.search(page, at)
         text = page[at : m.start()] if m else page[at:]
+        if silent and text and not text.isspace():
+            end_head()
         if text and not silent:
             parts.append(text)
             if links:
@@ -135,6 +144,11 @@ def leaf_blocks(page: str) -> list[Block]:
                 if stack[k][0] in FENCES and name not in FENCES:
                     break
             continue
+        if silent and stack[-1][0] == "head":
+            if name in ("html", "head"):
+                continue
+            if name not in HEAD:
+                end_head()
         if name == "br":
             parts.append(" ")
             continue

@@ -56,6 +56,15 @@ def test_leaf_blocks():
     assert blocks("<TITLE>no</TITLE><P CLASS=x>Yes</P>") == ["Yes"]
 
 
+def test_heads_without_an_end(field):
+    page = "<html><head><title>T</title><article><h1>Title</h1><p>A paragraph with words enough to be one.</p></article>"
+    assert blocks(page) == ["Title", "A paragraph with words enough to be one."]
+    assert M.text_of(page, field) == M.text_of(page.replace("<article>", "</head><body><article>"), field) != ""
+    assert blocks("<head><meta name=a><style>p{}</style> <template><p>no</p></template>\n<link>Words<p>more") == ["Words", "more"]
+    assert blocks("<head><html><head><title>T</title><br>a<div>b") == ["a", "b"]
+    assert blocks("<head><script>var t='<p>no'</script><noscript><p>no</p></noscript></head><body><p>x") == ["x"]
+
+
 def test_ancestors_and_names():
     (b,) = M.leaf_blocks('<main id="Main"><div class="ad-box x2"><p>buy <a href="/">now</a></p></div></main>')
     assert b.path == (("main", ("main",)), ("div", ("ad", "box", "x")), ("p", ())) and b.linked == 3
