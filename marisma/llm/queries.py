@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marisma.llm import bpe, decontaminate, exact_dedup, main_text, near_dedup, quality, token_totals, toxicity, url_rules, warc
+from marisma.llm import (
+    bpe, decontaminate, exact_dedup, main_text, merkle, mixing, near_dedup, prefix_trie, quality, token_totals, toxicity, url_rules, warc,
+)
 from marisma.session import cut_lineage, work_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -187,3 +189,102 @@ def op8(spark, d):
     token_totals.commit_batch(spark, home, 3, toxic)
     token_totals.commit_batch(spark, home, 2, poor)
     return token_totals.totals(spark, home)
+
+
+# CRC-32 of a decimal number, bit by bit
+_CRC32 = """xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST({c} AS VARCHAR), ''), lambda s: CAST(ascii(s) AS BIGINT))),
+  lambda c, b: list_reduce(list_prepend(xor(c, b), CAST(range(8) AS BIGINT[])), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295)"""
+
+
+def lent_beginnings(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Every conversation's first h turns are those of the conversation at the start of its twenty; h from a checksum of its number."""
+    members = turns.select("conv_id").distinct()
+    firsts = turns.filter("pos <= 3").withColumnRenamed("conv_id", "base")
+    plan = (
+        members.select("conv_id", F.expr("conv_id - conv_id % 20").alias("base"), (F.crc32(F.col("conv_id").cast("string").cast("binary")) % 4).alias("h"))
+        .join(firsts.groupBy("base").agg(F.max("pos").alias("there")), "base", "left")
+        .withColumn("lent", F.least("h", F.coalesce("there", F.lit(0))))
+    )
+    own = turns.join(plan.select("conv_id", "h", "lent"), "conv_id").filter("pos > h")
+    lent = plan.filter("lent > 0").join(firsts, "base").filter("pos <= lent")
+    return members, own.select("conv_id", F.expr("pos - h + lent").alias("pos"), "digest", "words").unionByName(lent.select("conv_id", "pos", "digest", "words"))
+
+
+@query("op11_prefix_trie", rf"""
+WITH RECURSIVE t AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS pos, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
+), m AS (SELECT conv_id, conv_id - conv_id % 20 AS base, {_CRC32.format(c='conv_id')} % 4 AS h FROM (SELECT DISTINCT conv_id FROM t)),
+r AS (
+  SELECT m.conv_id, pos, role, text FROM m JOIN t ON t.conv_id = base AND pos <= h
+  UNION ALL
+  SELECT m.conv_id, pos - h + least(h, (SELECT count(*) FROM t b WHERE b.conv_id = base)), role, text FROM m JOIN t ON t.conv_id = m.conv_id AND pos > h
+), walk(conv_id, depth, node, up, words) AS (
+  SELECT conv_id, CAST(0 AS BIGINT), '', '', CAST(0 AS BIGINT) FROM m
+  UNION ALL
+  SELECT w.conv_id, depth + 1, sha256(node || length(role) || ':' || role || text), node, CAST(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS BIGINT)
+  FROM walk w JOIN r ON r.conv_id = w.conv_id AND r.pos = depth + 1
+), n AS (SELECT depth, node, any_value(up) AS up, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(words) AS own FROM walk GROUP BY depth, node),
+k AS (SELECT n.*, coalesce(c, 0) AS n_children FROM n LEFT JOIN (SELECT up AS node, count(*) AS c FROM n WHERE depth > 0 GROUP BY up) USING (node)),
+over_all AS (
+  SELECT a.node, sum(CASE WHEN k.n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum(k.own) AS saved
+  FROM k JOIN walk p ON p.conv_id = k.conv_id AND p.depth <= k.depth JOIN n a ON a.node = p.node GROUP BY a.node
+), ends AS (
+  SELECT node, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) AS ids
+  FROM (SELECT conv_id, max_by(node, depth) AS node FROM walk GROUP BY conv_id) GROUP BY node
+)
+SELECT k.conv_id, k.depth, p.conv_id AS parent_conv_id, k.n_convs, k.n_children, CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM k JOIN over_all o USING (node) LEFT JOIN n p ON k.depth > 0 AND p.node = k.up LEFT JOIN ends e ON e.node = k.node
+""")
+def op11(spark, d):
+    members, turns = lent_beginnings(cut_lineage(prefix_trie.ordered_turns(table(spark, d, "conversations")), "turns"))
+    return prefix_trie.prefix_trie(members, turns)
+
+
+@query("op12_source_mix")
+def op12(spark, d):
+    return mixing.mix(table(spark, d, "documents"), [1, 2, 3]).select("doc_id", "size", "source_size", "target", "taken", "source", "rate", "copies")
+
+
+_LEAF = " || ".join(f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || {c}, '-')" for c in ("doc_id", "source", "lang", "n_chars", "{text}"))
+
+
+@query("op13_merkle_manifest", f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce('s' || lang, 'n') AS lang, sha256({_LEAF.replace('{text}', 'text')}) AS leaf,
+         sha256({_LEAF.replace('{text}', "CASE WHEN " + _CRC32.format(c='doc_id') + " % 3 = 0 THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END")}) AS claim
+  FROM documents
+), p AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS spot FROM d),
+t(lang, lvl, spot, h, n) AS (
+  SELECT lang, 0, spot, leaf, count(*) OVER (PARTITION BY lang) FROM p
+  UNION ALL
+  SELECT lang, lvl + 1, spot // 8, sha256(string_agg(h, '' ORDER BY spot)), (n + 7) // 8 FROM t WHERE n > 1 GROUP BY lang, lvl, spot // 8, n
+), sub AS (SELECT lang, h, lvl AS top, row_number() OVER (ORDER BY lang) - 1 AS spot FROM t WHERE n = 1),
+g(lvl, spot, h, n) AS (
+  SELECT 0, spot, h, count(*) OVER () FROM sub
+  UNION ALL
+  SELECT lvl + 1, spot // 8, sha256(string_agg(h, '' ORDER BY spot)), (n + 7) // 8 FROM g WHERE n > 1 GROUP BY lvl, spot // 8, n
+), nodes AS (SELECT lang, lvl, spot, h FROM t WHERE n > 1 UNION ALL SELECT sub.lang, top + lvl, g.spot, g.h FROM sub, g WHERE n > 1),
+row_ids AS (SELECT p.*, row_number() OVER () AS id, sub.spot AS lang_at, top, sub.h AS subroot FROM p JOIN sub USING (lang)),
+spots AS (
+  SELECT id, lang, lvl, CASE WHEN lvl < top THEN CAST(spot // CAST(8 ** lvl AS BIGINT) AS BIGINT) ELSE CAST(lang_at // CAST(8 ** (lvl - top) AS BIGINT) AS BIGINT) END AS spot
+  FROM row_ids JOIN (SELECT DISTINCT lang, lvl FROM nodes) USING (lang)
+), steps AS (
+  SELECT s.id, s.lvl, coalesce(string_agg(h, '' ORDER BY n.spot) FILTER (n.spot < s.spot), '') AS l, coalesce(string_agg(h, '' ORDER BY n.spot) FILTER (n.spot > s.spot), '') AS r
+  FROM spots s JOIN nodes n ON n.lang = s.lang AND n.lvl = s.lvl AND n.spot // 8 = s.spot // 8 GROUP BY s.id, s.lvl, s.spot
+), proofs AS (SELECT id, string_agg(l || r, '' ORDER BY lvl) AS proof, list(l || ',' || r ORDER BY lvl) AS path FROM steps GROUP BY id),
+f AS (
+  SELECT doc_id, leaf, subroot, (SELECT h FROM g WHERE n = 1) AS root, sha256(coalesce(proof, '')) AS proof_sha256,
+         list_reduce(list_prepend(claim, coalesce(path, [])), lambda x, y: sha256(split_part(y, ',', 1) || x || split_part(y, ',', 2))) AS folded_root
+  FROM row_ids LEFT JOIN proofs USING (id)
+)
+SELECT *, folded_root = root AS verified FROM f
+""")
+def op13(spark, d):
+    """The manifest is of the table as it is; a third of the rows comes back with its capitals gone."""
+    text, capitals = F.col("text"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    changed = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0, F.translate(text, capitals, capitals.lower())).otherwise(text)
+    fields = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    rows = table(spark, d, "documents").select(
+        F.col("doc_id").alias("id"), F.col("lang").alias("group"), merkle.leaf(*fields, text).alias("leaf"), merkle.leaf(*fields, changed).alias("claim")
+    )
+    return merkle.manifest(rows).withColumnRenamed("id", "doc_id")
