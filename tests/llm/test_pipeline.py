@@ -79,6 +79,26 @@ def test_stages_return_documents_columns(spark, folder):
         assert stage(spark, frame, home).schema == frame.schema
 
 
+def test_rows_go_by_their_text_and_not_by_their_number(spark, folder, tmp_path):
+    """Null and repeated numbers, columns of other names."""
+    home, docs, item = folder
+    words = lambda tag, n=40: " ".join(f"{tag}{k}" for k in range(n))
+    leak = " ".join(item[2:13])
+    rows = [
+        (1, words("a")), (2, words("a") + " more"), (2, words("b")), (2, words("b") + " more"), (None, words("c")), (None, words("c") + " more"),
+        (None, words("d")), (None, leak), (5, leak), (5, words("e")), (6, None), (6, None),
+    ]
+    frame = spark.createDataFrame([(i, t, "en", "s", None, 1, "x") for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, row_key int, fresh string")
+    frame.repartition(2).write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    left = sorted(((r.doc_id, r.text) for r in P.drop_contaminated(spark, docs, home).collect()), key=str)
+    assert left == sorted([r for r in rows if r[1] != leak], key=str)
+    left = [(r.doc_id, r.text) for r in P.drop_near_copies(spark, docs, home).collect()]
+    assert {(1, words("a")), (None, words("d")), (6, None), (5, words("e"))} <= set(left) and (2, words("a") + " more") not in left
+    assert len(left) == len(rows) - 4 and sum((t or "").startswith("b0") for _, t in left) == 1 and sum((t or "").startswith("c0") for _, t in left) == 1
+    assert sum(t == leak for _, t in left) == 1
+
+
 def test_empty_documents(spark, folder):
     home, _, _ = folder
     empty = spark.read.parquet(f"{home}/documents.parquet").filter(F.lit(False))

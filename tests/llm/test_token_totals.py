@@ -57,6 +57,41 @@ def test_equals_a_count_from_scratch(spark, seed):
         assert read(spark, home) == brute(batches)
 
 
+def test_late_first_commits_are_refused(spark):
+    home = work_dir(spark, "totals")
+    row = lambda n: [(1, "a", "insert", "s", "en", n, 0)]
+    commit(spark, home, 1, row(5))
+    with pytest.raises(ValueError):
+        commit(spark, home, 3, row(11))
+    commit(spark, home, 2, row(16))
+    commit(spark, home, 3, row(11))
+    commit(spark, home, 2, row(99))
+    assert read(spark, home) == [("s", "en", "a", 1, 11)]
+
+
+@pytest.mark.parametrize("fails", ["deltas", "marks"])
+def test_a_crash_between_the_writes_leaves_nothing(spark, monkeypatch, fails):
+    from pyspark.sql import DataFrameWriter
+
+    home = work_dir(spark, "totals")
+    commit(spark, home, 1, [(1, "a", "insert", "s", "en", 5, 0)])
+    second = [(1, "a", "revise", "t", "en", 7, 0), (2, "a", "insert", "s", "en", 1, 0)]
+    write = DataFrameWriter.parquet
+
+    def broken(self, path, *a, **b):
+        if f"/{fails}/batch=2" in path:
+            raise OSError("the driver is lost")
+        return write(self, path, *a, **b)
+
+    monkeypatch.setattr(type(spark.range(0).write), "parquet", broken)
+    with pytest.raises(OSError):
+        commit(spark, home, 2, second)
+    monkeypatch.undo()
+    assert read(spark, home) == [("s", "en", "a", 1, 5)]
+    commit(spark, home, 2, second)
+    assert read(spark, home) == [("s", "en", "a", 1, 1), ("t", "en", "a", 1, 7)]
+
+
 def test_odd_batches(spark):
     home = work_dir(spark, "totals")
     commit(spark, home, 1, [])
