@@ -8,8 +8,9 @@ from catalog.base import passages, query, table
 from catalog.corpus import TITLE, docs, title_col, toks
 from marisma.functions import fixed_values as fv
 from marisma.functions import numbers, text
-from marisma.operators import articles, evidence, search
+from marisma.operators import articles, evidence, search, text_index
 from marisma.plans import news
+from marisma.session import work_dir
 
 
 def embeddings(spark, d):
@@ -123,6 +124,45 @@ def _(spark, d):
     return search.postings(docs(spark, d), "doc_id", F.col("text"))
 
 
+# queries of the stored index: every sentence of every benchmark passage
+_SENTENCES = "(SELECT item_id * 1000 + i - 1 AS qid, s[i] AS q FROM (SELECT item_id, s, unnest(generate_series(1, len(s))) AS i FROM (SELECT item_id, regexp_split_to_array(text, '[.]\\s+') AS s FROM benchmark)))"
+_BM25_ALL = _BM25.replace(f"SELECT DISTINCT item_id AS qid, unnest({_LW.format(TITLE)}) AS t FROM benchmark", f"SELECT DISTINCT qid, unnest({_LW.format('q')}) AS t FROM {_SENTENCES}")
+
+
+def _sentences(spark, d):
+    rows = table(spark, d, "benchmark").select("item_id", F.posexplode(F.split("text", r"[.]\s+")).alias("n", "qtext"))
+    return rows.select((F.col("item_id") * 1000 + F.col("n")).alias("qid"), "qtext")
+
+
+_INDEXES: dict[tuple[str, str], text_index.TextIndex] = {}
+
+
+def _index(spark, d):
+    """One per session and folder of tables: built by the first query that needs it, read by all others."""
+    place = (spark.sparkContext.applicationId, d)
+    if place not in _INDEXES:
+        _INDEXES[place] = text_index.build_index(docs(spark, d), "doc_id", F.col("text"), work_dir(spark, "text-index"))
+    return _INDEXES[place]
+
+
+@query("V05_index_levels", f"""
+WITH d AS (SELECT doc_id, len(w) AS dl, w FROM (SELECT doc_id, {_LW.format('text')} AS w FROM documents)), s AS (SELECT avg(dl) AS media FROM d),
+ tf AS (SELECT doc_id, dl, t, count(*) AS tf FROM (SELECT doc_id, dl, unnest(w) AS t FROM d) GROUP BY ALL),
+ i AS (SELECT t, tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / media)) AS impacto FROM tf, s)
+SELECT t AS termino, count(*) AS n, round(max(impacto), 6) AS alto, round(min(impacto), 6) AS bajo FROM i GROUP BY t
+""")
+def _(spark, d):
+    levels = _index(spark, d).levels(spark)
+    return levels.groupBy("termino").agg(F.sum("n").alias("n"), F.round(F.max("alto"), 6).alias("alto"), F.round(F.min("bajo"), 6).alias("bajo"))
+
+
+@query("V05_search_stored", f"""
+WITH {_BM25_ALL} SELECT qid, doc_id, round(b, 6) AS bm25, rango FROM (SELECT qid, doc_id, round(bm25, 9) AS b, row_number() OVER (PARTITION BY qid ORDER BY round(bm25, 9) DESC, doc_id) AS rango FROM bm) WHERE rango <= 10
+""")
+def _(spark, d):
+    return text_index.search_index(_index(spark, d), _sentences(spark, d), 10).withColumn("bm25", F.round("bm25", 6))
+
+
 @query("V06_search_hybrid", f"""
 WITH {_BM25}, v AS (SELECT b.vec_id AS qid, a.vec_id AS doc_id, {_COS} AS sim FROM embeddings a, embeddings b WHERE b.vec_id < (SELECT count(*) FROM benchmark)),
  vn AS (SELECT qid, doc_id, (sim - min(sim) OVER w) / (max(sim) OVER w - min(sim) OVER w) AS sv FROM v WINDOW w AS (PARTITION BY qid)),
@@ -137,6 +177,23 @@ def _(spark, d):
     return out.withColumn("puntuacion", F.round("puntuacion", 6))
 
 
+_HYBRID_ALL = f"""
+WITH {_BM25_ALL}, v AS (SELECT x.qid, a.vec_id AS doc_id, {_COS} AS sim FROM embeddings a, embeddings b, {_SENTENCES} x WHERE b.vec_id = x.qid // 1000),"""
+
+
+@query("V06_search_hybrid_stored", _HYBRID_ALL + f"""
+ vn AS (SELECT qid, doc_id, (sim - min(sim) OVER w) / (max(sim) OVER w - min(sim) OVER w) AS sv FROM v WINDOW w AS (PARTITION BY qid)),
+ bn AS (SELECT qid, doc_id, CASE WHEN max(bm25) OVER w > min(bm25) OVER w THEN (bm25 - min(bm25) OVER w) / (max(bm25) OVER w - min(bm25) OVER w) ELSE 1 END AS sb FROM bm WINDOW w AS (PARTITION BY qid)),
+ m AS (SELECT qid, doc_id, round(coalesce(sv, 0) * 0.5 + coalesce(sb, 0) * 0.5, 9) AS p FROM vn FULL JOIN bn USING (qid, doc_id))
+SELECT qid, doc_id, round(p, 6) AS puntuacion, rango FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY p DESC, doc_id) AS rango FROM m) WHERE rango <= 10
+""")
+def _(spark, d):
+    """Every sentence with the vector of its passage."""
+    vectors = embeddings(spark, d).select(F.col("vec_id").alias("doc_id"), "embedding")
+    asked = _sentences(spark, d).withColumn("vec_id", F.floor(F.col("qid") / 1000)).join(embeddings(spark, d).select("vec_id", F.col("embedding").alias("qvec")), "vec_id")
+    return text_index.search_hybrid_stored(_index(spark, d), vectors, "embedding", asked, 10).withColumn("puntuacion", F.round("puntuacion", 6))
+
+
 _NEWS_CTE = f"""
 WITH n AS (SELECT doc_id AS id, {TITLE} AS title, text AS body, source AS url, CASE WHEN doc_id % 6 <> 0 THEN TIMESTAMP '2024-01-01' + INTERVAL 1 HOUR * doc_id END AS published FROM documents),
  x AS (SELECT id, len(w) AS dl, w FROM (SELECT id, {_LW.format("concat_ws(' ', title, body)")} AS w FROM n)), s AS (SELECT count(*) AS c, avg(dl) AS media FROM x),

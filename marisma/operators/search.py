@@ -217,7 +217,7 @@ def search_keyword(docs: DataFrame, key: str, body: Column, queries: DataFrame,
 
 # ---------------------------------------------------------------- hybrid search
 
-def _scaled(score: str, low: str, high: str) -> Column:
+def scaled(score: str, low: str, high: str) -> Column:
     span = F.col(high) - F.col(low)
     unit = F.when(span > 0, (F.col(score) - F.col(low)) / span).otherwise(F.lit(1.0))
     return F.when(F.col(score).isNotNull(), unit).otherwise(F.lit(0.0))
@@ -250,7 +250,7 @@ def search_hybrid(docs: DataFrame, key: str, body: Column, vectors: DataFrame, v
         if nearest is not None:
             found = found.unionByName(nearest).groupBy(qid, key).agg(F.max("similitud").alias("similitud"))
         both = found.join(hits, [qid, key], "full_outer").join(ends, qid, "left")
-        score = _scaled("similitud", "_v0", "_v1") * alpha + _scaled("bm25", "_w0", "_w1") * (1 - alpha)
+        score = scaled("similitud", "_v0", "_v1") * alpha + scaled("bm25", "_w0", "_w1") * (1 - alpha)
         return both.select(qid, key, F.round(score, 9).alias("puntuacion"))
 
     # the k best by either side are scored first; their k-th score is what the others have to reach
@@ -261,7 +261,7 @@ def search_hybrid(docs: DataFrame, key: str, body: Column, vectors: DataFrame, v
     # each task keeps its own k nearest; a row it cut has k rows at least as near, so it is at most as near as the k-th of all
     last = top_k(nearest, qid, "similitud", key, k).filter(F.col("rango") == k).select(qid, F.col("similitud").alias("_n"))
     limits = ends.join(reach, qid, "left").join(last, qid, "left")
-    bound = F.when(F.col("_n").isNotNull(), _scaled("_n", "_v0", "_v1")).otherwise(1.0) * alpha + _scaled("bm25", "_w0", "_w1") * (1 - alpha)
+    bound = F.when(F.col("_n").isNotNull(), scaled("_n", "_v0", "_v1")).otherwise(1.0) * alpha + scaled("bm25", "_w0", "_w1") * (1 - alpha)
     rest = words.join(lead, [qid, key], "left_anti").join(limits, qid).filter(F.col("_t").isNull() | (bound >= F.col("_t") - 1e-8)).select(words.columns)
     return top_k(first.unionByName(mixed(rest)), qid, "puntuacion", key, k)
 

@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.listener import StreamingQueryListener
@@ -143,23 +144,74 @@ def daily_coverage(df: DataFrame, ts: str, topic: str, label: Column, delay: str
     )
 
 
-def rolling_coverage(daily: DataFrame, windows: list[int]) -> DataFrame:
-    """Look-back windows that end on each day, summed from the daily counts.
+def daily_radar(df: DataFrame, ts: str, topic: str, party: str, axes: str, n_axes: int, delay: str = "1 day") -> DataFrame:
+    """Sum and number of votes of every axis per day, topic and party; nulls are no votes."""
+    rows = df.withWatermark(ts, delay).select(ts, F.col(topic).alias("tema"), F.col(party).alias("partido"), F.col(axes).alias("_axes"))
+    vote = [F.get("_axes", F.lit(i)).cast("double") for i in range(n_axes)]
+    return (
+        rows.groupBy(F.window(ts, "1 day").alias("_w"), "tema", "partido")
+        .agg(
+            F.array(*[F.coalesce(F.sum(v), F.lit(0.0)) for v in vote]).alias("sumas"),
+            F.array(*[F.count(v) for v in vote]).alias("votos"), F.count("*").alias("articulos"),
+        )
+        .select(F.to_date("_w.start").alias("dia"), "tema", "partido", "sumas", "votos", "articulos")
+    )
+
+
+def daily_affinity(df: DataFrame, ts: str, outlet: str, affinity: str, delay: str = "1 day") -> DataFrame:
+    """Sum and number of affinities, and number of articles, per day and outlet."""
+    rows = df.withWatermark(ts, delay).select(ts, F.col(outlet).alias("medio"), F.col(affinity).alias("_a"))
+    return (
+        rows.groupBy(F.window(ts, "1 day").alias("_w"), "medio")
+        .agg(F.coalesce(F.sum("_a").cast("double"), F.lit(0.0)).alias("suma"), F.count("_a").alias("votos"), F.count("*").alias("articulos"))
+        .select(F.to_date("_w.start").alias("dia"), "medio", "suma", "votos", "articulos")
+    )
+
 
-    A day adds to n windows of n days; the input is days by topics, not articles.
+def rolling_sums(daily: DataFrame, keys: list[str], sums: list[str], present: str, windows: list[int]) -> DataFrame:
+    """ventana, fin, keys and sums: look-back windows that end on each day up to the newest.
+
+    A day joins a window of n days when it comes and leaves it n days later, so it is written twice per
+    window, not n times; a running sum over those changes is the window, which holds until the next
+    change.  The input is mergeable partial sums, a row per day and key; a window is left out where
+    `present`, one of the sums, is 0.  Null keys are keys.
     """
     last = daily.agg(F.max("dia")).scalar()
-    ends = F.flatten(F.array(*[_ends(n) for n in windows]))
-    rows = daily.withColumn("_e", F.explode(ends)).filter(F.col("_e.fin") <= last)
-    return rows.groupBy(F.col("_e.ventana").alias("ventana"), F.col("_e.fin").alias("fin"), "tema").agg(
-        *[F.sum(c).alias(c) for c in ("positive", "neutral", "negative", "total")]
+    change = lambda size, day, sign: F.struct(
+        F.lit(size).alias("n"), day.alias("desde"), *[(F.col(c) * sign).alias(c) for c in sums]
     )
+    both = F.array(*[x for n in windows for x in (change(n, F.col("dia"), 1), change(n, F.date_add("dia", n), -1))])
+    # a key has a row per day at most, so what is ordered here is bounded by the calendar
+    rows = daily.select(*keys, F.explode(both).alias("_c")).select(*keys, "_c.*")
+    rows = rows.groupBy(*keys, "n", "desde").agg(*[F.sum(c).alias(c) for c in sums])
+    inside = W.partitionBy(*keys, "n").orderBy("desde")
+    upto = inside.rowsBetween(W.unboundedPreceding, W.currentRow)
+    rows = rows.withColumns({**{c: F.sum(c).over(upto) for c in sums}, "_next": F.lead("desde").over(inside)})
+    until = F.least(F.coalesce(F.date_sub("_next", 1), last), last)
+    rows = rows.filter(F.col(present) > 0).withColumn("_until", until).filter(F.col("desde") <= F.col("_until"))
+    return rows.select(F.concat(F.col("n").cast("string"), F.lit("d")).alias("ventana"), F.explode(F.sequence("desde", "_until")).alias("fin"), *keys, *sums)
+
+
+def rolling_coverage(daily: DataFrame, windows: list[int]) -> DataFrame:
+    """Articles per topic and tone in the windows that end on each day."""
+    return rolling_sums(daily, ["tema"], ["positive", "neutral", "negative", "total"], "total", windows)
+
+
+def rolling_radar(daily: DataFrame, windows: list[int]) -> DataFrame:
+    """Mean of every axis per topic and party in the windows that end on each day; null without votes."""
+    axes = daily.select("dia", "tema", "partido", "articulos", F.posexplode(F.arrays_zip("sumas", "votos")).alias("eje", "_v"))
+    axes = axes.select("dia", "tema", "partido", "eje", "articulos", F.col("_v.sumas").alias("suma"), F.col("_v.votos").alias("votos"))
+    out = rolling_sums(axes, ["tema", "partido", "eje"], ["suma", "votos", "articulos"], "articulos", windows)
+    return out.select("ventana", "fin", "tema", "partido", "eje", F.when(F.col("votos") > 0, F.col("suma") / F.col("votos")).alias("media"))
 
 
-def _ends(size: int) -> Column:
-    return F.transform(
-        F.sequence(F.lit(0), F.lit(size - 1)),
-        lambda i: F.struct(F.lit(f"{size}d").alias("ventana"), F.date_add("dia", i).alias("fin")),
+def rolling_affinity(daily: DataFrame, windows: list[int]) -> DataFrame:
+    """Mean affinity per outlet, its articles and their share, in the windows that end on each day."""
+    out = rolling_sums(daily, ["medio"], ["suma", "votos", "articulos"], "articulos", windows)
+    totals = out.groupBy("ventana", "fin").agg(F.sum("articulos").alias("_total"))
+    mean = F.when(F.col("votos") > 0, F.col("suma") / F.col("votos"))
+    return out.join(totals, ["ventana", "fin"]).select(
+        "ventana", "fin", "medio", mean.alias("afinidad"), "articulos", (F.col("articulos") * 100 / F.col("_total")).alias("cuota_articulos")
     )
 
 
