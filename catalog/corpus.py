@@ -754,6 +754,42 @@ def _(spark, d):
     return pages.page_article(rows).select("page_id", "titulo", "autor", F.col("fecha").cast("timestamp_ntz").alias("fecha"), F.array_join("tags", ",").alias("tags"))
 
 
+_PLAIN = "replace(replace(replace(replace(replace({}, '&quot;', chr(34)), '&#x27;', chr(39)), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')"
+SITES = ["www.abc.es", "www.diariosur.es", "www.diariodesevilla.es", "elpais.com"]
+
+
+@query("H03_site_article", f"""
+WITH p AS (SELECT page_id, unnest(x) AS t, generate_subscripts(x, 1) AS i FROM (SELECT page_id, string_split(replace(regexp_extract(html, '<article>(.*)</article>', 1, 's'), '</p>', ''), '<p>')[2:] AS x FROM pages)),
+ c AS (SELECT page_id, i, {sq("replace(replace(replace(replace(replace(regexp_replace(replace(t, '<br>', ' '), '<[^>]+>', '', 'g'), '&quot;', chr(34)), '&#x27;', chr(39)), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')")} AS t FROM p),
+ b AS (SELECT page_id, string_agg(t, chr(10) ORDER BY i) AS cuerpo FROM c WHERE length(t) >= CASE page_id % 4 WHEN 3 THEN 41 WHEN 2 THEN 21 ELSE 1 END GROUP BY page_id)
+SELECT page_id, CASE WHEN page_id % 4 = 1 THEN {sq(_PLAIN.format("regexp_extract(html, '<title>([^<]*)</title>', 1)"))} ELSE
+   {sq(_PLAIN.format("regexp_replace(regexp_extract(html, '<h1>(.*?)</h1>', 1, 's'), '<[^>]+>', '', 'g')"))} END AS titulo,
+ CASE page_id % 4 WHEN 0 THEN 'Ana Ruiz' WHEN 1 THEN 'Luis Gil' WHEN 2 THEN 'Eva Sanz' ELSE 'Paz Mora' END AS autor,
+ CASE WHEN page_id % 4 = 1 THEN NULL ELSE TIMESTAMP '2024-05-01 08:00:00' + INTERVAL 1 DAY * (page_id % 4) END AS fecha,
+ CASE WHEN page_id % 4 <> 1 THEN 'Más sol' END AS subtitulo, cuerpo
+FROM pages LEFT JOIN b USING (page_id)
+""")
+def _(spark, d):
+    """The pages as four newspapers would print them, each with its own places for author, time, subtitle and paragraphs."""
+    n, h = F.col("page_id") % 4, F.col("html")
+
+    def put(before: str, what: str, html):
+        return F.replace(html, F.lit(before), F.lit(what + before))
+
+    def named(css: str, html):
+        return F.replace(html, F.lit("<p>"), F.lit(f'<p class="x {css}">'))
+
+    abc = put("<article>", '<p class="voc-author__name">Por <a href="/a">Ana Ruiz</a></p><time class="voc-author__time" datetime="2024-05-01T08:00:00Z">hoy</time><h2 class="voc-subtitle">Más&nbsp;sol</h2>',
+              F.replace(named("voc-p", h), F.lit("<h1>"), F.lit('<h1 class="voc-title">')))
+    sur = put("<article>", '<p class="voc-author__name">Luis <b>Gil</b></p>', named("voc-p", h))
+    sevilla = put("<style>", '<meta property="mrf:authors" content="Eva Sanz"><meta property="article:published_time" content="2024-05-03T10:00:00+02:00">',
+                  put("<article>", '<h2 class="subtitle-atom">Más sol</h2>', F.replace(named("paragraph-atom", h), F.lit("<h1>"), F.lit('<h1 class="headline-atom">'))))
+    pais = put("<article>", '<h2>Más sol</h2><time datetime="2024-05-04T08:00:00Z">ayer</time>', put("<style>", '<meta name="author" content="Paz Mora">', h))
+    page = F.when(n == 0, abc).when(n == 1, sur).when(n == 2, sevilla).otherwise(pais)
+    rows = table(spark, d, "pages").select("page_id", F.concat(F.lit("https://"), F.get(F.array(*map(F.lit, SITES)), n.cast("int")), F.lit("/a")).alias("url"), page.alias("html"))
+    return pages.site_article(rows, "page_id").select("page_id", "titulo", "autor", F.col("fecha").cast("timestamp_ntz").alias("fecha"), "subtitulo", F.array_join("cuerpo", "\n").alias("cuerpo"))
+
+
 @query("H04_best_paragraph_block", f"""
 WITH p AS (SELECT page_id, unnest(x) AS t, generate_subscripts(x, 1) AS i FROM (SELECT page_id, string_split(replace(regexp_extract(html, '<article>(.*)</article>', 1, 's'), '</p>', ''), '<p>')[2:] AS x FROM pages)),
  c AS (SELECT page_id, i, {sq("replace(replace(replace(replace(replace(regexp_replace(replace(t, '<br>', ' '), '<[^>]+>', '', 'g'), '&quot;', chr(34)), '&#x27;', chr(39)), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')")} AS t FROM p)

@@ -436,6 +436,20 @@ def _(spark, d):
     return out.withColumn("variacion_pct", F.round("variacion_pct", 4))
 
 
+@query("W10_same_month_null_keys", FACT + """
+, m AS (SELECT nullif(categoria, (SELECT min(categoria) FROM fact)) AS categoria, metrica_nombre, anio, mes, CAST(sum(metrica_valor) AS DOUBLE) AS total FROM fact WHERE periodo_tipo = 'mensual' GROUP BY ALL)
+SELECT a.*, b.total AS total_previo, round(a.total - b.total, 2) AS diferencia,
+  CASE WHEN b.total <> 0 THEN round((a.total - b.total) * 100 / b.total, 4) END AS variacion_pct
+FROM m a LEFT JOIN m b ON a.categoria IS NOT DISTINCT FROM b.categoria AND a.metrica_nombre = b.metrica_nombre AND a.anio = b.anio + 1 AND a.mes = b.mes
+""")
+def _(spark, d):
+    """A null category is "all" and meets its own previous year."""
+    rows = long_fact(spark, d)
+    least = rows.agg(F.min("categoria")).scalar()
+    out = facts.same_month_last_year(rows.withColumn("categoria", F.nullif("categoria", least)), ["categoria", "metrica_nombre"])
+    return out.withColumn("variacion_pct", F.round("variacion_pct", 4))
+
+
 # ---------------------------------------------------------------- sorts
 
 @query("T01_list_metrics", """

@@ -359,6 +359,25 @@ def _(spark, d):
     return spark.sql("SELECT id, codigo, nombre FROM buscar_parte('BOLT')")
 
 
+@query("X02_find_indicators", """
+WITH q AS (SELECT DISTINCT string_split(p_name, ' ')[2] AS termino FROM part UNION SELECT DISTINCT p_brand FROM part UNION SELECT 'Ref 7' UNION SELECT 'o' UNION SELECT 'nada')
+SELECT DISTINCT termino, p_partkey AS id, p_brand AS codigo, p_name AS nombre FROM q JOIN part
+ON contains(lower(p_name), lower(termino)) OR lower(p_brand) = lower(termino) OR 'ref ' || p_partkey = lower(termino)
+""")
+def _(spark, d):
+    """A table of terms, asked by a lateral call."""
+    from marisma.plans.functions import register_contains_lookup
+
+    part = table(spark, d, "part")
+    part.createOrReplaceTempView("dim_partes")
+    part.select(F.col("p_partkey").alias("id"), F.concat(F.lit("ref "), "p_partkey").alias("alias")).createOrReplaceTempView("alias_partes")
+    register_contains_lookup(spark, "buscar_partes", "dim_partes", "alias_partes", "p_partkey", "p_brand", "p_name", "id")
+    asked = part.select(F.get(F.split("p_name", " "), F.lit(1)).alias("termino")).unionByName(part.select(F.col("p_brand").alias("termino")))
+    more = part.select(F.explode(F.array(*map(F.lit, ("Ref 7", "o", "nada")))).alias("termino"))
+    asked.unionByName(more).distinct().createOrReplaceTempView("terminos_buscados")
+    return spark.sql("SELECT termino, b.id, b.codigo, b.nombre FROM terminos_buscados, LATERAL buscar_partes(termino) b")
+
+
 @query("X03_period_function", STAR + """
 SELECT coalesce(nombre_provincia, 'Total Andalucía') AS provincia, coalesce(nombre_mercado, 'Todos los mercados') AS mercado,
   coalesce(nombre_tipo, 'Todos los tipos') AS tipo_turismo, nombre_indicador AS indicador, valor_absoluto AS valor, fecha_periodo AS fecha

@@ -8,7 +8,7 @@ from catalog.base import passages, query, table
 from catalog.corpus import TITLE, docs, title_col, toks
 from marisma.functions import fixed_values as fv
 from marisma.functions import numbers, text
-from marisma.operators import articles, evidence, search, text_index
+from marisma.operators import articles, evidence, search, text_index, vector_cells
 from marisma.plans import news
 from marisma.session import work_dir
 
@@ -81,6 +81,18 @@ def _(spark, d):
     return out.withColumn("similitud", F.round("similitud", 6))
 
 
+@query("V04_search_cells", f"""
+SELECT qid, vec_id, similitud, rango FROM (SELECT b.vec_id AS qid, a.vec_id, round({_COS}, 6) AS similitud,
+  row_number() OVER (PARTITION BY b.vec_id ORDER BY {_COS} DESC, a.vec_id) AS rango FROM embeddings a, embeddings b WHERE b.vec_id % 5 = 0) WHERE rango <= 10
+""")
+def _(spark, d):
+    """Every fifth vector asks all of them."""
+    rows = embeddings(spark, d)
+    cells = vector_cells.build_cells(rows, "vec_id", "embedding", work_dir(spark, "cells"))
+    asked = rows.filter("vec_id % 5 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec"))
+    return vector_cells.search_cells(cells, asked, 10).withColumn("similitud", F.round("similitud", 6))
+
+
 @query("T04_top_k_scored", f"""
 SELECT vec_id, round(p, 6) AS puntuacion FROM (SELECT a.vec_id, CASE WHEN a.vec_id % 2 = 0 THEN 1.0 / (1e-9 + 1.5 - {_COS}) ELSE 1 + {_COS} END AS p
  FROM embeddings a, embeddings b WHERE b.vec_id = 0) ORDER BY p DESC, vec_id LIMIT 20

@@ -401,6 +401,21 @@ def _(spark, d):
     return insert_ignore(target, rows, ["h"], "doc_id")
 
 
+@query("M02_insert_ignore_null_keys", """
+WITH d AS (SELECT doc_id, source, nullif(lang, 'de') AS lang, CASE WHEN doc_id % 5 <> 0 THEN md5(text) END AS h FROM documents),
+ t AS (SELECT d.* FROM d JOIN labels USING (doc_id)),
+ s AS (SELECT *, row_number() OVER (PARTITION BY h, lang ORDER BY doc_id) AS rn FROM d
+       WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.h IS NOT DISTINCT FROM d.h AND t.lang IS NOT DISTINCT FROM d.lang))
+SELECT doc_id, source, lang, h FROM t UNION ALL SELECT doc_id, source, lang, h FROM s WHERE rn = 1
+""")
+def _(spark, d):
+    """A second run adds nothing."""
+    rows = docs(spark, d).select("doc_id", "source", F.nullif("lang", F.lit("de")).alias("lang"), F.when(F.col("doc_id") % 5 != 0, F.md5("text")).alias("h"))
+    target = rows.join(table(spark, d, "labels").select("doc_id"), "doc_id")
+    once = insert_ignore(target, rows, ["h", "lang"], "doc_id")
+    return insert_ignore(once, rows, ["h", "lang"], "doc_id")
+
+
 @query("M02_existing_ids", """
 SELECT DISTINCT md5(text) AS h, t.doc_id FROM documents JOIN (SELECT doc_id, md5(text) AS h FROM documents JOIN labels USING (doc_id)) t ON t.h = md5(text)
 """)
@@ -419,6 +434,19 @@ def _(spark, d):
     return upserts.replace_partition(target, source, ["anio"]).drop("o_orderstatus")
 
 
+@query("M03_replace_null_keys", """
+WITH t AS (SELECT o_orderkey, year(o_orderdate) AS anio, nullif(o_orderstatus, 'P') AS estado, CAST(o_totalprice AS DOUBLE) AS precio, o_orderpriority FROM orders)
+SELECT o_orderkey, anio, estado, precio FROM t WHERE NOT (anio = 1995 AND (estado IS NULL OR estado = 'O'))
+UNION ALL SELECT o_orderkey, anio, estado, -1.0 FROM t WHERE anio = 1995 AND (estado IS NULL OR estado = 'O') AND o_orderpriority LIKE '1%'
+""")
+def _(spark, d):
+    """Null is "all": the totals of a period are replaced like any other part of it."""
+    target = table(spark, d, "orders").select(
+        "o_orderkey", F.year("o_orderdate").alias("anio"), F.nullif("o_orderstatus", F.lit("P")).alias("estado"), F.col("o_totalprice").alias("precio"), "o_orderpriority")
+    source = target.filter("anio = 1995 AND (estado IS NULL OR estado = 'O') AND o_orderpriority LIKE '1%'").withColumn("precio", F.lit(-1.0))
+    return upserts.replace_partition(target, source, ["anio", "estado"]).drop("o_orderpriority")
+
+
 @query("M04_insert_facts", STAR + """
 , n AS (SELECT anio, mes, id_provincia, max(valor_absoluto) FILTER (id_indicador = 1) AS v1 FROM star WHERE id_provincia IS NOT NULL GROUP BY ALL)
 SELECT coalesce(s.anio, n.anio + 10) AS anio, coalesce(s.mes, n.mes) AS mes, coalesce(s.id_provincia, n.id_provincia) AS id_provincia, 1 AS id_indicador, -1.0::DOUBLE AS valor_absoluto, CASE WHEN s.anio IS NULL THEN 'insertada' ELSE 'actualizada' END AS accion

@@ -57,7 +57,17 @@ def _(spark, d):
 def _(spark, d):
     root = work_dir(spark, "r02x")
     events_landing(spark, d, lambda s: jobs.dedup_exact(s.select("user_id", "event_id"), f"{root}/log", f"{root}/cp", ["user_id"], "event_id"))
-    return jobs.read_log(spark, f"{root}/log", "user_id BIGINT, event_id BIGINT").drop(jobs.BATCH)
+    return jobs.first_rows(spark, f"{root}/log", "user_id BIGINT, event_id BIGINT")
+
+
+@query("R02_dedup_exact_null_keys", _LANDED + """
+, k AS (SELECT CASE WHEN user_id % 4 <> 0 THEN user_id END AS usuario, nullif(event_type, 'view') AS tipo, event_id, CAST(part AS BIGINT) * 1000000000 + event_id AS o FROM landed)
+SELECT usuario, tipo, arg_min(event_id, o) AS event_id FROM k GROUP BY ALL""")
+def _(spark, d):
+    root = work_dir(spark, "r02n")
+    rows = lambda s: s.select(F.when(F.col("user_id") % 4 != 0, F.col("user_id")).alias("usuario"), F.nullif("event_type", F.lit("view")).alias("tipo"), "event_id")
+    events_landing(spark, d, lambda s: jobs.dedup_exact(rows(s), f"{root}/log", f"{root}/cp", ["usuario", "tipo"], "event_id"))
+    return jobs.first_rows(spark, f"{root}/log", "usuario BIGINT, tipo STRING, event_id BIGINT")
 
 
 @query("R03_stream_upsert", _LANDED + "SELECT user_id, event_type, max_by(event_id, CAST(part AS BIGINT) * 1000000000 + event_id) AS event_id, max_by(value, CAST(part AS BIGINT) * 1000000000 + event_id) AS value FROM landed GROUP BY ALL")

@@ -7,6 +7,9 @@ rows with the one-row-per-key winners; skew on the row side is split by AQE.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -35,14 +38,16 @@ def dedup_keep(df: DataFrame, key: Column, path: str, policy: str = "date", ts:
     if blank_is_error:
         blank = F.coalesce(key, F.lit("")) == ""
         narrow, df = narrow.filter(F.coalesce(F.col("_key"), F.lit("")) != ""), df.filter(~blank)
+    # a path may stand under several keys, and lose under one of them only
     best = narrow.groupBy("_key").agg(F.min("_order")["path"].alias("kept_path"), F.count("*").alias("_n"))
     best = best.filter("_n > 1").drop("_n")  # a key of its own has no losers
     losers = (
         narrow.join(best, "_key")
-        .select(F.col("_order.path").alias(path), "kept_path")
+        .select("_key", F.col("_order.path").alias(path), "kept_path")
         .filter(F.col(path) != F.col("kept_path"))
     )
-    return df.join(losers, path, "left_anti"), df.join(losers, path).select(*df.columns, "kept_path")
+    keyed = df.withColumn("_key", key)
+    return keyed.join(losers, ["_key", path], "left_anti").drop("_key"), keyed.join(losers.distinct(), ["_key", path]).select(*df.columns, "kept_path")
 
 
 def latest_per_key(df: DataFrame, key: str, extracted: str, arrival: str) -> DataFrame:
@@ -64,17 +69,26 @@ def first_articles(df: DataFrame, keys: list[str], arrival: str) -> DataFrame:
     return df.withColumn("_rn", F.row_number().over(order)).filter("_rn = 1").drop("_rn")
 
 
+def match(df: DataFrame, other: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """Semi or anti join on keys; a null is a value like others: it meets a null."""
+    side = other.select(*[F.col(k).alias(f"_{k}_") for k in keys])
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_{k}_")) for k in keys])
+    return df.join(side, same, how)
+
+
 def seen_before(df: DataFrame, known: DataFrame, key: str) -> DataFrame:
-    return df.join(known.select(key), key, "left_semi")
+    """Rows whose key is known; a null key is known if a null is."""
+    return match(df, known, [key], "left_semi")
 
 
 def not_seen(df: DataFrame, known: DataFrame, key: str) -> DataFrame:
-    return df.join(known.select(key), key, "left_anti")
+    """The other rows: each row is in one of the two."""
+    return match(df, known, [key], "left_anti")
 
 
 def insert_ignore(target: DataFrame, source: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """Target plus the source rows whose key it lacks; the first source row of a key wins."""
-    fresh = first_articles(source, keys, order).join(target.select(*keys), keys, "left_anti")
+    """Target plus the source rows whose key it lacks; the first source row of a key wins.  Null keys are keys, so a second run adds nothing."""
+    fresh = match(first_articles(source, keys, order), target, keys, "left_anti")
     return target.unionByName(fresh.select(*target.columns))
 
 

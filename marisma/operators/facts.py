@@ -130,10 +130,13 @@ def year_over_year(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def same_month_last_year(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Month totals against the same month one year earlier: a self join, so gaps stay gaps."""
-    now = df.groupBy(*keys, "anio", "mes").agg(F.sum(VALUE).alias("total"))
-    before = now.select(*keys, (F.col("anio") + 1).alias("anio"), "mes", F.col("total").alias("total_previo"))
-    return change_columns(now.join(before, [*keys, "anio", "mes"], "left"), "total", "total_previo")
+    """Month totals against the same month one year earlier: a self join, so gaps stay gaps.  Null keys are keys."""
+    parts = [*keys, "anio", "mes"]
+    now = df.groupBy(*parts).agg(F.sum(VALUE).alias("total"))
+    next_year = {k: F.col(k) + 1 if k == "anio" else F.col(k) for k in parts}
+    before = now.select(*[c.alias(f"_{k}") for k, c in next_year.items()], F.col("total").alias("total_previo"))
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in parts])
+    return change_columns(now.join(before, same, "left").drop(*[f"_{k}" for k in parts]), "total", "total_previo")
 
 
 def coverage_gaps(df: DataFrame, requested: list[str]) -> DataFrame:
@@ -311,31 +314,52 @@ def lookup_alias(questions: DataFrame, dim: DataFrame, aliases: DataFrame, id_co
     return hits.join(dim.select(id_col, code, name), id_col).select(term, id_col, code, name)
 
 
-def ngram_join(texts: DataFrame, text: str, terms: DataFrame, term: str, width: int = 3) -> DataFrame:
-    """Pairs where the text holds the term, ignoring case, as an equi join on n-grams.
+def _grams(word: Column, width: int) -> Column:
+    """Distinct substrings of a width; a word that is shorter has none."""
+    size = F.length(word)
+    return F.when(
+        size >= width, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(size - width + 1, F.lit(1))), lambda i: F.substr(word, i, F.lit(width))))
+    ).otherwise(F.array().cast("array<string>"))
 
-    A text that holds a term also holds its first letters, so the join runs on
-    those and the full condition only on the pairs that meet.
-    """
-    low_text, low_term = F.lower(text), F.lower(term)
-    size = F.length(low_text)
 
-    def grams(n: int) -> Column:
-        return F.when(
-            size >= n,
-            F.transform(F.sequence(F.lit(1), F.greatest(size - n + 1, F.lit(1))), lambda i: F.substr(low_text, i, F.lit(n))),
-        ).otherwise(F.array().cast("array<string>"))
+def contains_join(texts: DataFrame, text: str, terms: DataFrame, term: str, width: int = 3) -> DataFrame:
+    """Pairs where the text holds the term, ignoring case, as equi joins over the texts' vocabulary.
 
-    every = F.array_distinct(F.concat(*[grams(n) for n in range(1, width + 1)]))
-    left = texts.withColumn("_gram", F.explode(every))
-    right = terms.filter(F.length(low_term) > 0).withColumn("_gram", F.substring(low_term, 1, width))
-    return left.join(right, "_gram").filter(F.contains(low_text, low_term)).drop("_gram")
+    A text that holds a term has a word that holds the term's longest piece without a blank.  Those words
+    are looked up in the distinct words of all texts: of a piece's n-grams the one that fewest words
+    have is joined, and the full condition is checked on the pairs that meet.  The texts themselves are
+    joined by word, so they give a row per distinct word and none per character.  Terms of blanks alone are
+    held by texts that have as many in a row; an empty term by none.
+    """
+    low_text, low_term = F.lower(text), F.lower(term)
+    asked = terms.filter(F.length(low_term) > 0).withColumn("_pieces", F.filter(F.split(low_term, " "), lambda x: x != ""))
+    piece = F.array_max(F.transform("_pieces", lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))["x"]
+    asked = asked.withColumn("_piece", F.coalesce(piece, F.lit(" "))).drop("_pieces")
+    # a blank is a word like others, for terms that are nothing else
+    words = F.array_distinct(F.concat(F.filter(F.split(low_text, " "), lambda x: x != ""), F.when(F.contains(low_text, F.lit(" ")), F.array(F.lit(" "))).otherwise(F.array().cast("array<string>"))))
+    placed = texts.withColumn("_word", F.explode(words))
+    vocabulary = placed.select("_word").distinct()
+
+    every = F.flatten(F.array(*[_grams(F.col("_word"), n) for n in range(1, width + 1)]))
+    grams = vocabulary.select("_word", F.explode(every).alias("_gram"))
+    counts = grams.groupBy("_gram").agg(F.count("*").alias("_n"))
+    pieces = asked.select("_piece").distinct()
+    own = F.when(F.length("_piece") >= width, _grams(F.col("_piece"), width)).otherwise(F.array("_piece"))
+    # a gram that no word has leaves the piece without an answer
+    rarest = (
+        pieces.select("_piece", F.explode(own).alias("_gram")).join(counts, "_gram", "left")
+        .groupBy("_piece").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("_gram"))).alias("_r"))
+        .filter("_r.n > 0").select("_piece", F.col("_r._gram").alias("_gram"))
+    )
+    held = rarest.join(grams, "_gram").filter(F.contains("_word", F.col("_piece"))).select("_piece", "_word")
+    met = placed.join(held, "_word").join(asked, "_piece").filter(F.contains(low_text, low_term))
+    return met.drop("_word", "_piece").dropDuplicates([*texts.columns, term])
 
 
 def lookup_contains(questions: DataFrame, dim: DataFrame, aliases: DataFrame, id_col: str, code: str,
                     name: str, term: str = "termino") -> DataFrame:
     """Match a term inside the name, or exactly on code or alias."""
-    inside = ngram_join(dim.select(id_col, name), name, questions.select(term).distinct(), term).select(term, id_col)
+    inside = contains_join(dim.select(id_col, name), name, questions.select(term).distinct(), term).select(term, id_col)
     exact_keys = dim.select(F.lower(code).alias("clave"), id_col).unionByName(
         aliases.select(F.lower("alias").alias("clave"), id_col)
     )

@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marisma.functions import fixed_values as fv
-from marisma.functions import text, times, urls
+from marisma.functions import site_scan, text, times, urls
+from marisma.session import cut_lineage
 
 
 # ---------------------------------------------------------------- text
@@ -313,3 +314,27 @@ def best_paragraph_block(pages: DataFrame, key: str, html: str = "html", min_cha
     return best.select(
         key, "b.bloque", "b.puntos", "b.n_parrafos", F.transform("b._p", lambda s: s["parrafo"]).alias("contenido")
     )
+
+
+# ---------------------------------------------------------------- articles by site
+
+def site_article(pages: DataFrame, key: str, html: str = "html", url: str = "url", rules: list[site_scan.Rule] | None = None) -> DataFrame:
+    """page_article with the rules of the page's site before its own sources, and a body: cuerpo, a list of paragraphs.
+
+    The body is what the site's rules find, else that of the structured data, else the best paragraph block;
+    null if there is none.  Only pages without a body by then are scanned for blocks.
+    """
+    rules = [site_scan.Rule(*r) for r in fv.SITE_SELECTORS] if rules is None else rules
+    kept = pages.columns
+    found = page_article(pages.withColumn("_site", site_scan.site_fields(F.col(html), F.col(url), rules)), html)
+    body = F.coalesce(F.when(F.size("_site.cuerpo") > 0, F.col("_site.cuerpo")), F.when(F.size("cuerpo_ld") > 0, F.col("cuerpo_ld")))
+    fields = cut_lineage(found.withColumns({
+        "titulo": F.coalesce(text.clean_text(F.col("_site.titulo")), "titulo"),
+        "subtitulo": F.coalesce(text.clean_text(F.col("_site.subtitulo")), "subtitulo"),
+        "autor": F.coalesce(text.clean_text(F.col("_site.autor")), "autor"),
+        "fecha": F.coalesce(times.to_utc_rescued(F.col("_site.fecha")), "fecha"),
+        "_cuerpo": body,
+    }).drop("_site", "cuerpo_ld"), "site-fields")
+    bare = fields.filter("_cuerpo IS NULL").select(*kept)
+    blocks = best_paragraph_block(bare, key, html).select(F.col(key).alias("_key"), F.col("contenido").alias("_block"))
+    return fields.join(blocks, F.col(key) == F.col("_key"), "left").withColumn("cuerpo", F.coalesce("_cuerpo", "_block")).drop("_cuerpo", "_block", "_key")

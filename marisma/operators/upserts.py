@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marisma.operators.dedup import last_write_wins
+from marisma.operators.dedup import last_write_wins, match
 from marisma.operators.facts import resolve_codes, with_fact_keys
 
 
@@ -70,8 +70,8 @@ def action_counts(merged: DataFrame) -> DataFrame:
 
 
 def replace_partition(target: DataFrame, source: DataFrame, keys: list[str]) -> DataFrame:
-    """Drop every target row whose keys occur in the source, then add the source."""
-    kept = target.join(source.select(*keys).distinct(), keys, "left_anti")
+    """Drop every target row whose keys occur in the source, then add the source.  A null key is replaced by a null key."""
+    kept = match(target, source.select(*keys).distinct(), keys, "left_anti")
     return kept.unionByName(source.select(*target.columns))
 
 

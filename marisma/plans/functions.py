@@ -24,16 +24,25 @@ def register_member_lookup(spark: SparkSession, name: str, dim: str, aliases: st
 
 
 def register_contains_lookup(spark: SparkSession, name: str, dim: str, aliases: str, id_col: str, code: str, label: str,
-                             alias_id: str) -> None:
-    """name(term): members whose name holds the term, or whose code or alias equals it."""
+                             alias_id: str, width: int = 3) -> None:
+    """name(term): members whose name holds the term, or whose code or alias equals it.
+
+    Names are looked up by the first letters of the term, spellings as a whole, both by equality, so a
+    lateral call over a table of terms is an equi join.  An empty term is in no name.
+    """
+    grams = f"explode(array_distinct(flatten(transform(sequence(1, {width}), ancho_ -> transform(sequence(1, greatest(length({label}) - ancho_ + 1, 1)), desde_ -> substr(lower({label}), desde_, ancho_))))))"
+    spark.sql(f"SELECT {id_col} AS k, {code} AS c, {label} AS v, {grams} AS clave FROM {dim}").createOrReplaceTempView(f"{name}_por_letras")
+    spark.sql(f"""
+        SELECT {id_col} AS k, {code} AS c, {label} AS v, lower({code}) AS clave FROM {dim}
+        UNION SELECT d.{id_col}, d.{code}, d.{label}, lower(a.alias) FROM {dim} d JOIN {aliases} a ON d.{id_col} = a.{alias_id}
+        """).createOrReplaceTempView(f"{name}_por_clave")
     spark.sql(f"""
         CREATE OR REPLACE TEMPORARY FUNCTION {name}(termino_buscado STRING)
         RETURNS TABLE(id BIGINT, codigo STRING, nombre STRING)
-        RETURN SELECT {id_col}, {code}, {label} FROM {dim}
-               WHERE contains(lower({label}), lower(termino_buscado)) OR lower({code}) = lower(termino_buscado)
+        RETURN SELECT k, c, v FROM {name}_por_letras
+               WHERE clave = substr(lower(termino_buscado), 1, {width}) AND clave <> '' AND contains(lower(v), lower(termino_buscado))
                UNION
-               SELECT d.{id_col}, d.{code}, d.{label} FROM {dim} d JOIN {aliases} a ON d.{id_col} = a.{alias_id}
-               WHERE lower(a.alias) = lower(termino_buscado)""")
+               SELECT k, c, v FROM {name}_por_clave WHERE clave = lower(termino_buscado)""")
 
 
 def register_period_function(spark: SparkSession, name: str, fact: str = "datos_turismo") -> None:

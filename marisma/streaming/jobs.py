@@ -19,7 +19,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.listener import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from marisma.operators.dedup import first_articles, last_write_wins
+from marisma.operators.dedup import first_articles, last_write_wins, match
 from marisma.operators.series import iteration_state
 
 BATCH = "batch"
@@ -98,20 +98,30 @@ def dedup_within(df: DataFrame, ts: str, keys: list[str], delay: str) -> DataFra
     return df.withWatermark(ts, delay).dropDuplicatesWithinWatermark(keys)
 
 
-def dedup_exact(df: DataFrame, root: str, checkpoint: str, keys: list[str], order: str) -> StreamingQuery:
-    """One row per key for ever: a batch is checked against the keys of all earlier batches."""
+def dedup_exact(df: DataFrame, root: str, checkpoint: str, keys: list[str], order: str, buckets: int = 256) -> StreamingQuery:
+    """One row per key for ever; null keys are keys.
+
+    The log of kept rows lies in buckets by hash of the key.  A batch reads the key columns of the
+    buckets that its own keys fall into, in the folders of earlier batches, so what it costs follows the
+    batch and not the keys seen so far; a batch that comes again replaces its own folder.
+    """
     spark = df.sparkSession
     key_ddl = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
 
-    def unseen(part: DataFrame, batch_id: int) -> DataFrame:
-        fresh = first_articles(part, keys, order)
-        if batch_id == 0:
-            return fresh
-        # only the key columns of the log are read, and never the folder of this batch
-        known = read_log(spark, root, key_ddl).filter(F.col(BATCH) < batch_id).select(*keys)
-        return fresh.join(known, keys, "left_anti")
+    def write(part: DataFrame, batch_id: int) -> None:
+        fresh = first_articles(part, keys, order).withColumn("cubo", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+        if batch_id > 0:
+            touched = [r[0] for r in fresh.select("cubo").distinct().collect()]  # at most `buckets` numbers
+            known = read_log(spark, root, f"{key_ddl}, cubo INT").filter((F.col(BATCH) < batch_id) & F.col("cubo").isin(touched))
+            fresh = match(fresh, known, ["cubo", *keys], "left_anti")
+        fresh.repartition("cubo").write.mode("overwrite").partitionBy("cubo").parquet(f"{root}/{BATCH}={batch_id}")
+
+    return run_available(df.writeStream.foreachBatch(write), checkpoint)
+
 
-    return log_batches(df, root, checkpoint, unseen)
+def first_rows(spark: SparkSession, root: str, schema: str) -> DataFrame:
+    """What dedup_exact has kept so far."""
+    return read_log(spark, root, schema).drop(BATCH, "cubo")
 
 
 # ---------------------------------------------------------------- upserts

@@ -36,11 +36,11 @@ def test_metric_terms():
     assert facts.metric_terms(["Gasto"], ["alemanes"]) == ["gasto"]
 
 
-def test_ngram_join_equals_nested_loop(spark):
+def test_contains_join_equals_nested_loop(spark):
     rnd = random.Random(1)
     texts = [(i, "".join(rnd.choice("abC ") for _ in range(rnd.randint(0, 12)))) for i in range(120)]
     terms = [(t,) for t in {"".join(rnd.choice("Abc ") for _ in range(rnd.randint(1, 5))) for _ in range(40)}]
-    out = facts.ngram_join(spark.createDataFrame(texts, "id int, t string"), "t", spark.createDataFrame(terms, "q string"), "q")
+    out = facts.contains_join(spark.createDataFrame(texts, "id int, t string"), "t", spark.createDataFrame(terms, "q string"), "q")
     got = {(r.id, r.q) for r in out.collect()}
     assert out.count() == len(got)
     assert got == {(i, q) for i, t in texts for (q,) in terms if q.lower() in t.lower()}

@@ -76,6 +76,33 @@ def test_rolling_coverage_equals_batch(spark, events, folder):
     assert got == want
 
 
+def test_rolling_radar_and_affinity_equal_batch(spark, events, folder):
+    """Null topics and votes; the last window ends with the last day."""
+    root = work_dir(spark, "radar")
+    topic = F.nullif("event_type", F.lit("view"))
+    axes = F.array(F.when(F.col("user_id") % 3 != 0, F.col("value")), F.when(F.col("event_id") < 0, F.lit(1.0)), F.col("user_id") % 5)
+    shape = lambda df: df.select("ts", topic.alias("t"), (F.col("user_id") % 2).alias("p"), axes.alias("a"), F.when(F.col("user_id") % 7 != 0, F.col("value")).alias("v"))
+    stream = landing(spark, events, folder)
+    jobs.log_batches(jobs.daily_radar(shape(stream), "ts", "t", "p", "a", 3), f"{root}/r", f"{root}/cr", mode="update")
+    jobs.log_batches(jobs.daily_affinity(shape(stream), "ts", "p", "v"), f"{root}/a", f"{root}/ca", mode="update")
+    daily = jobs.current_rows(jobs.read_log(spark, f"{root}/r", "dia DATE, t STRING, p BIGINT, tema STRING, partido BIGINT, sumas ARRAY<DOUBLE>, votos ARRAY<BIGINT>, articulos BIGINT").drop("t", "p"), ["dia", "tema", "partido"], "articulos")
+    radar = jobs.rolling_radar(daily, [7, 30])
+    outlets = jobs.current_rows(jobs.read_log(spark, f"{root}/a", "dia DATE, medio BIGINT, suma DOUBLE, votos BIGINT, articulos BIGINT"), ["dia", "medio"], "articulos")
+    share = jobs.rolling_affinity(outlets, [7, 30])
+    last = radar.agg(F.max("fin")).first()[0]
+    end = F.lit(last).cast("timestamp") + F.expr("interval 1 day")
+    midnight = shape(events).withColumn("ts", F.col("ts") + F.expr("interval 1 microsecond"))
+    want = series.radar_mean(midnight, "ts", "t", "p", "a", 3, end, [7, 30]).select("ventana", "tema", "partido", F.posexplode("ejes").alias("eje", "media"))
+    fix = lambda rows: {tuple(r)[:-1]: None if r[-1] is None else round(r[-1], 6) for r in rows.collect()}
+    got = fix(radar.filter(F.col("fin") == last).select("ventana", "tema", "partido", "eje", "media"))
+    assert got == fix(want) and None in {k[1] for k in got} and None in got.values()
+    want = series.outlet_affinity(midnight, "ts", "p", "v", end, [7, 30])
+    pick = ["ventana", "medio", "articulos", F.round("cuota_articulos", 6), F.round("afinidad", 6)]
+    assert {tuple(r) for r in share.filter(F.col("fin") == last).select(*pick).collect()} == {tuple(r) for r in want.select(*pick).collect()}
+    # a day enters a window once and leaves it once
+    assert radar.groupBy("ventana", "fin", "tema", "partido", "eje").count().filter("count > 1").isEmpty()
+
+
 def test_late_rows_are_dropped_and_counted(spark, events):
     root = work_dir(spark, "late")
     schema = "ts TIMESTAMP, event_type STRING, value DOUBLE"
