@@ -21,7 +21,7 @@ from __future__ import annotations
 import html
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Container, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -53,16 +53,79 @@ _WORD = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
 
 
-DEPTH = 32
+HOMES = ("article", "main")
 
 
 @dataclass
 class Block:
+    """text, features of its ancestors, and how many of its characters are links."""
+
     text: str
-    path: tuple[tuple[str, tuple[str, ...]], ...]
+    above: list[str]
     linked: int
 
 
+class Ancestors:
+    """Open tags and the words of their names, counted as they open and close, so that features cost the same at any depth.
+
+    With `known`, features that are not in it are not counted.
+    """
+
+    def __init__(self, known: Container[str] | None):
+        self.known = known
+        self.outer: list[str] = []
+        self.tags: Counter[str] = Counter()
+        self.words: Counter[str] = Counter()
+        self.homes: list[Counter[str]] = []  # tags below each open article or main
+        self.made: list[str] | None = None
+
+    def _of_use(self, feature: str) -> bool:
+        return self.known is None or feature in self.known
+
+    @staticmethod
+    def _less(counts: Counter[str], key: str) -> None:
+        counts[key] -= 1
+        if counts[key] <= 0:
+            del counts[key]
+
+    def push(self, tag: str, names: tuple[str, ...]) -> None:
+        self.made = None
+        for w in names:
+            if self._of_use(f"name {w}"):
+                self.words[w] += 1
+        if tag not in INLINE:
+            self.outer.append(tag)
+            if self._of_use(f"in {tag}"):
+                self.tags[tag] += 1
+                if self.homes:
+                    self.homes[-1][tag] += 1
+            if tag in HOMES:
+                self.homes.append(Counter())
+
+    def pop(self, tag: str, names: tuple[str, ...]) -> None:
+        self.made = None
+        for w in names:
+            if w in self.words:
+                self._less(self.words, w)
+        if tag not in INLINE:
+            self.outer.pop()
+            if tag in HOMES:
+                self.homes.pop()
+            if tag in self.tags:
+                self._less(self.tags, tag)
+                if self.homes:
+                    self._less(self.homes[-1], tag)
+
+    def features(self) -> list[str]:
+        if self.made is None:
+            own = self.outer[-1] if self.outer else "-"
+            self.made = [
+                "bias", *(f"in {t}" for t in self.tags), *(f"name {w}" for w in self.words), f"own {own}", f"up {' '.join(self.outer[-2:])}",
+                "home" if self.homes else "away", *(f"home {t}" for t in (self.homes[-1] if self.homes else ())),
+            ]
+        return self.made
+
+
 def _names(attrs: str) -> tuple[str, ...]:
     if "=" not in attrs and "hidden" not in attrs:
         return ()
@@ -76,9 +139,10 @@ def _names(attrs: str) -> tuple[str, ...]:
     return tuple(dict.fromkeys(found))
 
 
-def leaf_blocks(page: str) -> list[Block]:
-    """Blocks in page order."""
+def leaf_blocks(page: str, known: Container[str] | None = None) -> list[Block]:
+    """Blocks in page order; known: the features of ancestors that matter, all by default."""
     blocks: list[Block] = []
+    around = Ancestors(known)
     stack: list[tuple[str, tuple[str, ...]]] = []
     parts: list[str] = []
     opened: Counter[str] = Counter()
@@ -90,16 +154,15 @@ def leaf_blocks(page: str) -> list[Block]:
         if parts:
             text = _SPACE.sub(" ", html.unescape("".join(parts))).strip()
             if text:
-                # of very deep nesting the outer and the inner tags count
-                path = stack if len(stack) <= 2 * DEPTH else stack[:DEPTH] + stack[-DEPTH:]
-                blocks.append(Block(text, tuple(path), linked))
+                blocks.append(Block(text, around.features(), linked))
             parts.clear()
         linked = 0
 
     def drop(to: int):
         nonlocal silent, links
         while len(stack) > to:
-            name = stack.pop()[0]
+            name, names = stack.pop()
+            around.pop(name, names)
             opened[name] -= 1
             silent -= name in SILENT
             links -= name == "a"
@@ -170,6 +233,7 @@ def leaf_blocks(page: str) -> list[Block]:
         if name in VOID or attrs.endswith("/") and name in ("svg", "math"):
             continue
         stack.append((name, _names(attrs) if attrs else ()))
+        around.push(*stack[-1])
         opened[name] += 1
         silent += name in SILENT
         links += name == "a"
@@ -178,25 +242,12 @@ def leaf_blocks(page: str) -> list[Block]:
 
 
 def block_features(blocks: list[Block]) -> list[list[str]]:
-    made, known = [], {}
+    made = []
     for n, b in enumerate(blocks):
-        above = known.get(b.path)
-        if above is None:
-            above = ["bias"]
-            tags = [t for t, _ in b.path]
-            outer = [t for t in tags if t not in INLINE]
-            above += [f"in {t}" for t in dict.fromkeys(outer)]
-            above += [f"name {w}" for w in dict.fromkeys(w for _, names in b.path for w in names)]
-            above += [f"own {outer[-1] if outer else '-'}", f"up {' '.join(outer[-2:])}"]
-            home = max((k for k, t in enumerate(outer) if t in ("article", "main")), default=None)
-            above.append("home" if home is not None else "away")
-            if home is not None:
-                above += [f"home {t}" for t in dict.fromkeys(outer[home + 1 :])]
-            known[b.path] = above
         text, size = b.text, len(b.text)
         share = b.linked / size
         made.append([
-            *above,
+            *b.above,
             f"size {min(7, size.bit_length() // 2)}", f"link {0 if share == 0 else 1 if share < 0.5 else 2}",
             f"stop {text[-1] in '.!?…:;\"”»'}", "sign" if text[0] in "©" or "©" in text else "plain",
             "first" if n == 0 else "last" if n == len(blocks) - 1 else "mid",
@@ -298,7 +349,7 @@ MARKS = {
 HOLDERS = "content article post entry story main body text page news blog".split()
 
 
-def labelled_pages(count: int = 500, seed: int = 7) -> Iterator[tuple[str, list[int]]]:
+def labelled_pages(count: int = 800, seed: int = 7) -> Iterator[tuple[str, list[int]]]:
     """Pages of random layout with the label of each leaf block, in page order."""
     rng = np.random.default_rng(seed)
     pick = lambda xs: xs[int(rng.integers(len(xs)))]
@@ -351,22 +402,48 @@ def labelled_pages(count: int = 500, seed: int = 7) -> Iterator[tuple[str, list[
             out.append("</ul>" * listed + f"</{tag}>")
 
         out.append("<html><head><title>" + words(2, 6) + "</title><script>var x='<p>no</p>';</script></head><body>")
-        for kind in ("notice", "top", "menu", "advert", "form", "share"):
-            if maybe(0.55):
+        # some pages hold little else than the article, and some end with it
+        spare, ends = maybe(0.2), maybe(0.35)
+        grid = maybe(0.18)
+        if grid:  # laid out as a table: a cell for the menu, one for the article, one for the foot
+            out.append("<table><tr><td>")
+            link = lambda: f'<a href="/{words(1, 2)}">{words(1, 4)}</a>'
+            if maybe(0.4):
+                block(" ".join(link() for _ in range(int(rng.integers(1, 5)))), 0, "")
+            else:
+                tag = pick(["p", "div", "li"])
+                for _ in range(int(rng.integers(1, 5))):
+                    block(link(), 0, tag)
+            out.append("</td><td>")
+        for kind in () if grid else ("notice", "top", "menu", "advert", "form", "share"):
+            if maybe(0.1 if spare else 0.55):
                 part(kind)
         wrap = maybe(0.3)
         if wrap:
             out.append(pick(["<div>", '<div class="wrapper">', '<div id="page">', "<main>"]))
-        if maybe(0.25):
+        if maybe(0.25) and not grid and not spare:
             part("side")
-        home = pick(["article", "article", "article", "main", "div", "section"])
-        out.append(f"<{home}>" if home in ("article", "main") and maybe(0.7) else f'<{home} {pick(["class", "id"])}="{pick(HOLDERS)}{pick(["", "-body", "-content", " full"])}">')
-        if maybe(0.85):
+        home = pick(["article", "article", "article", "article", "main", "div", "section", "bare", "plain"] if not grid else ["bare", "bare", "plain", "div", "article"])
+        inner = ""
+        if home == "bare":  # nothing around the text
+            home = ""
+        elif home == "plain":
+            home = "div"
+            out.append("<div>")
+        else:
+            inner = "<div>" * int(rng.integers(1, 4)) if maybe(0.3) else pick(["", "", "", '<div class="body">', '<section class="text">', "<section>"])
+        late = bool(inner) and maybe(0.5)  # the title stands before the inner wrapper
+        if home and out[-1] != "<div>":
+            out.append(f"<{home}>" if home in ("article", "main") and maybe(0.7) else f'<{home} {pick(["class", "id"])}="{pick(HOLDERS)}{pick(["", "-body", "-content", " full"])}">')
+        out.append("" if late else inner)
+        titled = maybe(0.85 if home else 0.5)
+        if titled:
             block(sentence(2, 12), 1, pick(["h1", "h1", "h2"]))
-        if maybe(0.2):
+        out.append(inner if late else "")
+        if maybe(0.2) and not spare:
             part(pick(["share", "advert"]))
-        for _ in range(int(rng.integers(0, 12))):
-            form = rng.random()
+        for _ in range(int(rng.integers(0 if titled and home else 2, 12 if maybe(0.7) else 4))):
+            form = rng.random() * 1.06
             if form < 0.6:
                 opens, closes = pick([("", ""), ("", ""), ("<b>", "</b>"), ("<b>", ""), ('<span class="lead">', "</span>"), ('<a href="/x">', "</a>")])
                 text = sentence(1, 60)
@@ -391,23 +468,31 @@ def labelled_pages(count: int = 500, seed: int = 7) -> Iterator[tuple[str, list[
                 out.append("</tr></table>")
             elif form < 0.84:
                 block(words(3, 20), 1, "pre")
-            else:
+            elif not spare and home:
                 part(pick(["advert", "advert", "share", "form", "side", "notice"]))
-        if maybe(0.25):
+        if maybe(0.25) and not ends:
             part(pick(["comment", "share", "advert", "form"]))
-        out.append(f"</{home}>")
-        for kind in ("comment", "side", "share", "form", "advert", "menu", "notice"):
-            if maybe(0.35):
+        out.append("</section>" if "section" in inner else "</div>" * inner.count("<div"))
+        out.append(f"</{home}>" if home else "")
+        for kind in () if ends or grid else ("comment", "side", "share", "form", "advert", "menu", "notice"):
+            if maybe(0.1 if spare else 0.35):
                 part(kind)
         if wrap:
             out.append("</div>")
-        if maybe(0.8):
+        if grid:
+            out.append("</td></tr>")
+            if not ends:
+                out.append("<tr><td>")
+                block(pick(["© ", "Copyright ", ""]) + words(2, 8) + pick([". " + words(2, 5) + ".", "", "."]), 0, pick(["p", "div", ""]))
+                out.append("</td></tr>")
+            out.append("</table>")
+        elif maybe(0.8) and not ends:
             part("foot")
         page = "".join(out)
         yield (page if maybe(0.9) else page.replace("</body>", "")), labels
 
 
-def training_set(count: int = 500, seed: int = 7) -> list[tuple[list[list[str]], list[int]]]:
+def training_set(count: int = 800, seed: int = 7) -> list[tuple[list[list[str]], list[int]]]:
     made = []
     for page, labels in labelled_pages(count, seed):
         blocks = leaf_blocks(page)
@@ -417,7 +502,7 @@ def training_set(count: int = 500, seed: int = 7) -> list[tuple[list[list[str]],
 
 
 def text_of(page: str, field: Field) -> str:
-    blocks = leaf_blocks(page)
+    blocks = leaf_blocks(page, field.names)
     labels = field.decode(field.score(block_features(blocks)))
     return "\n".join(b.text for b, y in zip(blocks, labels, strict=True) if y)
 

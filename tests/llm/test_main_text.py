@@ -67,8 +67,59 @@ def test_heads_without_an_end(field):
 
 def test_ancestors_and_names():
     (b,) = M.leaf_blocks('<main id="Main"><div class="ad-box x2"><p>buy <a href="/">now</a></p></div></main>')
-    assert b.path == (("main", ("main",)), ("div", ("ad", "box", "x")), ("p", ())) and b.linked == 3
-    assert M.leaf_blocks("<p hidden>x</p>")[0].path == (("p", ("hidden",)),)
+    assert set(b.above) == {"bias", "in main", "in div", "in p", "name main", "name ad", "name box", "name x", "own p", "up div p", "home", "home div", "home p"} and b.linked == 3
+    assert "name hidden" in M.leaf_blocks("<p hidden>x</p>")[0].above
+    one, two, three = M.leaf_blocks("<article><div><p>a</p></div><main><p>b</p></main></article><p>c</p>")
+    assert {"home div", "home p"} <= set(one.above) and "home div" not in two.above and {"in article", "home p"} <= set(two.above)
+    assert set(three.above) == {"bias", "in p", "own p", "up p", "away"}
+
+
+@pytest.mark.parametrize("depth", [3, 70, 400])
+def test_an_ancestor_counts_at_any_depth(depth):
+    page = "<div>" * depth + '<nav class="menu">' + "<div>" * depth + "<p>x</p>"
+    assert {"in nav", "name menu", "own p", "up div p"} <= set(M.leaf_blocks(page)[0].above)
+
+
+LINES = [
+    "The town council met on Tuesday to talk about the new bridge over the river.", "Work will begin in the spring, said the mayor, and last two years.",
+    "Not everyone is happy with the plan.", "Shops near the old bridge fear that fewer people will come by.", "A vote is expected before the summer.",
+]
+TITLE, FOOT = "Council votes on bridge", "<footer><p>© 2024 The Daily. All rights reserved.</p></footer>"
+TOP = '<html><head><title>t</title></head><body><nav><ul><li><a href="/">Home</a></li><li><a href="/s">Sport</a></li></ul></nav>'
+LAYOUTS = {
+    "div in article": TOP + "<article><div><h1>{t}</h1>{p}</div></article>{f}</body></html>",
+    "ten divs in article": TOP + "<article>" + "<div>" * 10 + "<h1>{t}</h1>{p}" + "</div>" * 10 + "</article>{f}</body></html>",
+    "title before the div": TOP + "<article><h1>{t}</h1><div>{p}</div></article>{f}</body></html>",
+    "plain div": TOP + "<div><h1>{t}</h1>{p}</div>{f}</body></html>",
+    "plain div alone": "<html><body><div><h1>{t}</h1>{p}</div>{f}</body></html>",
+    "bare body": "<html><body><h1>{t}</h1>{p}{f}</body></html>",
+    "table": "<html><body><table><tr><td><a href='/'>Home</a> <a href='/s'>Sport</a></td><td><h1>{t}</h1>{p}</td></tr></table>{f}</body></html>",
+    "main": TOP + "<main><h1>{t}</h1>{p}</main>{f}</body></html>",
+    "article": TOP + "<article><h1>{t}</h1>{p}</article>{f}</body></html>",
+    "section": TOP + "<section class='story'><h1>{t}</h1>{p}</section>{f}</body></html>",
+    "nested classes": TOP + "<div id='wrapper'><div class='content'><div class='post'><h1>{t}</h1><div class='entry'>{p}</div></div></div></div>{f}</body></html>",
+}
+
+
+@pytest.mark.parametrize("layout", LAYOUTS)
+def test_layouts_written_by_hand(field, layout):
+    """Short and long articles that end the page or do not: nothing is lost at its edges."""
+    for count in (1, 2, 3, 5):
+        for foot in ("", FOOT):
+            page = LAYOUTS[layout].format(t=TITLE, p="".join(f"<p>{x}</p>" for x in LINES[:count]), f=foot)
+            assert M.text_of(page, field) == "\n".join([TITLE, *LINES[:count]])
+
+
+def test_paragraphs_and_nothing_else(field):
+    for count in (2, 3, 5):
+        for foot in ("", FOOT):
+            assert M.text_of("<html><body>" + "".join(f"<p>{x}</p>" for x in LINES[:count]) + foot, field) == "\n".join(LINES[:count])
+
+
+def test_cells_of_a_layout_table_around_the_article(field):
+    cell = "".join(f"<p>{x}</p>" for x in LINES)
+    page = f"<table><tr><td><p><a href='/'>Home</a></p><p><a href='/n'>News</a></p></td><td><h1>{TITLE}</h1>{cell}</td></tr><tr><td>© 2024 The Daily. All rights reserved.</td></tr></table>"
+    assert M.text_of(page, field) == "\n".join([TITLE, *LINES])
 
 
 def test_parts_of_a_page(field):
