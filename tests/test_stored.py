@@ -144,11 +144,11 @@ def test_rules_of_sites():
 
 def test_site_article_falls_back(spark):
     long_ = "Una frase bastante larga para que cuente como párrafo del cuerpo"
-    ld = '<script type="application/ld+json">{"@type": "NewsArticle", "headline": "LD", "articleBody": "a\\n\\nb"}</script>'
+    ld = '<script type="application/ld+json">{"@type": "NewsArticle", "headline": "LD", "articleBody": "' + f"{long_} a\\n\\n{long_} b" + '"}</script>'
     rows = [(1, "https://abc.es/1", f'{ld}<h1 class="voc-title">Sitio</h1><p class="voc-p">uno</p>'), (2, "https://otro.es/2", ld),
             (3, "https://otro.es/3", f"<article><p>{long_} uno</p><p>{long_} dos</p></article>"), (4, None, None)]
     got = {r.id: (r.titulo, r.cuerpo) for r in pages.site_article(spark.createDataFrame(rows, "id int, url string, html string"), "id").collect()}
-    assert got[1] == ("Sitio", ["uno"]) and got[2][0] == "LD" and got[2][1] == ["a", "b"]
+    assert got[1] == ("Sitio", ["uno"]) and got[2][0] == "LD" and got[2][1] == [f"{long_} a", f"{long_} b"]
     assert got[3][1] == [f"{long_} uno", f"{long_} dos"] and got[4] == (None, None)
 
 
