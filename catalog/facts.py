@@ -370,7 +370,7 @@ SELECT categoria, anio, metrica_nombre AS metrica, CAST(sum(metrica_valor) AS DO
 FROM fact WHERE periodo_tipo = 'mensual' GROUP BY ALL ORDER BY anio DESC, categoria, metrica LIMIT 100
 """)
 def _(spark, d):
-    return facts.aggregate_metrics(long_fact(spark, d)).withColumn("promedio", F.round("promedio", 4))
+    return facts.aggregate_metrics(long_fact(spark, d), limit=100).withColumn("promedio", F.round("promedio", 4))
 
 
 @query("A02_count_per_category", "SELECT c_mktsegment AS categoria, count(*) AS n FROM customer GROUP BY ALL")

@@ -71,7 +71,7 @@ SELECT {_CAT_SQL} AS categoria, mes, 2000 + anio % 100 AS anio, t AS periodo_tip
  CASE WHEN categoria = 'FURNITURE' THEN 'Malaga' END AS provincia, linea + 12 AS fila_excel FROM w, (VALUES ('mensual'), ('acumulado')) x(t)
 """)
 def _(spark, d):
-    return grids.grid_to_metrics(metric_grid(spark, d)).select(
+    return grids.grid_to_metrics(metric_grid(spark, d), min_abs=1.0, first_row=10).select(
         "categoria", "mes", "anio", "periodo_tipo", "metrica_nombre", "metrica_valor", "metrica_valor_raw", "variacion_interanual",
         "periodo_descripcion", "provincia", "fila_excel")
 
@@ -96,7 +96,7 @@ def _(spark, d):
     token = F.create_map(*[F.lit(x) for k, (_, t) in _CATS.items() for x in (k, t)])
     parts = F.split("file", r"\|")
     grid = grid.withColumns({"categoria": token[F.get(parts, F.lit(1))], "sheet": F.get(parts, F.lit(1)), "file": F.get(parts, F.lit(0))})
-    return grids.table_to_metrics(grid).select(
+    return grids.table_to_metrics(grid, min_rows=6).select(
         "categoria", "mes", "anio", "periodo_tipo", "metrica_nombre", "metrica_valor", "variacion_interanual", "periodo_descripcion")
 
 

@@ -85,9 +85,9 @@ def any_not_null(df: DataFrame, cols: list[str]) -> DataFrame:
 
 # ---------------------------------------------------------------- aggregations
 
-def aggregate_metrics(df: DataFrame, limit: int = 100) -> DataFrame:
-    """Total, mean and row count per category, year and metric; newest year first."""
-    return (
+def aggregate_metrics(df: DataFrame, limit: int | None = None) -> DataFrame:
+    """Total, mean and row count per category, year and metric, newest year first; limit: the size of a report, all groups by default."""
+    out = (
         df.groupBy("categoria", "anio", F.col("metrica_nombre").alias("metrica"))
         .agg(
             F.sum(VALUE).alias("total"),
@@ -95,13 +95,14 @@ def aggregate_metrics(df: DataFrame, limit: int = 100) -> DataFrame:
             F.count("*").alias("registros"),
         )
         .orderBy(F.desc("anio"), "categoria", "metrica")
-        .limit(limit)
     )
+    return out if limit is None else out.limit(limit)
 
 
-def list_metrics(df: DataFrame, limit: int = 100, tiebreak: tuple[str, ...] = ("categoria", "metrica_nombre")) -> DataFrame:
-    """Newest rows first, cut at the report size."""
-    return df.orderBy(F.desc("anio"), F.desc("mes"), *tiebreak).limit(limit)
+def list_metrics(df: DataFrame, limit: int | None = None, tiebreak: tuple[str, ...] = ("categoria", "metrica_nombre")) -> DataFrame:
+    """Newest rows first; limit: the size of a report, all rows by default."""
+    out = df.orderBy(F.desc("anio"), F.desc("mes"), *tiebreak)
+    return out if limit is None else out.limit(limit)
 
 
 def top_values(df: DataFrame, value: str = VALUE, n: int = 10, tiebreak: tuple[str, ...] = ()) -> DataFrame:

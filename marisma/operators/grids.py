@@ -35,7 +35,7 @@ def _province(category: Column) -> Column:
     return F.when(category.isin(list(fv.PROVINCE_CODES)), F.initcap(category))
 
 
-def grid_to_metrics(grid: DataFrame, min_abs: float = 1.0, first_row: int = 10, last_row: int | None = None) -> DataFrame:
+def grid_to_metrics(grid: DataFrame, min_abs: float = 0.0, first_row: int = 0, last_row: int | None = None) -> DataFrame:
     """Sheet lines to long facts.
 
     A line with period headings sets the value columns of the lines below, a line
@@ -121,7 +121,7 @@ def grid_to_metrics(grid: DataFrame, min_abs: float = 1.0, first_row: int = 10,
     )
 
 
-def table_to_metrics(tables: DataFrame, min_rows: int = 6) -> DataFrame:
+def table_to_metrics(tables: DataFrame, min_rows: int = 0) -> DataFrame:
     """Bulletin tables (file, sheet, row, col, value, categoria) to long facts.
 
     Data starts two lines below the first monthly heading; column 1 is monthly, 4

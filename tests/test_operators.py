@@ -95,7 +95,7 @@ def test_grid_to_metrics(spark):
     }
     rows = [(f, "ficha", r, c, v) for r, line in cells.items() for c, v in line.items()]
     grid = spark.createDataFrame(rows, CELL_GRID)
-    got = {(r.metrica_nombre, r.periodo_tipo): (r.metrica_valor, r.variacion_interanual, r.periodo_descripcion) for r in grids.grid_to_metrics(grid).collect()}
+    got = {(r.metrica_nombre, r.periodo_tipo): (r.metrica_valor, r.variacion_interanual, r.periodo_descripcion) for r in grids.grid_to_metrics(grid, min_abs=1.0, first_row=10).collect()}
     sec = "Número de pernoctaciones en establecimientos hoteleros - "
     assert got[(sec + "Total", "mensual")] == (1847648.0, -0.3, "abril - 2024")
     assert got[(sec + "Total", "acumulado")] == (5000.0, 2.5, "enero-abril - 2024")
@@ -104,23 +104,23 @@ def test_grid_to_metrics(spark):
     assert got[(sec + "Desplazado", "acumulado")][0] == 700.0
     assert not any("Cuota" in k[0] for k in got)
     assert got[("Otra sección - Plazas", "mensual")] == (10.0, 3.0, "3")
-    loose = {r.metrica_nombre for r in grids.grid_to_metrics(grid, min_abs=0.0).collect()}
+    loose = {r.metrica_nombre for r in grids.grid_to_metrics(grid, first_row=10).collect()}
     assert sec + "Cuota" in loose
 
 
 def test_grid_without_headings_guesses_its_columns(spark):
     rows = [("05_extranjeros_feb24.xlsx", "ficha", 12, 1, "Viajeros"), ("05_extranjeros_feb24.xlsx", "ficha", 12, 3, "120"),
             ("05_extranjeros_feb24.xlsx", "ficha", 12, 4, "1,5"), ("05_extranjeros_feb24.xlsx", "ficha", 12, 5, "enero-febrero - 2024")]
-    got = grids.grid_to_metrics(spark.createDataFrame(rows, CELL_GRID)).collect()
+    got = grids.grid_to_metrics(spark.createDataFrame(rows, CELL_GRID), min_abs=1.0, first_row=10).collect()
     assert [(r.periodo_tipo, r.metrica_valor, r.variacion_interanual) for r in got] == [("acumulado", 120.0, 1.5)]
 
 
 def test_grid_lines_far_down_are_read(spark):
     head = [("05_extranjeros_feb24.xlsx", "ficha", r, 1, f"Viajeros {r}") for r in (12, 201, 350, 5000)]
     rows = [*head, *[(f, s, r, 3, str(r)) for f, s, r, _, _ in head], *[(f, s, r, 4, "1,5") for f, s, r, _, _ in head]]
-    got = grids.grid_to_metrics(spark.createDataFrame(rows, CELL_GRID)).collect()
+    got = grids.grid_to_metrics(spark.createDataFrame(rows, CELL_GRID), min_abs=1.0, first_row=10).collect()
     assert {r.metrica_valor for r in got} == {12.0, 201.0, 350.0, 5000.0}
-    assert {r.metrica_valor for r in grids.grid_to_metrics(spark.createDataFrame(rows, CELL_GRID), last_row=200).collect()} == {12.0}
+    assert {r.metrica_valor for r in grids.grid_to_metrics(spark.createDataFrame(rows, CELL_GRID), min_abs=1.0, first_row=10, last_row=200).collect()} == {12.0}
 
 
 def test_objects_are_found_at_any_depth(spark):
