@@ -62,7 +62,8 @@ def index_content(rows: DataFrame, normalise: Callable[[Column], Column]) -> Dat
 
 def best(name: str = "keep") -> Column:
     """The row that stays: most code points, then the smallest doc_id (null last), then the first place."""
-    return F.max(F.struct("points", (-F.col("doc_id")).alias("order"), F.col("file"), F.col("place"), F.col("doc_id"))).alias(name)
+    # the complement falls as doc_id rises, for the smallest long too
+    return F.max(F.struct("points", F.bitwise_not("doc_id").alias("order"), F.col("file"), F.col("place"), F.col("doc_id"))).alias(name)
 
 
 GROUP = "digest binary, keep struct<points: int, order: bigint, file: string, place: bigint, doc_id: bigint>, group_size bigint"

@@ -61,3 +61,10 @@ def test_state_outlives_the_run(spark):
     got = {(r.keep.doc_id, r.group_size) for r in groups.collect()}
     assert got == {(1, 2), (2, 1), (4, 1)}
     assert {r.batch for r in spark.read.parquet(f"{home}/changes").select("batch").distinct().collect()} >= {0, 1}
+
+
+def test_the_least_long_is_a_doc_id(spark):
+    rows = [(-(2**63), "a b"), (2**63 - 1, "a b"), (None, "a b"), (3, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exact_duplicates(df).collect()}
+    assert got == {-(2**63): (-(2**63), 3, True), 2**63 - 1: (-(2**63), 3, False), None: (-(2**63), 3, False), 3: (3, 1, True)}
