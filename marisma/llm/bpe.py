@@ -9,12 +9,11 @@ alone, and the ids joined.  Two kinds of cut are used, both read off the vocabul
 * inside a pre-token, at every byte pair that no token holds; the pair that closes a word counts by
   itself, since the last symbol carries the word's end.
 
-The normaliser, the pre-tokeniser and the merging of closing fragments are those of the tokenizer
-file; fragments that close no word are merged here.
+The normaliser, the pre-tokeniser and the merging of fragments are those of the tokenizer file.
 
 Defined cases: null text counts as empty and has no ids; special tokens in a text become their ids,
 as in the library; other columns are ignored; an empty table gives no rows.  A long text is one row of
-work; only its ids are held at once.
+work; only its ids are held at once, and a fragment without a forced cut costs n log n in its symbols.
 """
 
 from __future__ import annotations
@@ -29,8 +28,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_ASCII_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^ \t-\ra-z0-9]+")
-
 
 def byte_symbols() -> list[str]:
     """The printable character that stands for each byte in byte-level vocabularies."""
@@ -39,10 +36,23 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in shown else chr(next(spare)) for b in range(256)]
 
 
+def ascii_words(spec: dict) -> re.Pattern | None:
+    """The file's split rule as it reads lower-case ASCII; none where the file splits or folds in another way."""
+    pre, norm = spec.get("pre_tokenizer") or {}, spec.get("normalizer") or {}
+    splits = [p for p in pre.get("pretokenizers", [pre]) if p.get("type") == "Split"]
+    folds = any(n.get("type") == "Lowercase" for n in norm.get("normalizers", [norm]))
+    if len(splits) != 1 or not folds or not splits[0]["invert"] or "Regex" not in splits[0]["pattern"]:
+        return None
+    rule = splits[0]["pattern"]["Regex"]
+    for group, signs in ((r"\p{L}", "a-z"), (r"\p{N}", "0-9"), (r"\s", r" \t-\r")):
+        rule = rule.replace(group, signs)
+    return None if r"\p" in rule else re.compile(rule)
+
+
 class Encoder:
-    """One tokenizer file; fragments met before are kept, up to `kept` of them, and a quarter as many of their pieces."""
+    """One tokenizer file; fragments met before are kept, up to `kept` of them or `kept_bytes`, and a quarter as many of their pieces."""
 
-    def __init__(self, path: str, kept: int = 250_000):
+    def __init__(self, path: str, kept: int = 250_000, kept_bytes: int = 96 << 20):
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
@@ -54,17 +64,19 @@ class Encoder:
         self.whole = library.model.tokenize
         self.suffix = model["end_of_word_suffix"] or ""
         self.vocab: dict[str, int] = model["vocab"]
-        self.rank = {tuple(m): n for n, m in enumerate(model["merges"])}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.special_at = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
         self.text_of = [b""] * (max(*self.vocab.values(), *self.special.values()) + 1)
         for token, i in chain(self.vocab.items(), self.special.items()):
             self.text_of[i] = token.encode()
         self.decimal_of = [str(i).encode() for i in range(len(self.text_of))]
+        self.ascii_words = ascii_words(spec)
         self.symbol = byte_symbols()
         self.shown = dict(enumerate(self.symbol[:128]))
         self.inner, self.closing = self.joined_pairs()
-        self.kept, self.known, self.pieces = kept, {}, {}
+        self.stop = {c: next(x for x in self.symbol if c + x not in self.closing and x + self.suffix in self.vocab) for c in self.symbol}
+        self.kept, self.kept_bytes, self.held = kept, kept_bytes, 0
+        self.known, self.pieces = {}, {}
 
     def joined_pairs(self) -> tuple[set[str], set[str]]:
         """Neighbouring symbols that some token holds: inside a word, and at its end."""
@@ -76,7 +88,7 @@ class Encoder:
             if ends and pairs:
                 closing.add(pairs.pop())
             inner.update(pairs)
-        return inner, closing
+        return inner, closing if self.suffix else inner
 
     def cut(self, word: str) -> list[tuple[str, bool]]:
         """(fragment, whether it ends the word) between forced boundaries."""
@@ -91,23 +103,20 @@ class Encoder:
         return out
 
     def merge(self, piece: tuple[str, bool]) -> list[int]:
-        """Ids of a fragment.  The file's own model merges those that end a word; it would close others too."""
+        """Ids of a fragment by the file's own model, n log n in its symbols.
+
+        The model closes what it is given as a word.  A fragment that ends none gets one more symbol, of which no
+        token holds the pair with the fragment's last: it stays apart, takes the word's end, and goes.
+        """
         if piece[1]:
             return [t.id for t in self.whole(piece[0])]
-        found = self.pieces.get(piece)
+        found = self.pieces.get(piece[0])
         if found is None:
-            parts = list(piece[0])
-            rank = self.rank.get
-            while len(parts) > 1:
-                ranked = [(r, i) for i in range(len(parts) - 1) if (r := rank((parts[i], parts[i + 1]))) is not None]
-                if not ranked:
-                    break
-                i = min(ranked)[1]
-                parts[i : i + 2] = [parts[i] + parts[i + 1]]
-            found = [self.vocab[p] for p in parts if p in self.vocab]
-            if len(self.pieces) >= self.kept // 4:
-                self.pieces.clear()
-            self.pieces[piece] = found
+            found = [t.id for t in self.whole(piece[0] + self.stop[piece[0][-1]])][:-1]
+            if len(piece[0]) <= 256:
+                if len(self.pieces) >= self.kept // 4:
+                    self.pieces.clear()
+                self.pieces[piece[0]] = found
         return found
 
     def fragment(self, raw: bytes) -> tuple[int, ...]:
@@ -118,8 +127,8 @@ class Encoder:
             if part in self.special:
                 ids.append(self.special[part])
                 continue
-            if part.isascii():
-                words = _ASCII_WORDS.findall(part.lower())
+            if self.ascii_words and part.isascii():
+                words = self.ascii_words.findall(part.lower())
                 if not part.isprintable():
                     words = [w.translate(self.shown) for w in words]
             else:
@@ -133,9 +142,12 @@ class Encoder:
         known = self.known
         words = text.split()  # at ASCII white space
         for w in set(words).difference(known):
-            if len(known) >= self.kept:
-                known = self.known = {}
-            known[w] = self.fragment(w)
+            ids = self.fragment(w)
+            self.held += len(w) + 36 * len(ids)
+            if len(known) >= self.kept or self.held > self.kept_bytes:
+                known, self.held = {}, len(w) + 36 * len(ids)
+                self.known = known
+            known[w] = ids
         try:
             return list(chain.from_iterable(map(known.__getitem__, words)))
         except KeyError:  # the table was emptied on the way

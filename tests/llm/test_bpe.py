@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import random
 
 import public_tokenizers
@@ -42,6 +43,35 @@ def test_a_small_table_of_known_fragments_changes_nothing(library):
         assert enc.encode(t.encode()) == library.encode(t, add_special_tokens=False).ids
 
 
+def test_a_long_fragment_without_a_cut_equals_the_library(library):
+    """The fragment ends before a forced cut, so it is merged here: a million symbols, in n log n."""
+    enc = bpe.Encoder(PATH)
+    rng = random.Random(3)
+    tokens = [t for t in enc.vocab if t.isascii() and t.isalpha() and len(t) > 3]
+    for body in ("ab" * 500_000, "a" * 50_001, "".join(rng.choice(tokens) for _ in range(2_000)), "".join(rng.choice("aeinrst") for _ in range(20_000))):
+        text = body + "qzx"
+        assert any(len(piece) > 10 and not ends for piece, ends in enc.cut(text))
+        assert enc.encode(text.encode()) == library.encode(text, add_special_tokens=False).ids
+
+
+def test_a_small_store_of_bytes_changes_nothing(library):
+    enc = bpe.Encoder(PATH, kept_bytes=200)
+    for t in texts()[:80]:
+        assert enc.encode(t.encode()) == library.encode(t, add_special_tokens=False).ids
+        assert sum(map(len, enc.known)) < 400
+
+
+def test_a_file_with_another_split_rule_goes_by_the_library(tmp_path):
+    spec = json.load(open(PATH, encoding="utf-8"))
+    spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] = r"\p{Lu}+|\p{L}+|\p{N}+|[^\s\p{L}\p{N}]+"
+    other = tmp_path / "other.json"
+    other.write_text(json.dumps(spec), encoding="utf-8")
+    enc, library = bpe.Encoder(str(other)), Tokenizer.from_file(str(other))
+    assert enc.ascii_words is None
+    for t in ("It's 1234 o'clock", "don't", "a1b22"):
+        assert enc.encode(t.encode()) == library.encode(t, add_special_tokens=False).ids
+
+
 def test_no_token_holds_a_forced_boundary():
     enc = bpe.Encoder(PATH)
     for token in enc.vocab:
