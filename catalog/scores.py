@@ -8,8 +8,9 @@ from catalog.base import STAR, indicators, money, passages, provinces, query, st
 from catalog.corpus import TITLE, docs, title_col, toks
 from marisma.functions import fixed_values as fv
 from marisma.functions import numbers, text
-from marisma.operators import articles, evidence, facts, series, upserts
+from marisma.operators import articles, bucket_table, evidence, facts, series, upserts
 from marisma.operators.dedup import existing_ids, insert_ignore
+from marisma.session import work_dir
 
 _AS_OF = "(SELECT max(ts) FROM events)"
 
@@ -390,6 +391,35 @@ def _(spark, d):
     return upserts.action_counts(upserts.upsert(target, source, ["o_orderkey"], "orden"))
 
 
+def _bucketed(spark, d):
+    """The target in buckets, even keys in one batch and odd ones in the next, each of them sent again."""
+    target, source = _halves(spark, d)
+    root = work_dir(spark, "m01")
+    buckets = max(8, target.count() // 2_000_000)
+    bucket_table.create_table(spark, root, target.schema, target.withColumn("orden", F.lit(0)), ["o_orderkey"], "orden", buckets)
+    for batch in (1, 2, 1, 2):
+        bucket_table.merge_batch(spark, root, target.schema, source.filter(F.col("o_orderkey") % 2 == batch - 1), ["o_orderkey"], "orden", batch)
+    return root, target.schema
+
+
+@query("M01_upsert_bucketed", _UP + """
+SELECT coalesce(t.o_orderkey, s.o_orderkey) AS o_orderkey, CASE WHEN s.o_orderkey IS NOT NULL THEN s.o_orderstatus ELSE t.o_orderstatus END AS o_orderstatus,
+ CASE WHEN s.o_orderkey IS NOT NULL THEN s.precio ELSE t.precio END AS precio FROM t FULL JOIN s USING (o_orderkey)
+""")
+def _(spark, d):
+    root, schema = _bucketed(spark, d)
+    return bucket_table.read_table(spark, root, schema)
+
+
+@query("M01_bucketed_actions", _UP + """
+SELECT CAST(o_orderkey % 2 + 1 AS INT) AS lote, CASE WHEN t.o_orderkey IS NULL THEN 'insertada' ELSE 'actualizada' END AS accion, count(*) AS n FROM s LEFT JOIN t USING (o_orderkey) GROUP BY ALL
+""")
+def _(spark, d):
+    root, _ = _bucketed(spark, d)
+    one, two = (bucket_table.batch_actions(spark, root, n).select(F.lit(n).alias("lote"), "accion", "n") for n in (1, 2))
+    return one.unionByName(two)
+
+
 @query("M02_insert_ignore", """
 WITH d AS (SELECT doc_id, source, md5(text) AS h FROM documents), t AS (SELECT d.* FROM d JOIN labels USING (doc_id)),
  s AS (SELECT *, row_number() OVER (PARTITION BY h ORDER BY doc_id) AS rn FROM d WHERE h NOT IN (SELECT h FROM t))

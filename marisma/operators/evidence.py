@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Iterator
 from functools import reduce
+from heapq import heappop, heappush
+from itertools import pairwise
 
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -172,35 +178,60 @@ def claim_spans(low: Column, claims: Column) -> Column:
     return F.aggregate(claims, state, step, lambda s: s["spans"])
 
 
+def sweep(starts: list[int], ends: list[int], length: int) -> Iterator[tuple[int, int, int | None]]:
+    """(start, end, last claim that covers it) of the stretches between the claims' ends, in n log n.
+
+    Claims are opened in order of their start; the open one with the highest number wins and leaves the
+    heap once it has ended.
+    """
+    opens = sorted((a, n) for n, (a, b) in enumerate(zip(starts, ends, strict=True)) if a < b)
+    edges = sorted({0, length, *starts, *ends})
+    live: list[int] = []
+    at = 0
+    for here, after in pairwise(edges):
+        while at < len(opens) and opens[at][0] <= here:
+            heappush(live, -opens[at][1])
+            at += 1
+        while live and ends[-live[0]] <= here:
+            heappop(live)
+        yield here, after, -live[0] if live else None
+
+
 def heat_spans(df: DataFrame, body: str, claims: str, scores: str, keys: list[str]) -> DataFrame:
     """Stretches of a text with intensity and mask (1, -1, 0); a later claim overwrites an earlier one.
 
-    claims and scores are parallel arrays.  Text outside every claim has intensity 0.
+    claims and scores are parallel arrays; a claim without a score overwrites with 0.  Text outside every
+    claim has intensity 0.  Null or empty texts and null claims have no stretches.  Only places and scores
+    go to Python, not the texts.
     """
     found = df.withColumn("_low", F.lower(body)).withColumn("_spans", claim_spans(F.col("_low"), F.col(claims)))
-    marked = found.withColumn(
-        "_m",
-        F.zip_with("_spans", F.col(scores), lambda s, v: F.struct(s["start"].alias("a"), s["end"].alias("b"), v.alias("v"))),
+    placed = found.filter((F.length(body) > 0) & F.col("_spans").isNotNull()).select(
+        *keys, F.col("_spans.start").alias("_a"), F.col("_spans.end").alias("_b"),
+        F.col(scores).cast("array<double>").alias("_v"), F.length(body).alias("_n"),
     )
-    edges = F.array_sort(
-        F.array_distinct(
-            F.concat(
-                F.transform("_m", lambda m: m["a"]), F.transform("_m", lambda m: m["b"]),
-                F.array(F.lit(0), F.length(body)),
-            )
-        )
-    )
-    marked = marked.withColumn("_edges", edges)
-    pieces = F.transform(
-        F.sequence(F.lit(1), F.greatest(F.size("_edges") - 1, F.lit(1))),
-        lambda i: F.struct(F.get("_edges", i - 1).alias("inicio"), F.get("_edges", i).alias("fin")),
-    )
-    rows = marked.select(*keys, "_m", F.explode(pieces).alias("p")).filter(F.col("p.fin").isNotNull())
-    cover = F.filter("_m", lambda m: (m["a"] <= F.col("p.inicio")) & (m["b"] >= F.col("p.fin")))
-    score = F.try_element_at(cover, F.lit(-1))["v"]
+    schema = ", ".join([*(f"`{k}` {placed.schema[k].dataType.simpleString()}" for k in keys), "inicio int, fin int, _score double"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, batch.num_rows, 64):
+                part = batch.slice(first, 64)
+                rows, out = [], []
+                for i, r in enumerate(part.select(["_a", "_b", "_v", "_n"]).to_pylist()):
+                    v = r["_v"] or []
+                    for a, b, n in sweep(r["_a"], r["_b"], r["_n"]):
+                        rows.append(i)
+                        out.append((a, b, v[n] if n is not None and n < len(v) else None))
+                a, b, score = zip(*out, strict=True)
+                where = pa.array(rows, pa.int32())
+                yield pa.RecordBatch.from_arrays(
+                    [*(part.column(k).take(where) for k in keys), pa.array(a, pa.int32()), pa.array(b, pa.int32()), pa.array(score, pa.float64())],
+                    names=[*keys, "inicio", "fin", "_score"],
+                )
+
+    score = F.col("_score")
     mask = F.when(score > 0.2, 1).when(score < -0.2, -1).otherwise(0)
-    return rows.select(
-        *keys, "p.inicio", "p.fin", F.least(F.lit(1.0), F.abs(F.coalesce(score, F.lit(0.0)))).alias("intensidad"), mask.alias("marca")
+    return placed.mapInArrow(run, schema).select(
+        *keys, "inicio", "fin", F.least(F.lit(1.0), F.abs(F.coalesce(score, F.lit(0.0)))).alias("intensidad"), mask.alias("marca")
     )
 
 
@@ -263,3 +294,6 @@ def relevance_summary(df: DataFrame, query: str, relevance: str) -> DataFrame:
         (F.col("media") >= 0.6) | (F.col("maxima") >= 0.8) | ((F.col("fuentes") >= 3) & (F.col("media") >= 0.4))
     )
     return out.withColumn("suficiente", enough)
+
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

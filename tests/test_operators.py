@@ -361,6 +361,30 @@ def test_claim_spans_and_heat_equal_brute_force(spark):
         assert [heat[(i, p)] for p in range(len(body))] == color
 
 
+def test_heat_of_ten_thousand_claims(spark):
+    """Nested, overlapping, equal and absent claims on one long text; a claim without a score covers with 0."""
+    rnd = random.Random(11)
+    body = "".join(rnd.choice("abcdefghij") for _ in range(30_000))
+    places = [(a, a + rnd.choice([1, 5, 40, 4000])) for a in (rnd.randrange(29_990) for _ in range(10_000))]
+    starts, ends = [a for a, _ in places] + [0, 7], [min(b, len(body)) for _, b in places] + [0, 7]
+    color = [None] * len(body)
+    for n, (a, b) in enumerate(zip(starts, ends)):
+        color[a:b] = [n] * (b - a)
+    pieces = list(evidence.sweep(starts, ends, len(body)))
+    assert [n for a, b, n in pieces for _ in range(a, b)] == color
+    assert pieces[0][0] == 0 and all(x[1] == y[0] for x, y in zip(pieces, pieces[1:])) and pieces[-1][1] == len(body)
+
+    # through Spark: the claims are the text's own pieces in order, then one that covers them all
+    claims = [body[i: i + 6] for i in range(0, 12_000, 6)]
+    rows = [(1, body, [*claims, None, "zz"], [0.5] * len(claims)), (2, "", ["a"], [1.0]), (3, None, ["a"], [1.0]), (4, "abc", None, None), (5, "abc", [], []), (6, "abc", ["ab", "b"], [0.9])]
+    df = spark.createDataFrame(rows, "id int, body string, claims array<string>, scores array<double>")
+    got = [tuple(r) for r in evidence.heat_spans(df, "body", "claims", "scores", ["id"]).collect()]
+    want = [(1, i, i + 6, 0.5, 1) for i in range(0, 12_000, 6)] + [(1, 12_000, 30_000, 0.0, 0)]
+    assert sorted(r for r in got if r[0] == 1) == want
+    assert sorted(r for r in got if r[0] > 1) == [(5, 0, 3, 0.0, 0), (6, 0, 1, 0.9, 1), (6, 1, 2, 0.0, 0), (6, 2, 3, 0.0, 0)]
+    assert evidence.heat_spans(df.limit(0), "body", "claims", "scores", ["id"]).collect() == []
+
+
 def test_claim_with_offline_evidence(spark):
     claim = spark.createDataFrame([(1, "El informe indica que en 2023 llegaron 2.5 millones de turistas a Andalucía", True, 2.5e6, "")],
                                   "claim_id int, texto string, tagged boolean, claim_value double, resumen string")
