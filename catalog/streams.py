@@ -171,3 +171,11 @@ def _(spark, d):
     events_landing(spark, d, lambda s: jobs.plateau_log(_iterations(s), root, f"{root}/cp", "user_id", "ts", "event_id"), late=False)
     schema = "user_id BIGINT, event_id BIGINT, iteracion BIGINT, estancamiento BIGINT, fuentes BIGINT"
     return jobs.read_log(spark, f"{root}/rows", schema).drop(jobs.BATCH)
+
+
+@query("R06_plateau_late", _LOG + "SELECT user_id, event_id, iteracion, estancamiento, fuentes FROM log")
+def _(spark, d):
+    """Two rows in a hundred come after all others and are numbered where they belong."""
+    root = work_dir(spark, "r06t")
+    events_landing(spark, d, lambda s: jobs.plateau_late(_iterations(s), root, f"{root}/cp", "user_id", "ts", "event_id", 8))
+    return jobs.plateau_rows(spark, root, "user_id", "event_id").select("user_id", "event_id", "iteracion", "estancamiento", "fuentes")

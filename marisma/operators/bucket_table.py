@@ -109,12 +109,13 @@ def merge_batch(spark: SparkSession, root: str, schema: StructType, source: Data
     return True
 
 
-def read_table(spark: SparkSession, root: str, schema: StructType, batch: int | None = None) -> DataFrame:
-    """The table after a published batch, the newest by default."""
+def read_table(spark: SparkSession, root: str, schema: StructType, batch: int | None = None, only: set[int] | None = None) -> DataFrame:
+    """The table after a published batch, the newest by default; of some buckets only, if asked."""
     at = newest_batch(spark, root) if batch is None else batch
     if at is None:
         return spark.createDataFrame([], schema)
-    return _read(spark, root, schema, manifest(spark, root, at)[1])
+    live = manifest(spark, root, at)[1]
+    return _read(spark, root, schema, live if only is None else {b: since for b, since in live.items() if b in only})
 
 
 def batch_actions(spark: SparkSession, root: str, batch: int) -> DataFrame:

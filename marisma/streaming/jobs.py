@@ -18,7 +18,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.listener import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructType
 
+from marisma.operators import bucket_table
+from marisma.operators.bucket_table import BUCKET
 from marisma.operators.dedup import first_articles, last_write_wins, match
 from marisma.operators.series import iteration_state
 
@@ -302,4 +305,77 @@ def plateau_log(df: DataFrame, root: str, checkpoint: str, key: str, ts: str, ti
     return run_available(df.writeStream.foreachBatch(write), checkpoint)
 
 
+def plateau_late(df: DataFrame, root: str, checkpoint: str, key: str, ts: str, tie: str, buckets: int = 64) -> StreamingQuery:
+    """plateau_log for rows that may come late: `plateau_rows` numbers them as if all had come in order.
+
+    A row later than all its key has is numbered from the key's state, a table in buckets of which a batch
+    reads and writes those it touches.  Where a row comes before one that is there, the key's rows from its
+    place on are numbered again and written with the batch.  Inside a batch the numbers come from slices of
+    a key.  tie tells the rows of a key apart; null keys are a key, null times come last, mejora and nuevas
+    may be null.  A batch that is run again replaces what it wrote.
+    """
+    spark = df.sparkSession
+    given = [key, ts, tie, "mejora", "nuevas"]
+    results = ["iteracion", "estancamiento", "fuentes"]
+    row_schema = StructType([df.schema[c] for c in given])
+    for c in results:
+        row_schema = row_schema.add(c, "long")
+    state_schema = StructType([df.schema[c] for c in (key, ts, tie)]).add("n0", "long").add("e0", "long").add("f0", "long")
+    place = F.struct(F.isnull(ts).alias("t0"), F.col(ts).alias("t"), F.isnull(tie).alias("d0"), F.col(tie).alias("d"))  # null last
+    home = f"{root}/state"
+    bucket = bucket_table.bucket_of(row_schema, [key], buckets)
+    bucket_table.create_table(spark, home, state_schema, spark.createDataFrame([], state_schema).withColumn("_order", F.lit(0)), [key], "_order", buckets)
+
+    def with_start(rows: DataFrame, starts: DataFrame) -> DataFrame:
+        return rows.join(starts.withColumnRenamed(key, "_k"), F.col(key).eqNullSafe(F.col("_k"))).drop("_k")
+
+    def touched(starts: DataFrame) -> list[int]:
+        return [r[0] for r in starts.select(bucket.alias("b")).distinct().collect()]
+
+    def write(part: DataFrame, batch_id: int) -> None:
+        fresh = part.select(*given)
+        starts = fresh.groupBy(key).agg(F.min(place).alias("_from"))
+        # the state after the batch before: publication n + 1 is batch n's
+        state = bucket_table.read_table(spark, home, state_schema, batch_id, set(touched(starts)))
+        state = with_start(state, starts)
+        late = state.filter(F.col("_from") < place).select(key, "_from")
+        before = state.filter(F.col("_from") >= place).select(key, "n0", "e0", "f0")
+        again = touched(late)
+        if again:
+            log = spark.read.schema(StructType([*row_schema.fields]).add(BUCKET, "integer").add(BATCH, "long")).parquet(f"{root}/rows")
+            log = log.filter(F.col(BUCKET).isin(again) & (F.col(BATCH) < batch_id))
+            old = with_start(newest_rows(log, key, tie), late)
+            kept = old.filter(place < F.col("_from")).groupBy(key).agg(F.max(F.struct(*results)).alias("_l"))
+            before = before.unionByName(kept.select(key, F.col("_l.iteracion").alias("n0"), F.col("_l.estancamiento").alias("e0"), F.col("_l.fuentes").alias("f0")))
+            fresh = fresh.unionByName(old.filter(place >= F.col("_from")).select(*given))
+        inside = iteration_state(fresh.withColumn("_s", F.lit(0.0)), key, ts, tie, "_s", F.col("mejora"), F.col("nuevas"))
+        n0, e0, f0 = (F.coalesce(c, F.lit(0)) for c in ("n0", "e0", "f0"))
+        no_gain = F.col("estancamiento") == F.col("iteracion")
+        rows = inside.join(before.withColumnRenamed(key, "_k"), F.col(key).eqNullSafe(F.col("_k")), "left").select(
+            *given, (F.col("iteracion") + n0).cast("bigint").alias("iteracion"),
+            (F.col("estancamiento") + F.when(no_gain, e0).otherwise(0)).cast("bigint").alias("estancamiento"),
+            (F.col("fuentes") + f0).cast("bigint").alias("fuentes"), bucket.alias(BUCKET),
+        )
+        here = f"{root}/rows/{BATCH}={batch_id}"
+        rows.hint("rebalance", BUCKET).write.mode("overwrite").partitionBy(BUCKET).parquet(here)
+        last = spark.read.schema(row_schema).parquet(here).select(
+            key, ts, tie, F.col("iteracion").alias("n0"), F.col("estancamiento").alias("e0"), F.col("fuentes").alias("f0"))
+        bucket_table.merge_batch(spark, home, state_schema, last, [key], "n0", batch_id + 1)
+        bucket_table.drop_unused(spark, home, keep=2)
+
+    return run_available(df.writeStream.foreachBatch(write), checkpoint)
+
+
+def newest_rows(log: DataFrame, key: str, tie: str) -> DataFrame:
+    """Of the rows of one key and tie the one the newest batch wrote, without the columns of the layout."""
+    rest = [c for c in log.columns if c not in (key, tie, BATCH, BUCKET)]
+    best = log.groupBy(key, tie).agg(F.max_by(F.struct(*rest), BATCH).alias("_r"))
+    return best.select(key, tie, *[F.col(f"_r.{c}").alias(c) for c in rest])
+
+
+def plateau_rows(spark: SparkSession, root: str, key: str, tie: str) -> DataFrame:
+    """What plateau_late has numbered so far."""
+    return newest_rows(spark.read.parquet(f"{root}/rows"), key, tie)
+
+
 cloudpickle.register_pickle_by_value(sys.modules[__name__])

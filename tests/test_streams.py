@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import datetime as dt
+import random
 
 import pytest
 from conftest import DATA
 from pyspark.sql import functions as F
 
 from marisma.functions.numbers import coverage_label
-from marisma.operators import series
+from marisma.operators import bucket_table, series
 from marisma.session import work_dir
 from marisma.streaming import jobs
 
@@ -137,3 +138,44 @@ def test_plateau_state_equals_batch(spark, events, folder):
     out = jobs.read_log(spark, f"{log}/rows", "event_id BIGINT, iteracion BIGINT, estancamiento BIGINT, fuentes BIGINT")
     assert out.select(jobs.BATCH).distinct().count() == 5
     assert {tuple(r) for r in out.select(*cols).collect()} == want
+
+
+def test_late_rows_are_numbered_where_they_belong(spark):
+    """Rows come in any order, null keys and a hot key among them; two batches fail and run again."""
+    rnd = random.Random(8)
+    schema = "q STRING, n INT, ts TIMESTAMP, mejora BOOLEAN, nuevas INT"
+    start = dt.datetime(2024, 1, 1)
+    rows = [
+        (rnd.choice(["hot", "hot", "a", "b", None]), n, None if n % 17 == 3 else start + dt.timedelta(minutes=rnd.randrange(90)), rnd.choice([True, False, False, None]), rnd.choice([0, 1, 3, None]))
+        for n in range(240)
+    ]
+    parts = [rows[:90], rows[90:180], [("new", 900, start, False, 2)], rows[180:]]
+    root, real = work_dir(spark, "plateau_late"), bucket_table.merge_batch
+    for batch, part in enumerate(parts):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{root}/in")
+        for fails in ([None, "before", "after"][batch % 3], None):
+            def merge(*args, fails=fails):
+                if fails == "before":
+                    raise RuntimeError("lost")
+                real(*args)
+                if fails:
+                    raise RuntimeError("lost")
+
+            stream = jobs.stream_articles(spark, f"{root}/in", spark.createDataFrame([], schema).schema, "parquet")
+            with pytest.MonkeyPatch.context() as m:
+                m.setattr(bucket_table, "merge_batch", merge)
+                if fails:
+                    with pytest.raises(Exception, match="lost"):
+                        jobs.plateau_late(stream, root, f"{root}/cp", "q", "ts", "n", 4)
+                else:
+                    jobs.plateau_late(stream, root, f"{root}/cp", "q", "ts", "n", 4)
+        want = set()
+        for q in {r[0] for p in parts[: batch + 1] for r in p}:
+            number = stall = sources = 0
+            for r in sorted((r for p in parts[: batch + 1] for r in p if r[0] == q), key=lambda r: (r[2] is None, r[2] or start, r[1])):
+                number, stall, sources = number + 1, 0 if r[3] else stall + 1, sources + (r[4] or 0)
+                want.add((q, r[1], number, stall, sources))
+        got = jobs.plateau_rows(spark, root, "q", "n").select("q", "n", "iteracion", "estancamiento", "fuentes")
+        assert {tuple(r) for r in got.collect()} == want
+    # the key that came alone and in order had no rows of others written with it
+    assert spark.read.parquet(f"{root}/rows/batch=2").count() == 1
