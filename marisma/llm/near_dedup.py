@@ -5,10 +5,11 @@
 2. `candidate_stars`: documents that agree in a whole band belong to one star, led by the
    smallest id of the bucket.  A star holds every pair of its buckets, but one row per member;
    the leader comes from a pre-aggregated minimum, so no bucket is collected.
-3. `verify_stars`: a star is cut into tiles of bounded size.  Inside a tile pairs that are not
-   yet connected are compared batch by batch of the signature and pruned as soon as the
-   posterior chance of reaching the threshold is below `miss`; survivors are counted on the full
-   shingle sets, and links are confirmed on the words.  Only a spanning forest leaves the tile.
+3. `verify_stars`: a star is cut into tiles of bounded size, first its blocks, each with the leader,
+   then only what a cut star's members not linked to the leader may still link with.  Inside a tile
+   pairs that are not yet connected are compared batch by batch of the signature and pruned as soon
+   as the posterior chance of reaching the threshold is below `miss`; survivors are counted on the
+   full shingle sets, and links are confirmed on the words.  Only a spanning forest leaves the tile.
 4. `components`: alternating large-star and small-star steps over the links.
 
 Missing a pair takes a similarity of at least the threshold with no equal band (for 0.8 and
@@ -28,7 +29,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marisma.llm.words import SOLID, mix, shingles, slices, split_words
@@ -148,18 +149,47 @@ def candidate_stars(reps: DataFrame, cfg: NearConfig) -> DataFrame:
     return buckets.join(led, "bucket").select("leader", "doc_id", "n_shingles").distinct()
 
 
-def tiles(stars: DataFrame, cfg: NearConfig) -> DataFrame:
-    """Cut stars into blocks of bounded size; each pair of blocks is a tile, and the leader is in all of them."""
+def _blocks(docs: Column, load: Column, cfg: NearConfig) -> Column:
+    return F.greatest(F.ceil(docs / cfg.tile_docs), F.ceil(load / cfg.tile_shingles)).cast("int")
+
+
+def home_tiles(stars: DataFrame, cfg: NearConfig) -> DataFrame:
+    """Cut stars into blocks of bounded size; a block is a tile of its own, and the leader is in all of them."""
     blocks = (
         stars.groupBy("leader").agg(F.count("*").alias("docs"), F.sum("n_shingles").alias("load"))
-        .select("leader", F.greatest(F.ceil(F.col("docs") / cfg.tile_docs), F.ceil(F.col("load") / cfg.tile_shingles), F.lit(1)).cast("int").alias("blocks"))
+        .select("leader", F.greatest(_blocks(F.col("docs"), F.col("load"), cfg), F.lit(1)).alias("blocks"))
     )
     mine = F.when(F.col("doc_id") == F.col("leader"), F.lit(-1)).otherwise(F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    lows = F.expr("""
-        CASE WHEN block < 0 THEN flatten(transform(sequence(0, blocks - 1), i -> transform(sequence(i, blocks - 1), j -> struct(i AS low, j AS high))))
-             ELSE transform(sequence(0, blocks - 1), o -> struct(least(o, block) AS low, greatest(o, block) AS high)) END""")
     return (
-        stars.join(blocks, "leader").withColumn("block", mine).withColumn("tile", F.explode(lows))
+        stars.join(blocks, "leader").withColumn("block", mine)
+        .withColumn("low", F.explode(F.expr("CASE WHEN block < 0 THEN sequence(0, blocks - 1) ELSE array(block) END")))
+        .select("leader", "low", F.col("low").alias("high"), "block", "doc_id", "n_shingles", "blocks")
+    )
+
+
+def loose_tiles(home: DataFrame, links: DataFrame, cfg: NearConfig) -> DataFrame:
+    """What the home tiles leave open: members of cut stars that are not linked to their leader, with all others.
+
+    A loose block meets every loose block and every block of linked members (numbered -2, -3, ...), so a
+    linked member ships once per loose block, and not at all where nothing is loose.
+    """
+    linked = links.select(F.col("low").alias("leader"), F.col("high").alias("doc_id"), F.lit(False).alias("loose"))
+    members = (
+        home.filter("blocks > 1 AND block >= 0").select("leader", "doc_id", "n_shingles")
+        .join(linked, ["leader", "doc_id"], "left").withColumn("loose", F.coalesce("loose", F.lit(True)))
+    )
+    count = lambda cond: (F.count_if(cond), F.coalesce(F.sum(F.when(cond, F.col("n_shingles"))), F.lit(0)))
+    sizes = members.groupBy("leader").agg(
+        _blocks(*count(F.col("loose")), cfg).alias("ublocks"), _blocks(*count(~F.col("loose")), cfg).alias("lblocks")
+    ).filter("ublocks > 0")
+    place = F.xxhash64("doc_id")
+    block = F.when(F.col("loose"), F.pmod(place, F.col("ublocks"))).otherwise(-2 - F.pmod(place, F.greatest("lblocks", F.lit(1)))).cast("int")
+    tiles = F.expr("""
+        CASE WHEN loose THEN concat(transform(sequence(0, ublocks - 1), o -> struct(least(o, block) AS low, greatest(o, block) AS high)),
+                                    transform(slice(sequence(0, lblocks), 2, lblocks), o -> struct(block AS low, -1 - o AS high)))
+             ELSE transform(sequence(0, ublocks - 1), o -> struct(o AS low, block AS high)) END""")
+    return (
+        members.join(sizes, "leader").withColumn("block", block).withColumn("tile", F.explode(tiles))
         .select("leader", "tile.low", "tile.high", "block", "doc_id")
     )
 
@@ -181,16 +211,18 @@ def _split(text: str) -> list[str]:
 
 
 class Tile:
-    """Pairs of one tile; groups holds what the links found so far connect."""
+    """Pairs of one tile; group holds what the links found so far connect, and that linked members are one."""
 
-    def __init__(self, ids, blocks, texts: pa.Array, cfg: NearConfig):
-        self.cfg, self.ids, self.blocks, self.texts = cfg, ids, blocks, texts
+    def __init__(self, key, ids, blocks, texts: pa.Array, cfg: NearConfig):
+        self.key, self.cfg, self.ids, self.blocks, self.texts = key, cfg, ids, blocks, texts
         self.draw = _permutations(cfg)
         self.sig = np.zeros((len(ids), cfg.bands * cfg.rows), np.uint32)
         self.drawn = np.zeros(len(ids), np.int64)
         self.sets = list(shingle_sets(texts, cfg.shingle))
         self.size = np.array([len(s) for s in self.sets])
         self.group = np.arange(len(ids))
+        self.linked = np.flatnonzero(blocks < -1)
+        self.group[self.linked] = self.linked[:1]
 
     def draw_until(self, n: int, docs: np.ndarray) -> None:
         """Minima up to n, for documents that still have a pair to compare."""
@@ -236,7 +268,7 @@ class Tile:
         leader = order[self.blocks[order] < 0]
         for i in leader:
             self.link(i, order[order != i])
-        low, high = np.unique(self.blocks[self.blocks >= 0])[[0, -1]] if (self.blocks >= 0).any() else (0, 0)
+        _, low, high = self.key
         left, right = order[self.blocks[order] == low], order[self.blocks[order] == high]
         if low == high:
             for n, i in enumerate(left):
@@ -245,8 +277,10 @@ class Tile:
             for i in left if len(left) <= len(right) else right:
                 self.link(i, right if len(left) <= len(right) else left)
         found = []
+        told = np.ones(len(self.ids), bool)  # of the linked members one stands for all
+        told[self.linked[1:]] = False
         for g in np.unique(self.group):
-            members = self.ids[self.group == g]
+            members = self.ids[(self.group == g) & told]
             found += [(int(members.min()), int(m)) for m in members if m != members.min()]
         return found
 
@@ -264,20 +298,20 @@ def verify_stars(rows: DataFrame, cfg: NearConfig) -> DataFrame:
                     continue
                 now = tuple(keys[a])
                 if held and now != key:
-                    yield held
+                    yield key, held
                     held = []
                 key = now
                 held.append(batch.slice(a, b - a))
         if held:
-            yield held
+            yield key, held
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = []
-        for held in runs(batches):
+        for key, held in runs(batches):
             t = pa.Table.from_batches(held).combine_chunks()
             texts = t.column("text").combine_chunks()
             found += Tile(
-                t.column("doc_id").to_numpy(), t.column("block").to_numpy(),
+                key, t.column("doc_id").to_numpy(), t.column("block").to_numpy(),
                 texts.chunk(0) if isinstance(texts, pa.ChunkedArray) else texts, cfg,
             ).links()
             if len(found) > 10_000:
@@ -329,7 +363,11 @@ def near_duplicates(docs: DataFrame, cfg: NearConfig | None = None) -> DataFrame
     stars = cut_lineage(candidate_stars(reps.select("doc_id", "n_shingles", "minima"), cfg), "stars")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     # by merging, whatever the sizes: neither side is bounded
-    found = components(verify_stars(tiles(stars, cfg).hint("merge").join(texts, "doc_id"), cfg))
+    verify = lambda dealt: verify_stars(dealt.hint("merge").join(texts, "doc_id"), cfg)
+    home = home_tiles(stars, cfg)
+    links = cut_lineage(verify(home.select("leader", "low", "high", "block", "doc_id")), "home_links")
+    rest = cut_lineage(loose_tiles(home, links, cfg), "loose")
+    found = components(links if rest.isEmpty() else links.union(verify(rest)))
     named = firsts.join(found, "doc_id", "left").select("digest", F.coalesce("component_id", "doc_id").alias("found"))
     return (
         sketch.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")

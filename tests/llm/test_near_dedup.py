@@ -58,6 +58,35 @@ def test_small_tiles_lose_no_link(spark):
     assert run(spark, docs, N.NearConfig(shingle=2, tile_docs=7)) == brute(docs, 2)
 
 
+def star(spark, far):
+    """250 near copies of a leader, and `far` texts that are near those only."""
+    words = [f"s{i}" for i in range(100)]
+    docs = [(i, " ".join([*words[:90], *(f"u{i}_{j}" for j in range(5))])) for i in range(1, 251)]
+    docs += [(1000 + i, " ".join([*words[:77], *(f"v{i}_{j}" for j in range(8))])) for i in range(far)]
+    return [(0, " ".join(words)), *docs]
+
+
+def test_linked_members_ship_once(spark):
+    """Members linked to the leader ship once, and once per block of loose ones where there are any."""
+    cfg = N.NearConfig(shingle=1, tile_docs=25)
+    frame = lambda rows: spark.createDataFrame([(0, i, 95) for i, _ in rows], "leader long, doc_id long, n_shingles long")
+    for far in (0, 3, 60):
+        rows = star(spark, far)
+        home = N.home_tiles(frame(rows), cfg)
+        assert home.filter("block >= 0").count() == len(rows) - 1
+        links = spark.createDataFrame([(0, i) for i, _ in rows if 0 < i < 1000], "low long, high long")
+        per = N.loose_tiles(home, links, cfg).groupBy("doc_id").count().collect()
+        blocks = -(-far // 25)
+        assert {r["count"] for r in per if r.doc_id < 1000} == ({blocks} if far else set())
+        assert {r["count"] for r in per if r.doc_id >= 1000} == ({blocks + 10} if far else set())
+
+
+@pytest.mark.parametrize("far", [0, 3, 60])
+def test_loose_members_meet_linked_ones(spark, far):
+    docs = star(spark, far)
+    assert run(spark, docs, N.NearConfig(shingle=1, tile_docs=25)) == brute(docs, 1)
+
+
 def test_chain_of_links_is_one_component(spark):
     words = [f"c{i}" for i in range(400)]
     docs = [(i, " ".join(words[i * 12 : i * 12 + 140])) for i in range(20)]
