@@ -8,14 +8,16 @@ the number of documents that have them, over all documents, and the rarest is th
 1. `item_shingles`: every shingle of every window and its offset in the window.
 2. `shingle_rarity`: documents per item shingle; partial counts leave the map tasks.
 3. `candidates`: one pass over the documents; only prefix shingles leave it, with their position
-   and the words around it.  Which shingles are prefixes is known to the tasks as a bitmap of fixed
+   and the words around it.  Which shingles are prefixes is known to the tasks as a bitmap of bounded
    size, so neither a large benchmark nor a large corpus is broadcast; false hits die in the join.
 4. Join on the shingle, then the bounds: the window must begin at or after word 0 and end at or
    before the last word (length and position), and its words must equal the document's there.
 
 Defined cases: null or wordless text has no words and no hits; null or wordless items have no
 window; items with one id are one item; repeated document rows each get the full result; a null
-doc_id is a key like any other; other columns are ignored; an empty table gives no rows.
+doc_id is a key like any other; other columns are ignored; an empty table gives no rows; a text of any
+length is read whole, and what it hits leaves in small batches; windows equally rare by two shingles take the
+smaller shingle.
 """
 
 from __future__ import annotations
@@ -36,7 +38,8 @@ from marisma.session import cut_lineage
 class WindowConfig:
     window: int = 10
     shingle: int = 3
-    bitmap_bits: int = 1 << 22
+    #: the bitmap has 16 bits per item shingle, at least 2^22, and never more than this
+    bitmap_bits: int = 1 << 28
 
 
 def item_shingles(items: DataFrame, cfg: WindowConfig) -> DataFrame:
@@ -71,11 +74,12 @@ def item_shingles(items: DataFrame, cfg: WindowConfig) -> DataFrame:
 
 
 class Bitmap:
-    """Which shingles are wanted: a fixed number of bits, whatever their number."""
+    """Which shingles are wanted, in a bounded number of bits, whatever their number."""
 
-    def __init__(self, marks: DataFrame, bits: int):
+    def __init__(self, marks: DataFrame, most: int):
         """marks: k, shingle.  At most bits numbers reach the driver."""
-        self.bits = bits
+        count = marks.agg(F.approx_count_distinct("shingle")).first()[0]
+        self.bits = bits = min(most, 1 << max(22, (16 * count - 1).bit_length()))
         slots = marks.select(F.pmod("shingle", F.lit(bits)).cast("int").alias("slot")).distinct().toArrow().column("slot").to_numpy()
         flags = np.zeros(bits, bool)
         flags[slots] = True
@@ -83,9 +87,14 @@ class Bitmap:
         self.sizes = sorted(r.k for r in marks.select("k").distinct().collect())  # at most cfg.shingle values
 
     def finder(self):
-        flags = np.unpackbits(np.frombuffer(self.shared.value, np.uint8)).astype(bool)
+        packed = np.frombuffer(self.shared.value, np.uint8)
         mask = np.uint64(self.bits - 1)
-        return lambda marks: flags[(marks & mask).astype(np.int64)]
+
+        def wanted(marks: np.ndarray) -> np.ndarray:
+            slots = (marks & mask).astype(np.int64)
+            return ((packed[slots >> 3] >> (7 - (slots & 7)).astype(np.uint8)) & 1).astype(bool)
+
+        return wanted
 
 
 def _hits(h: np.ndarray, first: np.ndarray, k: int, wanted) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -133,40 +142,41 @@ def window_prefixes(parts: DataFrame, rarity: DataFrame) -> DataFrame:
     )
 
 
-CANDIDATE = "array<struct<shingle: bigint, at: int, before: int, words: string>>"
+#: hits in one Arrow batch
+HITS = 4096
 
 
 def candidates(docs: DataFrame, prefixes: DataFrame, cfg: WindowConfig) -> DataFrame:
-    """doc_id, text_key, n_words, found: per document the prefix shingles it has and the words around them."""
+    """doc_id, text_key, n_words, shingle, at, before, words: a row per document (shingle null) and one per prefix
+    shingle in it with the words around it.  Rows leave slice by slice, so frequent words fill no worker."""
     bitmap = Bitmap(prefixes, cfg.bitmap_bits)
-    kinds = pa.list_(pa.struct([("shingle", pa.int64()), ("at", pa.int32()), ("before", pa.int32()), ("words", pa.string())]))
+    reach = cfg.window
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string())
+    names = ["doc_id", "text_key", "n_words", "shingle", "at", "before", "words"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = bitmap.finder()
-        reach = cfg.window
         for batch in batches:
-            counts, keys, found = [], [], [[] for _ in range(batch.num_rows)]
             for row, last, data, bounds in slices(batch.column("text")):
                 w = split_words(data, bounds, ALNUM)
-                sizes = np.diff(w.first)
-                counts.append(sizes)
-                keys.append(_text_keys(w.hash, w.first))
+                ids, keys, sizes = batch.column("doc_id").slice(row, last - row), _text_keys(w.hash, w.first), np.diff(w.first)
+                none = [pa.nulls(last - row, t) for t in kinds[3:]]
+                yield pa.RecordBatch.from_arrays([ids, pa.array(keys), pa.array(sizes, pa.int64()), *none], names=names)
                 for k in bitmap.sizes:
-                    for t, at, mark in zip(*(x.tolist() for x in _hits(w.hash, w.first, k, wanted)), strict=True):
-                        lo, hi = int(w.first[t]), int(w.first[t + 1])
-                        a, b = max(lo, at - reach), min(hi, at + reach + k)
-                        around = b" ".join(w.word(j) for j in range(a, b)).decode()
-                        found[row + t].append({"shingle": mark - (1 << 64) if mark >> 63 else mark, "at": at - lo, "before": at - a, "words": around})
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id"), pa.array(np.concatenate(keys) if keys else [], pa.int64()),
-                    pa.array(np.concatenate(counts) if counts else [], pa.int64()), pa.array(found, kinds),
-                ],
-                names=["doc_id", "text_key", "n_words", "found"],
-            )
+                    text, at, marks = _hits(w.hash, w.first, k, wanted)
+                    lo = np.maximum(w.first[text], at - reach)
+                    hi = np.minimum(w.first[text + 1], at + reach + k)
+                    for a in range(0, len(at), HITS):
+                        part = slice(a, a + HITS)
+                        around = [b" ".join(w.word(j) for j in range(x, y)).decode() for x, y in zip(lo[part].tolist(), hi[part].tolist(), strict=True)]
+                        t = text[part]
+                        columns = (keys[t], sizes[t], marks[part].view(np.int64), at[part] - w.first[t], at[part] - lo[part], around)
+                        yield pa.RecordBatch.from_arrays(
+                            [ids.take(pa.array(t)), *[pa.array(c, kind) for c, kind in zip(columns, kinds[1:], strict=True)]], names=names
+                        )
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        run, f"doc_id long, text_key long, n_words long, found {CANDIDATE}"
+        run, "doc_id long, text_key long, n_words long, shingle long, at int, before int, words string"
     )
 
 
@@ -189,9 +199,7 @@ def find_windows(docs: DataFrame, items: DataFrame, cfg: WindowConfig | None = N
 
     start = F.col("at") - F.col("offset")
     spots = (
-        scanned.filter(F.size("found") > 0).select("doc_id", "text_key", "n_words", F.explode("found").alias("c"))
-        .select("doc_id", "text_key", "n_words", "c.*")
-        .join(prefixes, "shingle")
+        scanned.filter("shingle IS NOT NULL").join(prefixes, "shingle")
         .filter((start >= 0) & (start + F.col("length") <= F.col("n_words")))
         .filter(F.array_join(F.slice(F.split("words", " "), F.greatest(F.col("before") - F.col("offset") + 1, F.lit(1)), F.col("length")), " ") == F.col("span"))
         .select("doc_id", "text_key", start.alias("start"), (start + F.col("length")).alias("stop"), "span")
@@ -210,7 +218,7 @@ def find_windows(docs: DataFrame, items: DataFrame, cfg: WindowConfig | None = N
     )
     same = lambda other: (F.col("s.doc_id").eqNullSafe(F.col(f"{other}.doc_id"))) & (F.col("s.text_key") == F.col(f"{other}.text_key"))
     return (
-        scanned.select(*key, "n_words").alias("s").join(hit.alias("h"), same("h"), "left").join(named.alias("i"), same("i"), "left")
+        scanned.filter("shingle IS NULL").select(*key, "n_words").alias("s").join(hit.alias("h"), same("h"), "left").join(named.alias("i"), same("i"), "left")
         .select(
             "s.doc_id", "s.n_words", F.coalesce("h.n_hit", F.lit(0).cast("long")).alias("n_hit"),
             F.coalesce("i.item_ids", F.array().cast("array<string>")).alias("item_ids"),

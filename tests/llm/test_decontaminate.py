@@ -61,6 +61,12 @@ def test_a_full_bitmap_changes_nothing(spark):
     assert run(spark, docs, items, WindowConfig(bitmap_bits=2)) == brute(docs, items)
 
 
+def test_a_very_common_item_word_leaves_in_batches(spark):
+    docs = [(i, "the cat " * 3000) for i in range(4)] + [(9, "a dog the end"), (10, None)]
+    items = [(1, "the"), (2, "cat the cat"), (3, "absent words")]
+    assert run(spark, docs, items) == brute(docs, items)
+
+
 def test_odd_rows(spark):
     docs = [(None, None), (None, "one two"), (None, "one two"), (3, ""), (3, "!!"), (4, "x " * 70_000 + "one two"), (4, "one two")]
     items = [(1, "One, two!"), (1, None), (2, ""), (None, "x x"), (10, "one two")]
