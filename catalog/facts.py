@@ -403,13 +403,12 @@ def _(spark, d):
 
 
 @query("A07_coverage_gaps", FACT + """
-SELECT y.anio, r.categoria FROM (SELECT DISTINCT anio FROM fact WHERE provincia = 'Nation_3') y,
+SELECT y.provincia, y.anio, r.categoria FROM (SELECT DISTINCT provincia, anio FROM fact) y,
   (VALUES ('BUILDING'), ('FURNITURE'), ('cruceros'), ('litoral')) r(categoria)
-WHERE NOT EXISTS (SELECT 1 FROM fact f WHERE provincia = 'Nation_3' AND f.anio = y.anio AND f.categoria = r.categoria)
+WHERE NOT EXISTS (SELECT 1 FROM fact f WHERE f.provincia IS NOT DISTINCT FROM y.provincia AND f.anio = y.anio AND f.categoria = r.categoria)
 """)
 def _(spark, d):
-    rows = facts.filter_metrics(long_fact(spark, d), provincias=["nation_3"])
-    return facts.coverage_gaps(rows, ["BUILDING", "FURNITURE", "cruceros", "litoral"])
+    return facts.coverage_gaps(long_fact(spark, d), ["BUILDING", "FURNITURE", "cruceros", "litoral"], by=["provincia"])
 
 
 @query("A20_section_merge", """

@@ -217,14 +217,19 @@ def _(spark, d):
     return rows.select("doc_id", F.md5("text").alias("h"), "source")
 
 
-@query("S02_quarantine_corrupt", "SELECT doc_id % 10 = 3 AS malo, count(*) AS n FROM documents GROUP BY ALL")
+@query("S02_quarantine_corrupt", """
+SELECT CASE WHEN doc_id % 10 <> 3 THEN doc_id END AS doc_id, CASE WHEN doc_id % 10 <> 3 THEN text END AS text,
+  CASE WHEN doc_id % 10 = 3 THEN '{"doc_id": ' || doc_id || ', "text": "sin cerrar' END AS crudo
+FROM documents
+""")
 def _(spark, d):
+    """Readable rows with their fields, unreadable ones as they were found."""
     root = work_dir(spark, "mixed")
     good = F.to_json(F.struct("doc_id", "text"))
     broken = F.concat(F.lit('{"doc_id": '), F.col("doc_id").cast("string"), F.lit(', "text": "sin cerrar'))
     docs(spark, d).select(F.when(F.col("doc_id") % 10 == 3, broken).otherwise(good).alias("value")).write.text(root)
     ok, bad = corpus.quarantine_corrupt(_scan_text(spark, root))
-    return ok.select(F.lit(False).alias("malo")).unionByName(bad.select(F.lit(True).alias("malo"))).groupBy("malo").agg(F.count("*").alias("n"))
+    return ok.select("doc_id", "text").unionByName(bad.select(F.col(corpus.CORRUPT).alias("crudo")), allowMissingColumns=True)
 
 
 def _scan_text(spark, root):

@@ -499,14 +499,14 @@ def _(spark, d):
 
 @query("X04_insert_fact_rows", """
 SELECT o_orderkey, year(o_orderdate) AS anio, month(o_orderdate) AS mes, n_nationkey + 1 AS id_provincia, CAST(o_totalprice AS DOUBLE) AS valor_absoluto, 'insertada' AS accion
-FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_orderstatus = 'F'
+FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
 """)
 def _(spark, d):
     """Rows given by codes into an empty fact, one fact per order."""
     prov, ind = provinces(spark, d), indicators(spark, d)
     customer = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     rows = (
-        table(spark, d, "orders").filter("o_orderstatus = 'F'").join(customer, F.col("o_custkey") == F.col("c_custkey"))
+        table(spark, d, "orders").join(customer, F.col("o_custkey") == F.col("c_custkey"))
         .select("o_orderkey", F.year("o_orderdate").alias("anio"), F.month("o_orderdate").alias("mes"),
                 F.format_string("%02d", "n_nationkey").alias("codigo_provincia"), F.lit("numero_turistas").alias("codigo_indicador"),
                 F.lit(None).cast("int").alias("id_mercado"), F.lit(None).cast("int").alias("id_tipo_turismo"),

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import sys
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -33,21 +35,20 @@ def split_text(body: str, size: int, overlap: int, separators: list[str] = SEPAR
 
 
 def _pack(parts: list[str], sep: str, size: int, overlap: int) -> list[str]:
-    """Join neighbors up to the size; the next piece starts with the tail of the one before."""
-    pieces: list[str] = []
-    start, length = 0, 0
-    for i, part in enumerate(parts):
-        grown = length + len(part) + (len(sep) if i > start else 0)
-        if grown > size and i > start:
-            pieces.append(sep.join(parts[start:i]).strip())
-            while start < i and (length > overlap or (length and length + len(part) + len(sep) > size)):
-                length -= len(parts[start]) + (len(sep) if i - start > 1 else 0)
-                start += 1
-            grown = length + len(part) + (len(sep) if i > start else 0)
-        length = grown
-    if start < len(parts):
-        pieces.append(sep.join(parts[start:]).strip())
-    return [p for p in pieces if p]
+    """Runs of neighbors joined by sep: each as long as fits in size, and no part is left out.
+
+    A run begins with the longest tail of the one before that is within overlap and leaves room for the next part.
+    """
+    gap = len(sep)
+    reach = [0, *accumulate(len(p) + gap for p in parts)]
+    runs, start, stop = [], 0, 0
+    while stop < len(parts):
+        if stop:
+            tail, room = bisect_left(reach, reach[stop] - gap - overlap), bisect_left(reach, reach[stop + 1] - gap - size)
+            start = min(max(tail, room), stop)
+        stop = max(bisect_right(reach, reach[start] + gap + size) - 1, stop + 1)
+        runs.append(sep.join(parts[start:stop]).strip())
+    return [r for r in runs if r]
 
 
 def chunks(body: Column, size: int = 1000, overlap: int = 200) -> Column:

@@ -140,13 +140,14 @@ def same_month_last_year(df: DataFrame, keys: list[str]) -> DataFrame:
     return change_columns(now.join(before, same, "left").drop(*[f"_{k}" for k in parts]), "total", "total_previo")
 
 
-def coverage_gaps(df: DataFrame, requested: list[str]) -> DataFrame:
-    """(anio, categoria) pairs that were asked for and have no rows."""
-    present = df.select("anio", "categoria").distinct()
-    wanted = present.select("anio").distinct().withColumn(
-        "categoria", F.explode(F.array(*[F.lit(c) for c in requested]))
-    )
-    return wanted.join(present, ["anio", "categoria"], "left_anti")
+def coverage_gaps(df: DataFrame, requested: list[str], by: list[str] | None = None) -> DataFrame:
+    """(by, anio, categoria) that were asked for and have no rows, in every year the keys by have any.  Null keys are keys."""
+    keys = [*(by or []), "anio"]
+    present = df.select(*keys, "categoria").distinct()
+    wanted = present.select(*keys).distinct().withColumn("categoria", F.explode(F.array(*[F.lit(c) for c in requested])))
+    there = present.select(*[F.col(k).alias(f"_{k}") for k in present.columns])
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in present.columns])
+    return wanted.join(there, same, "left_anti")
 
 
 def pivot_values(df: DataFrame, keys: list[str], code: str, value: str, codes: list[str], how=F.max) -> DataFrame:

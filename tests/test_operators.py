@@ -577,3 +577,11 @@ def test_hybrid_search_over_vectors_sorted_by_cosine(spark):
         mine = [r for r in got if r.qid == q]
         assert [r.id for r in mine] == [i for i, _ in want]
         assert [r.puntuacion for r in mine] == pytest.approx([s for _, s in want], abs=2e-9)
+
+
+def test_coverage_gaps_by_key(spark):
+    rows = [("a", 2020, "x"), ("a", 2021, "y"), (None, 2020, "y"), (None, 2020, None)]
+    df = spark.createDataFrame(rows, "provincia string, anio int, categoria string")
+    got = {tuple(r) for r in facts.coverage_gaps(df, ["x", "y"], by=["provincia"]).collect()}
+    assert got == {("a", 2020, "y"), ("a", 2021, "x"), (None, 2020, "x")}
+    assert {tuple(r) for r in facts.coverage_gaps(df, ["x", "y"]).collect()} == {(2021, "x")}
