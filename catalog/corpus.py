@@ -754,13 +754,15 @@ def _(spark, d):
     return pages.page_article(rows).select("page_id", "titulo", "autor", F.col("fecha").cast("timestamp_ntz").alias("fecha"), F.array_join("tags", ",").alias("tags"))
 
 
-_PLAIN = "replace(replace(replace(replace(replace({}, '&quot;', chr(34)), '&#x27;', chr(39)), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')"
+# as HTML has it, a reference may lack its semicolon; titles end inside of one
+_PLAIN = """regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({}, '&quot;?', chr(34), 'g'),
+ '&#x27(;|([^0-9A-Fa-f;])|$)', chr(39) || '\\2', 'g'), '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&amp;?', '&', 'g')"""
 SITES = ["www.abc.es", "www.diariosur.es", "www.diariodesevilla.es", "elpais.com"]
 
 
 @query("H03_site_article", f"""
 WITH p AS (SELECT page_id, unnest(x) AS t, generate_subscripts(x, 1) AS i FROM (SELECT page_id, string_split(replace(regexp_extract(html, '<article>(.*)</article>', 1, 's'), '</p>', ''), '<p>')[2:] AS x FROM pages)),
- c AS (SELECT page_id, i, {sq("replace(replace(replace(replace(replace(regexp_replace(replace(t, '<br>', ' '), '<[^>]+>', '', 'g'), '&quot;', chr(34)), '&#x27;', chr(39)), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')")} AS t FROM p),
+ c AS (SELECT page_id, i, {sq(_PLAIN.format("regexp_replace(replace(t, '<br>', ' '), '<[^>]+>', '', 'g')"))} AS t FROM p),
  b AS (SELECT page_id, string_agg(t, chr(10) ORDER BY i) AS cuerpo FROM c WHERE length(t) >= CASE page_id % 4 WHEN 3 THEN 41 WHEN 2 THEN 21 ELSE 1 END GROUP BY page_id)
 SELECT page_id, CASE WHEN page_id % 4 = 1 THEN {sq(_PLAIN.format("regexp_extract(html, '<title>([^<]*)</title>', 1)"))} ELSE
    {sq(_PLAIN.format("regexp_replace(regexp_extract(html, '<h1>(.*?)</h1>', 1, 's'), '<[^>]+>', '', 'g')"))} END AS titulo,
