@@ -28,10 +28,16 @@ def register_contains_lookup(spark: SparkSession, name: str, dim: str, aliases:
     """name(term): members whose name holds the term, or whose code or alias equals it.
 
     Names are looked up by the first letters of the term, spellings as a whole, both by equality, so a
-    lateral call over a table of terms is an equi join.  An empty term is in no name.
+    lateral call over a table of terms is an equi join.  An empty term is in no name.  The places of a name
+    come from a join by length: Spark takes an exploded table for no larger than the one below it and would
+    collect it for a broadcast, a join it does not underestimate.
     """
-    grams = f"explode(array_distinct(flatten(transform(sequence(1, {width}), ancho_ -> transform(sequence(1, greatest(length({label}) - ancho_ + 1, 1)), desde_ -> substr(lower({label}), desde_, ancho_))))))"
-    spark.sql(f"SELECT {id_col} AS k, {code} AS c, {label} AS v, {grams} AS clave FROM {dim}").createOrReplaceTempView(f"{name}_por_letras")
+    spark.sql(f"""
+        SELECT k, c, v, substr(baja, desde, ancho) AS clave
+        FROM (SELECT {id_col} AS k, {code} AS c, {label} AS v, lower({label}) AS baja FROM {dim})
+        JOIN (SELECT largo, ancho, explode(sequence(1, greatest(largo - ancho + 1, 1))) AS desde
+              FROM (SELECT largo, explode(sequence(1, {width})) AS ancho FROM (SELECT DISTINCT length(lower({label})) AS largo FROM {dim})))
+        ON length(baja) = largo""").createOrReplaceTempView(f"{name}_por_letras")
     spark.sql(f"""
         SELECT {id_col} AS k, {code} AS c, {label} AS v, lower({code}) AS clave FROM {dim}
         UNION SELECT d.{id_col}, d.{code}, d.{label}, lower(a.alias) FROM {dim} d JOIN {aliases} a ON d.{id_col} = a.{alias_id}

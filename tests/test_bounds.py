@@ -5,6 +5,7 @@ from __future__ import annotations
 import duckdb
 
 import __spark_entry__ as entry
+from marisma.plans.functions import register_contains_lookup
 
 
 def test_cut_references_are_decoded_on_both_sides(spark, tmp_path):
@@ -18,3 +19,18 @@ def test_cut_references_are_decoded_on_both_sides(spark, tmp_path):
     want = con.execute(f"SELECT page_id, titulo, cuerpo FROM ({entry.oracle_sql()['H03_site_article']})").fetchall()
     assert sorted(map(tuple, got)) == sorted(want)
     assert [t for _, t, _ in sorted(want)] == ["uno &&", 'dos "', "tres &am", "cuatro '", "cinco <x >"]
+
+
+def test_letters_of_names_are_not_taken_for_small(spark, tmp_path):
+    """The table of letters is larger than its file; a plan that does not know it broadcasts it."""
+    rows = spark.range(5000).selectExpr("id AS k", "concat('C', id) AS c", "concat('una denominación larga ', id) AS n")
+    rows.coalesce(1).write.parquet(f"{tmp_path}/dim")
+    spark.read.parquet(f"{tmp_path}/dim").createOrReplaceTempView("bl_dim")
+    spark.createDataFrame([(1, "x")], "a bigint, alias string").createOrReplaceTempView("bl_alias")
+    register_contains_lookup(spark, "bl", "bl_dim", "bl_alias", "k", "c", "n", "a")
+    letters = spark.table("bl_por_letras")
+    estimate = int(str(letters._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    assert estimate > letters.count() * 40
+    found = spark.sql("SELECT t, b.id FROM VALUES ('LARGA 4999'), ('c7'), ('ción larga 12'), ('zz') x(t), LATERAL bl(t) b")
+    want = {("LARGA 4999", 4999), ("c7", 7)} | {("ción larga 12", i) for i in range(5000) if str(i).startswith("12")}
+    assert {(r.t, r.id) for r in found.collect()} == want
