@@ -22,7 +22,7 @@ from marisma.functions import fixed_values as fv
 from marisma.functions import numbers, text
 
 BLOCK_BYTES = 16 * 1024 * 1024  # queries shipped to a task at once
-SCORES_IN_MEMORY = 4_000_000  # row-by-query scores a task holds at once
+SCORES_IN_MEMORY = 1_000_000  # row-by-query scores a task holds at once
 
 
 # ---------------------------------------------------------------- chunks and vectors
@@ -72,6 +72,18 @@ def _query_blocks(queries: DataFrame, vector: str) -> list[tuple[int, int]]:
     return [(a, min(a + per_block, stats["n"]) - 1) for a in range(0, stats["n"], per_block)]
 
 
+def first_k(sims: np.ndarray, k: int) -> np.ndarray:
+    """Which of the scores (rows in order of key, by queries) are among the k best of their query; equal ones go by key."""
+    if len(sims) <= k:
+        return np.ones(sims.shape, dtype=bool)
+    last = np.partition(sims, len(sims) - k, axis=0)[len(sims) - k]
+    above, ties = sims > last, sims == last
+    room = k - above.sum(axis=0)
+    if (ties.sum(axis=0) > room).any():
+        ties &= ties.cumsum(axis=0, dtype=np.int32) <= room
+    return above | ties
+
+
 def vector_scores(table: DataFrame, key: str, vector: str, queries: DataFrame, qid: str = "qid",
                   qvec: str = "qvec", k: int | None = None, bounds: bool = False) -> DataFrame:
     """(qid, key, similitud): cosine of every query with every row, or the k best per task.
@@ -79,8 +91,8 @@ def vector_scores(table: DataFrame, key: str, vector: str, queries: DataFrame, q
     bounds adds the smallest and largest cosine of each task as rows with a null key.
 
     The rows stay where they are; one block of queries (at most BLOCK_BYTES) goes
-    to the tasks.  With k set a task keeps a running best of k rows per query (and
-    ties with the last of them) and emits it at its end, so what is shuffled later is small.
+    to the tasks.  With k set a task keeps a running best of k rows per query, equal
+    scores by key, and emits it at its end: what it holds and what is shuffled later is small.
     """
     from marisma.session import cut_lineage
 
@@ -103,42 +115,43 @@ def vector_scores(table: DataFrame, key: str, vector: str, queries: DataFrame, q
         names = np.array(ids)
         step = max(1, SCORES_IN_MEMORY // len(ids))
 
-        def best(held: list[pd.DataFrame]) -> list[pd.DataFrame]:
+        def best(held: list[pd.DataFrame], floor: np.ndarray) -> pd.DataFrame:
+            """The k best of each query; floor becomes the k-th score."""
             rows = pd.concat(held)
             of, sims = rows["of"].to_numpy(), rows["similitud"].to_numpy()
-            order = np.lexsort((-sims, of))
+            order = np.lexsort((pd.factorize(rows[key], sort=True)[0], -sims, of))
             first = np.flatnonzero(np.diff(of[order], prepend=-1))
-            last = np.minimum(first + k, np.append(first[1:], len(order))) - 1
-            # ties with the k-th stay in, the exact cut comes later
-            least = np.repeat(sims[order][last], np.diff(np.append(first, len(order))))
-            return [rows.iloc[order[sims[order] >= least]]]
+            size = np.diff(np.append(first, len(order)))
+            full = size >= k
+            floor[of[order[first[full]]]] = sims[order[first[full] + k - 1]]
+            return rows.iloc[order[np.arange(len(order)) - np.repeat(first, size) < k]]
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             held, waiting = [], 0
-            low, high = np.full(len(ids), np.inf), np.full(len(ids), -np.inf)
+            low, high, floor = np.full(len(ids), np.inf), np.full(len(ids), -np.inf), np.full(len(ids), -np.inf)
             for batch in batches:
                 for start in range(0, len(batch), step):
-                    pdf = batch.iloc[start:start + step]
+                    pdf = batch.iloc[start:start + step].sort_values(key, kind="stable", na_position="first")
                     rows = np.stack(pdf[vector].to_numpy()).astype(np.float64)
                     length = np.linalg.norm(rows, axis=1, keepdims=True)
                     sims = (rows / np.where(length == 0, np.nan, length)) @ unit.T
                     known = ~np.isnan(sims)
                     ranked = np.where(known, sims, -np.inf)
                     low, high = np.minimum(low, np.where(known, sims, np.inf).min(axis=0)), np.maximum(high, ranked.max(axis=0))
-                    if k is not None and len(ranked) > k:
-                        known &= ranked >= np.partition(ranked, len(ranked) - k, axis=0)[len(ranked) - k]
+                    if k is not None:
+                        known &= (ranked >= floor) & first_k(ranked, k)
                     at, of = np.nonzero(known)
-                    found = pd.DataFrame({"of": of, key: pdf[key].to_numpy()[at], "similitud": sims[at, of]})
+                    found = pd.DataFrame({"of": of.astype(np.int32), key: pdf[key].to_numpy()[at], "similitud": sims[at, of]})
                     if k is None:
                         yield found.assign(**{qid: names[of]})[[qid, key, "similitud"]]
                         continue
                     held.append(found)
                     waiting += len(found)
-                    if waiting > 8 * k * len(ids) + SCORES_IN_MEMORY:
-                        held = best(held)
-                        waiting = 0
+                    if waiting > k * len(ids) + SCORES_IN_MEMORY:
+                        held = [best(held, floor)]
+                        waiting = len(held[0])
             if held:
-                rows = best(held)[0]
+                rows = best(held, floor)
                 yield pd.DataFrame({qid: names[rows["of"].to_numpy()], key: rows[key].to_numpy(), "similitud": rows["similitud"].to_numpy()})
             if bounds:
                 seen = np.isfinite(high)

@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import duckdb
+import numpy as np
 
 import __spark_entry__ as entry
+from marisma.functions import chunking
+from marisma.operators import articles, pages, search
 from marisma.plans.functions import register_contains_lookup
+from marisma.streaming import jobs
 
 
 def test_cut_references_are_decoded_on_both_sides(spark, tmp_path):
@@ -34,3 +38,52 @@ def test_letters_of_names_are_not_taken_for_small(spark, tmp_path):
     found = spark.sql("SELECT t, b.id FROM VALUES ('LARGA 4999'), ('c7'), ('ción larga 12'), ('zz') x(t), LATERAL bl(t) b")
     want = {("LARGA 4999", 4999), ("c7", 7)} | {("ción larga 12", i) for i in range(5000) if str(i).startswith("12")}
     assert {(r.t, r.id) for r in found.collect()} == want
+
+
+def test_equal_scores_stay_bounded_in_a_task(spark):
+    """Copies of one vector tie with each other: a task keeps k of them, the smallest keys, not all."""
+    rows = spark.createDataFrame([(i, [1.0, 0.0]) for i in range(3000, 0, -1)], "id bigint, v array<double>").coalesce(1)
+    asked = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.5, 0.5])], "qid bigint, qvec array<double>")
+    kept = search.vector_scores(rows, "id", "v", asked, k=3).collect()
+    assert sorted((r.qid, r.id) for r in kept) == [(q, i) for q in (1, 2) for i in (1, 2, 3)]
+    sims = np.array([[0.5, 1.0], [0.5, 0.0], [0.5, 1.0], [0.9, 1.0]])
+    assert search.first_k(sims, 2).tolist() == [[True, True], [False, False], [False, True], [True, False]]
+
+
+def test_words_are_hashed_once(monkeypatch):
+    calls = []
+    real = chunking.hashlib.md5
+    monkeypatch.setattr(chunking.hashlib, "md5", lambda x: calls.append(x) or real(x))
+    known = {}
+    a, b = chunking.hash_vector("uno dos uno", 16, known), chunking.hash_vector("dos UNO uno", 16, known)
+    assert len(calls) == 2 and (a == b).all() and (a == chunking.hash_vector("uno uno dos", 16)).all()
+
+
+def test_paragraphs_leave_in_bounded_batches(spark, monkeypatch):
+    """Pages are read one by one; what is found goes on by its length, not by the number of paragraphs."""
+    monkeypatch.setattr(pages, "CHARACTERS_IN_MEMORY", 1000)
+    html = "<article>" + "".join(f"<p>{'x' * 400} {i}</p>" for i in range(9)) + "</article>"
+    rows = spark.createDataFrame([(1, html), (2, None), (None, html)], "id int, html string").coalesce(1)
+    out = pages.paragraph_candidates(rows, "id")
+    assert "MapInArrow" in out._jdf.queryExecution().executedPlan().toString()
+    assert out.groupBy("id").count().orderBy("id").collect() == [(None, 9), (1, 9)]
+
+
+def test_a_level_of_candidates_is_parsed_once(spark):
+    rows = spark.createDataFrame([(1, '{"title": "a", "x": [{"titulo": " b ", "y": "t"}, 3, {"url": "u"}]}'), (2, None), (3, "no"), (4, '[{"headline": "c"}]'), (5, '"s"')], "id int, p string")
+    out = articles.flatten_candidates(rows, "p", ["id"])
+    assert sorted((r.id, r.title) for r in out.collect()) == [(1, "a"), (1, "b"), (4, "c")]
+    assert "parse_json" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_state_call_takes_a_bucket_of_keys(spark, tmp_path):
+    """Keys share state rows; numbers go on over batches, null keys apart."""
+    schema = "k string, t timestamp, e bigint, mejora boolean, nuevas int"
+    days = [[("a", 2, 1, True, 1), ("b", 1, 2, False, 2), (None, 1, 3, False, None), ("a", 1, 4, False, 3)], [("b", 5, 5, True, 1), ("a", 6, 6, False, 1), (None, 7, 7, False, 4), ("c", 7, 8, None, 1)]]
+    got = []
+    for n, day in enumerate(days):
+        spark.createDataFrame([(k, f"2024-01-0{d}", e, m, x) for k, d, e, m, x in day], "k string, t string, e bigint, mejora boolean, nuevas int").selectExpr("k", "CAST(t AS timestamp) t", "e", "mejora", "nuevas").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = jobs.stream_articles(spark, f"{tmp_path}/in", spark.createDataFrame([], schema).schema, "parquet")
+        jobs.append_to(jobs.stream_plateau(stream, "k", "t", "e", buckets=1), f"{tmp_path}/out", f"{tmp_path}/cp")
+    got = {r.e: (r.k, r.iteracion, r.estancamiento, r.fuentes) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    assert got == {4: ("a", 1, 1, 3), 1: ("a", 2, 0, 4), 6: ("a", 3, 1, 5), 2: ("b", 1, 1, 2), 5: ("b", 2, 0, 3), 3: (None, 1, 1, 0), 7: (None, 2, 2, 4), 8: ("c", 1, 1, 1)}
