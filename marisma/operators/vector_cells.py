@@ -23,11 +23,12 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marisma.operators.search import top_k
+from marisma.operators.search import first_k, top_k
 from marisma.session import cut_lineage
 
 SLACK = 1e-6
 ROWS_IN_TILE, QUERIES_IN_TILE = 4096, 1024
+QUERIES_AT_ONCE = 128  # of a tile, or to be sent their ways
 
 
 @dataclass(frozen=True)
@@ -108,8 +109,8 @@ def _ways(index: VectorCells, queries: DataFrame, qid: str, qvec: str, k: int) -
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for start in range(0, len(pdf), 1024):
-                part = pdf.iloc[start : start + 1024]
+            for start in range(0, len(pdf), QUERIES_AT_ONCE):
+                part = pdf.iloc[start : start + QUERIES_AT_ONCE]
                 rows, at = _unit(part[qvec].to_list())
                 if not len(at) or not len(centres):
                     continue
@@ -129,7 +130,7 @@ def _ways(index: VectorCells, queries: DataFrame, qid: str, qvec: str, k: int) -
 
 
 def _scan(index: VectorCells, ways: DataFrame, qid: str, k: int) -> DataFrame:
-    """(qid, key, similitud): per tile the k nearest of each query, with ties; ways: qid, unidad, celda."""
+    """(qid, key, similitud): per tile the k nearest of each query, equal ones by key; ways: qid, unidad, celda."""
     spark, key = ways.sparkSession, index.key
     qid_type = ways.schema[qid].dataType.simpleString()
     asked = ways.groupBy("celda").agg(F.ceil(F.count("*") / QUERIES_IN_TILE).cast("int").alias("_nq"))
@@ -143,10 +144,15 @@ def _scan(index: VectorCells, ways: DataFrame, qid: str, k: int) -> DataFrame:
     def near(rows: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         if not len(rows) or not len(queries):
             return pd.DataFrame({qid: [], key: [], "similitud": []})
-        sims = np.stack(rows["unidad"].to_numpy()) @ np.stack(queries["_q"].to_numpy()).T
-        keep = sims >= np.partition(sims, len(sims) - k, axis=0)[len(sims) - k] if len(sims) > k else np.ones_like(sims, dtype=bool)
-        at, of = np.nonzero(keep)
-        return pd.DataFrame({qid: queries[qid].to_numpy()[of], key: rows[key].to_numpy()[at], "similitud": sims[at, of]})
+        rows = rows.sort_values(key, kind="stable", na_position="first")
+        units, keys, asks = np.stack(rows["unidad"].to_numpy()), rows[key].to_numpy(), queries[qid].to_numpy()
+        found = []
+        for start in range(0, len(queries), QUERIES_AT_ONCE):
+            some = slice(start, start + QUERIES_AT_ONCE)
+            sims = units @ np.stack(queries["_q"].to_numpy()[some]).T
+            at, of = np.nonzero(first_k(sims, k))
+            found.append(pd.DataFrame({qid: asks[some][of], key: keys[at], "similitud": sims[at, of]}))
+        return pd.concat(found)
 
     on = ["celda", "trozo", "grupo"]
     return of_row.groupBy(*on).cogroup(of_query.groupBy(*on)).applyInPandas(near, f"{qid} {qid_type}, {key} {index.key_type}, similitud double")
