@@ -15,6 +15,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SEPARATORS = ["\n\n", "\n", " ", ""]
+WORDS_KNOWN = 100_000  # hashed words a task keeps
 
 
 def split_text(body: str, size: int, overlap: int, separators: list[str] = SEPARATORS) -> list[str]:
@@ -72,12 +73,20 @@ def fixed_chunks(body: Column, size: int = 1000, overlap: int = 200) -> Column:
     ).otherwise(F.array().cast("array<string>"))
 
 
-def hash_vector(body: str, dim: int) -> np.ndarray:
-    """Signed bucket counts of the words, scaled to length one."""
-    vec = np.zeros(dim, dtype=np.float64)
+def hash_vector(body: str, dim: int, known: dict[str, tuple[int, float]] | None = None) -> np.ndarray:
+    """Signed bucket counts of the words, scaled to length one.  known keeps the places of words seen before."""
+    known = {} if known is None else known
+    counts = [0.0] * dim
     for word in (body or "").lower().split():
-        h = int(hashlib.md5(word.encode("utf-8")).hexdigest()[:8], 16)
-        vec[h % dim] += 1.0 if (h >> 16) & 1 else -1.0
+        place = known.get(word)
+        if place is None:
+            h = int(hashlib.md5(word.encode("utf-8")).hexdigest()[:8], 16)
+            place = (h % dim, 1.0 if (h >> 16) & 1 else -1.0)
+            if len(known) >= WORDS_KNOWN:
+                known.clear()
+            known[word] = place
+        counts[place[0]] += place[1]
+    vec = np.array(counts)
     size = np.linalg.norm(vec)
     return (vec / size if size else vec).astype(np.float32)
 
@@ -91,7 +100,8 @@ def embed(body: Column, dim: int = 384, model=None) -> Column:
 
     @F.pandas_udf("array<float>")
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        encoder = model() if model else (lambda texts: [hash_vector(t, dim) for t in texts])
+        known: dict[str, tuple[int, float]] = {}
+        encoder = model() if model else (lambda texts: [hash_vector(t, dim, known) for t in texts])
         for texts in batches:
             yield pd.Series(list(encoder(texts.tolist())), index=texts.index)
 
