@@ -10,6 +10,7 @@ from __future__ import annotations
 import sys
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -230,31 +231,42 @@ def rolling_affinity(daily: DataFrame, windows: list[int]) -> DataFrame:
 
 # ---------------------------------------------------------------- state per query
 
-def stream_plateau(df: DataFrame, key: str, ts: str, tie: str) -> DataFrame:
+def stream_plateau(df: DataFrame, key: str, ts: str, tie: str, buckets: int = 1024) -> DataFrame:
     """Iteration number, iterations since the last improvement and sources so far, carried per query.
 
-    Input has mejora (boolean) and nuevas (number of new sources).  Rows of a key
-    are put in order within a micro-batch; batches are expected in time order.
-    The batch size bounds what one key brings to a task; plateau_log has no such bound.
+    Input has mejora (boolean) and nuevas (number of new sources), null counts as none.  Rows of a key
+    are put in order within a micro-batch; batches are expected in time order.  Keys are kept in buckets by
+    hash, null keys in one of their own: a call of the state function costs the same for one key as for
+    hundreds.  The batch size bounds what one bucket brings to a task; plateau_log has no such bound.
     """
     key_type = df.schema[key].dataType.simpleString()
     tie_type = df.schema[tie].dataType.simpleString()
 
     def step(group: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seen, last_gain, sources = state.get if state.exists else (0, 0, 0)
-        rows = pd.concat(list(parts)).sort_values([ts, tie], kind="stable")
-        number = pd.Series(range(seen + 1, seen + len(rows) + 1), index=rows.index)
-        gains = number.where(rows["mejora"].astype(bool)).ffill().fillna(last_gain).astype("int64")
-        total = sources + rows["nuevas"].cumsum()
-        yield pd.DataFrame(
-            {key: group[0], tie: rows[tie], "iteracion": number, "estancamiento": number - gains, "fuentes": total}
-        )
-        state.update((int(number.iloc[-1]), int(gains.iloc[-1]), int(total.iloc[-1])))
-
-    return df.groupBy(key).applyInPandasWithState(
+        held = dict(zip(*(state.get[:1]), zip(*state.get[1:]))) if state.exists else {}
+        rows = pd.concat(list(parts)).sort_values([key, ts, tie], kind="stable")
+        codes, names = pd.factorize(rows[key], use_na_sentinel=False)
+        first = np.flatnonzero(np.diff(codes, prepend=-1))
+        of = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(rows))))
+        names = [None] if group[0] < 0 else names.tolist()
+        seen, last_gain, sources = np.array([held.get(k, (0, 0, 0)) for k in names], dtype=np.int64).T
+        number = seen[of] + np.arange(len(rows)) - first[of] + 1
+        # a running maximum that starts anew with each key: keys are lifted above one another
+        lift = of * (number.max() + 1)
+        gains = np.maximum.accumulate(np.where(rows["mejora"].to_numpy().astype(bool), number, last_gain[of]) + lift) - lift
+        nuevas = np.nan_to_num(rows["nuevas"].to_numpy().astype(np.float64)).astype(np.int64)
+        total = np.cumsum(nuevas)
+        total += (sources - total[first] + nuevas[first])[of]
+        yield pd.DataFrame({key: rows[key].to_numpy(), tie: rows[tie].to_numpy(), "iteracion": number, "estancamiento": number - gains, "fuentes": total})
+        last = np.append(first[1:], len(rows)) - 1
+        held.update(zip(names, zip(number[last].tolist(), gains[last].tolist(), total[last].tolist())))
+        state.update((list(held), *map(list, zip(*held.values()))))
+
+    bucket = F.when(F.col(key).isNull(), -1).otherwise(F.pmod(F.xxhash64(key), F.lit(buckets)))
+    return df.withColumn("_bucket", bucket).groupBy("_bucket").applyInPandasWithState(
         step,
         f"{key} {key_type}, {tie} {tie_type}, iteracion BIGINT, estancamiento BIGINT, fuentes BIGINT",
-        "vistas BIGINT, ultima BIGINT, fuentes BIGINT",
+        f"claves ARRAY<{key_type}>, vistas ARRAY<BIGINT>, ultimas ARRAY<BIGINT>, fuentes ARRAY<BIGINT>",
         "append",
         GroupStateTimeout.NoTimeout,
     )
