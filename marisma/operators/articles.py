@@ -295,29 +295,34 @@ def reply_fields(df: DataFrame, reply: str, schema: str) -> DataFrame:
 def flatten_candidates(df: DataFrame, payload: str, keys: list[str]) -> DataFrame:
     """Every object nested in a JSON payload, with the usual spellings of its fields.
 
-    Objects are found level by level until a level is empty, each level written once; one without a
-    title is no candidate.
+    Objects are found level by level until a level is empty; one without a title is no candidate.  A level is
+    written once, with the fields of its objects, and parsed once, for its children.
     """
-    level = cut_lineage(df.select(*keys, F.col(payload).alias("json")).filter(F.col("json").isNotNull()), "level")
-    found = None
-    while found is None or not level.isEmpty():
-        level = level.select(*keys, F.try_parse_json("json").alias("node"))
-        objects = level.filter(F.schema_of_variant("node").startswith("OBJECT"))
-
-        def field(*names: str) -> Column:
-            return F.coalesce(*[text.truthy(F.try_variant_get("node", f"$.{n}", "string")) for n in names], F.lit(""))
-
-        hits = objects.select(
-            *keys,
+    def field(*names: str) -> Column:
+        return F.coalesce(*[text.truthy(F.try_variant_get("child", f"$.{n}", "string")) for n in names], F.lit(""))
+
+    def written(nodes: DataFrame) -> DataFrame:
+        # a filter moves below a projection and would repeat what it computes, but not below an explode
+        rows = nodes.select(*keys, "child", F.explode(F.array(F.to_json("child"))).alias("json")).filter(F.rlike("json", F.lit(r"^[\[{]")))
+        return cut_lineage(rows.select(
+            *keys, "json",
             text.strip(field("title", "headline", "titulo")).alias("title"),
             text.strip(field("source", "publisher", "mediaSource", "fuente")).alias("source"),
             text.strip(field("sourceUrl", "url", "link")).alias("url"),
             text.strip(field("published_at", "publishedAt", "date", "publishedDate", "published", "fecha")).alias("published"),
-        ).filter(F.col("title") != "")
+        ), "level")
+
+    def parsed(rows: DataFrame, json: str, name: str) -> DataFrame:
+        return rows.select(*keys, F.explode(F.array(F.try_parse_json(json))).alias(name))
+
+    # a payload costs far more than its bytes tell: the rows are dealt evenly, and so are the files of the levels
+    dealt = df.select(*keys, payload).filter(F.col(payload).isNotNull()).hint("rebalance")
+    level, found = written(parsed(dealt, payload, "child")), None
+    while found is None or not level.isEmpty():
+        hits = level.filter(F.col("title") != "").drop("json")
         found = hits if found is None else found.unionByName(hits)
-        nested = level.filter(F.rlike(F.schema_of_variant("node"), F.lit("^(OBJECT|ARRAY)")))
-        children = nested.lateralJoin(spark_variant_children("node"), how="inner")
-        level = cut_lineage(children.select(*keys, F.to_json("child").alias("json")).filter(F.rlike("json", F.lit(r"^[\[{]"))), "level")
+        children = parsed(level, "json", "node").lateralJoin(spark_variant_children("node"), how="inner")
+        level = written(children.select(*keys, "child"))
     return found
 
 
