@@ -22,6 +22,7 @@ from marisma.functions import fixed_values as fv
 from marisma.functions import numbers, text
 
 BLOCK_BYTES = 16 * 1024 * 1024  # queries shipped to a task at once
+HITS_IN_TASK = 2_000_000  # pairs of a query and a posting that a task adds up, about
 SCORES_IN_MEMORY = 1_000_000  # row-by-query scores a task holds at once
 
 
@@ -218,6 +219,9 @@ def keyword_scores(docs: DataFrame, key: str, body: Column, queries: DataFrame,
     idf = F.log(1 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weights = asked.join(df, "termino").select(qid, "termino", idf.alias("idf"))
     gain = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("largo") / mean))
+    # a document's postings lie together, so a task adds up all its scores; there are as many tasks as the hits need
+    hits = asked.join(df, "termino").agg(F.sum("df")).first()[0] or 0
+    tf = tf.repartition(max(1, -(-hits // HITS_IN_TASK)), key)
     return tf.join(weights, "termino").groupBy(qid, key).agg(F.sum(gain).alias("bm25"))
 
 

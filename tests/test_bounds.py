@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import duckdb
 import numpy as np
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from marisma.functions import chunking
@@ -87,3 +88,14 @@ def test_a_state_call_takes_a_bucket_of_keys(spark, tmp_path):
         jobs.append_to(jobs.stream_plateau(stream, "k", "t", "e", buckets=1), f"{tmp_path}/out", f"{tmp_path}/cp")
     got = {r.e: (r.k, r.iteracion, r.estancamiento, r.fuentes) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
     assert got == {4: ("a", 1, 1, 3), 1: ("a", 2, 0, 4), 6: ("a", 3, 1, 5), 2: ("b", 1, 1, 2), 5: ("b", 2, 0, 3), 3: (None, 1, 1, 0), 7: (None, 2, 2, 4), 8: ("c", 1, 1, 1)}
+
+
+def test_keyword_hits_are_dealt_by_document(spark, monkeypatch):
+    """As many tasks as the hits need."""
+    monkeypatch.setattr(search, "HITS_IN_TASK", 10)
+    docs = spark.createDataFrame([(i, "uno dos " + "tres " * (i % 3)) for i in range(60)], "id bigint, t string")
+    asked = spark.createDataFrame([(1, "uno tres"), (2, "dos"), (3, "nada")], "qid bigint, qtext string")
+    out = search.keyword_scores(docs, "id", F.col("t"), asked)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert ", 16), REPARTITION_BY_NUM" in plan
+    assert out.count() == 120 and {r.qid for r in out.select("qid").distinct().collect()} == {1, 2}
