@@ -164,8 +164,7 @@ WITH d AS (SELECT doc_id, len(w) AS dl, w FROM (SELECT doc_id, {_LW.format('text
 SELECT t AS termino, count(*) AS n, round(max(impacto), 6) AS alto, round(min(impacto), 6) AS bajo FROM i GROUP BY t
 """)
 def _(spark, d):
-    levels = _index(spark, d).levels(spark)
-    return levels.groupBy("termino").agg(F.sum("n").alias("n"), F.round(F.max("alto"), 6).alias("alto"), F.round(F.min("bajo"), 6).alias("bajo"))
+    return _index(spark, d).words(spark).select("termino", "n", F.round("alto", 6).alias("alto"), F.round("bajo", 6).alias("bajo"))
 
 
 @query("V05_search_stored", f"""

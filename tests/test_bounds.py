@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from marisma.functions import chunking
-from marisma.operators import articles, pages, search
+from marisma.operators import articles, pages, search, text_index
 from marisma.plans.functions import register_contains_lookup
+from marisma.session import work_dir
 from marisma.streaming import jobs
 
 
@@ -99,3 +100,40 @@ def test_keyword_hits_are_dealt_by_document(spark, monkeypatch):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert ", 16), REPARTITION_BY_NUM" in plan
     assert out.count() == 120 and {r.qid for r in out.select("qid").distinct().collect()} == {1, 2}
+
+
+def test_words_of_a_document_are_counted_in_place(spark):
+    """Neither texts nor words are shuffled for an index; documents of one key are one, null keys only count."""
+    docs = spark.createDataFrame([(1, "b a b ñ"), (2, ""), (3, None), (4, "a"), (4, "c a"), (4, "a"), (None, "b b")], "id bigint, t string")
+    counted = text_index._counted(docs, "id", F.col("t"))
+    assert "Exchange" not in counted._jdf.queryExecution().executedPlan().toString()
+    assert [(r.terminos, r.veces, r.largo) for r in counted.collect() if r.id == 1] == [(["a", "b", "ñ"], [1, 2, 1], 4)]
+    index = text_index.build_index(docs, "id", F.col("t"), work_dir(spark, "index"))
+    assert (index.n, index.mean) == (7, 10 / 7)
+    assert {r.termino: r.n for r in index.words(spark).collect()} == {"a": 3, "b": 1, "c": 1, "ñ": 1}
+    rows = {r.id: sorted(zip(r.terminos, r.veces, r.largos)) for r in index.rows(spark).collect()}
+    assert rows[4] == [("a", 1, 2), ("a", 2, 1), ("c", 1, 2)] and rows[2] == rows[3] == [] and len(rows) == 5
+
+
+def test_scores_are_not_shuffled(spark, monkeypatch):
+    """A document's scores are made where its row is; blocks and steps of any size give the same."""
+    rnd = np.random.default_rng(5)
+    texts = [(i, " ".join(f"w{int(x)}" for x in rnd.integers(0, 40, rnd.integers(0, 12)))) for i in range(300)] + [(i, "w1 w2") for i in range(400, 320, -1)] + [(7, "w3 w9 " * 7)]
+    docs = spark.createDataFrame(texts, "id bigint, t string").repartition(3)
+    asked = spark.createDataFrame([(q, " ".join(f"w{(q * 7 + j * j) % 45}" for j in range(q % 6))) for q in range(30)] + [(50, "w1 w2")], "qid bigint, qtext string")
+    index = text_index.build_index(docs, "id", F.col("t"), work_dir(spark, "index"), block=50)
+    for name, size in (("WORDS_AT_ONCE", 40), ("QUERIES_IN_STEP", 3), ("CELLS_IN_STEP", 200), ("FOUND_IN_MEMORY", 10)):
+        monkeypatch.setattr(text_index, name, size)
+    terms = text_index._asked(index, asked, "qid", "qtext")
+    found = text_index._scan(index, terms, "qid", 4)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Exchange" not in plan
+    score = search.keyword_scores(docs, "id", F.col("t"), asked).collect()
+    every = {(r.qid, r.id): r.bm25 for r in score}
+    want = {(r.qid, r.id): r.rango for r in search.search_keyword(docs, "id", F.col("t"), asked, 4).collect()}
+    got = text_index.search_index(index, asked, 4).collect()
+    assert {(r.qid, r.id): r.rango for r in got} == want and sorted(i for q, i in want if q == 50) == [321, 322, 323, 324]
+    bounds = spark.createDataFrame([(q, 3.0) for q in range(0, 60, 2)], "qid bigint, cota double")
+    reach = text_index.at_least(index, terms, bounds, "qid").collect()
+    assert {(r.qid, r.id) for r in reach} == {(q, i) for (q, i), s in every.items() if q % 2 or s >= 3.0}
+    assert max(abs(r.bm25 - every[r.qid, r.id]) for r in reach) < 1e-9
