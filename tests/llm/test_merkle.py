@@ -6,7 +6,11 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from marisma.llm import merkle
+from marisma.llm.queries import without_capitals
+
+DATA = "/root/testdata/sf0.001"
 
 
 def sha(s: str) -> str:
@@ -83,3 +87,36 @@ def test_leaf_of_fields(spark):
     df = spark.createDataFrame([(1, None, "", "Zoë"), (-12, "s", "en", None)], "doc_id long, source string, lang string, text string")
     got = [r[0] for r in df.orderBy(F.desc("doc_id")).select(merkle.leaf(*[F.col(c) for c in df.columns])).collect()]
     assert got == [sha("1:1-0:4:Zoë"), sha("3:-121:s2:en-")]
+
+
+def test_rows_are_read_once(spark):
+    """A leaf is a digest of a whole text: ordering, counting and dealing the rows must not make it again."""
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def digest(i):
+        made.add(1)
+        return hashlib.sha256(str(i).encode()).hexdigest()
+
+    df = spark.range(600).repartition(3).select("id", F.lit("en").alias("group"), digest("id").alias("leaf")).withColumn("claim", F.lit("x"))
+    assert merkle.manifest(df).filter("leaf IS NOT NULL").count() == 600
+    assert made.value == 600
+
+
+def test_levels_are_lists(spark):
+    """Siblings are slices of a list; a place in one long string is found by counting characters from its start."""
+    df = spark.createDataFrame([(i, "en", sha(str(i)), "x") for i in range(600)], "id long, `group` string, leaf string, claim string")
+    plan = merkle.manifest(df)._jdf.queryExecution().executedPlan().toString()
+    assert "substring(" not in plan and "slice(" in plan
+    # the way up is a column that proof and fold read
+    assert plan.count("aggregate(path") == 1 and plan.count("transform(path") == 1
+
+
+def test_a_text_is_changed_once(spark, monkeypatch):
+    monkeypatch.setattr(merkle, "manifest", lambda rows: rows)
+    plan = entry.queries()["op13_merkle_manifest"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("translate(") == 1 and plan.count("FileScan") == 1
+
+
+def test_only_ascii_capitals_go(values):
+    assert values(without_capitals, ["AZ az [@`{ 09", "ÀÉ ẞ İ Σ K AZ", "\u212a", "", None]) == ["az az [@`{ 09", "ÀÉ ẞ İ Σ k az", "\u212a", "", None]
